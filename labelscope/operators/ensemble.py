@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from itertools import combinations_with_replacement
 from math import factorial, prod
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,20 +70,25 @@ def multiset_votes(
 ) -> DataFrame:
     """`keys, carry, multiset, pred`: the soft vote of every seed multiset.
 
-    A row's per-seed arrays meet once; each multiset is then a weighted sum of them.
+    A row's per-seed arrays meet once; its votes under all multisets are one small matrix
+    product, done for an Arrow batch of rows at a time.
     """
-    weights = F.array(*[
-        F.struct(F.lit(i).alias("multiset"), F.array(*[F.lit(float(t)) for t in times]).alias("w"))
-        for i, times, _ in multisets
-    ])
-    votes = F.transform(F.sort_array(F.collect_list(F.struct("seed", value))), lambda s: s[value])
-    gathered = probs.groupBy(*keys).agg(votes.alias("_v"), *[F.first(c).alias(c) for c in carry])
-    mixed = F.transform(
-        F.sequence(F.lit(0), F.lit(n_classes - 1)),
-        lambda k: F.aggregate(
-            F.zip_with("w", "_v", lambda w, v: w * F.get(v, k)), F.lit(0.0), lambda a, x: a + x
-        ),
-    )
-    return gathered.select(*keys, *carry, "_v", F.inline(weights)).select(
-        *keys, *carry, "multiset", argmax(mixed).alias("pred")
+    ids = [i for i, _, _ in multisets]
+    weights = np.array([times for _, times, _ in multisets], dtype=float)
+
+    @F.pandas_udf("array<bigint>")
+    def vote_all(flat: pd.Series) -> pd.Series:
+        out = []
+        for start in range(0, len(flat), 1024):  # bounds the product to 1024 x multisets x K
+            v = np.stack(flat.iloc[start : start + 1024].to_numpy())
+            mixed = np.einsum("ms,rsk->rmk", weights, v.reshape(len(v), -1, n_classes))
+            out.extend(mixed.argmax(axis=2))
+        return pd.Series(out, index=flat.index)
+
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("seed", value))), lambda s: s[value])
+    gathered = probs.groupBy(*keys).agg(
+        F.flatten(in_order).alias("_v"), *[F.first(c).alias(c) for c in carry]
     )
+    voted = gathered.select(*keys, *carry, F.posexplode(vote_all("_v")).alias("_m", "pred"))
+    numbers = F.array(*[F.lit(i) for i in ids])
+    return voted.select(*keys, *carry, F.get(numbers, F.col("_m")).alias("multiset"), "pred")

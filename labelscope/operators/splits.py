@@ -60,7 +60,7 @@ def round_robin(
     seed: int | str,
     label_order: str = "shuffled",
     limit: int | None = None,
-    n_classes: int | None = None,
+    n_groups: int | None = None,
     out: str = "pos",
 ) -> DataFrame:
     """Number rows so that every prefix is as balanced over classes as it can be.
@@ -73,7 +73,7 @@ def round_robin(
     The place of rank r in class l follows from the class counts alone, so nothing is sorted
     globally: sum_j min(c_j, r-1) rows come from earlier rounds, and the classes of this round
     not after l fill the rest. A row's place is never before its rank, so with `limit` only
-    ranks up to it are shuffled.
+    ranks up to it are shuffled. `n_groups` bounds the classes (times seeds) for that step.
     """
     per = [seed] if isinstance(seed, str) else []
     seed_col = F.col(seed) if per else F.lit(str(seed))
@@ -88,7 +88,7 @@ def round_robin(
         F.collect_list(F.struct("c", "o")).over(Window.partitionBy(*per)).alias("classes"),
     )
     ranked = rank_in_group(
-        df, [*per, label], key, seed_col, out="_r", limit=limit, n_groups=n_classes
+        df, [*per, label], key, seed_col, out="_r", limit=limit, n_groups=n_groups
     )
     earlier = F.aggregate(
         "classes", F.lit(0).cast("bigint"), lambda a, x: a + F.least(x["c"], F.col("_r") - 1)
@@ -111,7 +111,7 @@ def balanced_take(
 
     Classes take turns in label order, so a last partial round favours low labels.
     """
-    taken = round_robin(df, label, key, seed, "label", limit=n, n_classes=n_classes)
+    taken = round_robin(df, label, key, seed, "label", limit=n, n_groups=n_classes)
     return taken.withColumn("order_key", order_hash(seed, F.lit("order"), F.col(key)))
 
 
@@ -125,22 +125,18 @@ def subset_grid(
 ) -> DataFrame:
     """`training_size, seed, pos` and the pool's columns for every budget that fits the pool.
 
-    The pool is numbered once per seed up to the largest budget; a row then belongs to every
-    budget not below its place. Budgets larger than the pool are left out.
+    The pool is numbered once per seed up to the largest budget that fits; a row then belongs
+    to every budget not below its place. Budgets larger than the pool are left out.
     """
+    n_pool = pool.count()
+    fitting = [n for n in sorted(sizes) if n <= n_pool]
+    if not fitting:
+        raise ValueError(f"no budget of {list(sizes)} fits a pool of {n_pool} rows")
     seeded = pool.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    ordered = round_robin(seeded, label, key, "seed", limit=max(sizes), n_classes=n_classes)
-    budgets = F.filter(
-        F.array(*[F.lit(n) for n in sorted(sizes)]),
-        lambda n: (n >= F.col("pos")) & (n <= F.col("_pool")),
-    )
-    size = pool.agg(F.count(F.lit(1)).alias("_pool")).withColumn("_one", F.lit(1))
-    return (
-        ordered.withColumn("_one", F.lit(1))
-        .join(F.broadcast(size), "_one")  # one row
-        .withColumn("training_size", F.explode(budgets))
-        .drop("_one", "_pool")
-    )
+    ordered = round_robin(seeded, label, key, "seed", limit=fitting[-1],
+                          n_groups=n_classes and n_classes * len(seeds))
+    budgets = F.filter(F.array(*[F.lit(n) for n in fitting]), lambda n: n >= F.col("pos"))
+    return ordered.withColumn("training_size", F.explode(budgets))
 
 
 def class_coverage(grid: DataFrame, label: str, n_classes: int, seeds: Sequence[int]) -> DataFrame:

@@ -94,8 +94,8 @@ def out_of_scope(spark, d):
     )
 
 
-@query("p7_exclude_classes", f"""WITH {P_SQL}, some AS (SELECT * FROM p WHERE y NOT IN (1, 3)),
-{f1_sql('a', 'p', pred='a')}, {f1_sql('s', 'some', pred='a')}
+@query("p7_exclude_classes", f"""WITH {P_SQL}, kept AS (SELECT * FROM p WHERE y NOT IN (1, 3)),
+{f1_sql('a', 'p', pred='a')}, {f1_sql('s', 'kept', pred='a')}
 SELECT (SELECT round(avg(f1), 6) FROM f1_a WHERE label NOT IN (1, 3)) AS kept_classes,
        (SELECT round(avg(f1), 6) FROM f1_s WHERE label NOT IN (1, 3)) AS kept_rows""")
 def exclude_classes(spark, d):
@@ -240,9 +240,9 @@ def jackknife_summary(spark, d):
 
 
 @query("e12_gap_sensitivity", f"""WITH {P_SQL}, {VOTES_SQL}, {ENSEMBLE_SQL},
-some AS (SELECT * FROM ensemble WHERE y NOT IN (1, 3)),
+kept AS (SELECT * FROM ensemble WHERE y NOT IN (1, 3)),
 {f1_sql('ea', 'ensemble', group='training_size')}, {f1_sql('eb', 'ensemble', pred='b', group='training_size')},
-{f1_sql('sa', 'some', group='training_size')}, {f1_sql('sb', 'some', pred='b', group='training_size')},
+{f1_sql('sa', 'kept', group='training_size')}, {f1_sql('sb', 'kept', pred='b', group='training_size')},
 w AS (SELECT training_size, avg(x.f1 - z.f1) AS gap_all, avg(x.f1) FILTER (WHERE label NOT IN (1, 3)) AS aa,
         avg(z.f1) FILTER (WHERE label NOT IN (1, 3)) AS ba
       FROM f1_ea x JOIN f1_eb z USING (training_size, label) GROUP BY 1),
