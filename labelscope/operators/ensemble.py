@@ -64,31 +64,35 @@ def multiset_votes(
     probs: DataFrame,
     multisets: Sequence[tuple[int, tuple[int, ...], int]],
     n_classes: int,
-    keys: Sequence[str] = KEYS,
+    keys: Sequence[str] = ("row_id",),
     value: str = "probs",
     carry: Sequence[str] = ("y",),
 ) -> DataFrame:
-    """`keys, carry, multiset, pred`: the soft vote of every seed multiset.
+    """`keys, carry, multiset, preds`: soft votes of every seed multiset, one per budget.
 
-    A row's per-seed arrays meet once; its votes under all multisets are one small matrix
-    product, done for an Arrow batch of rows at a time.
+    `preds` has one class per `training_size`, in ascending order; every row needs an array
+    for each budget and seed. A row's arrays (budgets x seeds of them) meet once, in one
+    shuffle; its votes under all multisets are one small matrix product, done for an Arrow
+    batch of rows at a time.
     """
     ids = [i for i, _, _ in multisets]
     weights = np.array([times for _, times, _ in multisets], dtype=float)
+    n_seeds = weights.shape[1]
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("array<array<bigint>>")
     def vote_all(flat: pd.Series) -> pd.Series:
         out = []
-        for start in range(0, len(flat), 1024):  # bounds the product to 1024 x multisets x K
-            v = np.stack(flat.iloc[start : start + 1024].to_numpy())
-            mixed = np.einsum("ms,rsk->rmk", weights, v.reshape(len(v), -1, n_classes))
-            out.extend(mixed.argmax(axis=2))
-        return pd.Series(out, index=flat.index)
+        for start in range(0, len(flat), 256):  # bounds the product below
+            v = np.stack(flat.iloc[start : start + 256].to_numpy())
+            v = v.reshape(len(v), -1, n_seeds, n_classes)
+            out.extend(np.einsum("ms,rbsk->rmbk", weights, v).argmax(axis=3))
+        return pd.Series([[list(b) for b in m] for m in out], index=flat.index)
 
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct("seed", value))), lambda s: s[value])
+    order = F.sort_array(F.collect_list(F.struct("training_size", "seed", value)))
     gathered = probs.groupBy(*keys).agg(
-        F.flatten(in_order).alias("_v"), *[F.first(c).alias(c) for c in carry]
+        F.flatten(F.transform(order, lambda s: s[value])).alias("_v"),
+        *[F.first(c).alias(c) for c in carry],
     )
-    voted = gathered.select(*keys, *carry, F.posexplode(vote_all("_v")).alias("_m", "pred"))
+    voted = gathered.select(*keys, *carry, F.posexplode(vote_all("_v")).alias("_m", "preds"))
     numbers = F.array(*[F.lit(i) for i in ids])
-    return voted.select(*keys, *carry, F.get(numbers, F.col("_m")).alias("multiset"), "pred")
+    return voted.select(*keys, *carry, F.get(numbers, F.col("_m")).alias("multiset"), "preds")

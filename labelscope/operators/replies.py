@@ -41,37 +41,41 @@ def requested_rows(calls: DataFrame) -> DataFrame:
     return calls.select("custom_id", F.posexplode("row_ids").alias("position_in_call", "row_id"))
 
 
-def attach_results(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Every expected call with its result, found by id whatever order results arrive in.
+def explain_results(results: DataFrame) -> DataFrame:
+    """`custom_id, text, error` and the carried columns; `error` is null for a usable reply.
 
-    `results` may lack any of RESULT_COLUMNS. A call without a result keeps nulls and a reason.
+    `results` may lack any of RESULT_COLUMNS.
     """
-    known = [c for c in RESULT_COLUMNS if c in results.columns]
-    absent = [F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS if c not in known]
-    found = results.select("custom_id", *known, *absent, F.lit(True).alias("_found"))
-    joined = calls.join(found, "custom_id", "left")
+    absent = [F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS if c not in results.columns]
+    full = results.select("*", *absent)
     status = F.coalesce(F.col("status"), F.lit("succeeded"))
     reason = (
-        F.when(F.col("_found").isNull(), NO_RESULT)
-        .when(status != "succeeded", F.concat(F.lit(FAILED), status))
+        F.when(status != "succeeded", F.concat(F.lit(FAILED), status))
         .when(F.col("stop_reason") == "refusal", REFUSAL)
         .when(F.col("text").isNull(), NO_TEXT)
         .when(~is_json(F.col("text")), INVALID)
     )
-    return joined.withColumn("error", reason).drop("_found", "status")
+    return full.select("custom_id", "text", reason.alias("error"), *CARRIED)
+
+
+def attach_results(calls: DataFrame, explained: DataFrame) -> DataFrame:
+    """Every expected call with its result, found by id whatever order results arrive in.
+    A call without one keeps nulls and a reason."""
+    found = explained.withColumn("_found", F.lit(True))
+    reason = F.when(F.col("_found").isNull(), NO_RESULT).otherwise(F.col("error"))
+    return calls.join(found, "custom_id", "left").withColumn("error", reason).drop("_found")
 
 
 def parse_single(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """One prediction per call of one row."""
-    got = attach_results(calls, results)
+    """One prediction per call of one row. Replies are parsed before the join, so their text
+    is not shuffled."""
     intent = F.when(F.col("error").isNull(), F.from_json("text", "intent string")["intent"])
-    return got.select(
+    parsed = explain_results(results).withColumn("pred_intent", intent).drop("text")
+    return attach_results(calls, parsed).select(
         "custom_id",
         F.lit(0).alias("position_in_call"),
         F.get("row_ids", F.lit(0)).alias("row_id"),
-        intent.alias("pred_intent"),
-        "error",
-        *CARRIED,
+        "pred_intent", "error", *CARRIED,
     )
 
 
@@ -81,16 +85,16 @@ def parse_batched(calls: DataFrame, results: DataFrame) -> DataFrame:
     Of several entries with one id the first counts; ids outside the call are ignored. Entries
     and rows meet on (call, id), so neither a long reply nor a long call sits in one row.
     """
-    got = attach_results(calls, results)
+    explained = explain_results(results)
     items = F.from_json("text", "predictions array<struct<id:bigint, intent:string>>")["predictions"]
     entries = (
-        got.filter("error is null")
+        explained.filter("error is null")
         .select("custom_id", F.posexplode(items).alias("p", "item"))
         .filter("item.id is not null")
         .groupBy("custom_id", (F.col("item.id") - 1).cast("int").alias("position_in_call"))
         .agg(F.min_by(F.struct("item.intent"), "p").alias("entry"))
     )
-    rows = got.select(
+    rows = attach_results(calls, explained.drop("text")).select(
         "custom_id", "error", *CARRIED, F.posexplode("row_ids").alias("position_in_call", "row_id")
     )
     missing = F.when(F.col("entry").isNull(), NOT_IN_REPLY)

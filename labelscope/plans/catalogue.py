@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from labelscope.plans import exchanging, scoring, splitting  # noqa: F401
+from labelscope.plans import exchanging, resampling, scoring, splitting  # noqa: F401
 from labelscope.plans.registry import ORACLE, QUERIES  # noqa: F401

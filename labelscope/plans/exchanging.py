@@ -122,13 +122,12 @@ def request_bodies(spark, d):
         F.md5(get("$.messages[0].content")).alias("user_digest"))
 
 
-@query("o6_fingerprint", """WITH t AS (SELECT source, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS k FROM documents GROUP BY 1)
-SELECT source, substr(sha256('{"key":"' || k || '","rung":"zero_shot","k":0}'), 1, 16) AS fingerprint FROM t""")
+@query("o6_fingerprint", f"""WITH {CALLS_SQL}
+SELECT custom_id, substr(sha256('{{"key":"' || row_ids || '","rung":"zero_shot","k":0}}'), 1, 16) AS fingerprint FROM calls""")
 def prompt_fingerprint(spark, d):
-    # The ids of one source go through a fixed-length digest before they are hashed with the settings.
-    keys = table(spark, d, "documents").groupBy("source").agg(
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string")), ",")).alias("key"))
-    return keys.select("source", ca.fingerprint("key", F.lit("zero_shot").alias("rung"), F.lit(0).alias("k")).alias("fingerprint"))
+    key = F.array_join("row_ids", ",").alias("key")
+    return _doc_calls(spark, d).select(
+        "custom_id", ca.fingerprint(key, F.lit("zero_shot").alias("rung"), F.lit(0).alias("k")).alias("fingerprint"))
 
 
 # --- replies -----------------------------------------------------------------------------
@@ -232,7 +231,7 @@ def reply_counts(spark, d):
 SELECT reason, count(*) AS n FROM r GROUP BY 1""")
 def results_by_id(spark, d):
     calls, results = _row_calls(spark, d)
-    got = re_.attach_results(calls, results.orderBy(F.desc("custom_id")))
+    got = re_.attach_results(calls, re_.explain_results(results))
     return got.groupBy(F.coalesce("error", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 

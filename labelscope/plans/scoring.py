@@ -8,7 +8,7 @@ from labelscope.functions.scoring import argmax, is_correct, label_budget, or_mi
 from labelscope.operators import ensemble as en
 from labelscope.operators import metrics as m
 from labelscope.plans.inputs import (
-    DOCS_SQL, ENSEMBLE_SQL, EVENT_TYPES, K, P_SQL, RUNS_SQL, SEEDS, SINGLE_SQL, VOTES_SQL,
+    BUDGETS, DOCS_SQL, ENSEMBLE_SQL, EVENT_TYPES, K, P_SQL, RUNS_SQL, SEEDS, SINGLE_SQL, VOTES_SQL,
     documents, f1_sql, predictions, repeated_runs, table, votes,
 )
 from labelscope.plans.registry import query
@@ -332,5 +332,8 @@ picked AS (SELECT y, training_size, multiset, arg_max(k, v * 10 - k) AS pred FRO
            GROUP BY row_id, y, training_size, multiset)
 SELECT training_size, multiset, y, pred, count(*) AS n FROM picked GROUP BY ALL""")
 def multiset_votes(spark, d):
-    mixed = en.multiset_votes(votes(spark, d), _SETS, K)
+    voted = en.multiset_votes(votes(spark, d), _SETS, K)
+    each = F.posexplode("preds").alias("at", "pred")
+    budgets = F.array(*[F.lit(n).cast("bigint") for n in BUDGETS])
+    mixed = voted.select("y", "multiset", each).withColumn("training_size", F.get(budgets, F.col("at")))
     return m.confusion(mixed, "y", "pred", ["training_size", "multiset"])
