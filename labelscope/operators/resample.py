@@ -47,19 +47,32 @@ def cells_fit(cells: DataFrame, n_classes: int, n_systems: int, keys: Sequence[s
     return (per_group.agg(F.max("c")).first()[0] or 0) <= CELL_LIMIT
 
 
-def _class_sums(index: np.ndarray, weight: np.ndarray, n_classes: int) -> np.ndarray:
-    inside = (index >= 0) & (index < n_classes)
-    return np.bincount(index[inside], weights=weight[inside], minlength=n_classes)
+def _class_sums(index: np.ndarray, n_classes: int):
+    """A function from weights (replicates x cells) to their sums per class."""
+    inside = np.flatnonzero((index >= 0) & (index < n_classes))
+    order = inside[np.argsort(index[inside], kind="stable")]
+    labels, starts = np.unique(index[order], return_index=True)
 
+    def sums(w: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(w), n_classes))
+        if len(order):
+            out[:, labels] = np.add.reduceat(w[:, order], starts, axis=1)
+        return out
 
-def weighted_macro_f1(y: np.ndarray, pred: np.ndarray, w: np.ndarray, n_classes: int, observed: bool) -> float:
-    """Macro-F1 of weighted outcome cells."""
-    hit = y == pred
-    tp = _class_sums(y[hit], w[hit], n_classes)
-    denominator = _class_sums(pred, w, n_classes) + _class_sums(y, w, n_classes)
-    seen = denominator > 0
-    scores = 2 * tp[seen] / denominator[seen]
-    return float(scores.sum() / (max(int(seen.sum()), 1) if observed else n_classes))
+    return sums
+
+
+def _macro_f1(y: np.ndarray, pred: np.ndarray, n_classes: int, observed: bool):
+    """A function from cell weights to macro-F1, one number per replicate."""
+    true, predicted = _class_sums(y, n_classes), _class_sums(pred, n_classes)
+    hits = _class_sums(np.where(y == pred, y, MISSING), n_classes)
+
+    def score(w: np.ndarray) -> np.ndarray:
+        denominator = true(w) + predicted(w)
+        f1s = np.divide(2 * hits(w), denominator, out=np.zeros_like(denominator), where=denominator > 0)
+        return f1s.sum(axis=1) / (np.maximum((denominator > 0).sum(axis=1), 1) if observed else n_classes)
+
+    return score
 
 
 def _chunks(n_sets: int) -> int:
@@ -101,20 +114,27 @@ def resample_cells(
         cell = cell.sort_values(["y", *systems])
         y, n = cell["y"].to_numpy(), cell["n"].to_numpy()
         preds = [cell[s].to_numpy() for s in systems]
-        total, out = int(n.sum()), []
-        for r in sorted(rep["rep"]):
-            rng = np.random.default_rng([seed, int(r)])
-            if mode == "swap":
-                a, b = preds
-                moved = np.where(a == b, 0, rng.binomial(n, 0.5))
-                stay = n - moved
-                yy, w = np.concatenate([y, y]), np.concatenate([stay, moved])
-                pair = (np.concatenate([a, b]), np.concatenate([b, a]))
-                out.append([r, *[weighted_macro_f1(yy, p, w, n_classes, observed) for p in pair]])
-            else:
-                w = rng.multinomial(total, n / total)
-                out.append([r, *[weighted_macro_f1(y, p, w, n_classes, observed) for p in preds]])
-        return pd.DataFrame(out, columns=["rep", *systems])
+        if mode == "swap":  # each cell appears as it is and with the two predictions exchanged
+            a, b = preds
+            y, preds = np.concatenate([y, y]), [np.concatenate([a, b]), np.concatenate([b, a])]
+            differ = a != b
+        scorers = [_macro_f1(y, p, n_classes, observed) for p in preds]
+        ids = np.sort(rep["rep"].to_numpy())
+        step = max(1, 4_000_000 // len(y))  # bounds the weight matrix
+        parts = []
+        for start in range(0, len(ids), step):
+            w = np.empty((len(ids[start : start + step]), len(y)))
+            for i, r in enumerate(ids[start : start + step]):
+                rng = np.random.default_rng([seed, int(r)])
+                if mode == "swap":
+                    moved = np.where(differ, rng.binomial(n, 0.5), 0)
+                    w[i] = np.concatenate([n - moved, moved])
+                else:
+                    w[i] = rng.multinomial(int(n.sum()), n / n.sum())
+            parts.append(np.column_stack([f(w) for f in scorers]))
+        out = pd.DataFrame(np.vstack(parts), columns=systems)
+        out.insert(0, "rep", ids)
+        return out
 
     each_chunk = F.sequence(F.lit(0), F.lit(_chunks(n_sets) - 1))
     copies = cells.withColumn("chunk", F.explode(each_chunk))
