@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.functions.text import char_ngrams
+from labelscope.functions.text import words
+from labelscope.session import scratch_dir
 
 
 @dataclass(frozen=True)
@@ -24,27 +25,44 @@ class Tfidf:
 def term_counts(df: DataFrame, key: str, text: str, low: int, high: int) -> DataFrame:
     """`key, term, tf` over whole texts.
 
-    The text is shuffled by key before it is cut up, at a fraction of the size of its n-grams;
-    counting them then needs no further shuffle.
+    The text is shuffled by key before it is cut up, at a small fraction of the size of its
+    n-grams; counting words and then n-grams needs no further shuffle. The number of
+    partitions is fixed because the rows grow a hundredfold after the shuffle, which sizing
+    partitions by their bytes would not foresee. Each distinct word of a text is cut up once.
     """
-    by_key = df.select(key, text).repartition(key)
-    grams = by_key.select(key, F.explode(char_ngrams(text, low, high)).alias("term"))
-    return grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_key = df.select(key, text).repartition(parts, key)
+    counted = by_key.select(key, F.explode(words(text)).alias("_w")).groupBy(key, "_w").agg(
+        F.count(F.lit(1)).alias("_c"))
+    padded = counted.select(
+        key, "_c", F.concat(F.lit(" "), F.col("_w"), F.lit(" ")).alias("_p"),
+        (F.char_length("_w") + 2).alias("_len"))
+    sizes = F.explode(F.array(*[F.lit(n) for n in range(low, high + 1)])).alias("_n")
+    whole = F.greatest(F.lit(low), F.col("_len"))  # the one size at which a short word is whole
+    sized = padded.select("*", sizes).filter((F.col("_n") < F.col("_len")) | (F.col("_n") == whole))
+    starts = F.sequence(F.lit(1), F.greatest(F.col("_len") - F.col("_n"), F.lit(0)) + 1)
+    grams = sized.select(key, "_c", "_p", "_n", F.explode(starts).alias("_i")).select(
+        key, "_c", F.substr("_p", F.col("_i"), F.col("_n")).alias("term"))
+    return grams.groupBy(key, "term").agg(F.sum("_c").alias("tf"))
 
 
 def fit_tfidf(
     pool: DataFrame, key: str, text: str = "text", low: int = 2, high: int = 5, min_df: int = 2,
-    sublinear: bool = True,
+    sublinear: bool = True, path: str | None = None,
 ) -> Tfidf:
     """Document frequencies of the pool only; idf = ln((1 + N) / (1 + df)) + 1.
 
-    Each text's distinct n-grams are counted where the text is, so one partial count per task
-    and term is shuffled.
+    The vocabulary is written as a table (to `path`, or below the shared checkpoint folder).
+    It is then computed once however often it is used, and its size on disk tells the planner
+    whether it may be broadcast.
     """
     n = pool.count()
-    terms = pool.select(F.explode(F.array_distinct(char_ngrams(text, low, high))).alias("term"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
-    return Tfidf(df.withColumn("idf", F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1), low, high, sublinear)
+    df = term_counts(pool, key, text, low, high).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.filter(F.col("df") >= min_df).withColumn(
+        "idf", F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
+    path = path or scratch_dir(pool.sparkSession, "vocabulary")
+    idf.write.mode("overwrite").parquet(path)
+    return Tfidf(pool.sparkSession.read.parquet(path), low, high, sublinear)
 
 
 def tfidf_weights(fitted: Tfidf, df: DataFrame, key: str, text: str = "text") -> DataFrame:

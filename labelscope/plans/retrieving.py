@@ -38,9 +38,17 @@ def weights_sql(name: str, terms: str, idf: str, key: str, sublinear: bool) -> s
 
 @query("t1_char_ngrams", f"""WITH {terms_sql('t', 'documents', 'doc_id', 3, 5)} SELECT term, count(*) AS n_docs, sum(tf)::BIGINT AS total FROM t GROUP BY term""")
 def ngrams(spark, d):
-    grams = table(spark, d, "documents").select("doc_id", F.explode(char_ngrams("text", 3, 5)).alias("term"))
-    return grams.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("total"))
+    tf = fe.term_counts(table(spark, d, "documents"), "doc_id", "text", 3, 5)
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("total"))
+
+
+@query("t1_ngrams_per_text", f"""WITH {terms_sql('t', 'benchmark', 'item_id', 2, 5)} SELECT item_id, sum(tf)::BIGINT AS n_grams,
+  count(*) AS n_distinct FROM t GROUP BY 1""")
+def ngrams_per_text(spark, d):
+    grams = char_ngrams("text", 2, 5)
+    return table(spark, d, "benchmark").select(
+        "item_id", F.size(grams).cast("bigint").alias("n_grams"),
+        F.size(F.array_distinct(grams)).cast("bigint").alias("n_distinct"))
 
 
 @query("t2_idf", f"""WITH {SIDES_SQL}, {terms_sql('t', 'labelled', 'doc_id', 2, 5)}, {idf_sql('idf', 't', 'labelled')}
