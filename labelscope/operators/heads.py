@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from labelscope.functions.scoring import argmax
 from labelscope.operators.metrics import confusion, macro_f1
 
-# The regularisation grid, the iteration limit and the serving batch.
+# The regularisation grid, the stopping rule and the serving batch.
 C_GRID = (0.1, 1.0, 10.0, 100.0)
 MAX_ITER = 2000
+TOLERANCE = 1e-4
 SERVING_BATCH = 64
 FEATURES = 1 << 16
-ROWS_PER_TASK = 2000  # a budget's training rows are few and wide
+ROWS_PER_TASK = 128  # a budget's training rows are few and wide
 
 
 def feature_vectors(weights: DataFrame, key: str, size: int = FEATURES) -> DataFrame:
@@ -56,7 +57,7 @@ def fit_head(train: DataFrame, c: float, label: str = "label", max_iter: int = M
     """Multinomial logistic regression with inverse regularisation `c`.
 
     The penalty of the reference is on the sum of losses and Spark's on the mean, hence
-    regParam = 1 / (c n). Features are not rescaled. Labels are numbered densely for the fit.
+    regParam = 1 / (c n). Features are not rescaled. Stops at `max_iter` or the tolerance. Labels are numbered densely for the fit.
     """
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()  # K rows
     labels, n = [r[label] for r in counts], sum(r["n"] for r in counts)
@@ -65,7 +66,7 @@ def fit_head(train: DataFrame, c: float, label: str = "label", max_iter: int = M
         max(1, ceil(n / ROWS_PER_TASK)))
     fitter = LogisticRegression(
         featuresCol="features", labelCol="_y", family="multinomial", regParam=1.0 / (c * n),
-        elasticNetParam=0.0, standardization=False, maxIter=max_iter)
+        elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOLERANCE)
     return Head(fitter.fit(rows), tuple(labels), c)
 
 

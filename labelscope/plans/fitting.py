@@ -17,39 +17,41 @@ from labelscope.plans.inputs import split_documents
 from labelscope.plans.registry import query
 from labelscope.plans.scoring import CURVE_CTES, _single_runs
 from labelscope.session import scratch_dir
+from labelscope.sources.store import stack_cells
 
 N_LANGS = 4
 VAL_ROWS = 60
-ITERATIONS = 100  # these fits settle well before the limit
+FEATURES = 1 << 14
 
 
 def _prepared(spark, d):
-    """(pool, val, test) with features; the vectoriser sees the pool only. Features are written
-    once as a table, since every fit and every prediction reads them."""
+    """(pool, val, test) with features; the vectoriser sees the pool only. Splits and features
+    are written once as tables, since every fit and every prediction reads them."""
     test, rest = split_documents(spark, d)
     test, rest = (t.select("doc_id", "label", "text") for t in (test, rest))
     val, pool = sp.carve_by_text(sp.drop_leaked(rest, test), VAL_ROWS, "label", "doc_id", 42)
-    fitted = fe.fit_tfidf(pool, "doc_id")
     path = scratch_dir(spark, "features")
-    out = []
-    for name, part in (("pool", pool), ("val", val), ("test", test)):
-        vectors = he.feature_vectors(fe.tfidf_weights(fitted, part, "doc_id"), "doc_id")
-        part.select("doc_id", "label").join(vectors, "doc_id").write.parquet(f"{path}/{name}")
-        out.append(spark.read.parquet(f"{path}/{name}"))
-    return out
+    parts = {"pool": pool, "val": val, "test": test}
+    stack_cells([t.withColumn("split", F.lit(s)) for s, t in parts.items()]).write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    fitted = fe.fit_tfidf(rows.filter("split = 'pool'"), "doc_id")
+    vectors = he.feature_vectors(fe.tfidf_weights(fitted, rows, "doc_id"), "doc_id", FEATURES)
+    keyed = rows.select("doc_id", "label", "split").join(vectors, "doc_id")
+    keyed.write.partitionBy("split").parquet(f"{path}/features")
+    return [spark.read.parquet(f"{path}/features").filter(F.col("split") == s).drop("split") for s in parts]
 
 
 @query("m1_logistic_head")
 def logistic_head(spark, d):
     pool, _, test = _prepared(spark, d)
-    head = he.fit_head(pool, 10.0, max_iter=ITERATIONS)
+    head = he.fit_head(pool, 10.0)
     return he.predict(head, test, N_LANGS).select("doc_id", "label", "pred")
 
 
 @query("m2_select_c")
 def select_c(spark, d):
     pool, val, test = _prepared(spark, d)
-    head, _ = he.select_head(pool, val, N_LANGS, max_iter=ITERATIONS)
+    head, _ = he.select_head(pool, val, N_LANGS)
     scored = m.scores(m.confusion(he.predict(head, test, N_LANGS), "label", "pred"), N_LANGS)
     return scored.withColumn("c", F.lit(head.c))
 
@@ -72,7 +74,7 @@ def _swept(spark, d):
     def write(probs, n, s):
         probs.write.mode("overwrite").parquet(f"{path}/training_size={n}/seed={s}")
 
-    records = he.sweep(grid, cells, val, test, N_LANGS, write, key="doc_id", c_grid=(1.0, 100.0), max_iter=ITERATIONS)
+    records = he.sweep(grid, cells, val, test, N_LANGS, write, key="doc_id", c_grid=(1.0, 100.0))
     probs = spark.read.parquet(path)
     return records, probs
 
@@ -94,7 +96,7 @@ def budget_sweep(spark, d):
 def full_simplex(spark, d):
     """Trained without one class: its probability is 0 in every row and each row sums to 1."""
     pool, _, test = _prepared(spark, d)
-    head = he.fit_head(pool.filter("label <> 2"), 1.0, max_iter=ITERATIONS)
+    head = he.fit_head(pool.filter("label <> 2"), 1.0)
     total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
     return head.probabilities(test, N_LANGS).groupBy("label").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -106,6 +108,6 @@ def full_simplex(spark, d):
 def batch_inference(spark, d):
     """A fitted head over every document; the bench turns its time into rows per second."""
     pool, val, test = _prepared(spark, d)
-    head = he.fit_head(pool, 10.0, max_iter=ITERATIONS)
+    head = he.fit_head(pool, 10.0)
     rows = pool.unionByName(val).unionByName(test)
     return he.predict(head, rows, N_LANGS).groupBy("pred").agg(F.count(F.lit(1)).alias("n_rows"))

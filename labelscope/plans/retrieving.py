@@ -82,9 +82,10 @@ def transform_unseen(spark, d):
 SELECT doc_id, n_grams, (SELECT count(DISTINCT text) FROM documents) AS n_encoded FROM c""")
 def encode_once(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    encode = lambda unique: unique.select("text_id", F.size(char_ngrams("text", 3, 5)).cast("bigint").alias("n_grams"))
+    encode = lambda unique: fe.term_counts(unique, "text_id", "text", 3, 5).groupBy("text_id").agg(
+        F.sum("tf").alias("n_grams"))
     features, references = fe.encode_once(docs, "doc_id", "text", encode)
-    encoded = features.agg(F.count(F.lit(1)).alias("n_encoded"), F.lit(1).alias("_one"))
+    encoded = references.agg(F.countDistinct("text_id").alias("n_encoded")).withColumn("_one", F.lit(1))
     joined = references.join(features, "text_id").withColumn("_one", F.lit(1))
     return joined.join(F.broadcast(encoded), "_one").select("doc_id", "n_grams", "n_encoded")
 
