@@ -79,20 +79,25 @@ def multiset_votes(
     weights = np.array([times for _, times, _ in multisets], dtype=float)
     n_seeds = weights.shape[1]
 
-    @F.pandas_udf("array<array<bigint>>")
+    @F.pandas_udf("array<int>")
     def vote_all(flat: pd.Series) -> pd.Series:
         out = []
         for start in range(0, len(flat), 256):  # bounds the product below
             v = np.stack(flat.iloc[start : start + 256].to_numpy())
             v = v.reshape(len(v), -1, n_seeds, n_classes)
-            out.extend(np.einsum("ms,rbsk->rmbk", weights, v).argmax(axis=3))
-        return pd.Series([[list(b) for b in m] for m in out], index=flat.index)
+            best = np.einsum("ms,rbsk->rmbk", weights, v).argmax(axis=3)
+            out.extend(best.reshape(len(v), -1).astype(np.int32))
+        return pd.Series(out, index=flat.index)
 
     order = F.sort_array(F.collect_list(F.struct("training_size", "seed", value)))
     gathered = probs.groupBy(*keys).agg(
         F.flatten(F.transform(order, lambda s: s[value])).alias("_v"),
         *[F.first(c).alias(c) for c in carry],
     )
-    voted = gathered.select(*keys, *carry, F.posexplode(vote_all("_v")).alias("_m", "preds"))
+    voted = gathered.select(*keys, *carry, vote_all("_v").alias("_p"))
+    per_set = F.expr(f"size(_p) div {len(ids)}").cast("int")
     numbers = F.array(*[F.lit(i) for i in ids])
-    return voted.select(*keys, *carry, F.get(numbers, F.col("_m")).alias("multiset"), "preds")
+    each = voted.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(ids) - 1))).alias("_m"))
+    return each.select(
+        *keys, *carry, F.get(numbers, F.col("_m")).alias("multiset"),
+        F.slice("_p", F.col("_m") * per_set + 1, per_set).alias("preds"))

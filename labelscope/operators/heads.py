@@ -88,11 +88,16 @@ def select_head(
     max_iter: int = MAX_ITER, label: str = "label",
 ) -> tuple[Head, dict[float, float]]:
     """The head whose validation macro-F1 wins, and the score of every setting."""
-    heads, scores = {}, {}
-    for c in grid:
-        heads[c] = fit_head(train, c, label, max_iter)
-        cells = confusion(predict(heads[c], val, n_classes), label, "pred")
-        scores[c] = macro_f1(cells, n_classes).first()["macro_f1"]
+
+    def attempt(c: float) -> tuple[Head, float]:
+        head = fit_head(train, c, label, max_iter)
+        cells = confusion(predict(head, val, n_classes), label, "pred")
+        return head, macro_f1(cells, n_classes).first()["macro_f1"]
+
+    # An iteration is a short job, so the settings are tried side by side.
+    with ThreadPoolExecutor(max_workers=len(grid)) as pool:
+        tried = dict(zip(grid, pool.map(attempt, grid)))
+    heads, scores = {c: h for c, (h, _) in tried.items()}, {c: s for c, (_, s) in tried.items()}
     ceiling = max(scores.values())
     return heads[min(c for c, v in scores.items() if v >= ceiling - tolerance)], scores
 

@@ -3,8 +3,9 @@
 Scoring every query against every pool text is a sparse matrix product. It is computed in
 blocks: pool and queries are hashed into blocks of bounded size, each pair of blocks meets in
 one task, and the task returns k rows per query. Nothing per pair or per shared term is ever
-shuffled, no text or term is left out, and a term in every text costs no more than its own
-multiplications. Data moved is queries x pool blocks + pool x query blocks.
+shuffled and no text or term is left out. Inside a task, terms that many texts share form a
+dense matrix and are multiplied as one; the long tail is summed from posting lists. Data moved
+is queries x pool blocks + pool x query blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from labelscope.operators.features import Tfidf, fit_tfidf, tfidf_weights
 
 BLOCK_TERMS = 16_000_000  # n-grams per block, repeats included, hence an upper bound
+DENSE_CELLS = 16_000_000  # doubles in a block's matrix of common terms (128 MB)
+COMMON = 0.02  # share of a block's texts above which a term goes into that matrix
+QUERY_ROWS = 128  # queries multiplied at a time
 DIGITS = 8  # similarities are ranked at this precision, so copies tie exactly
 
 
@@ -42,7 +46,17 @@ def _score_blocks(k: int):
         order_of = np.argsort(np.argsort(np.asarray(names.to_pylist()), kind="stable"))
         term = pc.index_in(pool["term"], terms).to_numpy()
         by_term = np.argsort(term, kind="stable")
-        doc, weight = doc[by_term], pool["w"].to_numpy()[by_term]
+        term, doc, weight = term[by_term], doc[by_term], pool["w"].to_numpy()[by_term]
+        count = np.bincount(term, minlength=len(terms))
+
+        hot = np.argsort(-count, kind="stable")[: DENSE_CELLS // len(names)]
+        hot = hot[count[hot] > max(COMMON * len(names), 1)]
+        column = np.full(len(terms), -1)
+        column[hot] = np.arange(len(hot))
+        dense = np.zeros((len(hot), len(names)))
+        is_hot = column[term] >= 0
+        dense[column[term[is_hot]], doc[is_hot]] = weight[is_hot]
+        term, doc, weight = term[~is_hot], doc[~is_hot], weight[~is_hot]
         count = np.bincount(term, minlength=len(terms))
         start = np.concatenate([[0], np.cumsum(count)[:-1]])
 
@@ -51,23 +65,33 @@ def _score_blocks(k: int):
         asked = queries["id"].combine_chunks().dictionary_encode()
         owner = asked.indices.to_numpy()
         by_query = np.argsort(owner, kind="stable")
-        t, w = queries["t"].to_numpy()[by_query], queries["w"].to_numpy()[by_query]
-        ends = np.cumsum(np.bincount(owner, minlength=len(asked.dictionary)))
-        found_q, found_p, found_s, at = [], [], [], 0
-        for i, end in enumerate(ends):
-            tt, ww, at = t[at:end], w[at:end], end
-            n = count[tt]
-            shift = np.repeat(start[tt] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            rows = shift + np.arange(n.sum())
-            sims = np.round(np.bincount(doc[rows], np.repeat(ww, n) * weight[rows], len(names)), DIGITS)
-            candidates = np.flatnonzero(sims > 0)
-            if len(candidates) > k:  # everything at least as near as the k-th, ties included
-                edge = -np.partition(-sims[candidates], k - 1)[k - 1]
-                candidates = candidates[sims[candidates] >= edge]
-            best = candidates[np.lexsort((order_of[candidates], -sims[candidates]))][:k]
-            found_q.append(np.full(len(best), i))
-            found_p.append(best)
-            found_s.append(sims[best])
+        owner, t, w = owner[by_query], queries["t"].to_numpy()[by_query], queries["w"].to_numpy()[by_query]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(asked.dictionary)))])
+        found_q, found_p, found_s = [], [], []
+        for first in range(0, len(ends) - 1, QUERY_ROWS):
+            last = min(first + QUERY_ROWS, len(ends) - 1)
+            part = slice(ends[first], ends[last])
+            in_dense = column[t[part]] >= 0
+            left = np.zeros((last - first, len(hot)))
+            left[owner[part][in_dense] - first, column[t[part][in_dense]]] = w[part][in_dense]
+            block = left @ dense
+            for i in range(first, last):
+                tt, ww = t[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]
+                rare = column[tt] < 0
+                tt, ww = tt[rare], ww[rare]
+                n = count[tt]
+                shift = np.repeat(start[tt] - np.concatenate([[0], np.cumsum(n)])[:-1], n)
+                rows = shift + np.arange(n.sum())
+                tail = np.bincount(doc[rows], np.repeat(ww, n) * weight[rows], len(names))
+                sims = np.round(block[i - first] + tail, DIGITS)
+                candidates = np.flatnonzero(sims > 0)
+                if len(candidates) > k:  # everything at least as near as the k-th, ties included
+                    edge = -np.partition(-sims[candidates], k - 1)[k - 1]
+                    candidates = candidates[sims[candidates] >= edge]
+                best = candidates[np.lexsort((order_of[candidates], -sims[candidates]))][:k]
+                found_q.append(np.full(len(best), i))
+                found_p.append(best)
+                found_s.append(sims[best])
         return pa.table({
             "query": asked.dictionary.take(pa.array(np.concatenate(found_q))) if found_q else empty["query"],
             "pool": names.take(pa.array(np.concatenate(found_p))) if found_p else empty["pool"],
