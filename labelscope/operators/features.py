@@ -14,7 +14,10 @@ from labelscope.session import scratch_dir
 
 @dataclass(frozen=True)
 class Tfidf:
-    """A fitted vocabulary: `idf` holds `term, df, idf`; the rest are the settings."""
+    """A fitted vocabulary: `idf` holds `term, df, idf, term_id`; the rest are the settings.
+
+    `term_id` is unique but not dense. It is fixed by being written with the table.
+    """
 
     idf: DataFrame
     low: int
@@ -61,12 +64,14 @@ def fit_tfidf(
     idf = df.filter(F.col("df") >= min_df).withColumn(
         "idf", F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
     path = path or scratch_dir(pool.sparkSession, "vocabulary")
-    idf.write.mode("overwrite").parquet(path)
+    idf.withColumn("term_id", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
     return Tfidf(pool.sparkSession.read.parquet(path), low, high, sublinear)
 
 
-def tfidf_weights(fitted: Tfidf, df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """`key, term, weight`, L2-normalised per text. Terms outside the vocabulary drop out, and
+def tfidf_weights(
+    fitted: Tfidf, df: DataFrame, key: str, text: str = "text", name: str = "term"
+) -> DataFrame:
+    """`key, <name>, weight`, L2-normalised per text, where `name` is `term` or `term_id`. Terms outside the vocabulary drop out, and
     so does a text with no known term.
 
     The join may hash, sort or broadcast as its size allows; a term most texts contain meets
@@ -74,9 +79,10 @@ def tfidf_weights(fitted: Tfidf, df: DataFrame, key: str, text: str = "text") ->
     """
     tf = term_counts(df, key, text, fitted.low, fitted.high)
     scale = 1 + F.log("tf") if fitted.sublinear else F.col("tf")
-    raw = tf.join(fitted.idf.select("term", "idf"), "term").select(key, "term", (scale * F.col("idf")).alias("w"))
+    known = tf.join(fitted.idf.select("term", "term_id", "idf"), "term")
+    raw = known.select(key, name, (scale * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
+    return raw.select(key, name, (F.col("w") / norm).alias("weight"))
 
 
 def encode_once(

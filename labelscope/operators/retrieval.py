@@ -22,7 +22,7 @@ from labelscope.operators.features import Tfidf, fit_tfidf, tfidf_weights
 
 BLOCK_TERMS = 16_000_000  # n-grams per block, repeats included, hence an upper bound
 DENSE_CELLS = 16_000_000  # doubles in a block's matrix of common terms (128 MB)
-COMMON = 0.02  # share of a block's texts above which a term goes into that matrix
+COMMON = 0.15  # share of a block's texts above which a term goes into that matrix
 QUERY_ROWS = 128  # queries multiplied at a time
 DIGITS = 8  # similarities are ranked at this precision, so copies tie exactly
 
@@ -36,17 +36,23 @@ def block_counts(pool: DataFrame, queries: DataFrame, text: str, sizes: int, tas
 
 
 def _score_blocks(k: int):
+    def flat(table: pa.Table):
+        """ids, and for each of their terms: row, term id, weight."""
+        lists = table["terms"].combine_chunks()
+        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        weights = table["weights"].combine_chunks().flatten().to_numpy()
+        return table["id"].combine_chunks(), owner, lists.flatten(), weights
+
     def score(queries: pa.Table, pool: pa.Table) -> pa.Table:
         empty = pa.table({"query": queries["id"][:0], "pool": pool["id"][:0], "sim": pa.array([], pa.float64())})
         if not queries.num_rows or not pool.num_rows:
             return empty
-        terms = pc.unique(pool["term"])
-        docs = pool["id"].combine_chunks().dictionary_encode()
-        names, doc = docs.dictionary, docs.indices.to_numpy()
+        names, doc, pool_terms, weight = flat(pool)
         order_of = np.argsort(np.argsort(np.asarray(names.to_pylist()), kind="stable"))
-        term = pc.index_in(pool["term"], terms).to_numpy()
+        terms = pc.unique(pool_terms)
+        term = pc.index_in(pool_terms, terms).to_numpy()
         by_term = np.argsort(term, kind="stable")
-        term, doc, weight = term[by_term], doc[by_term], pool["w"].to_numpy()[by_term]
+        term, doc, weight = term[by_term], doc[by_term], weight[by_term]
         count = np.bincount(term, minlength=len(terms))
 
         hot = np.argsort(-count, kind="stable")[: DENSE_CELLS // len(names)]
@@ -60,13 +66,10 @@ def _score_blocks(k: int):
         count = np.bincount(term, minlength=len(terms))
         start = np.concatenate([[0], np.cumsum(count)[:-1]])
 
-        known = pc.index_in(queries["term"], terms)
-        queries = queries.append_column("t", known).filter(pc.is_valid(known))
-        asked = queries["id"].combine_chunks().dictionary_encode()
-        owner = asked.indices.to_numpy()
-        by_query = np.argsort(owner, kind="stable")
-        owner, t, w = owner[by_query], queries["t"].to_numpy()[by_query], queries["w"].to_numpy()[by_query]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(asked.dictionary)))])
+        asked, owner, query_terms, w = flat(queries)
+        t = pc.index_in(query_terms, terms).fill_null(-1).to_numpy()
+        owner, t, w = owner[t >= 0], t[t >= 0], w[t >= 0]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(asked)))])
         found_q, found_p, found_s = [], [], []
         for first in range(0, len(ends) - 1, QUERY_ROWS):
             last = min(first + QUERY_ROWS, len(ends) - 1)
@@ -93,7 +96,7 @@ def _score_blocks(k: int):
                 found_p.append(best)
                 found_s.append(sims[best])
         return pa.table({
-            "query": asked.dictionary.take(pa.array(np.concatenate(found_q))) if found_q else empty["query"],
+            "query": asked.take(pa.array(np.concatenate(found_q))) if found_q else empty["query"],
             "pool": names.take(pa.array(np.concatenate(found_p))) if found_p else empty["pool"],
             "sim": pa.array(np.concatenate(found_s)) if found_s else empty["sim"],
         })
@@ -105,16 +108,22 @@ def top_k(
     query_weights: DataFrame, pool_weights: DataFrame, key: str, k: int, n_pool: int, n_query: int
 ) -> DataFrame:
     """`query, pool, sim, rank`: the k pool texts most similar to each query that share a term
-    with it. Ties go to the smaller pool key."""
+    with it. Ties go to the smaller pool key. Weights are `key, term_id, weight`."""
     if k < 1:
         raise ValueError("k must be >= 1")
     key_type = dict(pool_weights.dtypes)[key]
     block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    columns = (F.col(key).alias("id"), "term", F.col("weight").alias("w"))
-    pool = pool_weights.select(*columns, block(n_pool).alias("pb")).withColumn("qb", copies(n_query))
-    queries = query_weights.select(*columns, block(n_query).alias("qb")).withColumn("pb", copies(n_pool))
-    drop = lambda t: t.select(["id", "term", "w"])
+
+    def vectors(weights: DataFrame) -> DataFrame:
+        # One row per text with its own terms; the weights are already together by key.
+        pairs = weights.groupBy(key).agg(F.collect_list(F.struct("term_id", "weight")).alias("_s"))
+        return pairs.select(F.col(key), F.col("_s.term_id").alias("terms"), F.col("_s.weight").alias("weights"))
+
+    columns = (F.col(key).alias("id"), "terms", "weights")
+    pool = vectors(pool_weights).select(*columns, block(n_pool).alias("pb")).withColumn("qb", copies(n_query))
+    queries = vectors(query_weights).select(*columns, block(n_query).alias("qb")).withColumn("pb", copies(n_pool))
+    drop = lambda t: t.select(["id", "terms", "weights"])
     score = _score_blocks(k)
     near = queries.groupBy("pb", "qb").cogroup(pool.groupBy("pb", "qb")).applyInArrow(
         lambda q, p: score(drop(q), drop(p)), f"query {key_type}, pool {key_type}, sim double")
@@ -130,7 +139,8 @@ def retrieve(
     model = fitted or fit_tfidf(pool, key, text, low, high, min_df, sublinear=False)
     tasks = int(pool.sparkSession.sparkContext.defaultParallelism)
     n_pool, n_query = block_counts(pool, queries, text, model.high - model.low + 1, tasks)
-    return top_k(tfidf_weights(model, queries, key, text), tfidf_weights(model, pool, key, text), key, k, n_pool, n_query)
+    weights = [tfidf_weights(model, t, key, text, "term_id") for t in (queries, pool)]
+    return top_k(*weights, key, k, n_pool, n_query)
 
 
 def demonstrations(neighbours: DataFrame, pool: DataFrame, key: str, text: str = "text", intent: str = "intent") -> DataFrame:

@@ -55,7 +55,7 @@ def ngrams_per_text(spark, d):
 SELECT term, df, round(idf, 6) AS idf FROM idf""")
 def idf(spark, d):
     pool, _ = split_documents(spark, d)
-    return fe.fit_tfidf(pool, "doc_id").idf.withColumn("idf", F.round("idf", 6))
+    return fe.fit_tfidf(pool, "doc_id").idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("t2_tfidf", f"""WITH {SIDES_SQL}, {terms_sql('t', 'labelled', 'doc_id', 2, 5)}, {idf_sql('idf', 't', 'labelled')},
