@@ -29,7 +29,7 @@ def exact_percentiles(
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), ACCURACY).alias("_e"),
         F.min("_v").alias("min"), F.max("_v").alias("max"), F.count(F.lit(1)).alias("n"),
-    )
+    ).filter("n > 0")
     edge = lambda outer, i, end: F.when(
         F.lit(outer) | (F.col("n") <= SMALL), F.lit(float(end))).otherwise(F.col("_e")[i])
     wanted = F.array(*[
