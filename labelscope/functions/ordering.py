@@ -3,7 +3,7 @@ same order on any engine, with any partitioning."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ def rank_in_group(
     seed: int | Column,
     out: str = "rank",
     limit: int | None = None,
-    limits: DataFrame | None = None,
+    limits: Callable[[DataFrame], DataFrame] | None = None,
     n_groups: int | None = None,
     digits: int = 4,
 ) -> DataFrame:
@@ -42,23 +42,21 @@ def rank_in_group(
     the data, so a group holding a third of all rows still spreads evenly. Slice counts give
     each slice its first rank; rows are numbered inside their slice only.
 
-    `limit` (or `limits`, a table `group columns, _limit`) keeps ranks up to a bound. Slices
-    that start beyond it drop out in the join, before any row is shuffled. Group columns must
-    not be null.
+    `limit` keeps ranks up to a bound; `limits` makes a table `group columns, _limit` from the
+    group sizes (`group columns, c`), which come from the slice counts without another scan.
+    Slices that start beyond the limit drop out in the join, before any row is shuffled. Group
+    columns must not be null.
     """
     group = list(group)
     hashed = df.withColumn("_h", order_hash(seed, key)).withColumn(
         "_slice", F.substring("_h", 1, digits)
     )
     by_group = Window.partitionBy(*group).orderBy("_slice")
-    starts = (
-        hashed.groupBy(*group, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.sum("_n").over(by_group) - F.col("_n"))
-        .drop("_n")
-    )
+    slices = hashed.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    starts = slices.withColumn("_start", F.sum("_n").over(by_group) - F.col("_n")).drop("_n")
     if limits is not None:
-        starts = starts.join(limits.select(*group, "_limit"), group)
+        sizes = slices.groupBy(*group).agg(F.sum("_n").alias("c"))
+        starts = starts.join(limits(sizes).select(*group, "_limit"), group)
     elif limit is not None:
         starts = starts.withColumn("_limit", F.lit(limit).cast("bigint"))
     if "_limit" in starts.columns:

@@ -23,29 +23,41 @@ def confusion(df: DataFrame, y: str, pred: str, keys: Sequence[str] = ()) -> Dat
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_counts(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """`keys, label, tp, predicted, true` for the classes that occur (sentinel left out)."""
+def _class_rows(cells: DataFrame, keys: Sequence[str] = (), kept: Column | None = None) -> DataFrame:
+    """`keys, label, tp, predicted, true[, predicted_kept]` per class that occurs, the sentinel
+    included. `predicted_kept` counts predictions on rows whose true class passes `kept`."""
     hit = F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(F.lit(0))
     zero = F.lit(0).cast("bigint")
+    some = F.when(kept, F.col("n")).otherwise(zero) if kept is not None else zero
     sides = F.array(
-        F.struct(F.col("y").alias("label"), hit.alias("tp"), zero.alias("predicted"), F.col("n").alias("true")),
-        F.struct(F.col("pred").alias("label"), zero.alias("tp"), F.col("n").alias("predicted"), zero.alias("true")),
-    )
-    return (
-        cells.select(*keys, F.inline(sides))
-        .filter(F.col("label") > MISSING)
-        .groupBy(*keys, "label")
-        .agg(F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"), F.sum("true").alias("true"))
+        F.struct(F.col("y").alias("label"), hit.alias("tp"), zero.alias("predicted"),
+                 F.col("n").alias("true"), zero.alias("predicted_kept")),
+        F.struct(F.col("pred").alias("label"), zero.alias("tp"), F.col("n").alias("predicted"),
+                 zero.alias("true"), some.alias("predicted_kept")),
     )
+    sums = ["tp", "predicted", "true"] + (["predicted_kept"] if kept is not None else [])
+    return cells.select(*keys, F.inline(sides)).groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def class_counts(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """`keys, label, tp, predicted, true` for the classes that occur (sentinel left out)."""
+    return _class_rows(cells, keys).filter(F.col("label") > MISSING)
 
 
 def per_class(cells: DataFrame, n_classes: int, keys: Sequence[str] = ()) -> DataFrame:
-    """`keys, label, tp, predicted, true, f1` for every class of [0, K), absent ones at 0."""
-    counts = class_counts(cells, keys)
-    labels = cells.select(*keys).distinct() if keys else cells.agg(F.lit(1).alias(ONE)).select()
-    grid = labels.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("label"))
-    full = grid.withColumn("label", F.col("label").cast("bigint")).join(counts, [*keys, "label"], "left")
-    return full.fillna(0, ["tp", "predicted", "true"]).withColumn("f1", f1("tp", "predicted", "true"))
+    """`keys, label, tp, predicted, true, f1` for every class of [0, K), absent ones at 0.
+
+    A run's classes are gathered into one map of at most K entries and read back for every
+    label, so the cells are computed once.
+    """
+    entry = F.struct("label", F.struct("tp", "predicted", "true"))
+    found = class_counts(cells, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
+    labels = F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("label")
+    each = found.select("*", labels).withColumn("label", F.col("label").cast("bigint"))
+    stats = F.try_element_at("_m", F.col("label"))
+    return each.select(
+        *keys, "label", *[F.coalesce(stats[c], F.lit(0)).alias(c) for c in ("tp", "predicted", "true")]
+    ).withColumn("f1", f1("tp", "predicted", "true"))
 
 
 def macro_f1(
@@ -63,21 +75,20 @@ def macro_f1(
 
 def scores(cells: DataFrame, n_classes: int | None, keys: Sequence[str] = ()) -> DataFrame:
     """Accuracy, macro and weighted F1, missing predictions and rows, one row per run."""
-    by_class = class_counts(cells, keys).withColumn("f1", f1("tp", "predicted", "true"))
+    rows = _class_rows(cells, keys).withColumn("f1", f1("tp", "predicted", "true"))
+    real = F.when(F.col("label") > MISSING, F.col("f1"))
     if n_classes is None:
-        macro = F.avg("f1")
+        macro = F.avg(real)
     else:
-        macro = F.sum(F.when(F.col("label") < n_classes, F.col("f1"))) / n_classes
-    f1s = by_class.groupBy(*keys).agg(
+        macro = F.sum(F.when(F.col("label") < n_classes, real)) / n_classes
+    missing = F.sum(F.when(F.col("label") == MISSING, F.col("predicted")).otherwise(F.lit(0)))
+    return rows.groupBy(*keys).agg(
         F.round(F.sum("tp") / F.sum("true"), 6).alias("accuracy"),
         F.round(macro, 6).alias("macro_f1"),
-        F.round(F.sum(F.col("f1") * F.col("true")) / F.sum("true"), 6).alias("weighted_f1"),
+        F.round(F.sum(real * F.col("true")) / F.sum("true"), 6).alias("weighted_f1"),
         F.sum("true").alias("n_rows"),
+        missing.alias("n_missing"),
     )
-    missing = cells.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(F.col("pred") == MISSING, F.col("n"))), F.lit(0)).alias("n_missing")
-    )
-    return join_runs(f1s, missing, keys)
 
 
 def join_runs(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -159,11 +170,17 @@ def overlap_verdict(overlap: DataFrame) -> DataFrame:
     )
 
 
-def class_gaps(cells_a: DataFrame, cells_b: DataFrame, n_classes: int, keys: Sequence[str] = ()) -> DataFrame:
-    """`keys, label, f1_a, f1_b`."""
-    a = per_class(cells_a, n_classes, keys).select(*keys, "label", F.col("f1").alias("f1_a"))
-    b = per_class(cells_b, n_classes, keys).select(*keys, "label", F.col("f1").alias("f1_b"))
-    return a.join(b, [*keys, "label"])
+def paired_cells(df: DataFrame, y: str, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
+    """`keys, system, y, pred, n` for systems `a` and `b`, from one pass over the rows."""
+    pairs = F.array(*[
+        F.struct(F.lit(s).alias("system"), F.col(c).cast("bigint").alias("_pred")) for s, c in (("a", a), ("b", b))])
+    return confusion(df.select(*keys, F.col(y).alias("y"), F.inline(pairs)), "y", "_pred", [*keys, "system"])
+
+
+def class_gaps(cells: DataFrame, n_classes: int, keys: Sequence[str] = ()) -> DataFrame:
+    """`keys, label, f1_a, f1_b` from paired cells."""
+    side = lambda s: F.max(F.when(F.col("system") == s, F.col("f1"))).alias(f"f1_{s}")
+    return per_class(cells, n_classes, [*keys, "system"]).groupBy(*keys, "label").agg(side("a"), side("b"))
 
 
 def jackknife(gaps: DataFrame, n_classes: int) -> DataFrame:
@@ -195,30 +212,33 @@ def kept_classes(scored: DataFrame, excluded: Sequence[int], keys: Sequence[str]
 
 
 def sensitivity(
-    cells_a: DataFrame, cells_b: DataFrame, n_classes: int, excluded: Sequence[int], keys: Sequence[str] = ()
+    cells: DataFrame, n_classes: int, excluded: Sequence[int], keys: Sequence[str] = ()
 ) -> DataFrame:
     """The gap over all classes; (A) with classes left out of the mean; (B) with their rows
-    dropped as well; and the share of the gap those classes make up."""
-    excluded = list(excluded)
+    dropped as well; and the share of the gap those classes make up. From paired cells."""
+    excluded = sorted(set(excluded))
+    rows = _class_rows(cells, [*keys, "system"], ~F.col("y").isin(excluded)).filter(F.col("label") > MISSING)
     kept = ~F.col("label").isin(excluded)
-    gap = F.avg(F.col("f1_a") - F.col("f1_b"))
-    all_rows = class_gaps(cells_a, cells_b, n_classes, keys).groupBy(*keys).agg(
-        gap.alias("gap_all"),
-        F.avg(F.when(kept, F.col("f1_a"))).alias("a_A"),
-        F.avg(F.when(kept, F.col("f1_b"))).alias("b_A"),
-    )
-    some = [c.filter(~F.col("y").isin(excluded)) for c in (cells_a, cells_b)]
-    some_rows = class_gaps(*some, n_classes, keys).filter(kept).groupBy(*keys).agg(
-        F.avg("f1_a").alias("a_B"), F.avg("f1_b").alias("b_B")
-    )
-    wide = join_runs(all_rows, some_rows, keys)
-    gap_a = F.col("a_A") - F.col("b_A")
+    n_kept = n_classes - len(excluded)
+    all_f1, kept_f1 = f1("tp", "predicted", "true"), f1("tp", "predicted_kept", "true")
+
+    def mean(system: str, score: Column, which: Column, n: int) -> Column:
+        return F.coalesce(F.sum(F.when((F.col("system") == system) & which, score)), F.lit(0.0)) / n
+
+    sides = {
+        f"{s}_{name}": mean(s, score, which, n)
+        for s in "ab"
+        for name, score, which, n in (
+            ("all", all_f1, F.lit(True), n_classes), ("A", all_f1, kept, n_kept), ("B", kept_f1, kept, n_kept))
+    }
+    wide = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in sides.items()])
+    gap_all, gap_a = F.col("a_all") - F.col("b_all"), F.col("a_A") - F.col("b_A")
     r = lambda c, name: F.round(c, 6).alias(name)
     return wide.select(
-        *keys, r(F.col("gap_all"), "gap_all"),
+        *keys, r(gap_all, "gap_all"),
         r(F.col("a_A"), "a_kept"), r(gap_a, "gap_kept"),
         r(F.col("a_B"), "a_kept_rows"), r(F.col("a_B") - F.col("b_B"), "gap_kept_rows"),
-        r(F.when(F.col("gap_all") != 0, 1 - gap_a / F.col("gap_all")), "share_of_gap"),
+        r(F.when(gap_all != 0, 1 - gap_a / gap_all), "share_of_gap"),
     )
 
 

@@ -11,46 +11,66 @@ from pyspark.sql import functions as F
 from labelscope.functions.ordering import order_hash, rank_in_group
 
 
-def class_quotas(df: DataFrame, label: str, m: int) -> DataFrame:
-    """`label, _limit`: how many of `m` rows each class gets, by largest remainder.
+def class_quotas(counts: DataFrame, label: str, sizes: Sequence[int]) -> DataFrame:
+    """`label, upto_0, upto_1, ...`: where each of several successive carves ends in a class.
 
-    One row per class, so the two windows below run over K rows. Ties go to the lower label.
+    `counts` is `label, c`, one row per class, so the windows below run over K rows. Each
+    carve splits its rows over what earlier ones left, by largest remainder; ties go to the
+    lower label. A carve larger than what is left takes all of it.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("c"))
     everything = Window.partitionBy()
-    shares = counts.withColumn("total", F.sum("c").over(everything)).select(
-        label,
-        F.expr(f"({m} * c) div total").alias("whole"),
-        F.expr(f"({m} * c) % total").alias("rest"),
-    )
-    by_rest = Window.orderBy(F.desc("rest"), label)
-    left = F.lit(m) - F.sum("whole").over(everything)
-    return shares.select(
-        label,
-        (F.col("whole") + F.when(F.row_number().over(by_rest) <= left, 1).otherwise(0))
-        .cast("bigint")
-        .alias("_limit"),
-    )
-
-
-def stratified_carve(df: DataFrame, m: int, label: str, key: str, seed: int) -> DataFrame:
-    """Exactly `m` rows (all of them if there are fewer), in proportion to the classes."""
-    picked = rank_in_group(
-        df, [label], key, seed, out="_rank", limits=class_quotas(df, label, m)
-    )
-    return picked.drop("_rank")
+    by_rest = Window.orderBy(F.desc("_rest"), label)
+    out, used = counts.withColumn("upto", F.lit(0).cast("bigint")), []
+    for i, m in enumerate(sizes):
+        left = F.col("c") - F.col("upto")
+        total = F.sum(left).over(everything)
+        shares = out.withColumn("_left", left).withColumn("_m", F.least(F.lit(m), total)).withColumn(
+            "_total", F.greatest(total, F.lit(1)))
+        shares = shares.withColumn("_whole", F.expr("(_m * _left) div _total")).withColumn(
+            "_rest", F.expr("(_m * _left) % _total"))
+        extra = F.when(
+            F.row_number().over(by_rest) <= F.col("_m") - F.sum("_whole").over(everything), 1).otherwise(0)
+        used.append(f"upto_{i}")
+        out = shares.withColumn("upto", (F.col("upto") + F.col("_whole") + extra).cast("bigint")).withColumn(
+            used[-1], F.col("upto")).select(label, "c", "upto", *used)
+    return out.select(label, *used)
 
 
 def carve_splits(
     df: DataFrame, sizes: dict[str, int], label: str, key: str, seed: int, rest: str = "pool"
-) -> dict[str, DataFrame]:
-    """Successive disjoint carves, each from what the earlier ones left; the rest is the pool."""
-    out, remaining = {}, df
-    for i, (name, m) in enumerate(sizes.items()):
-        out[name] = stratified_carve(remaining, m, label, key, seed + i)
-        remaining = remaining.join(out[name].select(key), key, "left_anti")
-    out[rest] = remaining
-    return out
+) -> DataFrame:
+    """The rows with a `split` column: successive stratified carves, and the rest as the pool.
+
+    Each carve is what a single one would take from the rows earlier ones left. One hash order
+    serves them all, so a carve is a range of ranks within each class and all of them take one
+    pass; only carved rows are shuffled.
+    """
+    upto = [f"upto_{i}" for i in range(len(sizes))]
+
+    def limits(counts: DataFrame) -> DataFrame:
+        quotas = class_quotas(counts, label, list(sizes.values()))
+        return quotas.withColumn("_limit", F.col(upto[-1]))
+
+    carved = _ranked_carve(df, label, key, seed, limits, upto)
+    name = F.coalesce(*[F.when(F.col("_rank") <= F.col(u), s) for u, s in zip(upto, sizes)])
+    tags = carved.select(key, name.alias("split"))
+    return df.join(tags, key, "left").withColumn("split", F.coalesce("split", F.lit(rest))).select(
+        *df.columns, "split")
+
+
+def _ranked_carve(df: DataFrame, label: str, key: str, seed: int, limits, upto: Sequence[str]) -> DataFrame:
+    """Rows up to their class limit with `_rank` and the class's carve ends."""
+    ranked = rank_in_group(df.select(key, label), [label], key, seed, out="_rank", limits=limits)
+    if len(upto) == 1:  # the limit itself is the only end
+        return ranked.withColumn(upto[0], F.col("_rank"))
+    ends = limits(df.groupBy(label).agg(F.count(F.lit(1)).alias("c"))).select(label, *upto)
+    return ranked.join(F.broadcast(ends), label)  # one row per class
+
+
+def stratified_carve(df: DataFrame, m: int, label: str, key: str, seed: int) -> DataFrame:
+    """Exactly `m` rows (all of them if there are fewer), in proportion to the classes."""
+    limits = lambda counts: class_quotas(counts, label, [m]).withColumnRenamed("upto_0", "_limit")
+    return rank_in_group(df, [label], key, seed, out="_rank", limits=limits).drop("_rank")
 
 
 def round_robin(

@@ -226,16 +226,20 @@ gaps AS (SELECT label, x.f1 AS fa, z.f1 AS fb FROM f1_a x JOIN f1_b z USING (lab
 jack AS (SELECT g.label, round((SELECT sum(fa - fb) FROM gaps h WHERE h.label <> g.label) / 4, 6) AS gap_without FROM gaps g)"""
 
 
+def _gaps(spark, d):
+    return m.class_gaps(m.paired_cells(predictions(spark, d), "y", "a", "b"), K)
+
+
 @query("e11_jackknife", f"WITH {GAPS_SQL} SELECT label, gap_without FROM jack")
 def jackknife(spark, d):
-    return m.jackknife(m.class_gaps(_cells(spark, d, "a"), _cells(spark, d, "b"), K), K)
+    return m.jackknife(_gaps(spark, d), K)
 
 
 @query("e11_jackknife_summary", f"""WITH {GAPS_SQL} SELECT (SELECT round(avg(fa - fb), 6) FROM gaps) AS full_gap,
   min(gap_without) AS min_gap, max(gap_without) AS max_gap,
   string_agg(CAST(label AS VARCHAR), ',' ORDER BY gap_without, label) AS top_shrinkers FROM jack""")
 def jackknife_summary(spark, d):
-    gaps = m.class_gaps(_cells(spark, d, "a"), _cells(spark, d, "b"), K)
+    gaps = _gaps(spark, d)
     return m.jackknife_summary(m.jackknife(gaps, K), gaps)
 
 
@@ -254,11 +258,7 @@ SELECT training_size, round(gap_all, 6) AS gap_all, round(aa, 6) AS a_kept, roun
 FROM w JOIN v USING (training_size)""")
 def gap_sensitivity(spark, d):
     voted = en.soft_vote(votes(spark, d), K, carry=("y", "b"))
-    keys = ["training_size"]
-    # One vote serves both sides: collapse to joint cells first, then project each system.
-    joint = voted.groupBy(*keys, "y", or_missing("b").alias("b"), "pred").agg(F.count(F.lit(1)).alias("c"))
-    side = lambda col: joint.groupBy(*keys, "y", F.col(col).cast("bigint").alias("pred")).agg(F.sum("c").alias("n"))
-    return m.sensitivity(side("pred"), side("b"), K, EXCLUDED, keys)
+    return m.sensitivity(m.paired_cells(voted, "y", "pred", "b", ["training_size"]), K, EXCLUDED, ["training_size"])
 
 
 @query("e13_seeds_beating", f"""WITH {CURVE_CTES} SELECT s.training_size, max(base.macro_f1) AS baseline, max(e.macro_f1) AS ensemble,

@@ -167,12 +167,13 @@ def stratified_carve(spark, d):
 
 
 @query("d2_two_carves", f"""WITH {DOCS_SQL}, {carve_sql('val', 'docs', 80, 42)},
-  left1 AS (SELECT * FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM val)), {carve_sql('dev', 'left1', 50, 43)}
+  left1 AS (SELECT * FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM val)), {carve_sql('dev', 'left1', 50, 42)}
 SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM val) THEN 'val'
   WHEN doc_id IN (SELECT doc_id FROM dev) THEN 'dev' ELSE 'pool' END AS split FROM docs""")
 def two_carves(spark, d):
-    parts = sp.carve_splits(_docs(spark, d).drop("lang"), {"val": 80, "dev": 50}, "label", "doc_id", 42)
-    return st.stack_cells([t.select("doc_id", F.lit(s).alias("split")) for s, t in parts.items()])
+    # Both sides draw the second carve with the seed of the first: one order serves both.
+    rows = _docs(spark, d).drop("lang")
+    return sp.carve_splits(rows, {"val": 80, "dev": 50}, "label", "doc_id", 42).select("doc_id", "split")
 
 
 @query("d3_round_robin", f"WITH {DOCS_SQL}, {order_sql(repr('7'))} SELECT doc_id, label, pos FROM placed")
