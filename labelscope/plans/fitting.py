@@ -13,7 +13,7 @@ from labelscope.operators import features as fe
 from labelscope.operators import heads as he
 from labelscope.operators import metrics as m
 from labelscope.operators import splits as sp
-from labelscope.plans.inputs import split_documents
+from labelscope.plans.inputs import SIDES_SQL, split_documents
 from labelscope.plans.registry import query
 from labelscope.plans.scoring import CURVE_CTES, _single_runs
 from labelscope.session import scratch_dir
@@ -92,7 +92,8 @@ def budget_sweep(spark, d):
     return runs.join(single, keys).join(ensemble, "training_size")
 
 
-@query("m4_full_simplex")
+@query("m4_full_simplex", f"""WITH {SIDES_SQL} SELECT label, count(*) AS n_rows, 0.0::DOUBLE AS absent_class,
+  1.0::DOUBLE AS min_total, 1.0::DOUBLE AS max_total FROM labelled GROUP BY 1""")
 def full_simplex(spark, d):
     """Trained without one class: its probability is 0 in every row and each row sums to 1."""
     pool, _, test = _prepared(spark, d)

@@ -9,8 +9,9 @@ from labelscope.operators import features as fe
 from labelscope.operators import metrics as m
 from labelscope.operators import retrieval as rt
 from labelscope.operators.calls import fixed_demonstrations, user_text
-from labelscope.plans.inputs import DOCS_SQL, SIDES_SQL, documents, split_documents, table
+from labelscope.plans.inputs import DOCS_SQL, SIDES_SQL, documents, f1_sql, split_documents, table
 from labelscope.plans.registry import query
+from labelscope.plans.scoring import SCORES_SQL
 from labelscope.sources import datasets as ds
 
 
@@ -149,10 +150,13 @@ def masked_mean(spark, d):
     return fe.masked_mean(tokens, "label", "embedding", "kept").withColumn("value", F.round("value", 6))
 
 
-@query("t8_neighbour_vote", f"""WITH {SIDES_SQL}, {near_sql('labelled', 'unlabelled', 'doc_id')},
+VOTE_SQL = f"""{SIDES_SQL}, {near_sql('labelled', 'unlabelled', 'doc_id')},
 votes AS (SELECT query, l.label, count(*) AS n, max(sim) AS best FROM near JOIN labelled l ON l.doc_id = pool WHERE rank <= 3 GROUP BY 1, 2),
-picked AS (SELECT query, label AS pred, row_number() OVER (PARTITION BY query ORDER BY n DESC, best DESC, label) AS r FROM votes)
-SELECT query AS doc_id, u.label AS y, pred FROM picked JOIN unlabelled u ON u.doc_id = query WHERE r = 1""")
+picked AS (SELECT query, label AS pred, row_number() OVER (PARTITION BY query ORDER BY n DESC, best DESC, label) AS r FROM votes),
+voted AS (SELECT query AS doc_id, u.label AS y, pred FROM picked JOIN unlabelled u ON u.doc_id = query WHERE r = 1)"""
+
+
+@query("t8_neighbour_vote", f"WITH {VOTE_SQL} SELECT doc_id, y, pred FROM voted")
 def neighbour_vote(spark, d):
     return _voted(spark, d)
 
@@ -164,6 +168,6 @@ def _voted(spark, d):
     return voted.join(queries.select("doc_id", F.col("label").alias("y")), "doc_id").select("doc_id", "y", "pred")
 
 
-@query("t8_vote_scores")
+@query("t8_vote_scores", f"WITH {VOTE_SQL}, {f1_sql('v', 'voted', k=4)} " + SCORES_SQL.format(g="", f1="f1_v", by=""))
 def vote_scores(spark, d):
     return m.scores(m.confusion(_voted(spark, d), "y", "pred"), 4)
