@@ -26,13 +26,16 @@ FEATURES = 1 << 16
 ROWS_PER_TASK = 128  # a budget's training rows are few and wide
 
 
-def feature_vectors(weights: DataFrame, key: str, size: int = FEATURES) -> DataFrame:
-    """`key, features`: a long weight table as sparse vectors, terms hashed into `size` slots."""
+def feature_vectors(rows: DataFrame, weights: DataFrame, key: str, size: int = FEATURES) -> DataFrame:
+    """`rows` with `features`: their long weights as sparse vectors, terms hashed into `size`
+    slots. A text without a known term keeps its row and gets the zero vector."""
     to_sparse = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())
     slots = weights.groupBy(key, F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("i")).agg(
         F.sum("weight").alias("v"))
     gathered = slots.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_s"))
-    return gathered.select(key, to_sparse(F.col("_s.i"), F.col("_s.v")).alias("features"))
+    at = F.coalesce(F.col("_s.i"), F.array().cast("array<int>"))
+    values = F.coalesce(F.col("_s.v"), F.array().cast("array<double>"))
+    return rows.join(gathered, key, "left").select(*rows.columns, to_sparse(at, values).alias("features"))
 
 
 @dataclass(frozen=True)

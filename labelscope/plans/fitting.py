@@ -35,8 +35,8 @@ def _prepared(spark, d):
     stack_cells([t.withColumn("split", F.lit(s)) for s, t in parts.items()]).write.parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
     fitted = fe.fit_tfidf(rows.filter("split = 'pool'"), "doc_id")
-    vectors = he.feature_vectors(fe.tfidf_weights(fitted, rows, "doc_id"), "doc_id", FEATURES)
-    keyed = rows.select("doc_id", "label", "split").join(vectors, "doc_id")
+    weights = fe.tfidf_weights(fitted, rows, "doc_id")
+    keyed = he.feature_vectors(rows.select("doc_id", "label", "split"), weights, "doc_id", FEATURES)
     keyed.write.partitionBy("split").parquet(f"{path}/features")
     return [spark.read.parquet(f"{path}/features").filter(F.col("split") == s).drop("split") for s in parts]
 

@@ -60,7 +60,7 @@ def test_head_learns_and_absent_class_is_zero(spark):
     rows = [(i, f"{WORDS[i % 3]} please {i % 7}", i % 3 if i % 3 < 2 else 3) for i in range(90)]
     df = spark.createDataFrame(rows, "id bigint, text string, label bigint")
     model = fe.fit_tfidf(df, "id")
-    data = df.join(he.feature_vectors(fe.tfidf_weights(model, df, "id"), "id", 1024), "id").cache()
+    data = he.feature_vectors(df, fe.tfidf_weights(model, df, "id"), "id", 1024).cache()
     head, scores = he.select_head(data, data, 4, grid=(1.0, 10.0), max_iter=50)
     got = he.predict(head, data, 4).collect()
     assert all(r["pred"] == r["label"] for r in got)
@@ -72,3 +72,11 @@ def test_selection_prefers_the_more_regularised(spark):
     scores = spark.createDataFrame([(0.1, 0.5), (1.0, 0.899), (10.0, 0.9), (100.0, 0.9)], "c double, macro_f1 double")
     assert he.smallest_good_c(scores).first()["c"] == 10.0
     assert he.smallest_good_c(scores, 0.01).first()["c"] == 1.0
+
+
+def test_text_without_known_terms_keeps_its_row(spark):
+    pool = spark.createDataFrame(texts(10), "id bigint, text string")
+    unseen = spark.createDataFrame([(100, "qqqq"), (101, "refund card")], "id bigint, text string")
+    weights = fe.tfidf_weights(fe.fit_tfidf(pool, "id"), unseen, "id")
+    got = {r["id"]: r["features"].numNonzeros() for r in he.feature_vectors(unseen, weights, "id", 64).collect()}
+    assert got[100] == 0 and got[101] > 0
