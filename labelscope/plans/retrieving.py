@@ -153,7 +153,7 @@ def masked_mean(spark, d):
 VOTE_SQL = f"""{SIDES_SQL}, {near_sql('labelled', 'unlabelled', 'doc_id')},
 votes AS (SELECT query, l.label, count(*) AS n, max(sim) AS best FROM near JOIN labelled l ON l.doc_id = pool WHERE rank <= 3 GROUP BY 1, 2),
 picked AS (SELECT query, label AS pred, row_number() OVER (PARTITION BY query ORDER BY n DESC, best DESC, label) AS r FROM votes),
-voted AS (SELECT query AS doc_id, u.label AS y, pred FROM picked JOIN unlabelled u ON u.doc_id = query WHERE r = 1)"""
+voted AS (SELECT u.doc_id, u.label AS y, pred FROM unlabelled u LEFT JOIN (SELECT * FROM picked WHERE r = 1) ON u.doc_id = query)"""
 
 
 @query("t8_neighbour_vote", f"WITH {VOTE_SQL} SELECT doc_id, y, pred FROM voted")
@@ -165,7 +165,8 @@ def _voted(spark, d):
     pool, queries = split_documents(spark, d)
     near = rt.retrieve(queries.select("doc_id", "text"), pool.select("doc_id", "text"), "doc_id", 3)
     voted = rt.vote(near, pool.select("doc_id", "label"), "doc_id", "label").withColumnRenamed("query", "doc_id")
-    return voted.join(queries.select("doc_id", F.col("label").alias("y")), "doc_id").select("doc_id", "y", "pred")
+    # A query that shares no n-gram with the pool keeps its row, without a prediction.
+    return queries.select("doc_id", F.col("label").alias("y")).join(voted, "doc_id", "left")
 
 
 @query("t8_vote_scores", f"WITH {VOTE_SQL}, {f1_sql('v', 'voted', k=4)} " + SCORES_SQL.format(g="", f1="f1_v", by=""))
