@@ -69,7 +69,8 @@ def _swept(spark, d):
     pool, val, test = _prepared(spark, d)
     grid = sp.subset_grid(pool, "label", "doc_id", (24, 80), (0, 1), n_classes=N_LANGS)
     path = scratch_dir(spark, "sweep")
-    cells = [(n, s) for n in (24, 80) for s in (0, 1)]
+    # Budgets larger than the pool are not in the grid, so the cells come from it.
+    cells = sorted((r["training_size"], r["seed"]) for r in grid.select("training_size", "seed").distinct().collect())
 
     def write(probs, n, s):
         probs.write.mode("overwrite").parquet(f"{path}/training_size={n}/seed={s}")
