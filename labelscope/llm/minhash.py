@@ -13,8 +13,10 @@ The work follows the links, not the pairs of a group:
   comparison a member. Two rounds choose different pivots (smallest id, then the member that
   meets most others);
 * only buckets that still hold several components are joined with themselves, across
-  components, with the estimate inside the join condition. This is exact: every pair of a
-  bucket is either compared or already in one component.
+  components, with the estimate inside the join condition. Shingles that no other member of
+  such buckets has bound the overlap a document can reach, which rules out members that were
+  changed too much to link with anything. This is exact: every pair of a bucket is compared,
+  ruled out by that bound, or already in one component.
 
 A pair at the threshold is missed by all bands with a probability of 3e-7.
 """
@@ -36,6 +38,8 @@ SLOTS, BANDS, ROWS, BITS = 192, 38, 5, 2
 LONGS = SLOTS // 64
 #: Estimates this far below the threshold are still confirmed: five standard deviations.
 MARGIN = 0.18
+#: So many ids (16 MB) are broadcast to the text scan; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 _U = np.uint64
 _PLANES = [f"p{b}{i}" for b in range(BITS) for i in range(LONGS)]
 FEATURES = (
@@ -130,11 +134,16 @@ def _near(left: str, right: str, percent: int) -> Column:
     )
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """`doc_id, n, members` of the documents with these ids: their sorted distinct shingles."""
+    ids = kept(ids.select("doc_id").distinct(), "ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.join(wanted, "doc_id", "left_semi")
+    return kept(in_arrow(texts, _sets(size, "doc_id", "text"), "doc_id bigint, members array<bigint>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs `a, b` whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    sets = kept(in_arrow(texts, _sets(size, "doc_id", "text"), "doc_id bigint, members array<bigint>"), "sets")
     both = (
         pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a")
@@ -144,6 +153,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return both.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b").distinct()
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """`doc_id, shared`: how many of a document's shingles another document of `sets` has too."""
+    each = sets.select("doc_id", F.explode("members").alias("member"))
+    common = each.groupBy("member").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("member")
+    return each.join(common, "member").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -183,33 +199,34 @@ def near_duplicates(
         texts_of.join(texts_of.groupBy("doc_id").count().filter("count > 1"), "doc_id")
         .join(classes, ["set_a", "set_b", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     )
-    links = kept(
-        _linked(buckets.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), planes, docs, size, percent)
-        .unionByName(repeated.select("a", "b")),
-        "near-links",
-    )
+    star = _likely(buckets.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), planes, percent)
+    sets = _sets_of(docs, _ends(star), size)
+    links = kept(_confirmed(star, sets, percent).unionByName(repeated), "near-links")
     tops = components(links)
 
-    for last in (False, True):
+    open_ = kept(_unsettled(buckets, tops), "open-buckets")
+    if not open_.isEmpty():
+        sets = _sets_of(docs, open_, size)
+        weight = open_.groupBy("doc_id").agg(F.sum("c").alias("meets"))
+        best = open_.join(weight, "doc_id").groupBy("band").agg(
+            F.max_by("doc_id", F.struct("meets", F.negative("doc_id"))).alias("a"))
+        star = _likely(open_.join(best, "band").select("a", F.col("doc_id").alias("b")), planes, percent)
+        links = kept(links.unionByName(_confirmed(star, sets, percent)).distinct(), "near-links")
+        tops = components(links)
         open_ = kept(_unsettled(buckets, tops), "open-buckets")
-        if open_.isEmpty():
-            break
-        if not last:
-            weight = open_.groupBy("doc_id").agg(F.sum("c").alias("meets"))
-            best = open_.join(weight, "doc_id").groupBy("band").agg(
-                F.max_by("doc_id", F.struct("meets", F.negative("doc_id"))).alias("a"))
-            pairs = open_.join(best, "band").select("a", F.col("doc_id").alias("b"))
-            more = _linked(pairs, planes, docs, size, percent)
-        else:
-            sided = open_.join(planes, "doc_id").select("band", "doc_id", "pivot", "component", "sig")
-            x = sided.select("band", F.struct("doc_id", "pivot", "component", "sig.*").alias("x"))
-            y = sided.select("band", F.struct("doc_id", "component", "sig.*").alias("y"))
-            # Across components only; pairs with the pivot have been compared before.
-            pairs = x.join(y, (x["band"] == y["band"]) & F.expr(
-                "x.component < y.component and x.doc_id <> x.pivot and y.doc_id <> x.pivot"
-            ) & _near("x", "y", percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-            more = _confirmed(kept(pairs.distinct(), "last-pairs"), docs, size, percent)
-        links = kept(links.unionByName(more).distinct(), "near-links")
+    if not open_.isEmpty():
+        left = sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
+        able = planes.join(_shared(left), "doc_id").filter(F.col("shared") * 100 >= F.col("sig.n") * percent)
+        sided = open_.join(able, "doc_id").select("band", "doc_id", "pivot", "component", "shared", "sig.*")
+        fields = F.struct(*[c for c in sided.columns if c != "band"])
+        x, y = sided.select("band", fields.alias("x")), sided.select("band", fields.alias("y"))
+        # Across components only; pairs with the pivot have been compared before.
+        reach = F.least("x.shared", "y.shared")
+        pairs = x.join(y, (x["band"] == y["band"]) & F.expr(
+            "x.component < y.component and x.doc_id <> x.pivot and y.doc_id <> x.pivot"
+        ) & (reach * 100 >= (F.col("x.n") + F.col("y.n") - reach) * percent) & _near("x", "y", percent))
+        pairs = kept(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "last-pairs")
+        links = kept(links.unionByName(_confirmed(pairs, sets, percent)).distinct(), "near-links")
         tops = components(links)
 
     by_class = classes.join(tops.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -222,15 +239,19 @@ def near_duplicates(
     )
 
 
-def _linked(pairs: DataFrame, planes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Candidate pairs, estimated on their signatures, then confirmed on their full sets."""
-    likely = (
+def _likely(pairs: DataFrame, planes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs that pass the estimate on their signatures."""
+    found = (
         pairs.filter("a <> b").distinct()
         .join(planes.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
         .join(planes.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a")
-        .filter(_near("x", "y", percent)).select("a", "b")
+        .filter(_near("x", "y", percent)).select("a", "b").distinct()
     )
-    return _confirmed(kept(likely, "likely"), docs, size, percent)
+    return kept(found, "likely")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
 
 
 def _unsettled(buckets: DataFrame, tops: DataFrame) -> DataFrame:
