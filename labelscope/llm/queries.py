@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm import minhash, packing, secret_scan, toxicity, weak_quality
+from labelscope.llm import (
+    byte_bpe, embedding_dedup, licenses, line_quality, minhash, packing, pii, secret_scan, toxicity, weak_quality,
+)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -55,6 +57,47 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed("spans").alias("spans"), counts[3])
 
 
+@query
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_quality.line_quality(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_removed_lines", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 @query
 def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.weak_quality(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.encode_and_decode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: The query's key; users pass their own.
+PSEUDONYM_KEY = b"registered query"
+
+
+@query
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonyms(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", F.size("spans").cast("bigint").alias("n_found"), *counts, "text")
