@@ -12,11 +12,11 @@ The work follows the links, not the pairs of a group:
 * in a bucket every member is compared with one pivot; a group of near copies so costs one
   comparison a member. Two rounds choose different pivots (smallest id, then the member that
   meets most others);
-* only buckets that still hold several components are joined with themselves, across
-  components, with the estimate inside the join condition. Shingles that no other member of
-  such buckets has bound the overlap a document can reach, which rules out members that were
-  changed too much to link with anything. This is exact: every pair of a bucket is compared,
-  ruled out by that bound, or already in one component.
+* only members of buckets that still hold several components are compared further, across
+  components, in blocks of bounded size; a block pair returns the links that merge components,
+  not its pairs. Shingles that no other such member has bound the overlap a document can reach,
+  which rules out members that were changed too much to link with anything. This is exact: every
+  pair of a bucket is compared, ruled out by that bound, or already in one component.
 
 A pair at the threshold is missed by all bands with a probability of 3e-7.
 """
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ LONGS = SLOTS // 64
 MARGIN = 0.18
 #: So many ids (16 MB) are broadcast to the text scan; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+BLOCK = 256
 _U = np.uint64
 _PLANES = [f"p{b}{i}" for b in range(BITS) for i in range(LONGS)]
 FEATURES = (
@@ -160,6 +162,76 @@ def _shared(sets: DataFrame) -> DataFrame:
     return each.join(common, "member").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _across(open_: DataFrame, planes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links `a, b` that join the components of open buckets; at most one per merge and task.
+
+    Members that the bound allows a link are put together by the buckets they share, cut into
+    blocks by hash, and two blocks are compared in one task.
+    """
+    left = sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
+    able = planes.join(_shared(left), "doc_id").filter(F.col("shared") * 100 >= F.col("sig.n") * percent)
+    inside = open_.join(able.select("doc_id"), "doc_id", "left_semi")
+    first = inside.groupBy("band").agg(F.min("doc_id").alias("a"))
+    family = components(inside.join(first, "band").select("a", F.col("doc_id").alias("b")).distinct())
+    marks = open_.select("doc_id", "component").distinct()
+    members = kept(
+        able.join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+        .join(marks, "doc_id").select("family", "doc_id", "component", "shared", "sig.*"),
+        "families",
+    )
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    spread = (
+        members.join(sizes, "family").join(left.select("doc_id", "members"), "doc_id")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
+    )
+    return spread.groupBy("family", "low", "high").applyInPandas(_merge(percent), "a bigint, b bigint")
+
+
+def _merge(percent: int):
+    chance, planes = 2.0**-BITS, np.array(_PLANES).reshape(BITS, LONGS)
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("doc_id", ignore_index=True)
+        x = group[group["block"] == key[1]]
+        y = x if key[1] == key[2] else group[group["block"] == key[2]]
+        apart = np.zeros((len(x), len(y)), dtype=np.int64)
+        for i in range(LONGS):
+            differ = np.zeros((len(x), len(y)), dtype=np.int64)
+            for b in range(BITS):
+                differ |= x[planes[b, i]].to_numpy()[:, None] ^ y[planes[b, i]].to_numpy()[None, :]
+            apart += np.bitwise_count(differ.view(_U))
+        n_x, n_y = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
+        reach = np.minimum(x["shared"].to_numpy()[:, None], y["shared"].to_numpy()[None, :])
+        reach = np.minimum(reach, np.minimum(n_x, n_y))
+        likely = (1 - apart / SLOTS - chance) / (1 - chance)
+        open_ = (likely >= percent / 100 - MARGIN) & (reach * 100 >= (n_x + n_y - reach) * percent)
+        of_x, of_y = x["component"].to_numpy(), y["component"].to_numpy()
+        i, j = np.nonzero(open_ & (of_x[:, None] != of_y[None, :]))
+        order = np.argsort(-likely[i, j], kind="stable")
+        ids_x, ids_y, sets_x, sets_y = (c.to_numpy() for c in (x["doc_id"], y["doc_id"], x["members"], y["members"]))
+        above: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in above:
+                c = above[c]
+            return c
+
+        out = []
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            p, q = top(of_x[a]), top(of_y[b])
+            if p == q:
+                continue
+            both = len(np.intersect1d(sets_x[a], sets_y[b], assume_unique=True))
+            if 100 * both >= percent * (len(sets_x[a]) + len(sets_y[b]) - both):
+                above[max(p, q)] = min(p, q)
+                out.append((ids_x[a], ids_y[b]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -215,18 +287,7 @@ def near_duplicates(
         tops = components(links)
         open_ = kept(_unsettled(buckets, tops), "open-buckets")
     if not open_.isEmpty():
-        left = sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
-        able = planes.join(_shared(left), "doc_id").filter(F.col("shared") * 100 >= F.col("sig.n") * percent)
-        sided = open_.join(able, "doc_id").select("band", "doc_id", "pivot", "component", "shared", "sig.*")
-        fields = F.struct(*[c for c in sided.columns if c != "band"])
-        x, y = sided.select("band", fields.alias("x")), sided.select("band", fields.alias("y"))
-        # Across components only; pairs with the pivot have been compared before.
-        reach = F.least("x.shared", "y.shared")
-        pairs = x.join(y, (x["band"] == y["band"]) & F.expr(
-            "x.component < y.component and x.doc_id <> x.pivot and y.doc_id <> x.pivot"
-        ) & (reach * 100 >= (F.col("x.n") + F.col("y.n") - reach) * percent) & _near("x", "y", percent))
-        pairs = kept(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "last-pairs")
-        links = kept(links.unionByName(_confirmed(pairs, sets, percent)).distinct(), "near-links")
+        links = kept(links.unionByName(_across(open_, planes, sets, percent)).distinct(), "near-links")
         tops = components(links)
 
     by_class = classes.join(tops.withColumnRenamed("node", "rep"), "rep", "left").select(
