@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelscope.session import scratch_dir
+
 # Rows of a broadcast offset table; each is a few dozen bytes, so this is well below 100 MB.
 BROADCAST_ROWS = 1_000_000
 
@@ -103,3 +105,24 @@ def dense_position(
         .withColumn(out, F.col("_start") + F.row_number().over(inside))
         .drop("_start")
     )
+
+
+def range_position(df: DataFrame, order: Sequence[str], out: str = "pos") -> DataFrame:
+    """Number all rows 1, 2, ... by `order`, whose columns may be of any type that sorts.
+
+    Rows are range-partitioned, sorted and numbered inside their partition and written once;
+    the read-back is shifted by the rows of earlier partitions, one number per partition.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, "ranges")
+    # The lower 33 bits of the id count the rows of a partition in their order.
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.withColumns({"_part": F.spark_partition_id(), "_at": inside}).write.parquet(path)
+    rows = spark.read.parquet(path)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    # One row per partition of the shuffle above.
+    placed = rows.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_at"))
+    return placed.select(*df.columns, out)

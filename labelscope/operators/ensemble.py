@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 from math import factorial, prod
 
@@ -60,44 +60,103 @@ def seed_multisets(seeds: Sequence[int]) -> list[tuple[int, tuple[int, ...], int
     return out
 
 
+def gathered_votes(
+    probs: DataFrame, budgets: Sequence[int], seeds: Sequence[int], keys: Sequence[str], value: str, carry: Sequence[str]
+) -> DataFrame:
+    """`keys, carry, _v`: the arrays of a row joined in budget and seed order, one after another.
+
+    A row's arrays (budgets x seeds of them) meet in one shuffle and are looked up by budget and
+    seed. A row without one of them raises an error that names it, and so does a repeated one.
+    """
+    wanted = probs.filter(F.col("training_size").isin(list(budgets)) & F.col("seed").isin(list(seeds)))
+    name = F.concat_ws(":", F.col("training_size").cast("string"), F.col("seed").cast("string"))
+    by_cell = wanted.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct(name, value))).alias("_m"), *[F.first(c).alias(c) for c in carry])
+    kind = probs.schema[value].dataType
+    arrays = [
+        F.coalesce(
+            F.try_element_at("_m", F.lit(f"{b}:{s}")),
+            F.raise_error(F.lit(f"a row has no votes for budget {b}, seed {s}")).cast(kind))
+        for b in budgets for s in seeds
+    ]
+    return by_cell.select(*keys, *carry, F.flatten(F.array(*arrays)).alias("_v"))
+
+
 def multiset_votes(
     probs: DataFrame,
-    multisets: Sequence[tuple[int, tuple[int, ...], int]],
+    multisets: Sequence[tuple],
     n_classes: int,
+    budgets: Sequence[int],
+    seeds: Sequence[int],
     keys: Sequence[str] = ("row_id",),
     value: str = "probs",
     carry: Sequence[str] = ("y",),
 ) -> DataFrame:
-    """`keys, carry, multiset, preds`: soft votes of every seed multiset, one per budget.
+    """`keys, carry, multiset, preds`: soft votes of every given seed multiset.
 
-    `preds` has one class per `training_size`, in ascending order; every row needs an array
-    for each budget and seed. A row's arrays (budgets x seeds of them) meet once, in one
-    shuffle; its votes under all multisets are one small matrix product, done for an Arrow
-    batch of rows at a time.
+    `multisets` are `(number, times of each seed, ...)`; `preds` has one class per budget, in the
+    order of `budgets`. A row's votes are one small matrix product, done for an Arrow batch of
+    rows at a time.
     """
-    ids = [i for i, _, _ in multisets]
-    weights = np.array([times for _, times, _ in multisets], dtype=float)
-    n_seeds = weights.shape[1]
+    ids = [m[0] for m in multisets]
+    weights = np.array([m[1] for m in multisets], dtype=float)
+    shape = (len(budgets), len(seeds), n_classes)
 
     @F.pandas_udf("array<int>")
     def vote_all(flat: pd.Series) -> pd.Series:
         out = []
         for start in range(0, len(flat), 256):  # bounds the product below
-            v = np.stack(flat.iloc[start : start + 256].to_numpy())
-            v = v.reshape(len(v), -1, n_seeds, n_classes)
+            v = np.stack(flat.iloc[start : start + 256].to_numpy()).reshape(-1, *shape)
             best = np.einsum("ms,rbsk->rmbk", weights, v).argmax(axis=3)
             out.extend(best.reshape(len(v), -1).astype(np.int32))
         return pd.Series(out, index=flat.index)
 
-    order = F.sort_array(F.collect_list(F.struct("training_size", "seed", value)))
-    gathered = probs.groupBy(*keys).agg(
-        F.flatten(F.transform(order, lambda s: s[value])).alias("_v"),
-        *[F.first(c).alias(c) for c in carry],
-    )
+    gathered = gathered_votes(probs, budgets, seeds, keys, value, carry)
     voted = gathered.select(*keys, *carry, vote_all("_v").alias("_p"))
-    per_set = F.expr(f"size(_p) div {len(ids)}").cast("int")
     numbers = F.array(*[F.lit(i) for i in ids])
     each = voted.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(ids) - 1))).alias("_m"))
     return each.select(
         *keys, *carry, F.get(numbers, F.col("_m")).alias("multiset"),
-        F.slice("_p", F.col("_m") * per_set + 1, per_set).alias("preds"))
+        F.slice("_p", F.col("_m") * len(budgets) + 1, len(budgets)).alias("preds"))
+
+
+def multiset_counts(
+    probs: DataFrame,
+    multisets: Sequence[tuple],
+    n_classes: int,
+    budgets: Sequence[int],
+    seeds: Sequence[int],
+    key: str = "row_id",
+    value: str = "probs",
+    by: Sequence[str] = ("y",),
+) -> DataFrame:
+    """`multiset, by, n<budget>..., n`: how many rows get which votes under each seed multiset.
+
+    Votes are counted where they are taken, in the Arrow batch, so what leaves a task is
+    distinct outcomes and not rows x multisets. `by` columns are integers without nulls.
+    """
+    by, columns = list(by), [f"n{b}" for b in budgets]
+    ids = np.array([m[0] for m in multisets], dtype=np.int32)
+    weights = np.array([m[1] for m in multisets], dtype=float)
+    shape = (len(budgets), len(seeds), n_classes)
+    cell = ["multiset", *by, *columns]
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            parts = []
+            for start in range(0, len(frame), 256):  # bounds the product below
+                rows = frame.iloc[start : start + 256]
+                v = np.stack(rows["_v"].to_numpy()).reshape(-1, *shape)
+                best = np.einsum("ms,rbsk->rmbk", weights, v).argmax(axis=3)
+                seen = pd.DataFrame(best.reshape(-1, len(columns)), columns=columns)
+                seen["multiset"] = np.tile(ids, len(rows))
+                for c in by:
+                    seen[c] = np.repeat(rows[c].to_numpy(), len(ids))
+                parts.append(seen.groupby(cell, sort=False).size().reset_index(name="n"))
+            if parts:
+                yield pd.concat(parts).groupby(cell, sort=False)["n"].sum().reset_index()
+
+    schema = ", ".join(["multiset int", *[f"`{c}` bigint" for c in [*by, *columns]], "n bigint"])
+    gathered = gathered_votes(probs, budgets, seeds, [key], value, by)
+    plain = gathered.select(*[F.col(c).cast("bigint").alias(c) for c in by], "_v")
+    return plain.mapInPandas(count, schema).groupBy(*cell).agg(F.sum("n").alias("n"))

@@ -32,7 +32,8 @@ CARRIED = tuple(c for c in RESULT_COLUMNS if c not in ("status", "text"))
 
 
 def is_json(text: Column) -> Column:
-    """Whether the whole text is one JSON value; never null."""
+    """Whether the whole text is one JSON value; never null. The strict grammar counts: `NaN` and
+    repeated keys of an object are not JSON."""
     return F.try_parse_json(text).isNotNull()
 
 
@@ -44,7 +45,7 @@ def requested_rows(calls: DataFrame) -> DataFrame:
 def explain_results(results: DataFrame) -> DataFrame:
     """`custom_id, text, error` and the carried columns; `error` is null for a usable reply.
 
-    `results` may lack any of RESULT_COLUMNS.
+    `results` may lack any of RESULT_COLUMNS. A column `arrival` goes through.
     """
     absent = [F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS if c not in results.columns]
     full = results.select("*", *absent)
@@ -55,13 +56,26 @@ def explain_results(results: DataFrame) -> DataFrame:
         .when(F.col("text").isNull(), NO_TEXT)
         .when(~is_json(F.col("text")), INVALID)
     )
-    return full.select("custom_id", "text", reason.alias("error"), *CARRIED)
+    return full.select("custom_id", "text", reason.alias("error"), *CARRIED, *_arrival(results))
+
+
+def _arrival(results: DataFrame) -> list[str]:
+    return [c for c in ("arrival",) if c in results.columns]
+
+
+def one_per_call(explained: DataFrame) -> DataFrame:
+    """One result per `custom_id`: the one with the smallest `arrival` if there is such a column,
+    else a usable one before others, and of those the smallest by its contents."""
+    rest = [c for c in explained.columns if c not in ("custom_id", "arrival")]
+    order = F.struct(*_arrival(explained), F.col("error").isNotNull(), *rest)
+    first = F.min_by(F.struct(*rest), order)
+    return explained.groupBy("custom_id").agg(first.alias("_first")).select("custom_id", "_first.*")
 
 
 def attach_results(calls: DataFrame, explained: DataFrame) -> DataFrame:
-    """Every expected call with its result, found by id whatever order results arrive in.
+    """Every expected call with one result, found by id whatever order results arrive in.
     A call without one keeps nulls and a reason."""
-    found = explained.withColumn("_found", F.lit(True))
+    found = one_per_call(explained).withColumn("_found", F.lit(True))
     reason = F.when(F.col("_found").isNull(), NO_RESULT).otherwise(F.col("error"))
     return calls.join(found, "custom_id", "left").withColumn("error", reason).drop("_found")
 
@@ -82,15 +96,17 @@ def parse_single(calls: DataFrame, results: DataFrame) -> DataFrame:
 def parse_batched(calls: DataFrame, results: DataFrame) -> DataFrame:
     """One prediction per requested row of calls that ask about many.
 
-    Of several entries with one id the first counts; ids outside the call are ignored. Entries
-    and rows meet on (call, id), so neither a long reply nor a long call sits in one row.
+    Of several entries with one id the first counts; ids outside the call and entries that are
+    not objects are ignored, the others of such a reply count. Entries and rows meet on
+    (call, id), so neither a long reply nor a long call sits in one row.
     """
-    explained = explain_results(results)
-    items = F.from_json("text", "predictions array<struct<id:bigint, intent:string>>")["predictions"]
+    explained = one_per_call(explain_results(results))
+    items = F.from_json("text", "predictions array<string>")["predictions"]
     entries = (
         explained.filter("error is null")
-        .select("custom_id", F.posexplode(items).alias("p", "item"))
-        .filter("item.id is not null")
+        .select("custom_id", F.posexplode(items).alias("p", "raw"))
+        .select("custom_id", "p", F.from_json("raw", "id bigint, intent string").alias("item"))
+        .filter(F.col("item.id").between(1, 2**31 - 1))
         .groupBy("custom_id", (F.col("item.id") - 1).cast("int").alias("position_in_call"))
         .agg(F.min_by(F.struct("item.intent"), "p").alias("entry"))
     )

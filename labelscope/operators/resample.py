@@ -3,16 +3,24 @@
 Resampling rows one by one costs replicates x rows. The scores only see how many rows fall in
 each cell (truth, prediction of each system), so rows are first collapsed to cells and the
 draws are made on the cell counts: a multinomial over cells is the same as resampling rows, a
-binomial(count, 1/2) per cell the same as swapping rows. Replicates are spread over tasks in
-chunks, and each chunk gets its own copy of the cells. When the cells would be too many for
-one task, the hash forms take over: they draw per row from an md5, and only partial sums are
-shuffled. Their draws are the same on any engine.
+binomial(count, 1/2) per cell the same as swapping rows.
+
+Cells are cut by a hash of their contents into a fixed number of parts, one task each. A
+replicate first draws how many rows each part gets, from a generator seeded by the replicate
+alone, so every part draws the same totals; then the part draws its own cells. Only counts per
+class leave a part. A result so depends on the data, the seed and the replicate, not on the
+size of the table or how it is partitioned.
+
+The forms named `by_hash` draw per row from an md5 instead. They do more work, but their draws
+are the same on any engine.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
+from hashlib import md5
 from math import exp
 
 import numpy as np
@@ -20,12 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.functions.ordering import hash_integer, order_hash
+from labelscope.functions.ordering import order_hash
 from labelscope.functions.scoring import MISSING, f1, interval_verdict, or_missing
-from labelscope.operators.ensemble import multiset_votes, seed_multisets
+from labelscope.operators.ensemble import multiset_counts, multiset_votes
+from labelscope.session import scratch_dir, ship_package
 
-CELL_LIMIT = 1_000_000  # cells one task may hold; each is a few integers
-CHUNKS = 32  # groups of replicates drawn side by side
+CELL_PARTS = 8  # tasks that share the cells of one test
 SWAPS_PER_HASH = 32  # one hex digit decides one swap
 WEIGHTS_PER_HASH = 4  # eight hex digits make one weight
 
@@ -39,14 +47,6 @@ def outcome_cells(df: DataFrame, y: str, preds: Sequence[str], keys: Sequence[st
     return df.groupBy(*keys, F.col(y).cast("bigint").alias("y"), *cols).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cells_fit(cells: DataFrame, n_classes: int, n_systems: int, keys: Sequence[str] = ()) -> bool:
-    """Whether every group of cells fits one task: by the label space alone, or by counting."""
-    if n_classes * (n_classes + 1) ** n_systems <= CELL_LIMIT:
-        return True
-    per_group = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-    return (per_group.agg(F.max("c")).first()[0] or 0) <= CELL_LIMIT
-
-
 def _class_sums(index: np.ndarray, n_classes: int):
     """A function from weights (replicates x cells) to their sums per class."""
     inside = np.flatnonzero((index >= 0) & (index < n_classes))
@@ -54,7 +54,7 @@ def _class_sums(index: np.ndarray, n_classes: int):
     labels, starts = np.unique(index[order], return_index=True)
 
     def sums(w: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(w), n_classes))
+        out = np.zeros((len(w), n_classes), dtype=np.int64)
         if len(order):
             out[:, labels] = np.add.reduceat(w[:, order], starts, axis=1)
         return out
@@ -62,55 +62,41 @@ def _class_sums(index: np.ndarray, n_classes: int):
     return sums
 
 
-def _macro_f1(y: np.ndarray, pred: np.ndarray, n_classes: int, observed: bool):
-    """A function from cell weights to macro-F1, one number per replicate."""
-    true, predicted = _class_sums(y, n_classes), _class_sums(pred, n_classes)
-    hits = _class_sums(np.where(y == pred, y, MISSING), n_classes)
-
-    def score(w: np.ndarray) -> np.ndarray:
-        denominator = true(w) + predicted(w)
-        f1s = np.divide(2 * hits(w), denominator, out=np.zeros_like(denominator), where=denominator > 0)
-        return f1s.sum(axis=1) / (np.maximum((denominator > 0).sum(axis=1), 1) if observed else n_classes)
-
-    return score
-
-
-def _chunks(n_sets: int) -> int:
-    """Many multisets already spread the work; one is cut into chunks of replicates."""
-    return max(1, CHUNKS // n_sets)
-
-
-def _replicates(spark, n: int, seed: int, multisets: list | None) -> DataFrame:
-    """`rep, multiset, chunk`: which seed multiset each replicate uses, by its share of draws."""
-    reps = spark.range(n).select(F.col("id").alias("rep"))
-    if multisets is None:
-        drawn = F.lit(0)
-    else:
-        u = hash_integer(order_hash(seed, F.lit("seeds"), F.col("rep"))) / float(2**32)
-        total = sum(ways for _, _, ways in multisets)
-        edges = np.cumsum([ways for _, _, ways in multisets]) / total
-        drawn = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= u))
-        drawn = F.least(drawn, F.lit(len(multisets) - 1))
-    chunk = F.col("rep") % _chunks(len(multisets or [0]))
-    return reps.select("rep", drawn.cast("int").alias("multiset"), chunk.cast("int").alias("chunk"))
+def _replicates(cells: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """`keys, rep`: the same n replicates for every group of cells."""
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    return cells.select(*keys).distinct().select(*keys, each.alias("rep"))
 
 
 def resample_cells(
     cells: DataFrame, systems: Sequence[str], n_classes: int, reps: DataFrame, seed: int,
-    mode: str = "bootstrap", observed: bool = False, n_sets: int = 1,
+    mode: str = "bootstrap", observed: bool = False, keys: Sequence[str] = ("multiset",),
 ) -> DataFrame:
-    """`rep, <system>...`: macro-F1 of each system in each replicate.
+    """`keys, rep, <system>...`: macro-F1 of each system in each replicate, to 12 digits.
 
-    `cells` has a `multiset` column. `mode` is `bootstrap` (multinomial over cells) or `swap`
-    (two systems, binomial swaps). Replicate r draws from a generator seeded with (seed, r),
-    so a result does not depend on where or how often a task runs.
+    `cells` are grouped by `keys`, and `reps` says which replicates each group takes. `mode` is
+    `bootstrap` (multinomial over cells) or `swap` (two systems, binomial swaps).
     """
-    systems = list(systems)
-    schema = ", ".join(["rep bigint", *[f"`{s}` double" for s in systems]])
-
-    def draw(key, cell: pd.DataFrame, rep: pd.DataFrame) -> pd.DataFrame:
-        if cell.empty or rep.empty:
-            return pd.DataFrame({"rep": [], **{s: [] for s in systems}})
+    systems, keys = list(systems), list(keys)
+    ship_package(cells.sparkSession)
+    own_part = F.pmod(F.xxhash64("y", *systems), F.lit(CELL_PARTS)).cast("int")
+    cells = cells.withColumn("part", own_part)
+    in_part = [F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)) for p in range(CELL_PARTS)]
+    totals = cells.groupBy(*keys).agg(F.array(*in_part).alias("totals"))
+    # One row per group and part, with as many numbers as there are replicates.
+    tasks = (
+        reps.groupBy(*keys).agg(F.array_sort(F.collect_list("rep")).alias("reps")).join(totals, keys)
+        .select(*[F.col(k).alias(k) for k in keys], "reps", "totals",
+                F.explode(F.sequence(F.lit(0), F.lit(CELL_PARTS - 1))).alias("part"))
+    )
+    sums = ["true", *[f"{c}_{i}" for i in range(len(systems)) for c in ("p", "tp")]]
+    kinds = [f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys]
+    schema = ", ".join([*kinds, "rep bigint", "label bigint", *[f"`{c}` bigint" for c in sums]])
+
+    def draw(key: tuple, cell: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
+        *group, part = key
+        if cell.empty or task.empty:
+            return pd.DataFrame(columns=[*keys, "rep", "label", *sums])
         cell = cell.sort_values(["y", *systems])
         y, n = cell["y"].to_numpy(), cell["n"].to_numpy()
         preds = [cell[s].to_numpy() for s in systems]
@@ -118,31 +104,38 @@ def resample_cells(
             a, b = preds
             y, preds = np.concatenate([y, y]), [np.concatenate([a, b]), np.concatenate([b, a])]
             differ = a != b
-        scorers = [_macro_f1(y, p, n_classes, observed) for p in preds]
-        ids = np.sort(rep["rep"].to_numpy())
+        counts = [_class_sums(y, n_classes)]
+        for p in preds:
+            counts += [_class_sums(p, n_classes), _class_sums(np.where(y == p, y, MISSING), n_classes)]
+        ids, shares = np.asarray(task["reps"].iloc[0]), np.asarray(task["totals"].iloc[0])
         step = max(1, 4_000_000 // len(y))  # bounds the weight matrix
-        parts = []
+        out = []
         for start in range(0, len(ids), step):
-            w = np.empty((len(ids[start : start + step]), len(y)))
-            for i, r in enumerate(ids[start : start + step]):
-                rng = np.random.default_rng([seed, int(r)])
+            block = ids[start : start + step]
+            w = np.empty((len(block), len(y)), dtype=np.int64)
+            for i, r in enumerate(block.tolist()):
+                rng = np.random.default_rng([seed, r, part])
                 if mode == "swap":
                     moved = np.where(differ, rng.binomial(n, 0.5), 0)
                     w[i] = np.concatenate([n - moved, moved])
                 else:
-                    w[i] = rng.multinomial(int(n.sum()), n / n.sum())
-            parts.append(np.column_stack([f(w) for f in scorers]))
-        out = pd.DataFrame(np.vstack(parts), columns=systems)
-        out.insert(0, "rep", ids)
-        return out
+                    taken = np.random.default_rng([seed, r]).multinomial(int(shares.sum()), shares / shares.sum())
+                    w[i] = rng.multinomial(int(taken[part]), n / n.sum())
+            planes = np.stack([f(w) for f in counts], axis=2)
+            at, label = np.nonzero(planes.any(axis=2))
+            frame = pd.DataFrame(planes[at, label], columns=sums)
+            out.append(frame.assign(rep=block[at], label=label, **dict(zip(keys, group))))
+        return pd.concat(out)[[*keys, "rep", "label", *sums]]
 
-    each_chunk = F.sequence(F.lit(0), F.lit(_chunks(n_sets) - 1))
-    copies = cells.withColumn("chunk", F.explode(each_chunk))
-    return (
-        copies.groupBy("multiset", "chunk")
-        .cogroup(reps.groupBy("multiset", "chunk"))
-        .applyInPandas(draw, schema)
-    )
+    drawn = cells.groupBy(*keys, "part").cogroup(tasks.groupBy(*keys, "part")).applyInPandas(draw, schema)
+    by_class = drawn.groupBy(*keys, "rep", "label").agg(*[F.sum(c).alias(c) for c in sums])
+
+    def macro(i: int) -> Column:
+        score = f1(f"tp_{i}", f"p_{i}", "true")
+        seen = F.col(f"p_{i}") + F.col("true") > 0
+        return F.coalesce(F.avg(F.when(seen, score)), F.lit(0.0)) if observed else F.sum(score) / n_classes
+
+    return by_class.groupBy(*keys, "rep").agg(*[F.round(macro(i), 12).alias(s) for i, s in enumerate(systems)])
 
 
 def difference_summary(reps: DataFrame, observed: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -198,37 +191,32 @@ def _observed_diff(cells: DataFrame, n_classes: int, observed: bool) -> DataFram
 
 def paired_bootstrap(
     df: DataFrame, y: str, a: str, b: str, n_classes: int, replicates: int = 5000, seed: int = 42,
-    key: str = "row_id", observed: bool = True,
+    observed: bool = True,
 ) -> DataFrame:
     """Interval on the macro-F1 difference a - b, resampling rows.
 
     The mean is over the classes that occur in a replicate (`observed=False`: over [0, K)).
     """
-    renamed = df.select(F.col(key).alias("_key"), F.col(y).alias("y"), F.col(a).alias("a"), F.col(b).alias("b"))
-    cells = outcome_cells(renamed, "y", ("a", "b"))
-    if cells_fit(cells, n_classes, 2):
-        reps = resample_cells(
-            cells.withColumn("multiset", F.lit(0)), ("a", "b"), n_classes,
-            _replicates(df.sparkSession, replicates, seed, None), seed, observed=observed)
-    else:
-        reps = poisson_bootstrap(renamed, "y", "a", "b", "_key", n_classes, replicates, seed, observed=observed)
+    renamed = df.select(F.col(y).alias("y"), F.col(a).alias("a"), F.col(b).alias("b"))
+    cells = outcome_cells(renamed, "y", ("a", "b")).withColumn("multiset", F.lit(0))
+    reps = resample_cells(
+        cells, ("a", "b"), n_classes, _replicates(cells, replicates, ["multiset"]), seed, observed=observed)
     return difference_summary(reps, _observed_diff(cells, n_classes, observed))
 
 
 def paired_permutation(
     df: DataFrame, y: str, a: str, b: str, n_classes: int, replicates: int = 10_000, seed: int = 42,
-    key: str = "row_id",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Two-sided approximate randomisation test on the macro-F1 difference a - b."""
-    renamed = df.select(F.col(key).alias("_key"), F.col(y).alias("y"), F.col(a).alias("a"), F.col(b).alias("b"))
-    cells = outcome_cells(renamed, "y", ("a", "b"))
-    if not cells_fit(cells, n_classes, 2):
-        return permutation_by_hash(renamed, "y", "a", "b", "_key", n_classes, replicates, seed)
-    reps = resample_cells(
-        cells.withColumn("multiset", F.lit(0)), ("a", "b"), n_classes,
-        _replicates(df.sparkSession, replicates, seed, None), seed, mode="swap")
-    observed = observed_scores(cells, ("a", "b"), n_classes).select((F.col("a") - F.col("b")).alias("d"))
-    return p_values(reps.select("rep", (F.col("a") - F.col("b")).alias("diff")), observed)
+    """Two-sided approximate randomisation test on the macro-F1 difference a - b, one for each
+    value of `keys`."""
+    renamed = df.select(*keys, F.col(y).alias("y"), F.col(a).alias("a"), F.col(b).alias("b"))
+    cells = outcome_cells(renamed, "y", ("a", "b"), keys)
+    groups = list(keys) or ["multiset"]
+    sets = cells if keys else cells.withColumn("multiset", F.lit(0))
+    reps = resample_cells(sets, ("a", "b"), n_classes, _replicates(sets, replicates, groups), seed, "swap", keys=groups)
+    observed = observed_scores(cells, ("a", "b"), n_classes, keys).select(*keys, (F.col("a") - F.col("b")).alias("d"))
+    return p_values(reps.select(*keys, "rep", (F.col("a") - F.col("b")).alias("diff")), observed, keys)
 
 
 def p_values(reps: DataFrame, observed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -256,27 +244,33 @@ def _budget_columns(budgets: Sequence[int]) -> list[str]:
     return [f"n{b}" for b in sorted(budgets)]
 
 
-def _sets(seeds: Sequence[int], resample_seeds: bool) -> list:
-    return seed_multisets(seeds) if resample_seeds else [(0, (1,) * len(seeds), 1)]
-
+def seed_draws(seeds: Sequence[int], replicates: int, seed: int, resample_seeds: bool) -> tuple[list, list]:
+    """The multisets of seeds that are drawn, `(number, times of each seed)`, and the number each
+    replicate drew, `(rep, number)`.
 
-def _budget_votes(probs: DataFrame, base: str, budgets: Sequence[int], n_classes: int, sets: list) -> DataFrame:
-    """`row_id, y, base, multiset, n<budget>...`: the vote at each budget, one column each."""
-    voted = multiset_votes(
-        probs.filter(F.col("training_size").isin(list(budgets))), sets, n_classes, carry=("y", base))
-    preds = [F.get("preds", F.lit(i)).alias(c) for i, c in enumerate(_budget_columns(budgets))]
-    return voted.select("row_id", "y", F.col(base).alias("base"), "multiset", *preds)
+    Each draw of each replicate picks a seed by an md5. Both lists are as long as there are
+    replicates at most, however many multisets the seeds allow.
+    """
+    size = len(seeds)
+    if not resample_seeds:
+        return [(0, (1,) * size)], [(r, 0) for r in range(replicates)]
+    numbers: dict[tuple[int, ...], int] = {}
+    drawn = []
+    for r in range(replicates):
+        picks = Counter(int(md5(f"{seed}:draw{j}:{r}".encode()).hexdigest()[:8], 16) % size for j in range(size))
+        drawn.append((r, numbers.setdefault(tuple(picks[s] for s in range(size)), len(numbers))))
+    return [(number, times) for times, number in numbers.items()], drawn
 
 
 def multiset_cells(
-    probs: DataFrame, base: str, budgets: Sequence[int], seeds: Sequence[int], n_classes: int, resample_seeds: bool
+    probs: DataFrame, base: str, budgets: Sequence[int], seeds: Sequence[int], n_classes: int, sets: list
 ) -> DataFrame:
-    """Outcome cells `multiset, y, base, n<budget>..., n` for every seed multiset.
+    """Outcome cells `multiset, y, base, n<budget>..., n` for the given seed multisets.
 
     `probs`: row_id, y, the baseline's prediction, training_size, seed, probs.
     """
-    wide = _budget_votes(probs, base, budgets, n_classes, _sets(seeds, resample_seeds))
-    return outcome_cells(wide, "y", ["base", *_budget_columns(budgets)], ["multiset"])
+    renamed = probs.withColumn("base", or_missing(base).cast("bigint"))
+    return multiset_counts(renamed, sets, n_classes, sorted(budgets), seeds, by=("y", "base"))
 
 
 def seed_row_replicates(
@@ -288,13 +282,13 @@ def seed_row_replicates(
     One draw of seeds and rows per replicate serves all budgets, so a replicate's curve is
     consistent in itself.
     """
-    cells = multiset_cells(probs, base, budgets, seeds, n_classes, resample_seeds)
-    sets = _sets(seeds, resample_seeds)
-    systems = ["base", *_budget_columns(budgets)]
-    if cells_fit(cells, n_classes, len(systems), ["multiset"]):
-        reps = _replicates(probs.sparkSession, replicates, seed, sets if resample_seeds else None)
-        return resample_cells(cells, systems, n_classes, reps, seed, n_sets=len(sets))
-    return seed_row_replicates_by_hash(probs, base, budgets, seeds, n_classes, replicates, seed, resample_seeds)
+    sets, drawn = seed_draws(seeds, replicates, seed, resample_seeds)
+    spark = probs.sparkSession
+    # The votes behind the cells are the costly part; they are taken once.
+    path = scratch_dir(spark, "outcome-cells")
+    multiset_cells(probs, base, budgets, seeds, n_classes, sets).write.parquet(path)
+    reps = spark.createDataFrame(drawn, "rep bigint, multiset int")
+    return resample_cells(spark.read.parquet(path), ["base", *_budget_columns(budgets)], n_classes, reps, seed)
 
 
 def hierarchical_bootstrap(
@@ -305,7 +299,7 @@ def hierarchical_bootstrap(
     one = probs.filter(F.col("training_size") == budget)
     reps = seed_row_replicates(one, base, [budget], seeds, n_classes, replicates, seed, resample_seeds)
     system = f"n{budget}"
-    cells = multiset_cells(one, base, [budget], seeds, n_classes, False)
+    cells = multiset_cells(one, base, [budget], seeds, n_classes, [(0, (1,) * len(seeds))])
     both = observed_scores(cells, (system, "base"), n_classes)
     observed = both.select(F.round(F.col(system) - F.col("base"), 6).alias("observed_diff"))
     return difference_summary(reps, observed, system, "base").withColumn("resampled_seeds", F.lit(resample_seeds))
@@ -461,20 +455,6 @@ def permutation_by_hash(
     return p_values(reps, observed, keys)
 
 
-def hash_seed_draws(spark, replicates: int, seeds: Sequence[int], seed: int, resample_seeds: bool) -> DataFrame:
-    """`rep, multiset`: each draw of each replicate picks a seed by an md5."""
-    size = len(seeds)
-    reps = spark.range(replicates).select(F.col("id").alias("rep"))
-    if not resample_seeds:
-        return reps.withColumn("multiset", F.lit(0))
-    picks = [hash_integer(order_hash(seed, F.lit(f"draw{j}"), F.col("rep"))) % size for j in range(size)]
-    times = F.array(*[reduce(lambda s, p: s + F.when(p == i, 1).otherwise(0), picks, F.lit(0)) for i in range(size)])
-    sets = F.array(*[
-        F.struct(F.array(*[F.lit(t) for t in ts]).alias("times"), F.lit(i).alias("multiset"))
-        for i, ts, _ in seed_multisets(seeds)])
-    return reps.select("rep", F.filter(sets, lambda m: m["times"] == times)[0]["multiset"].alias("multiset"))
-
-
 def seed_row_replicates_by_hash(
     probs: DataFrame, base: str, budgets: Sequence[int], seeds: Sequence[int], n_classes: int,
     replicates: int, seed: int, resample_seeds: bool = True,
@@ -484,13 +464,14 @@ def seed_row_replicates_by_hash(
     A row meets only the replicates that drew its multiset, and everything after that is a
     partial sum per (replicate, system, truth, prediction).
     """
-    draws = hash_seed_draws(probs.sparkSession, replicates, seeds, seed, resample_seeds)
+    sets, drawn = seed_draws(seeds, replicates, seed, resample_seeds)
+    draws = probs.sparkSession.createDataFrame(drawn, "rep bigint, multiset int")
     by_set = draws.groupBy("multiset").agg(F.collect_list("rep").alias("reps"))  # `replicates` numbers in all
-    drawn = {r["multiset"] for r in by_set.select("multiset").collect()}  # at most one per multiset
-    sets = [s for s in _sets(seeds, resample_seeds) if s[0] in drawn]
     names = ["base", *_budget_columns(budgets)]
+    voted = multiset_votes(probs, sets, n_classes, sorted(budgets), seeds, carry=("y", base))
+    preds = [F.get("preds", F.lit(i)).alias(c) for i, c in enumerate(names[1:])]
     used = (
-        _budget_votes(probs, base, budgets, n_classes, sets)
+        voted.select("row_id", "y", F.col(base).alias("base"), "multiset", *preds)
         .join(F.broadcast(by_set), "multiset")
         .withColumn("rep", F.explode("reps"))
         .withColumn("_h", order_hash(seed, F.floor(F.col("rep") / WEIGHTS_PER_HASH), F.col("row_id")))

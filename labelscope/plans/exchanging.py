@@ -102,7 +102,8 @@ def demonstrations(spark, d):
     docs = documents(spark, d).select("doc_id", "label", "text", F.col("lang").alias("intent"))
     voc = ds.vocabulary_of(table(spark, d, "documents"), "lang")
     demos = ca.fixed_demonstrations(docs, voc, 2, "label", "doc_id", 3).select("intent", "text")
-    return ca.demo_block(demos).select(F.md5("demo_block").alias("digest")).withColumn("n", F.lit(8).cast("bigint"))
+    text = F.array_sort(F.collect_list(F.struct("intent", "text")))
+    return demos.agg(F.md5(ca.demo_text(text)).alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
 @query("o5_request_bodies", f"""WITH {CALLS_SQL}, r AS (SELECT custom_id, {USER_SQL} AS content FROM calls)
@@ -140,7 +141,8 @@ def _name(column: str):
 
 
 def _row_calls(spark, d):
-    """One call per row, and a reply to it: refused, empty, cut off, without the key, or fine."""
+    """One call per row, and a reply to it: refused, empty, cut off, without the key, or fine; some
+    calls are answered once more."""
     p = predictions(spark, d).select("row_id", "b")
     cid = F.concat(F.lit("call-"), F.col("row_id").cast("string"))
     calls = p.select(cid.alias("custom_id"), F.array("row_id").alias("row_ids"))
@@ -151,8 +153,9 @@ def _row_calls(spark, d):
         cid.alias("custom_id"), text.alias("text"),
         F.when(i % 47 == 0, "errored").otherwise("succeeded").alias("status"),
         F.when(i % 29 == 0, "refusal").otherwise("end_turn").alias("stop_reason"),
-        F.concat(F.lit("served-"), (i % 3).cast("string")).alias("resolved_model"))
-    return calls, results
+        F.concat(F.lit("served-"), (i % 3).cast("string")).alias("resolved_model"), F.lit(0).alias("arrival"))
+    again = results.filter("endswith(custom_id, '7')").withColumns({"text": F.lit('{"intent": "late"}'), "arrival": F.lit(1)})
+    return calls, results.unionByName(again)
 
 
 @query("r1_single_replies", f"""WITH {P_SQL}, r AS (SELECT row_id, b, CASE WHEN row_id % 43 = 0 THEN 'no batch result returned'
@@ -164,7 +167,8 @@ def single_replies(spark, d):
 
 
 def _batch_calls(spark, d):
-    """Calls of 150 rows; replies skip every 13th row, repeat every 17th, and add an id out of range."""
+    """Calls of 150 rows; replies skip every 13th row, repeat every 17th, add ids out of range and an
+    item that is no object. Every fifth call is answered once more."""
     p = predictions(spark, d).select("row_id", "b")
     ordered = ca.order_rows(p, "row_id", "shuffled", SEED).withColumn("name", F.coalesce(_name("b"), F.lit("none")))
     calls = ca.chunk_calls(ordered, PER_CALL, "row_id", text="name")
@@ -178,9 +182,12 @@ def _batch_calls(spark, d):
     results = ordered.groupBy(call.alias("call_no")).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", entries.alias("e")))), lambda r: r["e"])).alias("e")
     ).filter("call_no % 11 <> 5").select(
-        ca.custom_id("call_no").alias("custom_id"), F.to_json(F.struct(F.col("e").alias("predictions"))).alias("text"),
-        F.when(F.col("call_no") % 7 == 3, "refusal").otherwise("end_turn").alias("stop_reason"))
-    return calls, results
+        "call_no", ca.custom_id("call_no").alias("custom_id"),
+        F.concat(F.lit('{"predictions":["no object",{"id":3000000000,"intent":"far"},{"id":0,"intent":"zero"},'),
+                 F.substring(F.to_json("e"), 2, 2**31 - 1), F.lit("}")).alias("text"),
+        F.when(F.col("call_no") % 7 == 3, "refusal").otherwise("end_turn").alias("stop_reason"), F.lit(0).alias("arrival"))
+    again = results.filter("call_no % 5 = 0").withColumns({"text": F.lit('{"predictions":[]}'), "arrival": F.lit(1)})
+    return calls, results.unionByName(again).drop("call_no")
 
 
 @query("r2_batched_replies", f"""WITH {P_SQL}, {order_cte('p', 'row_id')}, r AS (SELECT row_id, pos, b,

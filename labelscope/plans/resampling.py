@@ -17,7 +17,7 @@ SWAPS, WEIGHTS = 64, 20  # replicates of the hash forms; the SQL side works row
 
 @query("i1_paired_bootstrap")
 def paired_bootstrap(spark, d):
-    return rs.paired_bootstrap(predictions(spark, d), "y", "a", "b", K, replicates=2000)
+    return rs.paired_bootstrap(predictions(spark, d), "y", "a", "b", K, replicates=5000)
 
 
 @query("i2_permutation_test")
@@ -47,17 +47,17 @@ def permutation_by_hash(spark, d):
 
 @query("i3_seeds_and_rows")
 def seeds_and_rows(spark, d):
-    return rs.hierarchical_bootstrap(votes(spark, d), "b", 250, SEEDS, K, replicates=1000)
+    return rs.hierarchical_bootstrap(votes(spark, d), "b", 250, SEEDS, K, replicates=2000)
 
 
 @query("i3_rows_only")
 def rows_only(spark, d):
-    return rs.hierarchical_bootstrap(votes(spark, d), "b", 250, SEEDS, K, replicates=1000, resample_seeds=False)
+    return rs.hierarchical_bootstrap(votes(spark, d), "b", 250, SEEDS, K, replicates=2000, resample_seeds=False)
 
 
 @query("i4_crossover_interval")
 def crossover_interval(spark, d):
-    return rs.crossover_interval(votes(spark, d), "b", BUDGETS, SEEDS, K, replicates=500)
+    return rs.crossover_interval(votes(spark, d), "b", BUDGETS, SEEDS, K, replicates=2000)
 
 
 _T = rs.poisson_thresholds()

@@ -332,8 +332,8 @@ picked AS (SELECT y, training_size, multiset, arg_max(k, v * 10 - k) AS pred FRO
            GROUP BY row_id, y, training_size, multiset)
 SELECT training_size, multiset, y, pred, count(*) AS n FROM picked GROUP BY ALL""")
 def multiset_votes(spark, d):
-    voted = en.multiset_votes(votes(spark, d), _SETS, K)
-    each = F.posexplode("preds").alias("at", "pred")
-    budgets = F.array(*[F.lit(n).cast("bigint") for n in BUDGETS])
-    mixed = voted.select("y", "multiset", each).withColumn("training_size", F.get(budgets, F.col("at")))
-    return m.confusion(mixed, "y", "pred", ["training_size", "multiset"])
+    cells = en.multiset_counts(votes(spark, d), _SETS, K, BUDGETS, SEEDS)
+    each = F.array(*[
+        F.struct(F.lit(b).cast("bigint").alias("training_size"), F.col(f"n{b}").alias("pred")) for b in BUDGETS])
+    mixed = cells.select("multiset", "y", "n", F.inline(each))
+    return mixed.groupBy("training_size", "multiset", "y", "pred").agg(F.sum("n").alias("n"))

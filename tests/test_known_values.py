@@ -92,6 +92,17 @@ def test_refusal_is_a_null_with_a_reason(spark):
     assert got["pred_intent"] is None and got["error"] == "refusal"
 
 
+def test_bad_and_repeated_results_keep_one_row_per_request(spark):
+    calls = spark.createDataFrame([("c", ["r0", "r1"])], "custom_id string, row_ids array<string>")
+    first = '{"predictions": [7, null, "x", {"id": 3000000000, "intent": "far"}, {"id": 0, "intent": "z"}, {"id": 1, "intent": "a"}]}'
+    results = spark.createDataFrame([("c", '{"predictions": []}', 2), ("c", first, 1)], "custom_id string, text string, arrival int")
+    assert sorted(rows(re_.parse_batched(calls, results).select("row_id", "pred_intent", "error"))) == [
+        ("r0", "a", None), ("r1", None, re_.NOT_IN_REPLY)]
+    single = calls.withColumn("row_ids", F.slice("row_ids", 1, 1))
+    twice = spark.createDataFrame([("c", None), ("c", '{"intent": "b"}'), ("c", '{"intent": "b"}')], "custom_id string, text string")
+    assert rows(re_.parse_single(single, twice).select("row_id", "pred_intent", "error")) == [("r0", "b", None)]
+
+
 def test_tolerant_parse_stages(spark):
     items = '[{"id": 1, "intent": "a"}]'
     texts = [items, f"```json\n{items}\n```", f"Here: {items} done", "nothing", "```\n[oops]\n```", f'{items[:-1]}', '[1, {"id": 2}]']
@@ -112,6 +123,10 @@ def test_orders(spark):
     assert rows(shuffled.orderBy("pos")) == rows(ca.order_rows(df.repartition(7), "id", "shuffled", 3).orderBy("pos"))
     assert au.same_rows(df, shuffled, ("id", "label")).first()["same"]
     assert sorted(r["pos"] for r in shuffled.collect()) == list(range(1, 601))
+    named = df.select(F.concat(F.lit("test:"), F.col("id").cast("string")).alias("id"), "label").repartition(5)
+    places = ca.order_rows(named, "id", "blocked").orderBy("pos").collect()
+    assert [(r["label"], r["id"]) for r in places] == sorted((r["label"], r["id"]) for r in places)
+    assert [r["pos"] for r in places] == list(range(1, 601))
     with pytest.raises(ValueError):
         ca.order_rows(df, "id", "sorted")
 
@@ -180,6 +195,22 @@ def test_crossover_never_and_always(spark):
     assert rs.crossover_summary(rs.crossovers(hashed, (10, 20)), (10, 20)).first()["median_n"] == 10
 
 
+def test_resampling_ignores_the_number_of_parts_it_is_read_in(spark):
+    p = predictions(spark)
+    keyed = p.withColumn("arm", F.col("row_id") % 2)
+    got = [sorted(rows(rs.paired_permutation(x, "y", "a", "b", 4, 100, keys=["arm"]))) for x in (keyed, keyed.repartition(9))]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [0, 1] and all(r[3] == 100 for r in got[0])
+    crossed = [rs.crossover_interval(v, "b", (10, 20), (0, 1, 2), 3, replicates=40).first()
+               for v in (votes(spark, 0.2), votes(spark, 0.2).repartition(7))]
+    assert crossed[0] == crossed[1]
+
+
+def test_an_absent_cell_of_votes_is_named(spark):
+    ragged = votes(spark, 1.0).filter("not (training_size = 20 and seed = 2 and row_id = 5)")
+    with pytest.raises(Exception, match="no votes for budget 20, seed 2"):
+        en.multiset_counts(ragged, [(0, (1, 1, 1))], 3, (10, 20), (0, 1, 2)).collect()
+
+
 def test_multisets_cover_every_draw():
     sets = en.seed_multisets(range(5))
     assert len(sets) == 126 and sum(w for _, _, w in sets) == 5**5
