@@ -34,6 +34,7 @@ from labelscope.operators.ensemble import multiset_counts, multiset_votes
 from labelscope.session import scratch_dir, ship_package
 
 CELL_PARTS = 8  # tasks that share the cells of one test
+DRAW_TASKS = 64  # few rows, much arithmetic: the number of tasks must not follow their bytes
 SWAPS_PER_HASH = 32  # one hex digit decides one swap
 WEIGHTS_PER_HASH = 4  # eight hex digits make one weight
 
@@ -127,7 +128,9 @@ def resample_cells(
             out.append(frame.assign(rep=block[at], label=label, **dict(zip(keys, group))))
         return pd.concat(out)[[*keys, "rep", "label", *sums]]
 
-    drawn = cells.groupBy(*keys, "part").cogroup(tasks.groupBy(*keys, "part")).applyInPandas(draw, schema)
+    on = [*keys, "part"]
+    cells, tasks = cells.repartition(DRAW_TASKS, *on), tasks.repartition(DRAW_TASKS, *on)
+    drawn = cells.groupBy(*on).cogroup(tasks.groupBy(*on)).applyInPandas(draw, schema)
     by_class = drawn.groupBy(*keys, "rep", "label").agg(*[F.sum(c).alias(c) for c in sums])
 
     def macro(i: int) -> Column:
