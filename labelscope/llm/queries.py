@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import (
-    byte_bpe, embedding_dedup, licenses, line_quality, minhash, packing, pii, secret_scan, toxicity, weak_quality,
+    byte_bpe, embedding_dedup, licenses, line_quality, minhash, oracles, packing, pii, secret_scan, toxicity,
+    weak_quality,
 )
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_minhash_dedup": oracles.OP1,
+    "op5_line_quality": oracles.OP5,
+    "op6_embedding_dedup": oracles.OP6,
+}
 
 
 def query(plan):
