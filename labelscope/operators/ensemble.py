@@ -65,21 +65,24 @@ def gathered_votes(
 ) -> DataFrame:
     """`keys, carry, _v`: the arrays of a row joined in budget and seed order, one after another.
 
-    A row's arrays (budgets x seeds of them) meet in one shuffle and are looked up by budget and
-    seed. A row without one of them raises an error that names it, and so does a repeated one.
+    A row's arrays (budgets x seeds of them) meet in one shuffle and are sorted by their place in
+    that order. A row without one of them raises an error that names it, and so does a repeated
+    one.
     """
-    wanted = probs.filter(F.col("training_size").isin(list(budgets)) & F.col("seed").isin(list(seeds)))
+    cells = [(b, s) for b in budgets for s in seeds]
+    places = F.create_map(*[x for i, (b, s) in enumerate(cells) for x in (F.lit(f"{b}:{s}"), F.lit(i))])
     name = F.concat_ws(":", F.col("training_size").cast("string"), F.col("seed").cast("string"))
-    by_cell = wanted.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(name, value))).alias("_m"), *[F.first(c).alias(c) for c in carry])
-    kind = probs.schema[value].dataType
-    arrays = [
-        F.coalesce(
-            F.try_element_at("_m", F.lit(f"{b}:{s}")),
-            F.raise_error(F.lit(f"a row has no votes for budget {b}, seed {s}")).cast(kind))
-        for b in budgets for s in seeds
-    ]
-    return by_cell.select(*keys, *carry, F.flatten(F.array(*arrays)).alias("_v"))
+    placed = probs.withColumn("_at", F.try_element_at(places, name)).filter("_at is not null")
+    by_cell = placed.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_at", value))).alias("_s"), *[F.first(c).alias(c) for c in carry])
+    have, all_ = F.col("_s._at"), F.sequence(F.lit(0), F.lit(len(cells) - 1))
+    names = F.array(*[F.lit(f"budget {b}, seed {s}") for b, s in cells])
+    lost = F.get(names, F.get(F.array_except(all_, have), F.lit(0)))
+    problem = F.concat(F.lit("a row has no votes for "), lost)
+    problem = F.coalesce(problem, F.lit("a row has votes of one budget and seed twice"))
+    flat = F.flatten(F.col(f"_s.{value}"))
+    checked = F.when(have == all_, flat).otherwise(F.raise_error(problem).cast(probs.schema[value].dataType))
+    return by_cell.select(*keys, *carry, checked.alias("_v"))
 
 
 def multiset_votes(
@@ -147,14 +150,23 @@ def multiset_counts(
             for start in range(0, len(frame), 256):  # bounds the product below
                 rows = frame.iloc[start : start + 256]
                 v = np.stack(rows["_v"].to_numpy()).reshape(-1, *shape)
-                best = np.einsum("ms,rbsk->rmbk", weights, v).argmax(axis=3)
-                seen = pd.DataFrame(best.reshape(-1, len(columns)), columns=columns)
-                seen["multiset"] = np.tile(ids, len(rows))
-                for c in by:
-                    seen[c] = np.repeat(rows[c].to_numpy(), len(ids))
-                parts.append(seen.groupby(cell, sort=False).size().reset_index(name="n"))
+                best = np.einsum("ms,rbsk->rmbk", weights, v).argmax(axis=3).reshape(-1, len(columns))
+                seen = {"multiset": np.tile(ids, len(rows))}
+                seen |= {c: np.repeat(rows[c].to_numpy(), len(ids)) for c in by}
+                seen |= {c: best[:, i] for i, c in enumerate(columns)}
+                parts.append(counted(pd.DataFrame(seen)))
             if parts:
-                yield pd.concat(parts).groupby(cell, sort=False)["n"].sum().reset_index()
+                yield counted(pd.concat(parts))
+
+    def counted(frame: pd.DataFrame) -> pd.DataFrame:
+        """Distinct cells and how many rows each has; `n` of the rows is 1 where it is absent."""
+        code = np.zeros(len(frame), dtype=np.int64)
+        for c in cell:  # numbers of the prefixes seen, so never more than there are rows
+            own, values = pd.factorize(frame[c].to_numpy())
+            code = pd.factorize(code * max(len(values), 1) + own)[0]
+        first = np.flatnonzero(~pd.Series(code).duplicated().to_numpy())
+        n = np.bincount(code, frame["n"].to_numpy() if "n" in frame else None, minlength=len(first))
+        return frame[cell].iloc[first].assign(n=n.astype(np.int64))
 
     schema = ", ".join(["multiset int", *[f"`{c}` bigint" for c in [*by, *columns]], "n bigint"])
     gathered = gathered_votes(probs, budgets, seeds, [key], value, by)
