@@ -158,7 +158,7 @@ def probe_verdict(
     `truth`: `id, intent`. `items`: one row per reply item, `id, intent`, null where the item
     lacked the key. Verdict order: hallucinated names, then format issues, then accuracy.
     """
-    named = F.broadcast(vocabulary.select(F.col("intent").alias("pred"), F.lit(True).alias("known")))
+    named = vocabulary.select(F.col("intent").alias("pred"), F.lit(True).alias("known"))
     answers = items.select("id", F.trim("intent").alias("pred"))
     malformed = F.col("id").isNull() | F.col("pred").isNull()
     scored = (

@@ -28,7 +28,7 @@ def measured_cost(
         *[F.max(F.coalesce(F.col(t), F.lit(0))).alias(t) for t in TOKENS], F.count(F.lit(1)).alias("n"))
     sums = per_call.groupBy(*keys, model).agg(
         *[F.sum(t).alias(t) for t in TOKENS], F.sum("n").alias("n_predictions"))
-    priced = sums.join(F.broadcast(prices.withColumnRenamed("model", model)), model, "left")
+    priced = sums.join(prices.withColumnRenamed("model", model), model, "left")
     per_million = (
         F.col("input_tokens") * F.col("input_rate") + F.col("output_tokens") * F.col("output_rate")
         + F.col("cache_read_input_tokens") * F.col("input_rate") * pr.CACHE_READ
@@ -116,11 +116,16 @@ def _with_curve(df: DataFrame, curve: DataFrame) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(points), "_one").drop("_one")  # one row
 
 
+def _row_keys(workloads: DataFrame) -> list[str]:
+    return [c for c in ("workload", "month") if c in workloads.columns]
+
+
 def decision_table(
     workloads: DataFrame, curve: DataFrame, required_f1: float, api_price: float, system: str = "ensemble",
     fixed: float = pr.FIXED_MONTHLY,
 ) -> DataFrame:
-    """Build or buy, per workload. `workloads`: workload, n_labels, queries (per month).
+    """Build or buy, per workload and month. `workloads`: workload, n_labels, queries, and month if
+    there is more than one.
 
     Quality is that of the nearest measured budget (the smaller on a tie), and `system` says
     which kind of system it belongs to.
@@ -133,7 +138,7 @@ def decision_table(
     payback = F.when(saving > 0, F.col("n_labels") * pr.COST_PER_LABEL / F.greatest(saving, F.lit(1.0)))
     meets = F.col("_p.q") >= required_f1
     return base.select(
-        "workload", "n_labels", "queries",
+        *_row_keys(workloads), "n_labels", "queries",
         F.lit(system).alias("system"),
         F.col("_p.n").cast("bigint").alias("nearest_n"),
         F.round("_p.q", 3).alias("macro_f1"),
@@ -156,6 +161,7 @@ def interpolated_quality(x: str) -> Column:
 
 
 def payback_text(months: Column) -> Column:
+    """The payback time in words. The limits and wordings are fixed values."""
     return (
         F.when(months < 0.1, "instantly")
         .when(months < 1, F.format_string("in %.0f days", months * 30))
@@ -167,7 +173,7 @@ def calculator(
     workloads: DataFrame, curve: DataFrame, api_price: float, fixed: float = pr.FIXED_MONTHLY,
     marginal: float = pr.MARGINAL_PER_QUERY, too_few: int = 100,
 ) -> DataFrame:
-    """Cost-only verdict per workload, with interpolated quality and the label payback time."""
+    """Cost-only verdict per workload (and month, if given), with interpolated quality and the label payback time."""
     q = F.col("queries")
     api, own = q * api_price, fixed + q * marginal
     months = F.when(api > own, F.col("n_labels") * pr.COST_PER_LABEL / (api - own))
@@ -175,7 +181,7 @@ def calculator(
         F.when(F.col("n_labels") < too_few, "too_few_labels").when(api <= own, "api").otherwise("self_host")
     )
     return _with_curve(workloads, curve).select(
-        "workload", "n_labels", "queries",
+        *_row_keys(workloads), "n_labels", "queries",
         F.round(interpolated_quality("n_labels"), 6).alias("macro_f1"),
         F.round(api, 4).alias("api_usd"),
         F.round(own, 4).alias("self_host_usd"),

@@ -64,7 +64,7 @@ def _ranked_carve(df: DataFrame, label: str, key: str, seed: int, limits, upto:
     if len(upto) == 1:  # the limit itself is the only end
         return ranked.withColumn(upto[0], F.col("_rank"))
     ends = limits(df.groupBy(label).agg(F.count(F.lit(1)).alias("c"))).select(label, *upto)
-    return ranked.join(F.broadcast(ends), label)  # one row per class
+    return ranked.join(ends, label)  # one row per class
 
 
 def stratified_carve(df: DataFrame, m: int, label: str, key: str, seed: int) -> DataFrame:

@@ -119,13 +119,13 @@ def _curve(spark, d):
 @query("c7_decision_table", f"""WITH {CURVE_CTES}, {VOLUME_SQL[len(P_SQL) + 2:]},
 near AS (SELECT v.*, e.training_size AS n, e.macro_f1 AS q, row_number() OVER (PARTITION BY workload, month
   ORDER BY abs(e.training_size - n_labels), e.training_size) AS r FROM volumes v, ens e)
-SELECT workload, n_labels, queries, 'ensemble' AS system, n AS nearest_n, round(q, 3) AS macro_f1, q >= 0.8 AS meets_required,
+SELECT workload, month, n_labels, queries, 'ensemble' AS system, n AS nearest_n, round(q, 3) AS macro_f1, q >= 0.8 AS meets_required,
   round(queries * 0.00525::DOUBLE, 2) AS api_usd, 360.0::DOUBLE AS self_host_usd,
   CASE WHEN queries * 0.00525::DOUBLE > 360 THEN round(n_labels * 0.5 / greatest(queries * 0.00525::DOUBLE - 360, 1.0), 4) END AS payback_months,
   CASE WHEN q < 0.8 THEN 'api_quality' WHEN queries * 0.00525::DOUBLE < 360 THEN 'api_volume' ELSE 'self_host' END AS recommendation
 FROM near WHERE r = 1""")
 def decision_table(spark, d):
-    return co.decision_table(_workloads(spark, d).drop("month"), _curve(spark, d), 0.8, UNCACHED)
+    return co.decision_table(_workloads(spark, d), _curve(spark, d), 0.8, UNCACHED)
 
 
 @query("c8_calculator", f"""WITH {CURVE_CTES}, {VOLUME_SQL[len(P_SQL) + 2:]},
@@ -136,9 +136,9 @@ j AS (SELECT x.*, q0 + (c - n0) / (n1 - n0) * (q1 - q0) AS q, queries * 0.00525:
   row_number() OVER (PARTITION BY workload, month ORDER BY n0) AS r FROM x JOIN seg ON c >= n0 AND c <= n1),
 k AS (SELECT *, CASE WHEN api > own THEN n_labels * 0.5 / (api - own) END AS months,
   CASE WHEN n_labels < 100 THEN 'too_few_labels' WHEN api <= own THEN 'api' ELSE 'self_host' END AS verdict FROM j WHERE r = 1)
-SELECT workload, n_labels, queries, round(q, 6) AS macro_f1, round(api, 4) AS api_usd, round(own, 4) AS self_host_usd,
+SELECT workload, month, n_labels, queries, round(q, 6) AS macro_f1, round(api, 4) AS api_usd, round(own, 4) AS self_host_usd,
   floor(360 / (0.00525::DOUBLE - 0.000007::DOUBLE))::BIGINT AS breakeven_queries, verdict,
   CASE WHEN verdict = 'self_host' THEN CASE WHEN months < 0.1 THEN 'instantly' WHEN months < 1 THEN printf('in %.0f days', months * 30)
     ELSE printf('in %.1f months', months) END END AS payback FROM k""")
 def calculator(spark, d):
-    return co.calculator(_workloads(spark, d).drop("month"), _curve(spark, d), UNCACHED)
+    return co.calculator(_workloads(spark, d), _curve(spark, d), UNCACHED)

@@ -309,14 +309,18 @@ def test_hot_class_ranks(spark):
         rows(got.filter("rank <= 4").orderBy("label", "rank"))
 
 
-def test_prompt_rungs():
-    for bad in (("fixed_kshot", 0, 1), ("zero_shot", 2, 1), ("chain", 0, 1), ("retrieved_kshot", 2, 2), ("zero_shot", 0, 0)):
-        with pytest.raises(ValueError):
-            ca.check_rung(*bad)
-    ca.check_rung("retrieved_kshot", 2, 1)
+def test_reply_limits():
     assert ca.max_tokens(1) == 112 and ca.max_tokens(10_000) == 16000
 
 
+def test_train_subset_follows_the_table(spark):
+    ordered = spark.range(1, 21).select("id", F.lit(3).alias("seed"), F.col("id").alias("pos"))
+    assert ds.load_train_subset(ordered, 7, 3).count() == 7
+    for n, seed in ((0, 3), (21, 3), (5, 4)):
+        with pytest.raises(ValueError):
+            ds.load_train_subset(ordered, n, seed)
+
+
 def test_request_body_closes_the_label_set(spark):
     names = F.array(F.lit("a"), F.lit("b"))
     for per_call in (1, 3):
