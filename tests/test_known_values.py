@@ -381,3 +381,17 @@ def test_run_is_written_whole(spark, tmp_path):
     path = st.write_run(str(tmp_path / "run"), spark.range(3), manifest, spark.range(1))
     assert spark.read.parquet(f"{path}/predictions").count() == 3
     assert spark.read.json(f"{path}/manifest").first()["n_rows"] == 3
+
+
+def test_votes_that_are_missing_or_repeated_raise(spark):
+    votes = [(0, 1, 50, 0, [1.0, 0.0]), (0, 1, 50, 1, [0.0, 3.0])]
+    columns = "row_id int, y int, training_size int, seed int, probs array<double>"
+
+    def gathered(rows_, seeds):
+        return en.gathered_votes(spark.createDataFrame(rows_, columns), [50], seeds, ["row_id"], "probs", ["y"]).collect()
+
+    assert [list(r["_v"]) for r in gathered(votes[::-1], [0, 1])] == [[1.0, 0.0, 0.0, 3.0]]
+    with pytest.raises(Exception, match="no votes for budget 50, seed 2"):
+        gathered(votes, [0, 1, 2])
+    with pytest.raises(Exception, match="twice"):
+        gathered([*votes, votes[0]], [0, 1])
