@@ -64,13 +64,14 @@ def macro_f1(
     cells: DataFrame, n_classes: int | None, keys: Sequence[str] = (), out: str = "macro_f1"
 ) -> DataFrame:
     """Mean F1 per run. Over [0, K) an absent class scores 0 and stays in the denominator;
-    with `n_classes=None` the mean is over the classes seen in truth or predictions."""
+    with `n_classes=None` the mean is over the classes seen in truth or predictions. Rounded to 12
+    digits only: equal counts compare as equal whatever order their F1 scores were added in."""
     scored = class_counts(cells, keys).withColumn("f1", f1("tp", "predicted", "true"))
     if n_classes is None:
         mean = F.avg("f1")
     else:
         mean = F.coalesce(F.sum(F.when(F.col("label") < n_classes, F.col("f1"))), F.lit(0.0)) / n_classes
-    return scored.groupBy(*keys).agg(F.round(mean, 6).alias(out))
+    return scored.groupBy(*keys).agg(F.round(mean, 12).alias(out))
 
 
 def scores(cells: DataFrame, n_classes: int | None, keys: Sequence[str] = ()) -> DataFrame:

@@ -90,7 +90,8 @@ def budget_sweep(spark, d):
     voted = en.soft_vote(probs, N_LANGS, keys=("doc_id", "training_size"))
     ensemble = m.macro_f1(m.confusion(voted, "y", "pred", ["training_size"]), N_LANGS, ["training_size"], out="ensemble")
     runs = spark.createDataFrame(records)
-    return runs.join(single, keys).join(ensemble, "training_size")
+    found = runs.join(single, keys).join(ensemble, "training_size")
+    return found.withColumns({c: F.round(c, 6) for c in ("macro_f1", "ensemble")})
 
 
 @query("m4_full_simplex", f"""WITH {SIDES_SQL} SELECT label, count(*) AS n_rows, 0.0::DOUBLE AS absent_class,

@@ -21,6 +21,11 @@ def _vocabulary(spark):
     return ds.vocabulary_table(spark, EVENT_TYPES)
 
 
+def _shown(df, *columns):
+    """Scores to the six digits that the queries report; operators compare them unrounded."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 def _cells(spark, d, pred):
     return m.confusion(predictions(spark, d), "y", pred)
 
@@ -124,7 +129,7 @@ UNION ALL SELECT 'b', round(avg(f1), 6) FROM f1_b""")
 def macro_f1(spark, d):
     pairs = F.array(*[F.struct(F.lit(s).alias("system"), F.col(s).alias("pred")) for s in "ab"])
     long = predictions(spark, d).select("y", F.inline(pairs))
-    return m.macro_f1(m.confusion(long, "y", "pred", ["system"]), K, ["system"])
+    return _shown(m.macro_f1(m.confusion(long, "y", "pred", ["system"]), K, ["system"]), "macro_f1")
 
 
 @query("e1_per_class_f1", f"""WITH {P_SQL}, {f1_sql('b', 'p', pred='b')}
@@ -150,7 +155,8 @@ SELECT round(avg(f1) FILTER (WHERE n_true + predicted > 0), 6) AS observed,
 def observed_macro_f1(spark, d):
     p = predictions(spark, d).filter("y <> 4").select("y", F.when(F.col("b") != 4, F.col("b")).alias("pred"))
     cells = m.confusion(p, "y", "pred")
-    return m.join_runs(m.macro_f1(cells, None, out="observed"), m.macro_f1(cells, K, out="fixed"), ())
+    both = m.join_runs(m.macro_f1(cells, None, out="observed"), m.macro_f1(cells, K, out="fixed"), ())
+    return _shown(both, "observed", "fixed")
 
 
 @query("e4_scores_per_run", f"WITH {P_SQL}, {RUNS_SQL}, {f1_sql('r', 'runs', group='run_index')} "
@@ -161,15 +167,15 @@ def scores_per_run(spark, d):
 
 CURVE_CTES = f"""{P_SQL}, {VOTES_SQL}, {SINGLE_SQL}, {ENSEMBLE_SQL},
 {f1_sql('single', 'single', group='training_size, seed')},
-per_seed AS (SELECT training_size, seed, round(avg(f1), 6) AS macro_f1 FROM f1_single GROUP BY ALL),
+per_seed AS (SELECT training_size, seed, round(avg(f1), 12) AS macro_f1 FROM f1_single GROUP BY ALL),
 {f1_sql('ens', 'ensemble', group='training_size')},
-ens AS (SELECT training_size, round(avg(f1), 6) AS macro_f1 FROM f1_ens GROUP BY ALL),
-{f1_sql('base', 'p', pred='b')}, base AS (SELECT round(avg(f1), 6) AS macro_f1 FROM f1_base)"""
+ens AS (SELECT training_size, round(avg(f1), 12) AS macro_f1 FROM f1_ens GROUP BY ALL),
+{f1_sql('base', 'p', pred='b')}, base AS (SELECT round(avg(f1), 12) AS macro_f1 FROM f1_base)"""
 
 
-@query("e5_scores_per_cell", f"WITH {CURVE_CTES} SELECT * FROM per_seed")
+@query("e5_scores_per_cell", f"WITH {CURVE_CTES} SELECT training_size, seed, round(macro_f1, 6) AS macro_f1 FROM per_seed")
 def scores_per_cell(spark, d):
-    return _single_runs(spark, d)
+    return _shown(_single_runs(spark, d), "macro_f1")
 
 
 @query("e6_seed_summary", f"""WITH {CURVE_CTES} SELECT training_size, count(*) AS n_seeds, round(avg(macro_f1), 6) AS mean,
@@ -183,9 +189,9 @@ def seed_summary(spark, d):
 
 @query("e6_budget_curve", f"""WITH {CURVE_CTES} SELECT training_size, training_size + 500 AS label_budget,
   round(avg(s.macro_f1), 6) AS single_seed_mean, round(stddev_pop(s.macro_f1), 6) AS single_seed_sd,
-  max(e.macro_f1) AS ensemble FROM per_seed s JOIN ens e USING (training_size) GROUP BY training_size""")
+  round(max(e.macro_f1), 6) AS ensemble FROM per_seed s JOIN ens e USING (training_size) GROUP BY training_size""")
 def budget_curve(spark, d):
-    return m.curve(_single_runs(spark, d), _ensemble_f1(spark, d))
+    return _shown(m.curve(_single_runs(spark, d), _ensemble_f1(spark, d)), "ensemble")
 
 
 @query("e7_confusion_pairs", f"""WITH {P_SQL} SELECT y, b AS pred, count(*) AS n FROM p
@@ -261,13 +267,13 @@ def gap_sensitivity(spark, d):
     return m.sensitivity(m.paired_cells(voted, "y", "pred", "b", ["training_size"]), K, EXCLUDED, ["training_size"])
 
 
-@query("e13_seeds_beating", f"""WITH {CURVE_CTES} SELECT s.training_size, max(base.macro_f1) AS baseline, max(e.macro_f1) AS ensemble,
+@query("e13_seeds_beating", f"""WITH {CURVE_CTES} SELECT s.training_size, round(max(base.macro_f1), 6) AS baseline, round(max(e.macro_f1), 6) AS ensemble,
   count(*) FILTER (WHERE s.macro_f1 > base.macro_f1) AS seeds_beating,
   count(*) FILTER (WHERE s.macro_f1 > base.macro_f1) = 0 AND max(e.macro_f1) > max(base.macro_f1) AS ensemble_only
 FROM per_seed s JOIN ens e USING (training_size), base GROUP BY s.training_size""")
 def seeds_beating(spark, d):
     base = m.macro_f1(_cells(spark, d, "b"), K)
-    return m.seeds_beating(_single_runs(spark, d), _ensemble_f1(spark, d), base)
+    return _shown(m.seeds_beating(_single_runs(spark, d), _ensemble_f1(spark, d), base), "baseline", "ensemble")
 
 
 @query("e14_point_crossover", f"""WITH {CURVE_CTES}
@@ -277,11 +283,11 @@ def point_crossover(spark, d):
 
 
 @query("e15_budget_gaps", f"""WITH {CURVE_CTES}
-SELECT training_size, e.macro_f1 AS f1_a, s.macro_f1 AS f1_b, round(e.macro_f1 - s.macro_f1, 6) AS gap
+SELECT training_size, round(e.macro_f1, 6) AS f1_a, round(s.macro_f1, 6) AS f1_b, round(e.macro_f1 - s.macro_f1, 6) AS gap
 FROM ens e JOIN per_seed s USING (training_size) WHERE s.seed = 0""")
 def budget_gaps(spark, d):
     first = _single_runs(spark, d).filter(F.col("seed") == 0)
-    return m.budget_gaps(_ensemble_f1(spark, d), first)
+    return _shown(m.budget_gaps(_ensemble_f1(spark, d), first), "f1_a", "f1_b")
 
 
 @query("e16_run_variance", f"""WITH {P_SQL}, {RUNS_SQL}, w AS (SELECT row_id, count(pred) AS answered,
