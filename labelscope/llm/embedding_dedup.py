@@ -2,13 +2,17 @@
 
 Equal vectors are one class first, so a group of copies costs one vector however large it is.
 Centroids are fitted on a bounded sample; every vector is assigned: it lives in its nearest cell
-and visits the next nearest ones, so that two close vectors meet though a border lies between
-them. Members of a cell are cut into blocks by hash, and a task compares two blocks with one
-matrix product. It returns counts and one link per vector that keeps the blocks' linked groups
-together, never the pairs. A pair that meets in two cells counts in one of them, by rule.
-
-Recall is measured against brute force by a test. Cells number at most `CELLS`, so beyond some
-millions of classes they grow, and with them the blocks to compare.
+and visits each cell of a smaller number that may be home to a vector as close as asked, so no
+pair is lost and each meets once. A vector at home nearer to c than to h lies beyond the plane
+between the two centroids; a vector y of h is at an angle of asin(y . (h - c) / |h - c|) to that
+plane, so cells whose plane is farther than the angle asked for are left out, and only those.
+Residents and visitors of a cell are cut into blocks by hash, and a task compares two blocks with
+one matrix product. It returns counts and one link per vector that keeps the blocks' linked groups
+together, never the pairs.
+
+Clustered vectors visit few cells. Vectors without clusters visit nearly all, and every pair of
+blocks is compared then. Cells number at most `CELLS`, so beyond some millions of classes they
+grow, and with them the blocks to compare.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from labelscope.session import ship_package
 
 CELLS, CELL_ROWS = 4_096, 400
 SAMPLE_ROWS = 65_536  # vectors the centroids are fitted on; all vectors are assigned
-VISITS = 4  # the home cell and the next nearest ones
 BLOCK = 1_024
+SLACK = 1e-7  # far above the rounding of the products that decide on visits
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -40,40 +44,42 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def _cells(centres: np.ndarray):
+def _cells(centres: np.ndarray, least: float):
+    # Sine of the angle asked for; from 90 degrees on nothing can be left out.
+    reach = np.sqrt(max(0.0, 1.0 - least * least)) if least > 0 else np.inf
+    numbers = np.arange(len(centres))
+
     def run(frames):
+        square = (centres * centres).sum(axis=1)
         for frame in frames:
-            if not len(frame):
-                continue
-            sims = np.stack(frame["unit"].to_numpy()) @ centres.T
-            n = min(VISITS, len(centres))
-            near = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1), axis=1)
-            frame["near"] = list(near.astype(np.int32))
-            yield frame
+            for at in range(0, len(frame), BLOCK):
+                part = frame.iloc[at : at + BLOCK].copy()
+                sims = np.stack(part["unit"].to_numpy()) @ centres.T
+                home = sims.argmax(axis=1)
+                beyond = sims[np.arange(len(part)), home][:, None] - sims
+                apart = square[home][:, None] + square[None, :] - 2 * (centres[home] @ centres.T)
+                visits = (beyond <= reach * np.sqrt(np.maximum(apart, 0.0)) + SLACK) | (reach == np.inf)
+                visits &= numbers[None, :] < home[:, None]
+                part["home"] = home.astype(np.int32)
+                part["visits"] = [np.flatnonzero(v).astype(np.int32) for v in visits]
+                yield part
 
     return run
 
 
 def _block_links(least: float):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        cell, low, high = key
+        low, high, guests = key[1:]
         group = group.sort_values("vec_id", ignore_index=True)
-        a = group[group["block"] == low]
-        b = a if low == high else group[group["block"] == high]
+        if guests:
+            a, b = group[~group["guest"]], group[group["guest"]]
+        else:
+            a = group[group["block"] == low]
+            b = a if low == high else group[group["block"] == high]
         empty = pd.DataFrame({"vec_id": [], "n": [], "label": []}).astype("int64")
         if not len(a) or not len(b):
             return empty
-        near_a, near_b = np.stack(a["near"].to_numpy()), np.stack(b["near"].to_numpy())
-        home_a, home_b = near_a[:, 0], near_b[:, 0]
         linked = np.stack(a["unit"].to_numpy()) @ np.stack(b["unit"].to_numpy()).T >= least
-        at_a, at_b = (home_a == cell)[:, None], (home_b == cell)[None, :]
-        # The other cell where the pair may meet is the visitor's home; the smaller cell counts it.
-        meets = np.zeros(linked.shape, dtype=bool)
-        for p in range(near_a.shape[1]):
-            meets |= at_a & (near_a[:, p][:, None] == home_b[None, :]) & (home_b < cell)[None, :]
-            meets |= at_b & (near_b[:, p][None, :] == home_a[:, None]) & (home_a < cell)[:, None]
-        linked &= (at_a & at_b) | ((at_a | at_b) & ~meets)
         ids_a, ids_b = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
         linked &= ids_a[:, None] != ids_b[None, :]
         if not linked.any():
@@ -86,7 +92,7 @@ def _block_links(least: float):
                 break
             label_a, label_b = new_a, new_b
         out = [pd.DataFrame({"vec_id": ids_a, "n": linked @ b["copies"].to_numpy(), "label": label_a})]
-        if low != high:
+        if guests or low != high:
             out.append(pd.DataFrame({"vec_id": ids_b, "n": a["copies"].to_numpy() @ linked, "label": label_b}))
         made = pd.concat(out, ignore_index=True)
         return made[made["n"] > 0].astype("int64")
@@ -146,16 +152,29 @@ def _linked(reps: DataFrame, dim: int, least: float) -> DataFrame:
     chosen = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("unit").toPandas()
     sample = np.stack(chosen["unit"].to_numpy())
     centres = spherical_kmeans(sample, int(min(CELLS, len(sample), max(1, n // CELL_ROWS))))
-    schema = "vec_id bigint, copies bigint, unit array<double>, near array<int>"
-    placed = kept(reps.mapInPandas(_cells(centres), schema), "cells")
-    members = placed.withColumn("cell", F.explode("near"))
-    # One row per cell: CELLS at most.
-    sizes = F.broadcast(members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-    spread = (
-        members.join(sizes, "cell")
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                "vec_id", "copies", "unit", "near", "block")
+    schema = "vec_id bigint, copies bigint, unit array<double>, home int, visits array<int>"
+    placed = kept(reps.mapInPandas(_cells(centres, least), schema), "cells")
+    residents = placed.select(F.col("home").alias("cell"), F.lit(False).alias("guest"), "vec_id", "copies", "unit")
+    visitors = placed.select(F.explode("visits").alias("cell"), F.lit(True).alias("guest"), "vec_id", "copies", "unit")
+    blocks = lambda rows, name: rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    # One row per cell: CELLS at most. A cell without residents has nothing to compare.
+    sizes = F.broadcast(blocks(residents, "homes").join(blocks(visitors, "calls"), "cell", "left").na.fill(0, ["calls"]))
+    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["cell", "low", "high", "guests", "vec_id", "copies", "unit", "guest", "block"]
+    at_home = residents.join(sizes, "cell").withColumn("block", place("homes"))
+    inside = (
+        at_home.withColumn("other", up_to("homes")).withColumn("guests", F.lit(False))
+        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select(columns)
+    )
+    hosts = (
+        at_home.filter("calls > 0").withColumn("high", up_to("calls"))
+        .withColumns({"low": F.col("block"), "guests": F.lit(True)}).select(columns)
+    )
+    guests = (
+        visitors.join(sizes, "cell").withColumn("block", place("calls")).withColumn("low", up_to("homes"))
+        .withColumns({"high": F.col("block"), "guests": F.lit(True)}).select(columns)
     )
-    return spread.groupBy("cell", "low", "high").applyInPandas(_block_links(least), "vec_id bigint, n bigint, label bigint")
+    spread = inside.unionByName(hosts).unionByName(guests)
+    return spread.groupBy("cell", "low", "high", "guests").applyInPandas(
+        _block_links(least), "vec_id bigint, n bigint, label bigint")

@@ -237,6 +237,21 @@ def test_embeddings_equal_all_pairs(spark):
     assert rows(embedding_dedup.near_vectors(none)) == []
 
 
+def test_embeddings_without_clusters_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 25)  # 160 cells
+    draw = np.random.default_rng(5)
+    x, off = draw.normal(size=(2, 2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    m = np.concatenate([x, 0.901 * x + np.sqrt(1 - 0.901**2) * off])
+    got = embedding_dedup.near_vectors(spark.createDataFrame(list(enumerate(m.tolist())), "vec_id bigint, embedding array<double>"))
+    near = m @ m.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {
+        k: (int(near[k].sum()), k % 2000) for k in range(4000)}
+
+
 def test_weak_labels(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     got = weak_quality.weak_quality(spark.read.parquet(f"{sf}/documents.parquet")).join(
