@@ -3,7 +3,9 @@
 The second part lexes source and configuration syntax into name-literal pairs. A right side may
 be a quoted literal, a bare word, a name bound before in the same text, or several of them added
 together; bound names stand for their literals, so a secret put into `a` and handed on by
-`client_secret = a` is found where it is written. Pairs are scored by what their name says and
+`client_secret = a` is found where it is written. A declared type between name and literal
+(`a: str = "..."`) is skipped, and `a = b = "..."` binds both. Literals may have a prefix or
+triple quotes. Pairs are scored by what their name says and
 by how much the literal looks like a generated value.
 """
 
@@ -30,7 +32,16 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 _NAME = re.compile(r"(?<![\w$.-])[A-Za-z_$][\w$.-]*+", re.A)
 _BOUND = re.compile(r"""["']?[\x20\t]*(?::=|=>|=(?![=~])|:(?!:))[\x20\t]*""", re.A)
-_QUOTED = re.compile(r'''"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)\'''')
+#: A type with brackets, marks of references and alternatives, up to the sign that assigns.
+_TYPED = re.compile(
+    r"""[?!]?[\x20\t]*:[\x20\t]*(?:[&*]++(?:'\w++[\x20\t]++)?(?:mut[\x20\t]++)?)?"""
+    r"""(?:[A-Za-z_$][\w.$]*+(?:::\w++)*+(?:\[[^\[\]\n=]*+(?:\[[^\[\]\n=]*+\][^\[\]\n=]*+)*+\]"""
+    r"""|<[^<>\n=]*+(?:<[^<>\n=]*+>[^<>\n=]*+)*+>|\?)*+[\x20\t]*+(?:\|[\x20\t]*+(?=[A-Za-z_$])|(?==)))++"""
+    r"""=(?![=~>])[\x20\t]*""", re.A)
+_PREFIX = r"(?:[bBfFrRuULtT]{1,2}|u8|[@$]{1,2})?"
+_TRIPLE = re.compile(_PREFIX + r'''(?:"""(.*?)"""|\'\'\'(.*?)\'\'\')''', re.S)
+_QUOTED = re.compile(_PREFIX + r'''(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|\'([^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+)\')''')
+_ASSIGNS = re.compile(r"=(?!>)")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@%^&*-]++", re.A)
 _PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 #: What parts of a name say, from 0 to 1.
@@ -71,35 +82,50 @@ def value_score(value: str) -> float:
 def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     """`name, value, spans of the literals that make it up` of each binding of a text, in order."""
     bound: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    at = 0
+    at, names, expected = 0, [], -1  # names before `expected` wait for the literal at its end
     while found := _NAME.search(text, at):
         at = found.end()
-        operator = _BOUND.match(text, at)
+        if found.start() != expected:
+            names = []
+        names.append(found[0])
+        typed = _TYPED.match(text, at)
+        operator = typed or _BOUND.match(text, at)
         if not operator:
             continue
-        name, pos, parts = found[0], operator.end(), []
+        pos, parts, plain = operator.end(), [], False
+        inner = None  # what is in triple quotes is lexed as well
         while True:
-            if quoted := _QUOTED.match(text, pos):
-                group = 1 if quoted[1] is not None else 2
-                parts.append((quoted[group], [quoted.span(group)]))
+            if quoted := (triple := _TRIPLE.match(text, pos)) or _QUOTED.match(text, pos):
+                begin, end = quoted.span(1 if quoted[1] is not None else 2)
+                if triple:
+                    inner = begin if inner is None else inner
+                    found_text = text[begin:end]
+                    begin, end = begin + len(found_text) - len(found_text.lstrip()), begin + len(found_text.rstrip())
+                    begin = min(begin, end)
+                parts.append((text[begin:end], [(begin, end)]))
                 pos = quoted.end()
             elif bare := _BARE.match(text, pos):
                 known = bound.get(bare[0])
                 parts.append(known if known else (bare[0], [bare.span()]))
-                pos = bare.end()
+                pos, plain = bare.end(), not parts[1:]
             else:
                 break
             plus = _PLUS.match(text, pos)
             if not plus:
                 break
             pos = plus.end()
+        if typed and (declared := _NAME.search(text, found.end(), operator.end())):
+            names.append(declared[0])  # `a: b = literal` may also be a key and an assignment to b
         if parts:
+            if len(parts) == 1 and plain and (more := _TYPED.match(text, pos) or _BOUND.match(text, pos)):
+                # The right side is itself a name that gets a value: in `a = b = literal` both do.
+                expected = operator.end() if _ASSIGNS.search(more[0]) else -1
+                continue
             value, spans = "".join(p[0] for p in parts), [s for p in parts for s in p[1]]
-            if len(spans) == len(parts) == 1 and _BOUND.match(text, pos) and text[operator.end()] not in "\"'":
-                continue  # the right side is itself a name that gets a value: `a: b = "..."`
-            bound[name] = (value, spans)
-            yield name, value, spans
-            at = pos
+            for name in names:
+                bound[name] = (value, spans)
+                yield name, value, spans
+            at = pos if inner is None else inner
 
 
 def find(text: str) -> list[tuple[int, int, str, float]]:

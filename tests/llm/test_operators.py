@@ -202,6 +202,19 @@ def test_secrets_base_and_bindings(spark, texts, odd, none):
     assert len(rows(secret_scan.scan_secrets(odd))) == len(ODD) and rows(secret_scan.scan_secrets(none)) == []
 
 
+@pytest.mark.parametrize("text", [
+    'password: str = "{}"', 'const clientSecret: string = "{}";', "password: Optional[str] = '{}'", "let pwd: &'static str = \"{}\"",
+    'dbPassword?: string | null = "{}"', 'db_password = b"{}"', "password = r'{}'", 'password = f"{}"', "pwd = u'{}'", 'pwd = Rb"{}"',
+    'password = """{}"""', "password = '''{}'''", 'password: bytes = b"""\n{}\n"""', 'password = backup = "{}"',
+    'user: str = "a" + "b"\npassword: str = "{}"', 'config: str = """\nuser = x\npassword = "{}"\n"""', 'x = """ password: str = "{}" """'])
+def test_secrets_typed_prefixed_and_triple(text):
+    value = "k8Jq2m+Zp9!XvT4r"
+    begin = text.index("{}")
+    text = text.replace("{}", value)
+    assert [x[:3] for x in secret_scan.find(text)] == [(begin, begin + len(value), "pair")]
+    assert secret_scan.masked(text) == text.replace(value, "[SECRET]")
+
+
 def test_line_quality(spark, texts, odd, none):
     got = {r.doc_id: r for r in line_quality.line_quality(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     for d, t in texts.items():
