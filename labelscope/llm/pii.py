@@ -25,18 +25,29 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 _EMAIL = r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![\w-]))"
-_NUMBERS = (
-    r"(?=[A-Z0-9+(])(?:"
-    r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w/-]|\.[0-9]))"
-    r"|(?P<ipv4>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))"
-    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-]))"
-    r"|(?P<phone>(?<![\w])\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,4}(?!\w)"
-    r"|(?<![\w-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])))"
-)
+#: In the order in which kinds that begin at one place are tried.
+_SHAPES = {
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=[Tt][0-9])|(?![\w/-]|\.[0-9]))"
+            r"|[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![\w/-]|\.[0-9]))",
+    "ipv4": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "card": r"(?<![\w-])[0-9](?:[\x20-]?[0-9]){12,18}(?!\w|-(?![0-9]))",
+    "phone": r"(?<![\w])\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,4}(?!\w)"
+             r"|(?<![\w-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])",
+}
+_NUMBERS = r"(?=[A-Z0-9+(])(?:" + "|".join(f"(?P<{kind}>{shape})" for kind, shape in _SHAPES.items()) + ")"
 #: Texts without an at sign need not look for mail addresses.
 _PATTERNS = {True: re.compile(f"{_EMAIL}|{_NUMBERS}", re.A), False: re.compile(_NUMBERS, re.A)}
+_ONE = {kind: re.compile(shape, re.A) for kind, shape in _SHAPES.items()}
+#: Kinds whose shape may run on into what follows the value.
+_OPEN = ("iban", "card", "phone")
+#: Characters of an account number by country.
+_IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 "
+    "FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+    "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 "
+    "RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
 
 
 def feistel(value: int, size: int, key: bytes, tweak: str, undo: bool = False) -> int:
@@ -179,23 +190,58 @@ _MAKERS: dict[str, Callable] = {
 }
 
 
+def _usual(kind: str, found: str) -> int:
+    """Letters and digits that a number of this beginning usually has; 0 where none is usual."""
+    if kind == "iban":
+        return _IBAN_LENGTHS.get(found[:2], 0)
+    if kind != "card":
+        return 0
+    head = re.sub(r"\D", "", found[:5])[:2]
+    return 15 if head in ("34", "37") else 14 if head in ("30", "36", "38", "39") else 16
+
+
+def _ends(kind: str, text: str, begin: int, end: int) -> list[int]:
+    """Ends to try for a shape found at `begin` to `end`: the number's usual length, then from the
+    longest down. All but the longest are followed by a separator inside of what was found."""
+    if kind not in _OPEN:
+        return [end]
+    ends = [end] + [e for e in range(end - 1, begin, -1) if text[e] in " .-" and _ONE[kind].fullmatch(text, begin, e)]
+    usual = _usual(kind, text[begin:end])
+    return sorted(ends, key=lambda e: sum(c.isalnum() for c in text[begin:e]) != usual) if usual else ends
+
+
 def pseudonymise(text: str, key: bytes, undo: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and `begin, end, kind` (code points of the given text) of each.
 
-    What looks like a kind and fails its validation is tried as the kinds after it in the
-    pattern from the next character on, so an invalid card number may still hold nothing.
+    A shape may have swallowed what follows a value. If it fails its validation, its shorter ends
+    are tried, then the kinds after it in the pattern from the same place on, and then the next
+    character. A pseudonym that a try before the chosen one would accept is permuted again, so
+    that the text with pseudonyms is read the same way.
     """
     out, spans, last, at = [], [], 0, 0
-    pattern = _PATTERNS["@" in text]
+    pattern, kinds = _PATTERNS["@" in text], list(_SHAPES)
     while found := pattern.search(text, at):
-        kind = found.lastgroup
-        fresh = _MAKERS[kind](found[0], key, undo)
+        begin, kind = found.start(), found.lastgroup
+        fresh, end, failed = None, found.end(), []
+        if kind == "email":
+            fresh = _MAKERS[kind](found[0], key, undo)
+        for kind in kinds[kinds.index(kind):] if fresh is None else ():
+            shape = found if kind == found.lastgroup else _ONE[kind].match(text, begin)
+            for end in _ends(kind, text, begin, shape.end()) if shape else ():
+                fresh = _MAKERS[kind](text[begin:end], key, undo)
+                if fresh is not None:
+                    break
+                failed.append((kind, end))
+            if fresh is not None:
+                break
         if fresh is None:
-            at = found.start() + 1
+            at = begin + 1
             continue
-        out += [text[last : found.start()], fresh]
-        spans.append((found.start(), found.end(), kind))
-        last = at = found.end()
+        while any(_MAKERS[k]((fresh + text[end:e])[: e - begin], key, undo) is not None for k, e in failed):
+            fresh = _MAKERS[kind](fresh, key, undo)
+        out += [text[last:begin], fresh]
+        spans.append((begin, end, kind))
+        last = at = end
     return "".join(out) + text[last:], spans
 
 

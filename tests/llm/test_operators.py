@@ -324,6 +324,22 @@ def test_pseudonyms(spark, odd, none):
     assert len(rows(pii.pseudonyms(odd, key))) == len(ODD) and rows(pii.pseudonyms(none, key)) == []
 
 
+@pytest.mark.parametrize("text, value, kind", [
+    ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"), ("4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"),
+    ("4111111111111111 07 2027", "4111111111111111", "card"), ("4111111111111111-2027", "4111111111111111", "card"),
+    ("3782 822463 10005 1234", "3782 822463 10005", "card"), ("BE68539007547034 BIC KREDBEBB", "BE68539007547034", "iban"),
+    ("BE68 5390 0754 7034 BIC X", "BE68 5390 0754 7034", "iban"), ("at 2024-05-01T10:00:00Z", "2024-05-01", "date"),
+    ("555-123-4567 2025", "555-123-4567", "phone"), ("+49 30 12345678 2024 1234", "+49 30 12345678", "phone")])
+def test_pseudonyms_of_values_with_followers(text, value, kind):
+    begin = text.index(value)
+    for key in (bytes([k]) for k in range(40)):
+        fresh, spans = pii.pseudonymise(text, key)
+        assert spans[0] == (begin, begin + len(value), kind) and value not in fresh
+        assert pii.pseudonymise(fresh, key, undo=True)[0] == text
+        if kind in ("card", "iban"):
+            assert fresh.startswith(pii.pseudonymise(value, key)[0])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
