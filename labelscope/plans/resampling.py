@@ -113,6 +113,11 @@ def interval_verdict(spark, d):
     return rs.verdict(_summary(spark, d))
 
 
+@query("i6_bootstrap_verdict")
+def bootstrap_verdict(spark, d):
+    return rs.verdict(rs.paired_bootstrap(predictions(spark, d), "y", "a", "b", K, replicates=5000))
+
+
 _ARMS = (0, 1)
 
 
@@ -133,6 +138,16 @@ def test_matrix(spark, d):
     return rs.permutation_by_hash(both, "y", "a", "b", "row_id", K, 32, 42, keys=("arm", "training_size"))
 
 
+@query("i7_whole_matrix")
+def whole_matrix(spark, d):
+    """Every arm and budget against the ensemble of its budget."""
+    v = votes(spark, d)
+    ens = en.soft_vote(v, K).select("row_id", "training_size", F.col("pred").alias("b"))
+    single = v.select("row_id", "y", F.col("seed").alias("arm"), "training_size", argmax("probs").alias("a"))
+    both = single.join(ens, ["row_id", "training_size"])
+    return rs.paired_permutation(both, "y", "a", "b", K, replicates=10_000, keys=("arm", "training_size"))
+
+
 _PICKS = ", ".join(
     f"CAST('0x' || substr(md5('42:draw{j}:' || rep), 1, 8) AS BIGINT) % 5 AS d{j}" for j in range(5))
 _TIMES = ", ".join(

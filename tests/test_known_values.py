@@ -395,3 +395,18 @@ def test_votes_that_are_missing_or_repeated_raise(spark):
         gathered(votes, [0, 1, 2])
     with pytest.raises(Exception, match="twice"):
         gathered([*votes, votes[0]], [0, 1])
+
+
+def test_whole_matrix_and_verdict_run_at_full_counts(spark):
+    from labelscope.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    whole = {(r.arm, r.training_size): r for r in QUERIES["i7_whole_matrix"](spark, sf).collect()}
+    assert set(whole) == {(arm, n) for arm in range(5) for n in (50, 100, 250, 500)}
+    assert {r.n_replicates for r in whole.values()} == {10_000}
+    for r in QUERIES["i7_test_matrix"](spark, sf).collect():  # the hash form: two arms, 32 draws
+        full = whole[r.arm, r.training_size]
+        assert full.observed_diff == r.observed_diff and abs(full.p_value - r.p_value) < 0.3
+    (found,) = QUERIES["i6_bootstrap_verdict"](spark, sf).collect()
+    favours = "a_better" if found.ci_lower > 0 else "b_better" if found.ci_upper < 0 else "not_significant"
+    assert found.n_replicates == 5000 and found.verdict == favours
