@@ -120,3 +120,130 @@ WITH RECURSIVE
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN reached ON vec_id = id LEFT JOIN counts ON a = vec_id
 """
+
+# A checksum of ASCII strings by its table of remainders, and a search over all edits that carries
+# the cheapest `cost, audit, lines` of each place forwards, row by row.
+_PUT_IN = "{{'c': {x}.c + 3, 'a': {x}.a || 'I', 't': list_append({x}.t, '{line}')}}"
+_CUT = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+_DELETED = "{{'c': {x}.c + 4, 'a': {x}.a || 'D', 't': {x}.t}}"
+_KEPT = ("CASE WHEN fault IN ('blank', 'duplicate') OR initial <> '{initial}' THEN {{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}} "
+         "ELSE {{'c': {x}.c + " + _CUT + ", 'a': {x}.a || 'K', 't': list_append({x}.t, role || ':' || text)}} END")
+_RELABELLED = ("CASE WHEN fault IN ('blank', 'duplicate') THEN {{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}} "
+               "ELSE {{'c': {x}.c + 3 + " + _CUT + ", 'a': {x}.a || 'R', 't': list_append({x}.t, '{line}' || text)}} END")
+_TO_USER = ("p0", "p1", "p3")
+
+OP11 = f"""
+WITH RECURSIVE
+    remainders AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+            lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS table_
+    ),
+    drawn AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               xor(list_reduce(list_concat([4294967295], list_transform(string_split(
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x))),
+                   lambda c, b: xor(c >> 8, table_[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h
+        FROM conversations, remainders
+    ),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+               CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM drawn, (SELECT unnest([1, 2]) AS copy) WHERE h <> 0 AND (copy = 1 OR h = 3)
+    ),
+    numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial
+        FROM damaged
+    ),
+    judged AS (
+        SELECT *, CASE
+            WHEN NOT regexp_matches(text, '{_WORD}') THEN 'blank'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+            lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+        FROM numbered
+    ),
+    walk(conv_id, i, s0, s1, s2, s3) AS (
+        SELECT conv_id, CAST(0 AS BIGINT), {{'c': 0, 'a': '', 't': []::VARCHAR[]}}, {{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}},
+               {{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}}, {{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}}
+        FROM (SELECT DISTINCT conv_id FROM judged)
+        UNION ALL
+        SELECT conv_id, i, {_DELETED.format(x='p0')}, least({_DELETED.format(x='p1')}, {_KEPT.format(x='p0', initial='s')}),
+               least({_DELETED.format(x='p2')}, {', '.join(_KEPT.format(x=x, initial='u') for x in _TO_USER)},
+                     {', '.join(_RELABELLED.format(x=x, line='user:') for x in _TO_USER)}),
+               least({_DELETED.format(x='p3')}, {_KEPT.format(x='p2', initial='a')}, {_RELABELLED.format(x='p2', line='assistant:')})
+        FROM (SELECT conv_id, i + 1 AS i, p0, p1, p2, least(s3, {_PUT_IN.format(x='p2', line='assistant:')}) AS p3
+              FROM (SELECT *, s0 AS p0, s1 AS p1,
+                           least(s2, {', '.join(_PUT_IN.format(x=x, line='user:') for x in ('s0', 's1', 's3'))}) AS p2 FROM walk))
+             JOIN judged USING (conv_id, i)
+    ),
+    finished AS (
+        SELECT conv_id, least(s0, s3, {_PUT_IN.format(x='p2', line='assistant:')}) AS found
+        FROM (SELECT *, least(s2, {', '.join(_PUT_IN.format(x=x, line='user:') for x in ('s0', 's1', 's3'))}) AS p2 FROM walk)
+        WHERE (conv_id, i) IN (SELECT (conv_id, max(i)) FROM judged GROUP BY conv_id)
+    ),
+    counts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+               count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM judged GROUP BY conv_id
+    )
+SELECT conv_id, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))},
+       CAST(coalesce(found.c, 0) AS BIGINT) AS cost, coalesce(found.a, '') AS audit,
+       sha256(coalesce(array_to_string(found.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN finished USING (conv_id)
+"""
+
+OP12 = """
+WITH
+    usable AS (
+        SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scores AS (
+        SELECT q.vec_id AS query_id, x.vec_id, max(CAST(list_dot_product(q.v, x.v) AS BIGINT)) AS score
+        FROM usable q JOIN usable x ON len(q.v) = len(x.v) AND q.vec_id <> x.vec_id
+        WHERE q.vec_id % 100 = 0 GROUP BY ALL
+    ),
+    ranked AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scores
+    )
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+OP13 = """
+WITH
+    cut AS (
+        SELECT doc_id, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || doc_id) AS h
+        FROM documents
+    ),
+    drawn AS (
+        SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n,
+               list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS draws
+        FROM cut
+    ),
+    placed AS (
+        SELECT doc_id, text, units, n, least(draws[1] % (n + 1), draws[2] % (n + 1)) AS low,
+               greatest(draws[1] % (n + 1), draws[2] % (n + 1)) AS high,
+               CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                         OR draws[3] % 100 >= 90 THEN 'plain'
+                    WHEN draws[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM drawn
+    ),
+    parts AS (
+        SELECT doc_id, text, n, form, array_to_string(units[:low], '') AS prefix,
+               array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix
+        FROM placed
+    )
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""

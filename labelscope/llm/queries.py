@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import (
-    byte_bpe, embedding_dedup, licenses, line_quality, minhash, oracles, packing, pii, secret_scan, toxicity,
-    weak_quality,
+    byte_bpe, conversation_repair, embedding_dedup, fill_in_middle, licenses, line_quality, minhash, oracles, packing,
+    pii, secret_scan, top_k, toxicity, weak_quality,
 )
 
 QUERIES: dict = {}
@@ -16,6 +16,9 @@ ORACLE: dict[str, str] = {
     "op1_minhash_dedup": oracles.OP1,
     "op5_line_quality": oracles.OP5,
     "op6_embedding_dedup": oracles.OP6,
+    "op11_conversation_repair": oracles.OP11,
+    "op12_top_k": oracles.OP12,
+    "op13_fill_in_middle": oracles.OP13,
 }
 
 
@@ -106,3 +109,20 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(kind) for kind in pii.KINDS]
     return found.select("doc_id", F.size("spans").cast("bigint").alias("n_found"), *counts, "text")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(rows, texts=False).withColumnRenamed("key", "conv_id")
+
+
+@query
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k.top_k(vectors.filter("vec_id % 100 = 0"), vectors, k=10)
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
