@@ -190,8 +190,8 @@ def test_pruning_takes_every_way_and_loses_nothing():
     draw = np.random.default_rng(8)
     centres = draw.normal(size=(40, 24))
     centres /= np.linalg.norm(centres, axis=1, keepdims=True)
-    x = np.floor(1000 * (centres[draw.integers(0, 40, 4_000)] + 0.002 * draw.normal(size=(4_000, 24))))
-    x *= draw.choice([1.0, 1.0, 2.0, 8.0], size=(4_000, 1))
+    x = np.floor(1000 * (centres[draw.integers(0, 40, 4_000)] + 0.015 * draw.normal(size=(4_000, 24))))
+    x = np.floor(x * draw.choice([0.5, 1.0, 1.0, 1.0], size=(4_000, 1)))
     x = x[np.argsort(-np.linalg.norm(x, axis=1), kind="stable")]
     ids = np.arange(4_000)
     asked = draw.choice(4_000, 60, replace=False)
