@@ -9,9 +9,8 @@ Links are confirmed on the full shingle sets.
 The work follows the links, not the pairs of a group:
 
 * documents with equal shingle sets are one class from the start, whatever their number;
-* in a bucket every member is compared with one pivot; a group of near copies so costs one
-  comparison a member. Two rounds choose different pivots (smallest id, then the member that
-  meets most others);
+* in a bucket every member is compared with its smallest id; a group of near copies so costs one
+  comparison a member;
 * only members of buckets that still hold several components are compared further, across
   components, in blocks of bounded size; a block pair returns the links that merge components,
   not its pairs. Shingles that no other such member has bound the overlap a document can reach,
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.graph import components
+from labelscope.llm.graph import parents
 from labelscope.llm.stages import in_arrow, kept
 from labelscope.llm.words import LOWER, NOT_SPACE, Words, blocks, mix, multipliers, shingles
 
@@ -41,7 +40,8 @@ LONGS = SLOTS // 64
 MARGIN = 0.18
 #: So many ids (16 MB) are broadcast to the text scan; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-BLOCK = 256
+#: Documents, and bytes of their shingle sets, in a block of members compared at once.
+BLOCK, BLOCK_SET_BYTES = 1_024, 1 << 22
 _U = np.uint64
 _PLANES = [f"p{b}{i}" for b in range(BITS) for i in range(LONGS)]
 FEATURES = (
@@ -152,7 +152,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("a", "b", F.size(F.array_intersect("ma", "mb")).cast("bigint").alias("both"),
                 (F.size("ma") + F.size("mb")).cast("bigint").alias("sum"))
     )
-    return both.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b").distinct()
+    return both.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
 
 
 def _shared(sets: DataFrame) -> DataFrame:
@@ -162,26 +162,28 @@ def _shared(sets: DataFrame) -> DataFrame:
     return each.join(common, "member").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def _across(open_: DataFrame, planes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(open_: DataFrame, planes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links `a, b` that join the components of open buckets; at most one per merge and task.
 
     Members that the bound allows a link are put together by the buckets they share, cut into
     blocks by hash, and two blocks are compared in one task.
     """
-    left = sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
-    able = planes.join(_shared(left), "doc_id").filter(F.col("shared") * 100 >= F.col("sig.n") * percent)
-    inside = open_.join(able.select("doc_id"), "doc_id", "left_semi")
+    marks = kept(open_.groupBy("doc_id").agg(F.min("component").alias("component")), "open-members")
+    sets = _sets_of(docs, marks, size)
+    able = kept(
+        _shared(sets).join(marks, "doc_id").join(planes, "doc_id")
+        .filter(F.col("shared") * 100 >= F.col("sig.n") * percent).select("doc_id", "component", "shared", "sig.*"),
+        "able-members")
+    inside = open_.join(able.select("doc_id"), "doc_id", "left_semi").select("band", "doc_id")
     first = inside.groupBy("band").agg(F.min("doc_id").alias("a"))
-    family = components(inside.join(first, "band").select("a", F.col("doc_id").alias("b")).distinct())
-    marks = open_.select("doc_id", "component").distinct()
+    family = parents(inside.join(first, "band").select("a", F.col("doc_id").alias("b")))
     members = kept(
-        able.join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
-        .join(marks, "doc_id").select("family", "doc_id", "component", "shared", "sig.*"),
-        "families",
-    )
-    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        able.join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id", "left")
+        .withColumn("family", F.coalesce("family", "doc_id")), "families")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") * 8 / BLOCK_SET_BYTES)).cast("int")
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("c"), blocks.alias("blocks")).filter("c > 1").drop("c")
     spread = (
-        members.join(sizes, "family").join(left.select("doc_id", "members"), "doc_id")
+        members.join(sizes, "family").join(sets, "doc_id")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
@@ -254,44 +256,35 @@ def near_duplicates(
     known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
 
     # One class per shingle set; its smallest id stands for it.
-    classes = known.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"))
+    row = F.struct(*_PLANES, "bands")
     reps = kept(
-        known.join(classes.select("set_a", "set_b", "n", F.col("rep").alias("doc_id")),
-                   ["set_a", "set_b", "n", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"]),
-        "classes",
-    )
+        known.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by(row, "doc_id").alias("row"))
+        .select("doc_id", "set_a", "set_b", "n", "row.*"), "classes")
     planes = reps.select("doc_id", F.struct("n", *_PLANES).alias("sig"))
     members = reps.select("doc_id", F.explode("bands").alias("band"))
     crowd = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("pivot")).filter("c > 1")
     buckets = kept(members.join(crowd, "band").select("band", "doc_id", "c", "pivot"), "buckets")
 
-    # An id with several texts belongs to several classes and so links them.
-    texts_of = known.select("doc_id", "set_a", "set_b", "n").distinct()
-    repeated = (
-        texts_of.join(texts_of.groupBy("doc_id").count().filter("count > 1"), "doc_id")
-        .join(classes, ["set_a", "set_b", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    )
     star = _likely(buckets.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), planes, percent)
-    sets = _sets_of(docs, _ends(star), size)
-    links = kept(_confirmed(star, sets, percent).unionByName(repeated), "near-links")
-    tops = components(links)
+    links = _confirmed(star, _sets_of(docs, _ends(star), size), percent)
+    # An id with several texts belongs to several classes and so links them.
+    each = F.struct("set_a", "set_b", "n")
+    repeated = known.groupBy("doc_id").agg(F.min(each).alias("x"), F.max(each).alias("y")).filter("x <> y").select("doc_id")
+    if not repeated.isEmpty():
+        texts_of = known.join(repeated, "doc_id").select(F.col("doc_id").alias("b"), "set_a", "set_b", "n").distinct()
+        links = links.unionByName(texts_of.join(reps, ["set_a", "set_b", "n"]).select(F.col("doc_id").alias("a"), "b"))
+    links = kept(links, "near-links")
+    tops = parents(links)
 
     open_ = kept(_unsettled(buckets, tops), "open-buckets")
     if not open_.isEmpty():
-        sets = _sets_of(docs, open_, size)
-        weight = open_.groupBy("doc_id").agg(F.sum("c").alias("meets"))
-        best = open_.join(weight, "doc_id").groupBy("band").agg(
-            F.max_by("doc_id", F.struct("meets", F.negative("doc_id"))).alias("a"))
-        star = _likely(open_.join(best, "band").select("a", F.col("doc_id").alias("b")), planes, percent)
-        links = kept(links.unionByName(_confirmed(star, sets, percent)).distinct(), "near-links")
-        tops = components(links)
-        open_ = kept(_unsettled(buckets, tops), "open-buckets")
-    if not open_.isEmpty():
-        links = kept(links.unionByName(_across(open_, planes, sets, percent)).distinct(), "near-links")
-        tops = components(links)
+        more = kept(_across(open_, planes, docs, size, percent), "merging-links")
+        if not more.isEmpty():
+            so_far = tops.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            tops = parents(so_far.unionByName(more))
 
-    by_class = classes.join(tops.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_a", "set_b", "n", F.coalesce("component", "rep").alias("component_id"))
+    by_class = reps.join(tops.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "set_a", "set_b", "n", F.coalesce("component", "doc_id").alias("component_id"))
     of_id = F.coalesce("component_id", "doc_id")
     found = rows.join(by_class, ["set_a", "set_b", "n"], "left")
     return found.select(
@@ -306,7 +299,7 @@ def _likely(pairs: DataFrame, planes: DataFrame, percent: int) -> DataFrame:
         pairs.filter("a <> b").distinct()
         .join(planes.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
         .join(planes.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a")
-        .filter(_near("x", "y", percent)).select("a", "b").distinct()
+        .filter(_near("x", "y", percent)).select("a", "b")
     )
     return kept(found, "likely")
 

@@ -19,6 +19,7 @@ is one blocked product of the query set with all rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -62,8 +63,8 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [("id", pa.int64()), ("dim", pa.int32()), ("length", pa.float64()), ("vec", pa.binary())]))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of sorted vectors of one dimension as blocks."""
+def _pack(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of sorted vectors of one dimension as blocks of at most so many bytes."""
     from pyspark import TaskContext
 
     part, seq, held, size, longest, dim_held = TaskContext.get().partitionId(), 0, [], 0, 0.0, None
@@ -77,7 +78,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for id_, dim, length, vec in zip(*[c.to_pylist() for c in batch.columns]):
-            if held and (dim != dim_held or size + len(vec) + 8 > BLOCK_BYTES):
+            if held and (dim != dim_held or size + len(vec) + 8 > most):
                 yield block()
                 seq, held, size = seq + 1, [], 0
             if not held:
@@ -89,12 +90,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def blocked(rows: DataFrame, *order) -> DataFrame:
+def blocked(rows: DataFrame, most: int, *order) -> DataFrame:
     """Rows in range order of the given columns as a table of blocks. Ranges end with the id, so
     any number of equal lengths is spread."""
     total = rows.agg(F.coalesce(F.sum(F.length("vec") + 8), F.lit(0))).first()[0]
     parts = max(1, -(-total // PART_BYTES))
-    return in_arrow(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), _pack, _BLOCKS)
+    return in_arrow(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), partial(_pack, most), _BLOCKS)
 
 
 class Bucket:
@@ -266,7 +267,8 @@ def _usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return in_arrow(good, _placed, _ROWS).dropDuplicates(["id", "vec"])
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding",
+          block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`query_id, rank, vec_id, score` of the k best candidates of every query, ranked from 1.
 
     Components become floor(1024 * x) in double precision; the score is their integer inner
@@ -281,8 +283,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_i
     ship_package(spark)
     rows = kept(_usable(vectors, key, vector), "vectors")
     asked = kept(_usable(queries, key, vector), "query-vectors")
-    buckets = kept(blocked(rows, F.col("dim"), F.col("length").desc(), F.col("id")), "buckets")
-    blocks = blocked(asked, F.col("dim"), F.xxhash64("id"), F.col("id"))
+    buckets = kept(blocked(rows, block_bytes, F.col("dim"), F.col("length").desc(), F.col("id")), "buckets")
+    blocks = blocked(asked, block_bytes, F.col("dim"), F.xxhash64("id"), F.col("id"))
 
     longest = buckets.groupBy("dim").agg(F.max_by(F.struct("part", "seq"), F.struct("longest", -F.col("part"), -F.col("seq"))).alias("at"))
     heads = buckets.join(F.broadcast(longest) if longest.count() <= HEADS else longest, "dim").filter(

@@ -74,6 +74,49 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
 
 
+def test_components_of_random_links_in_small_forests(spark):
+    draw = random.Random(2)
+    links = [(draw.randrange(3_000), draw.randrange(3_000)) for _ in range(1_800)] + [(5_000 + i, 5_001 + i) for i in range(600)]
+    draw.shuffle(links)
+    up = {x: x for e in links for x in e}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        p, q = top(a), top(b)
+        up[max(p, q)] = min(p, q)
+    table = spark.createDataFrame(links, "a bigint, b bigint").repartition(6)
+    want = {x: top(x) for x in up}
+    for most in (7, 500_000):
+        got = graph.components(table, fold_links=most).collect()
+        assert len(got) == len({r.node for r in got})
+        assert {r.node: r.component for r in got} == {x: c for x, c in want.items() if (x, x) not in links or x != c or
+                                                     any(x in e and e[0] != e[1] for e in links)}
+
+
+def test_words_that_sum_alike_differ(spark):
+    """Words on which sums of powers modulo 2^64 agree whatever the base."""
+    swap = str.maketrans("ab", "ba")
+    for length in (64, 256, 1_024, 2_048, 8_192):
+        word = "a"
+        while len(word) < length:
+            word += word.translate(swap)
+        texts = {1: word, 2: word.translate(swap), 3: f"{word} x y z {word.translate(swap)} x y z"}
+        got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), size=4).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(texts, 4, 80)
+        lines = line_quality.line_quality(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+        assert {r.doc_id: r.n_repeat_words for r in lines} == {1: 0, 2: 0, 3: _repeats(texts[3])}
+
+
+def _repeats(text):
+    w = text.split()
+    runs = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    return len({i + k for i in range(len(w) - 2) for k in range(3) if runs[tuple(w[i : i + 3])] > 1})
+
+
 @pytest.mark.parametrize("size", [4, 5])
 def test_minhash_equals_all_pairs(spark, texts, size):
     got = minhash.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet"), size=size).collect()

@@ -155,16 +155,15 @@ def brute_top(rows, k=10, every=100):
     return out
 
 
-def _top(spark, data, kind="array<float>", k=10, every=100):
+def _top(spark, data, kind="array<float>", k=10, every=100, **options):
     table = spark.createDataFrame(data, f"vec_id bigint, embedding {kind}").repartition(5)
     table = table.withColumns({c: F.lit("x") for c in ("id", "dim", "length", "score", "rank", "part")})
-    got = tk.top_k(table.filter(F.col("vec_id") % every == 0), table, k).collect()
+    got = tk.top_k(table.filter(F.col("vec_id") % every == 0), table, k, **options).collect()
     return sorted(tuple(r) for r in got)
 
 
 @pytest.mark.parametrize("block", [1 << 20, 2_000])
-def test_top_k_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(tk, "BLOCK_BYTES", block)
+def test_top_k_equals_brute_force(spark, block):
     draw = np.random.default_rng(4)
     centres = draw.normal(size=(12, 16))
     data = []
@@ -172,7 +171,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
         v = centres[i % 12] + 0.02 * draw.normal(size=16)
         data.append((i, (v * draw.choice([0.01, 0.5, 1.0, 3.0])).astype("f4").tolist()))
     data += [(1_000 + i, data[7][1]) for i in range(40)]  # ties
-    assert _top(spark, data) == brute_top(data)
+    assert _top(spark, data, block_bytes=block) == brute_top(data)
 
 
 def test_top_k_odd_rows(spark):
@@ -235,7 +234,7 @@ def _texts():
     return rows
 
 
-def test_middle_equals_brute_force(spark, monkeypatch):
+def test_middle_equals_brute_force(spark):
     data = _texts()
     table = spark.createDataFrame(data, "doc_id bigint, text string").repartition(6)
     table = table.withColumns({c: F.lit(1) for c in ("print", "position", "data", "form", "part", "n")})
