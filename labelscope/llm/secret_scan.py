@@ -5,14 +5,22 @@ be a quoted literal, a bare word, a name bound before in the same text, or sever
 together; bound names stand for their literals, so a secret put into `a` and handed on by
 `client_secret = a` is found where it is written. A declared type between name and literal
 (`a: str = "..."`) is skipped, and `a = b = "..."` binds both. Literals may have a prefix or
-triple quotes. Pairs are scored by what their name says and
-by how much the literal looks like a generated value.
+triple quotes. Besides assignments a name gets a value as a key in brackets (`env["NAME"] = ...`), as
+the first argument of a call (`define("NAME", "...")`), by a setter (`setName("...")`) and as an
+element (`<name>...</name>`). Pairs are scored by what their name says and by how much the literal
+looks like a generated value.
+
+A sum refers to its parts and is scored from counts, so time and memory follow the text even
+where lines double a value again and again. A literal has the score of the first binding that
+reports it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +39,7 @@ KINDS = ("assign", "access", "hex", "pair")
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 _NAME = re.compile(r"(?<![\w$.-])[A-Za-z_$][\w$.-]*+", re.A)
-_BOUND = re.compile(r"""["']?[\x20\t]*(?::=|=>|=(?![=~])|:(?!:))[\x20\t]*""", re.A)
+_BOUND = re.compile(r"""(?:["'][\x20\t]*\]|["'])?[\x20\t]*(?::=|=>|=(?![=~])|:(?!:))[\x20\t]*""", re.A)
 #: A type with brackets, marks of references and alternatives, up to the sign that assigns.
 _TYPED = re.compile(
     r"""[?!]?[\x20\t]*:[\x20\t]*(?:[&*]++(?:'\w++[\x20\t]++)?(?:mut[\x20\t]++)?)?"""
@@ -43,6 +51,11 @@ _TRIPLE = re.compile(_PREFIX + r'''(?:"""(.*?)"""|\'\'\'(.*?)\'\'\')''', re.S)
 _QUOTED = re.compile(_PREFIX + r'''(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|\'([^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+)\')''')
 _ASSIGNS = re.compile(r"=(?!>)")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@%^&*-]++", re.A)
+#: After a quoted name that is a call's first argument; after the name of a setter; an element.
+_ARGUMENT = re.compile(r"""["'][\x20\t]*,[\x20\t]*(?=[bBfFrRuULtT]{0,2}["'])""")
+_SETTER = re.compile(r"""\([\x20\t]*(?=[bBfFrRuULtT]{0,2}["'])""")
+_SETS = re.compile(r"(?:^|[.$_])(?:set|with|add|put)(?=[A-Z_])[\w$-]*$", re.A)
+_ELEMENT = re.compile(r">[\x20\t]*([^<>\n]*?)[\x20\t]*</")
 _PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 #: What parts of a name say, from 0 to 1.
 SENSITIVE = {
@@ -69,19 +82,73 @@ def name_score(name: str) -> float:
     return 1 - rest
 
 
-def value_score(value: str) -> float:
+class Value:
+    """A literal, by its place in the text, or a sum of values."""
+
+    __slots__ = ("span", "parts", "about", "told")
+
+    def __init__(self, span: tuple[int, int] | None = None, parts: tuple[Value, ...] = ()):
+        self.span, self.parts, self.about, self.told = span, parts, None, False
+
+    def measured(self, text: str) -> tuple[Counter, str, str]:
+        """Counts of its characters, its first `HEAD` characters and its last one."""
+        waiting = [self]
+        while waiting:
+            top = waiting[-1]
+            open_ = [p for p in top.parts if p.about is None]
+            if open_:
+                waiting += open_
+                continue
+            waiting.pop()
+            if top.about is not None:
+                continue
+            if top.span:
+                own = text[slice(*top.span)]
+                top.about = Counter(own), own[:HEAD], own[-1:]
+                continue
+            counts, head, tail = Counter(), "", ""
+            for part in top.parts:
+                counts.update(part.about[0])
+                head = head if len(head) >= HEAD else (head + part.about[1])[:HEAD]
+                tail = part.about[2] or tail
+            top.about = counts, head, tail
+        return self.about
+
+    def literals(self) -> Iterator[tuple[int, int]]:
+        """Places of its literals that no binding has reported before."""
+        waiting = [self]
+        while waiting:
+            top = waiting.pop()
+            if top.told:
+                continue
+            top.told = True
+            if top.span:
+                yield top.span
+            waiting += top.parts[::-1]
+
+
+HEAD = 64
+
+
+def value_score(counts: Counter, head: str, tail: str) -> float:
     """From 0 to 1: length and entropy of a literal; placeholders and prose score 0."""
-    if len(value) < 8 or " " in value or PLACEHOLDERS.match(value):
+    size = sum(counts.values())
+    if size < 8 or " " in counts:
+        return 0.0
+    if PLACEHOLDERS.match(head) if size <= HEAD else _LONG_PLACEHOLDERS.match(head) or head[0] + tail in ("<>", "%%"):
         return 0.0
-    counts = [value.count(c) for c in set(value)]
-    bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts)
-    mixed = (any(c.isdigit() for c in value) + any(c.isalpha() for c in value)) / 2
+    bits = -sum(c / size * math.log2(c / size) for c in counts.values())
+    mixed = (any(c.isdigit() for c in counts) + any(c.isalpha() for c in counts)) / 2
     return min(1.0, bits / 3.0) * mixed
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """`name, value, spans of the literals that make it up` of each binding of a text, in order."""
-    bound: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+#: Placeholders that may go on; those of one repeated character have no entropy.
+_LONG_PLACEHOLDERS = re.compile(r"(?i)change_?me|your[_-]|example|\$")
+
+
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """`name, value` of each binding of a text, in order."""
+    bound: dict[str, Value] = {}
     at, names, expected = 0, [], -1  # names before `expected` wait for the literal at its end
     while found := _NAME.search(text, at):
         at = found.end()
@@ -89,8 +156,10 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             names = []
         names.append(found[0])
         typed = _TYPED.match(text, at)
-        operator = typed or _BOUND.match(text, at)
+        operator = typed or _BOUND.match(text, at) or _handed(text, found)
         if not operator:
+            if text[found.start() - 1 : found.start()] == "<" and (element := _ELEMENT.match(text, at)):
+                yield found[0], Value(element.span(1))
             continue
         pos, parts, plain = operator.end(), [], False
         inner = None  # what is in triple quotes is lexed as well
@@ -102,12 +171,11 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
                     found_text = text[begin:end]
                     begin, end = begin + len(found_text) - len(found_text.lstrip()), begin + len(found_text.rstrip())
                     begin = min(begin, end)
-                parts.append((text[begin:end], [(begin, end)]))
+                parts.append(Value((begin, end)))
                 pos = quoted.end()
             elif bare := _BARE.match(text, pos):
-                known = bound.get(bare[0])
-                parts.append(known if known else (bare[0], [bare.span()]))
-                pos, plain = bare.end(), not parts[1:]
+                parts.append(bound.get(bare[0]) or Value(bare.span()))
+                pos, plain = bare.end(), len(parts) == 1
             else:
                 break
             plus = _PLUS.match(text, pos)
@@ -121,13 +189,23 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
                 # The right side is itself a name that gets a value: in `a = b = literal` both do.
                 expected = operator.end() if _ASSIGNS.search(more[0]) else -1
                 continue
-            value, spans = "".join(p[0] for p in parts), [s for p in parts for s in p[1]]
+            value = parts[0] if len(parts) == 1 else Value(parts=tuple(parts))
             for name in names:
-                bound[name] = (value, spans)
-                yield name, value, spans
+                bound[name] = value
+                yield name, value
             at = pos if inner is None else inner
 
 
+def _handed(text: str, name: re.Match) -> re.Match | None:
+    """The sign after a name that a call gives a literal to."""
+    if text[name.end() : name.end() + 1] == "(":
+        return _SETTER.match(text, name.end()) if _SETS.search(name[0]) else None
+    before = text[max(0, name.start() - 8) : name.start()]
+    if before[-1:] in ("'", '"') and before[:-1].rstrip(" \t")[-1:] == "(":
+        return _ARGUMENT.match(text, name.end())
+    return None
+
+
 def find(text: str) -> list[tuple[int, int, str, float]]:
     """All spans `(begin, end, kind, score)` in code points, by begin and then by kind as listed."""
     out: list[tuple[int, int, str, float]] = []
@@ -138,15 +216,16 @@ def find(text: str) -> list[tuple[int, int, str, float]]:
     if "AKIA" in text:
         out += [(*m.span(), "access", 1.0) for m in ACCESS.finditer(text)]
     out += [(*m.span(), "hex", 1.0) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
-        taken = [(b, e) for b, e, kind, _ in out if kind == "assign"]
+    if any(sign in text for sign in "=:(<"):
+        taken = [(b, e) for b, e, kind, _ in out if kind == "assign"]  # in order, apart from each other
         extra = {}
-        for name, value, spans in pairs(text):
-            score = name_score(name)
-            if score >= LEAST_SCORE and (score := score * value_score(value)) >= LEAST_SCORE:
-                for b, e in spans:
-                    if e > b and not any(x <= b and e <= y for x, y in taken):
-                        extra[b, e] = max(score, extra.get((b, e), 0.0))
+        for name, value in pairs(text):
+            score = 0.0 if value.told else name_score(name)
+            if score >= LEAST_SCORE and (score := score * value_score(*value.measured(text))) >= LEAST_SCORE:
+                for b, e in value.literals():
+                    k = bisect_right(taken, (b, len(text))) - 1
+                    if e > b and not (k >= 0 and e <= taken[k][1]):
+                        extra.setdefault((b, e), score)
         out += [(b, e, "pair", s) for (b, e), s in extra.items()]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
