@@ -17,12 +17,12 @@ from labelscope.llm.stages import kept
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; learnt from the labelled rows among them."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_rows(docs, model).filter("score < 0.5").select(docs.columns)
+    return toxicity.filter_rows(docs, model, lambda score: score < 0.5)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the weakly supervised scorer gives 0.5 or more."""
-    return weak_quality.score_rows(docs, weak_quality.fit(docs)).filter("score >= 0.5").select(docs.columns)
+    return weak_quality.filter_rows(docs, weak_quality.fit(docs), lambda score: score >= 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

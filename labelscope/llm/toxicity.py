@@ -14,7 +14,7 @@ The model is a table of `BUCKETS` floats and four numbers, whatever the size of
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.stages import in_arrow
+from labelscope.llm.stages import in_arrow, kept, numbered
 from labelscope.llm.words import ALNUM, LOWER, Words, blocks
 
 BUCKETS = 1 << 18
@@ -93,8 +93,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _evidence(model: Model, whole: bool):
-    """Evidence of every text. `whole` also gives the best segment's total, its span, token count."""
+def _evidence(model: Model, gives: str):
+    """What every text gives: `evidence` with its best segment and token count, `score`, or
+    `passages` with the score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,24 +113,26 @@ def _evidence(model: Model, whole: bool):
                     chance = model.log_k + math.log(b - a)
                     sure = [s for s in found if model.lam * s[2] - chance > -math.log(E_LIMIT)]
                     evidence[d] = sum(model.lam * s[2] - chance for s in sure)
-                    if whole:
+                    if gives == "passages":
                         at = block.offsets[d]
                         spans[d] = [
                             (int(words.start[a + s[0]] - at), int(words.end[a + s[1] - 1] - at)) for s in sure
                         ]
                 own = [c.slice(block.first, block.n) for c in rest]
-                if whole:
+                if gives == "evidence":
+                    own += [pa.array(evidence), pa.array(best), pa.array(words.counts)]
+                else:
                     z = np.clip(model.slope * np.log1p(evidence) + model.shift, -60, 60)
+                    own.append(pa.array(1 / (1 + np.exp(-z))))
+                if gives == "passages":
                     flat = [x for s in spans for x in (s or ())]
                     ends = np.concatenate(([0], np.cumsum([len(s or ()) for s in spans]))).astype(np.int32)
                     pairs = pa.StructArray.from_arrays(
                         [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64())],
                         names=["begin", "end"])
-                    own += [pa.array(1 / (1 + np.exp(-z))), pa.ListArray.from_arrays(pa.array(ends), pairs)]
-                else:
-                    own += [pa.array(evidence), pa.array(best), pa.array(words.counts)]
+                    own.append(pa.ListArray.from_arrays(pa.array(ends), pairs))
                 names = [f"c{i}" for i in range(len(rest))]
-                names += ["score", "passages"] if whole else ["evidence", "best", "tokens"]
+                names += {"evidence": ["evidence", "best", "tokens"], "score": ["score"], "passages": ["score", "passages"]}[gives]
                 yield pa.RecordBatch.from_arrays(own, names=names)
 
     return run
@@ -165,7 +168,7 @@ def fit(
     Without toxic or without clean rows nothing can be learnt: every token scores below zero
     and every text gets a score near 0.
     """
-    sample = training_rows(docs, labels, key, text, label, rows)
+    sample = kept(training_rows(docs, labels, key, text, label, rows), "toxicity-sample")
     counted = in_arrow(sample, _count, "bucket bigint, clean bigint, toxic bigint").groupBy("bucket").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # BUCKETS rows at most
     clean, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -179,14 +182,14 @@ def fit(
     model.table = (odds - DRIFT).astype(np.float32)
     model.lam = _decay(model.table, clean / n_clean)
     # One number a row: at most 2 * rows of them.
-    seen = in_arrow(sample.select("label", "text"), _evidence(model, False),
+    seen = in_arrow(sample.select("label", "text"), _evidence(model, "evidence"),
                     "c0 int, evidence double, best double, tokens bigint").withColumnRenamed("c0", "label").toPandas()
     quiet = seen[(seen.label == 0) & (seen.tokens > 0)]
     if len(quiet):
         # The mean of an extreme-value variable is its mode plus Euler's constant over lambda.
         level = (model.lam * quiet.best - np.log(quiet.tokens)).mean() - 0.5772156649
         model.log_k = float(max(level, -4.0))
-    seen = in_arrow(sample.select("label", "text"), _evidence(model, False),
+    seen = in_arrow(sample.select("label", "text"), _evidence(model, "evidence"),
                     "c0 int, evidence double, best double, tokens bigint").withColumnRenamed("c0", "label").toPandas()
     model.slope, model.shift = _logistic(np.log1p(seen.evidence.to_numpy()), seen.label.to_numpy())
     return model
@@ -239,16 +242,16 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     for one, also repeated ones and those without an id; other columns are not read.
     """
     narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return in_arrow(narrow, _evidence(model, True),
+    return in_arrow(narrow, _evidence(model, "passages"),
                     "c0 bigint, score double, passages array<struct<begin: bigint, end: bigint>>").withColumnRenamed("c0", "doc_id")
 
 
-def score_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with a column `score` added in the same pass; all columns go through as they are."""
-    names = docs.columns
-    wide = docs.select(*names, F.col(text).cast("string").alias("_text"))
-    made = in_arrow(wide, _evidence(model, True), _fields(docs) + "score double, passages array<struct<begin: bigint, end: bigint>>")
-    return made.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], "score")
+def filter_rows(docs: DataFrame, model: Model, keep: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """The rows of `docs` whose score passes `keep`. All columns go through as they are, whatever
+    they are called."""
+    wide = numbered(docs, text)
+    made = in_arrow(wide, _evidence(model, "score"), _fields(docs) + "score double").filter(keep(F.col("score")))
+    return made.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)])
 
 
 def _fields(docs: DataFrame) -> str:

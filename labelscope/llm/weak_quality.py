@@ -11,14 +11,14 @@ There are at most 3 ** 10 patterns, and the scorer is a vector of a few thousand
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.stages import in_arrow
+from labelscope.llm.stages import in_arrow, numbered
 from labelscope.llm.words import IDENTITY, LOWER, NOT_SPACE, Block, Words, blocks, windows
 
 #: Documents the scorer is trained on, chosen by hash of the id.
@@ -231,13 +231,13 @@ def _score(weights: np.ndarray):
     return run
 
 
-def score_rows(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """`docs` with the votes and the score added in one pass; all columns go through as they are."""
-    names = docs.columns
+def filter_rows(docs: DataFrame, weights: np.ndarray, keep: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """The rows of `docs` whose score passes `keep`. All columns go through as they are, whatever
+    they are called."""
     fields = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(docs.schema))
-    wide = docs.select(*names, F.col(text).cast("string").alias("_text"))
-    made = in_arrow(wide, _score(weights), fields + "n_good bigint, n_bad bigint, score double")
-    return made.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], "n_good", "n_bad", "score")
+    wide = numbered(docs, text)
+    made = in_arrow(wide, _score(weights), fields + "n_good bigint, n_bad bigint, score double").filter(keep(F.col("score")))
+    return made.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)])
 
 
 def score_texts(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -258,6 +258,66 @@ def test_secrets_typed_prefixed_and_triple(text):
     assert secret_scan.masked(text) == text.replace(value, "[SECRET]")
 
 
+@pytest.mark.parametrize("text", [
+    'os.environ["API_TOKEN"] = "{}"', "config['db_password'] = '{}'", 'define("DB_PASSWORD", "{}");', "props.put( 'api_secret' , '{}')",
+    'client.setPassword("{}")', 'b.withAuthToken(\'{}\')', '<password>{}</password>', '<db><client-secret> {} </client-secret></db>'])
+def test_secrets_in_subscripts_calls_and_elements(text):
+    value = "k8Jq2m+Zp9!XvT4r"
+    begin = text.index("{}")
+    assert [x[:3] for x in secret_scan.find(text.replace("{}", value))] == [(begin, begin + len(value), "pair")]
+
+
+@pytest.mark.parametrize("text", [
+    '["password", "k8Jq2m+Zp9XvT4rr"]', 'getToken("k8Jq2m+Zp9XvT4rr")', '<b>k8Jq2m+Zp9XvT4rr</b>', 'names["x"] = "k8Jq2m+Zp9XvT4rr"',
+    'define("TITLE", "k8Jq2m+Zp9XvT4rr")'])
+def test_literals_that_no_sensitive_name_gets(text):
+    assert secret_scan.find(text) == []
+
+
+def test_secrets_brute_force_of_sums():
+    """Values expanded in full and every literal looked up, on texts small enough for that."""
+    draw = random.Random(8)
+    for _ in range(300):
+        names = ["a", "b", "c", "db_password", "count"]
+        values, want, text = {}, {}, ""
+        for _ in range(draw.randrange(1, 9)):
+            terms, value, spans = [], "", set()
+            name = draw.choice(names)
+            text += f"{name} = "
+            for k in range(draw.randrange(1, 4)):
+                text += " + " if k else ""
+                known = [n for n in names if n in values]
+                if known and draw.random() < 0.5:
+                    n = draw.choice(known)
+                    value, spans, text = value + values[n][0], spans | values[n][1], text + n
+                else:
+                    literal = "".join(draw.choice("ab12XYz9") for _ in range(draw.randrange(1, 12)))
+                    begin = len(text) + 1
+                    value, spans, text = value + literal, spans | {(begin, begin + len(literal))}, text + f'"{literal}"'
+            text += "\n"
+            values[name] = value, spans
+            about = Counter(value), value[:64], value[-1:]
+            if name == "db_password" and secret_scan.value_score(*about) >= 0.5:
+                want |= dict.fromkeys(spans)
+        got = {x[:2] for x in secret_scan.find(text) if x[2] == "pair"}
+        taken = [x[:2] for x in secret_scan.find(text) if x[2] == "assign"]
+        assert got == {s for s in want if not any(b <= s[0] and s[1] <= e for b, e in taken)}
+
+
+def test_secrets_of_doubling_lines_and_long_sums():
+    import time
+
+    secret = "k8Jq2m+Zp9!XvT4r"
+    doubling = f'v0 = "{secret}"\n' + "".join(f"v{i + 1} = v{i} + v{i}\n" for i in range(40)) + "db_password = v40\n"
+    chain = f'auth_token = "{secret}"\n' + "auth_token = auth_token + 'Zq81'\n" * 20_000
+    long = "db_password = " + " + ".join(f'"q{i}Zx"' for i in range(100_000))
+    many = "password=abcdefgh12345678\n" * 50_000
+    for text, n in ((doubling, 1), (chain, 20_001), (long, 100_000), (many, 50_000)):
+        start = time.time()
+        assert len(secret_scan.find(text)) == n
+        assert time.time() - start < 10
+
+
 def test_line_quality(spark, texts, odd, none):
     got = {r.doc_id: r for r in line_quality.line_quality(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     for d, t in texts.items():
@@ -409,6 +469,8 @@ def test_pipeline_stages_odd_rows(spark):
 
     data = [(d, t, "en", "s", len(t or "")) for d, t in ODD]
     docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clashing = ("score", "n_good", "n_bad", "passages", "_text", "c0", "label", "spans", "component", "kept", "node", "length", "uid")
+    docs = docs.withColumns({c: F.lit("own") for c in clashing})
     for rows_ in (docs, docs.filter("1 = 0")):
         for _, stage in cp.STAGES:
             stage(spark, rows_, SF).collect()
