@@ -1,146 +1,347 @@
-"""Exact cosine top-k over TF-IDF vectors, and a vote over the neighbours.
-
-Scoring every query against every pool text is a sparse matrix product. It is computed in
-blocks: pool and queries are hashed into blocks of bounded size, each pair of blocks meets in
-one task, and the task returns k rows per query. Nothing per pair or per shared term is ever
-shuffled and no text or term is left out. Inside a task, terms that many texts share form a
-dense matrix and are multiplied as one; the long tail is summed from posting lists. Data moved
-is queries x pool blocks + pool x query blocks.
+"""Exact cosine top-k over TF-IDF vectors by an impact index, and a vote over the neighbours.
+
+Texts are put in blocks of like texts: a projection of their vectors to `SIGNS` dimensions is
+clustered, and a cluster is cut into blocks by length. Each pool block keeps its largest weight
+per term. For a query these impacts add up to a bound on its similarity to any text of the block.
+A query block first scores the pool block with the highest bounds, which gives each query a k-th
+similarity; then only pairs of blocks are brought together in which some query's bound reaches
+its own, best bounds first, and in a pair only those queries are scored.
+
+Blocks hold a bounded number of n-grams, a task a query block and a few pool blocks, and it
+returns k rows per query. Nothing per pair or per shared term is ever shuffled and no text or
+term is left out. Without any pruning it is one blocked sparse product of queries and pool.
 """
 
 from __future__ import annotations
 
-from math import ceil, sqrt
+from collections import namedtuple
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.operators.features import Tfidf, fit_tfidf, tfidf_weights
+from labelscope.operators import grams as gr
+from labelscope.session import scratch_dir, ship_package
 
-BLOCK_TERMS = 16_000_000  # n-grams per block, repeats included, hence an upper bound
-DENSE_CELLS = 16_000_000  # doubles in a block's matrix of common terms (128 MB)
+BLOCK_TERMS = 400_000  # n-grams of a block, or of one text if it has more
+GROUP = 8  # pool blocks a task takes at most
+DENSE_CELLS = 8_000_000  # doubles in a block's matrix of common terms (64 MB)
 COMMON = 0.15  # share of a block's texts above which a term goes into that matrix
-QUERY_ROWS = 128  # queries multiplied at a time
 DIGITS = 8  # similarities are ranked at this precision, so copies tie exactly
+SLACK = 1e-7  # above the rounding of sums and of ranked similarities
+SIGNS = 64
+CLUSTERS, SAMPLE_TEXTS = 32, 4_096  # clusters are fitted on so many texts; all are assigned
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a unit vector of `SIGNS` dimensions: weights summed with the signs of each hash's bits."""
+    bit = np.arange(SIGNS, dtype=np.uint64)
+    for batch in batches:
+        offsets = batch.column(1).offsets.to_numpy()
+        grams, weights = batch.column(1).values.to_numpy().view(np.uint64), batch.column(2).values.to_numpy()
+        out = np.zeros((batch.num_rows, SIGNS))
+        for i in range(batch.num_rows):
+            for a in range(offsets[i], offsets[i + 1], 1 << 16):
+                part = slice(a, min(a + (1 << 16), offsets[i + 1]))
+                out[i] += weights[part] @ (((grams[part, None] >> bit) & np.uint64(1)).astype(np.float32) * 2 - 1)
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.diff(offsets), pa.int64()), pa.array([x.astype("<f4").tobytes() for x in out], pa.binary())],
+            names=["id", "grams", "weights", "n", "sketch"])
+
+
+def _centres(placed: DataFrame) -> np.ndarray:
+    """Unit centres of the sketches, fitted on a bounded sample of the pool."""
+    rows = placed.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_TEXTS).select("sketch").toPandas()["sketch"]
+    x = np.frombuffer(b"".join(rows), dtype="<f4").reshape(-1, SIGNS).astype(float)
+    if not len(x):
+        return np.zeros((1, SIGNS))
+    centres = x[np.linspace(0, len(x) - 1, min(CLUSTERS, len(x))).astype(int)].copy()
+    for _ in range(10):
+        home = (x @ centres.T).argmax(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, home, x)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(size > 1e-12, total / np.maximum(size, 1e-12), centres)
+    return centres
+
+
+def _pack(limit: int, impacts: bool):
+    """Runs of sorted texts as blocks, with the block's terms and their largest weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seq, held, size, id_type = TaskContext.get().partitionId(), 0, [], 0, None
+
+        def block() -> pa.RecordBatch:
+            grams, weights = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            ends = np.cumsum([len(h[1]) for h in held])
+            arrays, names = [], []
+            if impacts:
+                order = np.argsort(grams, kind="stable")
+                first = np.flatnonzero(np.diff(grams[order], prepend=grams[order][0] - 1)) if len(order) else order
+                top = np.maximum.reduceat(weights[order], first) if len(order) else weights
+                arrays = [pa.array([grams[order][first].astype("<i8").tobytes()], pa.binary()), pa.array([top.astype("<f8").tobytes()], pa.binary())]
+                names = ["terms", "tops"]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + seq], pa.int64()), pa.array([[h[0] for h in held]], pa.list_(id_type)),
+                 *[pa.array([x.tobytes()], pa.binary()) for x in (ends.astype("<i8"), grams.astype("<i8"), weights.astype("<f8"))],
+                 *arrays], names=["block", "ids", "ends", "grams", "weights", *names])
+
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                own = batch.column(1)[i].values, batch.column(2)[i].values
+                if held and size + len(own[0]) > limit:
+                    yield block()
+                    seq, held, size = seq + 1, [], 0
+                held.append((name, own[0].to_numpy(), own[1].to_numpy()))
+                size += len(own[0])
+        if held:
+            yield block()
+
+    return run
+
+
+def _blocked(weights: DataFrame, key: str, centres: np.ndarray | None, limit: int, impacts: bool) -> tuple[DataFrame, np.ndarray]:
+    """Blocks of like texts as a table of one row each; the centres they are clustered by."""
+    spark = weights.sparkSession
+    key_type = weights.select(key).schema[0].dataType.simpleString()
+    rows = weights.select(F.col(key).alias("id"), "grams", "weights").filter(F.size("grams") > 0)
+    placed = _kept(rows.mapInArrow(_projected, f"id {key_type}, grams array<bigint>, weights array<double>, n bigint, sketch binary"), "sketches")
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    if centres is None:
+        centres = _centres(placed)
+
+    @F.pandas_udf("int")
+    def cluster(sketch: pd.Series) -> pd.Series:
+        x = np.frombuffer(b"".join(sketch), dtype="<f4").reshape(-1, SIGNS)
+        return pd.Series((x @ centres.T).argmax(axis=1).astype(np.int32))
+
+    order = ["cluster", "n", "id"]
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(1, min(2 * cores, -(-total // limit)), -(-total // (16 * limit)))
+    ranged = placed.select(cluster("sketch").alias("cluster"), "n", "id", "grams", "weights").repartitionByRange(
+        parts, *order).sortWithinPartitions(*order)
+    fields = f"block bigint, ids array<{key_type}>, ends binary, grams binary, weights binary" + (", terms binary, tops binary" if impacts else "")
+    return _kept(ranged.select("id", "grams", "weights").mapInArrow(_pack(limit, impacts), fields), "blocks"), centres
+
+
+class _Block:
+    def __init__(self, row):
+        self.ids = list(row.ids)
+        ends = np.frombuffer(row.ends, "<i8")
+        self.begins = np.concatenate(([0], ends))
+        self.grams, self.weights = np.frombuffer(row.grams, "<i8"), np.frombuffer(row.weights, "<f8")
+        self.owner = np.repeat(np.arange(len(self.ids)), np.diff(self.begins))
+
 
+class _Pool(_Block):
+    """A pool block as postings, with its common terms as a dense matrix."""
 
-def block_counts(pool: DataFrame, queries: DataFrame, text: str, sizes: int, tasks: int) -> tuple[int, int]:
-    """How many blocks to cut pool and queries into, from the total length of their texts."""
-    grams = lambda df: (df.agg(F.sum(F.char_length(text) + 2)).first()[0] or 0) * sizes
-    p, q = max(grams(pool), 1), max(grams(queries), 1)
-    n_pool = max(ceil(p / BLOCK_TERMS), min(tasks, ceil(sqrt(tasks * p / q))))
-    return n_pool, max(ceil(q / BLOCK_TERMS), ceil(tasks / n_pool))
-
-
-def _score_blocks(k: int):
-    def flat(table: pa.Table):
-        """ids, and for each of their terms: row, term id, weight."""
-        lists = table["terms"].combine_chunks()
-        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
-        weights = table["weights"].combine_chunks().flatten().to_numpy()
-        return table["id"].combine_chunks(), owner, lists.flatten(), weights
-
-    def score(queries: pa.Table, pool: pa.Table) -> pa.Table:
-        empty = pa.table({"query": queries["id"][:0], "pool": pool["id"][:0], "sim": pa.array([], pa.float64())})
-        if not queries.num_rows or not pool.num_rows:
-            return empty
-        names, doc, pool_terms, weight = flat(pool)
-        order_of = np.argsort(np.argsort(np.asarray(names.to_pylist()), kind="stable"))
-        terms = pc.unique(pool_terms)
-        term = pc.index_in(pool_terms, terms).to_numpy()
+    def __init__(self, row, common: float):
+        super().__init__(row)
+        self.order_of = np.argsort(np.argsort(np.asarray(self.ids), kind="stable"))
+        self.terms, term = np.unique(self.grams, return_inverse=True)
         by_term = np.argsort(term, kind="stable")
-        term, doc, weight = term[by_term], doc[by_term], weight[by_term]
-        count = np.bincount(term, minlength=len(terms))
-
-        hot = np.argsort(-count, kind="stable")[: DENSE_CELLS // len(names)]
-        hot = hot[count[hot] > max(COMMON * len(names), 1)]
-        column = np.full(len(terms), -1)
-        column[hot] = np.arange(len(hot))
-        dense = np.zeros((len(hot), len(names)))
-        is_hot = column[term] >= 0
-        dense[column[term[is_hot]], doc[is_hot]] = weight[is_hot]
-        term, doc, weight = term[~is_hot], doc[~is_hot], weight[~is_hot]
-        count = np.bincount(term, minlength=len(terms))
-        start = np.concatenate([[0], np.cumsum(count)[:-1]])
-
-        asked, owner, query_terms, w = flat(queries)
-        t = pc.index_in(query_terms, terms).fill_null(-1).to_numpy()
-        owner, t, w = owner[t >= 0], t[t >= 0], w[t >= 0]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(asked)))])
-        found_q, found_p, found_s = [], [], []
-        for first in range(0, len(ends) - 1, QUERY_ROWS):
-            last = min(first + QUERY_ROWS, len(ends) - 1)
-            part = slice(ends[first], ends[last])
-            in_dense = column[t[part]] >= 0
-            left = np.zeros((last - first, len(hot)))
-            left[owner[part][in_dense] - first, column[t[part][in_dense]]] = w[part][in_dense]
-            block = left @ dense
-            for i in range(first, last):
-                tt, ww = t[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]
-                rare = column[tt] < 0
-                tt, ww = tt[rare], ww[rare]
-                n = count[tt]
-                shift = np.repeat(start[tt] - np.concatenate([[0], np.cumsum(n)])[:-1], n)
-                rows = shift + np.arange(n.sum())
-                tail = np.bincount(doc[rows], np.repeat(ww, n) * weight[rows], len(names))
-                sims = np.round(block[i - first] + tail, DIGITS)
-                candidates = np.flatnonzero(sims > 0)
-                if len(candidates) > k:  # everything at least as near as the k-th, ties included
-                    edge = -np.partition(-sims[candidates], k - 1)[k - 1]
-                    candidates = candidates[sims[candidates] >= edge]
-                best = candidates[np.lexsort((order_of[candidates], -sims[candidates]))][:k]
-                found_q.append(np.full(len(best), i))
-                found_p.append(best)
-                found_s.append(sims[best])
-        return pa.table({
-            "query": asked.take(pa.array(np.concatenate(found_q))) if found_q else empty["query"],
-            "pool": names.take(pa.array(np.concatenate(found_p))) if found_p else empty["pool"],
-            "sim": pa.array(np.concatenate(found_s)) if found_s else empty["sim"],
-        })
-
-    return score
+        term, doc, weight = term[by_term], self.owner[by_term], self.weights[by_term]
+        count = np.bincount(term, minlength=len(self.terms))
+        hot = np.argsort(-count, kind="stable")[: DENSE_CELLS // len(self.ids)]
+        hot = hot[count[hot] > max(common * len(self.ids), 1)]
+        self.column = np.full(len(self.terms), -1)
+        self.column[hot] = np.arange(len(hot))
+        self.dense = np.zeros((len(hot), len(self.ids)))
+        is_hot = self.column[term] >= 0
+        self.dense[self.column[term[is_hot]], doc[is_hot]] = weight[is_hot]
+        self.doc, self.weight = doc[~is_hot], weight[~is_hot]
+        self.count = np.bincount(term[~is_hot], minlength=len(self.terms))
+        self.start = np.concatenate(([0], np.cumsum(self.count)[:-1]))
+
+    def similarities(self, asked: _Block, chosen: np.ndarray) -> np.ndarray:
+        """Of the chosen queries to every text."""
+        at = np.searchsorted(self.terms, asked.grams)
+        at[at == len(self.terms)] = 0
+        known = self.terms[at] == asked.grams
+        known &= np.isin(asked.owner, chosen)
+        row = np.searchsorted(chosen, asked.owner[known])
+        t, w = at[known], asked.weights[known]
+        hot = self.column[t] >= 0
+        left = np.zeros((len(chosen), len(self.dense)))
+        left[row[hot], self.column[t[hot]]] = w[hot]
+        out = left @ self.dense if len(self.dense) else np.zeros((len(chosen), len(self.ids)))
+        row, t, w = row[~hot], t[~hot], w[~hot]
+        ends = np.searchsorted(row, np.arange(len(chosen) + 1))
+        for i in range(len(chosen)):
+            tt, ww = t[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]
+            n = self.count[tt]
+            places = np.repeat(self.start[tt] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(tt) else np.zeros(0, int)
+            out[i] += np.bincount(self.doc[places], np.repeat(ww, n) * self.weight[places], len(self.ids))
+        return np.round(out, DIGITS)
+
+
+class _Best:
+    """The nearest pool texts of the queries of a block so far, and the similarity they must reach."""
+
+    def __init__(self, asked: _Block, k: int, least: np.ndarray):
+        self.asked, self.k, self.least = asked, k, least.copy()
+        self.found: list[list[tuple]] = [[] for _ in asked.ids]
+
+    def look(self, pool: _Pool, bounds: np.ndarray) -> None:
+        chosen = np.flatnonzero((bounds > 0) & (bounds >= self.least - SLACK))
+        if not len(chosen):
+            return
+        sims = pool.similarities(self.asked, chosen)
+        for row, q in enumerate(chosen):
+            s = sims[row]
+            near = np.flatnonzero((s > 0) & (s >= self.least[q]))
+            if len(near) > self.k:  # everything at least as near as the k-th, ties included
+                near = near[s[near] >= -np.partition(-s[near], self.k - 1)[self.k - 1]]
+            near = near[np.lexsort((pool.order_of[near], -s[near]))][: self.k]
+            best = sorted([*self.found[q], *((-float(s[p]), pool.ids[p]) for p in near)])[: self.k]
+            self.found[q] = best
+            if len(best) == self.k:
+                self.least[q] = max(self.least[q], -best[-1][0])
+
+    def rows(self, key_type: pa.DataType) -> pa.Table:
+        flat = [(q, p, -s) for q, best in zip(self.asked.ids, self.found) for s, p in best]
+        columns = zip(*flat) if flat else ((), (), ())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (key_type, key_type, pa.float64()))], names=["query", "pool", "sim"])
+
+
+def _rows(table: pa.Table):
+    """Rows as objects with a field per column."""
+    made = namedtuple("Row", table.schema.names)
+    for batch in table.to_batches():
+        for values in zip(*[c.to_pylist() for c in batch.columns]):
+            yield made(*values)
+
+
+def _bounds(queries: pa.Table, pool: pa.Table) -> pa.Table:
+    """The bound of every query of a block against each of some pool blocks."""
+    out = []
+    impacts = [(p.block, np.frombuffer(p.terms, "<i8"), np.frombuffer(p.tops, "<f8")) for p in _rows(pool)]
+    for row in _rows(queries):
+        asked = _Block(row)
+        for block, terms, tops in impacts:
+            at = np.searchsorted(terms, asked.grams)
+            at[at == len(terms)] = 0
+            known = terms[at] == asked.grams
+            bound = np.bincount(asked.owner[known], asked.weights[known] * tops[at[known]], len(asked.ids))
+            out.append((row.block, block, float(bound.sum()), bound.astype("<f8").tobytes()))
+    columns = list(zip(*out)) if out else [(), (), (), ()]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.binary()))],
+                    names=["q", "p", "total", "bound"])
+
+
+def _seeded(k: int, common: float):
+    """A query block with its best pool block: what each query must reach, and what it has found."""
+
+    def run(queries: pa.Table, pool: pa.Table) -> pa.Table:
+        out = []
+        for row, best in zip(_rows(queries), _rows(pool)):
+            found = _Best(_Block(row), k, np.zeros(len(row.ids)))
+            found.look(_Pool(best, common), np.ones(len(row.ids)))
+            near = found.rows(queries.schema.field("ids").type.value_type)
+            out.append((row.block, best.p, found.least.astype("<f8").tobytes(), *(near.column(i).to_pylist() for i in range(3))))
+        key = pa.list_(queries.schema.field("ids").type.value_type)
+        columns = list(zip(*out)) if out else [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.binary(), key, key, pa.list_(pa.float64()))
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["q", "best", "least", "query", "pool", "sim"])
+
+    return run
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks in which some query may still find something."""
+    for batch in batches:
+        least, bound = batch.column(4).to_pylist(), batch.column(3).to_pylist()
+        reach = [bool(((b := np.frombuffer(y, "<f8")) >= np.frombuffer(x, "<f8") - SLACK)[b > 0].any()) for x, y in zip(least, bound)]
+        yield batch.filter(pa.array(reach, pa.bool_())).select(range(4))
+
+
+def _searched(k: int, common: float):
+    def run(queries: pa.Table, pool: pa.Table) -> pa.Table:
+        key_type, out = queries.schema.field("ids").type.value_type, []
+        pool = pool.sort_by([("total", "descending"), ("block", "ascending")])
+        for row in _rows(queries):
+            found = _Best(_Block(row), k, np.frombuffer(row.least, "<f8"))
+            for other in _rows(pool):
+                found.look(_Pool(other, common), np.frombuffer(other.bound, "<f8"))
+            out.append(found.rows(key_type))
+        empty = pa.schema([("query", key_type), ("pool", key_type), ("sim", pa.float64())]).empty_table()
+        return pa.concat_tables(out) if out else empty
+
+    return run
+
+
+def block_pairs(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """`q, p, total, bound` of every pair of blocks, from the impacts of the pool alone."""
+    groups = lambda df: max(1, -(-df.count() // GROUP))
+    n_q, n_p = groups(queries), groups(pool)
+    group = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("block", "ids", "ends", "grams", "weights", group(n_q).alias("qg"), copies(n_p).alias("pg"))
+    impacts = pool.select("block", "terms", "tops", group(n_p).alias("pg"), copies(n_q).alias("qg"))
+    return asked.groupBy("qg", "pg").cogroup(impacts.groupBy("qg", "pg")).applyInArrow(
+        _bounds, "q bigint, p bigint, total double, bound binary")
 
 
 def top_k(
-    query_weights: DataFrame, pool_weights: DataFrame, key: str, k: int, n_pool: int, n_query: int
+    query_weights: DataFrame, pool_weights: DataFrame, key: str, k: int, block_terms: int = BLOCK_TERMS, common: float = COMMON
 ) -> DataFrame:
     """`query, pool, sim, rank`: the k pool texts most similar to each query that share a term
-    with it. Ties go to the smaller pool key. Weights are `key, term_id, weight`."""
+    with it. Ties go to the smaller pool key. Weights are `key, grams, weights` by text."""
     if k < 1:
         raise ValueError("k must be >= 1")
+    ship_package(pool_weights.sparkSession)
     key_type = dict(pool_weights.dtypes)[key]
-    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    pool, centres = _blocked(pool_weights, key, None, block_terms, True)
+    queries, _ = _blocked(query_weights, key, centres, block_terms, False)
+    pairs = _kept(block_pairs(queries, pool), "block-pairs")
 
-    def vectors(weights: DataFrame) -> DataFrame:
-        # One row per text with its own terms; the weights are already together by key.
-        pairs = weights.groupBy(key).agg(F.collect_list(F.struct("term_id", "weight")).alias("_s"))
-        return pairs.select(F.col(key), F.col("_s.term_id").alias("terms"), F.col("_s.weight").alias("weights"))
+    first = pairs.groupBy("q").agg(F.max_by("p", F.struct("total", "p")).alias("p"))
+    there = pool.drop("terms", "tops")
+    best = first.join(there.withColumnRenamed("block", "p"), "p").select("q", F.col("p").alias("best"), "p", *there.columns[1:])
+    seeds = _kept(
+        queries.groupBy("block").cogroup(best.groupBy("q")).applyInArrow(
+            _seeded(k, common), f"q bigint, best bigint, least binary, query array<{key_type}>, pool array<{key_type}>, sim array<double>"),
+        "seeds")
+    reach = pairs.join(seeds.select("q", "best", "least"), "q").filter(F.col("p") != F.col("best"))
+    left = _kept(reach.select("q", "p", "total", "bound", "least").mapInArrow(_open, "q bigint, p bigint, total double, bound binary"), "open-pairs")
+    left = left.withColumn("g", F.pmod(F.xxhash64("p"), F.lit(max(1, -(-pool.count() // GROUP)))).cast("int"))
 
-    columns = (F.col(key).alias("id"), "terms", "weights")
-    pool = vectors(pool_weights).select(*columns, block(n_pool).alias("pb")).withColumn("qb", copies(n_query))
-    queries = vectors(query_weights).select(*columns, block(n_query).alias("qb")).withColumn("pb", copies(n_pool))
-    drop = lambda t: t.select(["id", "terms", "weights"])
-    score = _score_blocks(k)
-    near = queries.groupBy("pb", "qb").cogroup(pool.groupBy("pb", "qb")).applyInArrow(
-        lambda q, p: score(drop(q), drop(p)), f"query {key_type}, pool {key_type}, sim double")
-    best = Window.partitionBy("query").orderBy(F.desc("sim"), "pool")  # at most k rows per pool block
-    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    asking = (
+        left.select("q", "g").distinct().join(queries.withColumnRenamed("block", "q"), "q").join(seeds.select("q", "least"), "q")
+        .select(F.col("q").alias("at"), F.col("g").alias("part"), *[c for c in queries.columns if c != "block"], "least"))
+    asked = left.join(there.withColumnRenamed("block", "p"), "p").select(
+        "q", "g", "total", "bound", F.col("p").alias("block"), *there.columns[1:])
+    near = asking.groupBy("at", "part").cogroup(asked.groupBy("q", "g")).applyInArrow(
+        _searched(k, common), f"query {key_type}, pool {key_type}, sim double")
+    known = seeds.select(F.inline(F.arrays_zip("query", "pool", "sim")))
+    ranked = Window.partitionBy("query").orderBy(F.desc("sim"), "pool")  # at most k rows per pool group
+    return near.unionByName(known).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
 def retrieve(
     queries: DataFrame, pool: DataFrame, key: str, k: int, text: str = "text", low: int = 3, high: int = 5,
-    min_df: int = 2, fitted: Tfidf | None = None,
+    min_df: int = 2, block_terms: int = BLOCK_TERMS,
 ) -> DataFrame:
-    """Nearest pool texts of every query, with the vectoriser fitted on the pool."""
-    model = fitted or fit_tfidf(pool, key, text, low, high, min_df, sublinear=False)
-    tasks = int(pool.sparkSession.sparkContext.defaultParallelism)
-    n_pool, n_query = block_counts(pool, queries, text, model.high - model.low + 1, tasks)
-    weights = [tfidf_weights(model, t, key, text, "term_id") for t in (queries, pool)]
-    return top_k(*weights, key, k, n_pool, n_query)
+    """Nearest pool texts of every query, with the vectoriser fitted on the pool. Every text is cut
+    into n-grams once. A query that shares no known n-gram with the pool has no row."""
+    lists = _kept(gr.gram_lists(gr.spread(pool, key, text), key, text, low, high), "pool-grams")
+    fitted = gr.fit(lists, low, high, min_df)
+    asked = gr.gram_lists(gr.spread(queries, key, text), key, text, low, high)
+    return top_k(gr.weighted(asked, fitted, key), gr.weighted(lists, fitted, key), key, k, block_terms)
 
 
 def demonstrations(neighbours: DataFrame, pool: DataFrame, key: str, text: str = "text", intent: str = "intent") -> DataFrame:

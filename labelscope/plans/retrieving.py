@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from labelscope.functions.text import char_ngrams
 from labelscope.operators import features as fe
+from labelscope.operators import grams as gr
 from labelscope.operators import metrics as m
 from labelscope.operators import retrieval as rt
 from labelscope.operators.calls import fixed_demonstrations, user_text
@@ -80,11 +81,12 @@ def transform_unseen(spark, d):
 
 
 @query("t4_encode_once", f"""WITH {terms_sql('t', 'documents', 'doc_id', 3, 5)}, c AS (SELECT doc_id, sum(tf)::BIGINT AS n_grams FROM t GROUP BY 1)
-SELECT doc_id, n_grams, (SELECT count(DISTINCT text) FROM documents) AS n_encoded FROM c""")
+SELECT doc_id, coalesce(n_grams, 0) AS n_grams, (SELECT count(DISTINCT coalesce(text, '')) FROM documents) AS n_encoded
+FROM documents LEFT JOIN c USING (doc_id)""")
 def encode_once(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    encode = lambda unique: fe.term_counts(unique, "text_id", "text", 3, 5).groupBy("text_id").agg(
-        F.sum("tf").alias("n_grams"))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encode = lambda unique: gr.gram_lists(unique, "text_id", "text", 3, 5).select(
+        "text_id", F.aggregate("tfs", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_grams"))
     features, references = fe.encode_once(docs, "doc_id", "text", encode)
     encoded = references.agg(F.countDistinct("text_id").alias("n_encoded")).withColumn("_one", F.lit(1))
     joined = references.join(features, "text_id").withColumn("_one", F.lit(1))
@@ -118,12 +120,14 @@ def cosine_top_k(spark, d):
 @query("t5_retrieved_requests", f"""WITH {DOCS_SQL}, {near_sql('docs', 'benchmark', 'item_id')},
 shown AS (SELECT query, string_agg('query: "' || text || '"' || chr(10) || 'intent: ' || lang, chr(10) ORDER BY rank DESC) AS demos
   FROM near JOIN docs ON doc_id = pool WHERE rank <= 2 GROUP BY query)
-SELECT query, md5('Similar labelled examples:' || chr(10) || demos || chr(10) || chr(10) || 'Classify this query:' || chr(10) || '"' || text || '"') AS digest
-FROM shown JOIN benchmark ON item_id = query""")
+SELECT item_id AS query, md5(coalesce('Similar labelled examples:' || chr(10) || demos || chr(10) || chr(10), '')
+  || 'Classify this query:' || chr(10) || '"' || text || '"') AS digest
+FROM benchmark LEFT JOIN shown ON item_id = query""")
 def retrieved_requests(spark, d):
     pool, items = documents(spark, d).select("doc_id", "text", F.col("lang").alias("intent")), _items(spark, d)
     demos = rt.demonstrations(rt.retrieve(items, pool.select("doc_id", "text"), "doc_id", 2), pool, "doc_id")
-    rows = demos.join(items.withColumnRenamed("doc_id", "query"), "query")
+    # A query without neighbours is asked without demonstrations.
+    rows = items.withColumnRenamed("doc_id", "query").join(demos, "query", "left")
     return rows.select("query", F.md5(user_text(F.array("text"), F.col("demos"))).alias("digest"))
 
 

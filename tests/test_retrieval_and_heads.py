@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelscope.operators import features as fe
+from labelscope.operators import grams as gr
 from labelscope.operators import heads as he
 from labelscope.operators import retrieval as rt
 from tests.test_known_values import ngrams
@@ -37,18 +38,44 @@ def brute_force(queries, pool, k):
     return out
 
 
-@pytest.mark.parametrize("blocks", [(1, 1), (3, 2), (7, 5)])
-@pytest.mark.parametrize("common", [0.0, 0.15, 2.0])
-def test_top_k_is_exact_however_it_is_blocked(spark, monkeypatch, blocks, common):
-    monkeypatch.setattr(rt, "COMMON", common)
-    pool, queries = texts(60), texts(17, 100)
+@pytest.mark.parametrize(("block_terms", "common"), [(60, 0.0), (300, 0.15), (400_000, 2.0)])
+def test_top_k_is_exact_however_it_is_blocked(spark, block_terms, common):
+    pool, queries = texts(60), texts(17, 100) + [(200, "zzzz"), (201, "")]
     as_df = lambda t: spark.createDataFrame(t, "id bigint, text string")
-    model = fe.fit_tfidf(as_df(pool), "id", low=3, high=5, sublinear=False)
-    w = lambda t: fe.tfidf_weights(model, as_df(t), "id", name="term_id")
-    got = rt.top_k(w(queries), w(pool), "id", 4, *blocks)
+    lists = gr.gram_lists(as_df(pool), "id")
+    fitted = gr.fit(lists, 3, 5)
+    asked = gr.weighted(gr.gram_lists(as_df(queries), "id"), fitted, "id")
+    got = rt.top_k(asked, gr.weighted(lists, fitted, "id"), "id", 4, block_terms, common)
     assert {(r["query"], r["pool"], r["rank"]) for r in got.collect()} == brute_force(queries, pool, 4)
 
 
+def test_top_k_of_nothing_and_of_named_texts(spark):
+    named = spark.createDataFrame([(f"t{i}", t) for i, t in texts(30)], "id string, text string")
+    got = rt.retrieve(named, named, "id", 1).collect()
+    assert {r["query"] for r in got} == {f"t{i}" for i in range(30)} and all(r["sim"] == pytest.approx(1.0) for r in got)
+    none = named.filter("1 = 0")
+    assert rt.retrieve(none, named, "id", 1).collect() == [] and rt.retrieve(named, none, "id", 1).collect() == []
+
+
+def test_grams_and_weights_equal_the_long_tables(spark, monkeypatch):
+    odd = [(900, None), (901, ""), (902, " \t\n"), (903, "a"), (904, "a bb  CCC"), (905, "Ünïcode 漢字 😀x"), (906, "x" * 3_000), (903, "a")]
+    df = spark.createDataFrame(texts(40) + odd, "id bigint, text string")
+    for low, high in ((2, 5), (3, 5), (4, 6)):
+        got = {(r.id, g, c) for r in gr.gram_lists(df, "id", low=low, high=high).collect() for g, c in zip(r.grams, r.tfs)}
+        want = Counter((r.id, r.tf) for r in fe.term_counts(df.dropDuplicates(["id"]), "id", "text", low, high).collect())
+        assert Counter((i, c) for i, _, c in got) == want
+    lists = gr.gram_lists(df, "id", low=2, high=4)
+    for sublinear in (False, True):
+        fitted = gr.fit(lists, 2, 4, 2, sublinear)
+        sent = sorted((r.id, r.grams, [round(x, 9) for x in r.weights]) for r in gr.weighted(lists, fitted, "id").collect())
+        monkeypatch.setattr(gr, "BROADCAST_TERMS", 0)
+        joined = sorted((r.id, r.grams, [round(x, 9) for x in r.weights]) for r in gr.weighted(lists, fitted, "id").collect())
+        monkeypatch.setattr(gr, "BROADCAST_TERMS", 4_000_000)
+        assert sent == joined and len(sent) == len(texts(40) + odd)
+        with pytest.raises(ValueError):
+            gr.gram_lists(df, "id", low=1)
+
+
 def test_weights_have_unit_length(spark):
     df = spark.createDataFrame(texts(30), "id bigint, text string")
     w = fe.tfidf_weights(fe.fit_tfidf(df, "id"), df, "id")
