@@ -1,41 +1,74 @@
-"""Linear heads over frozen features, swept over budget x seed x regularisation."""
+"""Linear heads over frozen features, swept over budget x seed x regularisation.
+
+Features are sparse: `indices` (sorted places in a dense term dictionary) and `values`. One head
+over many rows is fitted by Spark's own logistic regression. A sweep has many small cells, one
+budget of rows each, so Spark deals out the cells: each is a group, and a task fits all its
+penalties from strong to weak, each from the last, and keeps the one that validates best.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from math import ceil
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from labelscope.functions.scoring import argmax
+from labelscope.operators import grams as gr
 from labelscope.operators.metrics import confusion, macro_f1
+from labelscope.session import scratch_dir, ship_package
 
 # The regularisation grid, the stopping rule and the serving batch.
 C_GRID = (0.1, 1.0, 10.0, 100.0)
 MAX_ITER = 2000
 TOLERANCE = 1e-4
 SERVING_BATCH = 64
-FEATURES = 1 << 16
-ROWS_PER_TASK = 128  # a budget's training rows are few and wide
+PART_BYTES = 1 << 25  # of features scored in a task
+VAL_BYTES = 1 << 26  # of validation features that every cell is sent
+SMALLEST = 1e-9
+
+
+def gram_features(lists: DataFrame, fitted: gr.Vocabulary, key: str) -> DataFrame:
+    """`key, indices, values`: TF-IDF weights by the place of their n-gram among all of the
+    fitted ones in order, so every term has a place of its own. A text without a known term
+    keeps its row and has none."""
+    ship_package(lists.sparkSession)
+    key_type = lists.select(key).schema[0].dataType.simpleString()
+    sent, sublinear = lists.sparkSession.sparkContext.broadcast(fitted.arrays()), fitted.sublinear
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = sent.value
+        for batch in batches:
+            own = batch.column(1)
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(own).to_numpy(zero_copy_only=False))
+            at, w, known = gr.weigh(own.flatten().to_numpy(), batch.column(2).flatten().to_numpy(), owner, batch.num_rows, terms, idf, sublinear)
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner[known], minlength=batch.num_rows)))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))),
+                 pa.ListArray.from_arrays(ends, pa.array(w))], names=[key, "indices", "values"])
+
+    return lists.select(key, "grams", "tfs").mapInArrow(run, f"`{key}` {key_type}, indices array<int>, values array<double>")
 
 
-def feature_vectors(rows: DataFrame, weights: DataFrame, key: str, size: int = FEATURES) -> DataFrame:
-    """`rows` with `features`: their long weights as sparse vectors, terms hashed into `size`
-    slots. A text without a known term keeps its row and gets the zero vector."""
-    to_sparse = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())
-    slots = weights.groupBy(key, F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("i")).agg(
-        F.sum("weight").alias("v"))
-    gathered = slots.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_s"))
-    at = F.coalesce(F.col("_s.i"), F.array().cast("array<int>"))
-    values = F.coalesce(F.col("_s.v"), F.array().cast("array<double>"))
-    return rows.join(gathered, key, "left").select(*rows.columns, to_sparse(at, values).alias("features"))
+def as_vectors(rows: DataFrame, size: int) -> DataFrame:
+    """`rows` with `features` in place of `indices` and `values`. A vector is stored as a struct
+    of these, so the table is written with that struct and read back as vectors; no row passes
+    through Python."""
+    spark, path = rows.sparkSession, scratch_dir(rows.sparkSession, "vectors")
+    others = [f for f in rows.schema if f.name not in ("indices", "values")]
+    names = [f.name for f in others]
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), "indices", "values")
+    rows.select(*names, stored.alias("features")).write.parquet(path)
+    return spark.read.schema(StructType([*others, StructField("features", VectorUDT())])).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -56,20 +89,21 @@ class Head:
             "probs", full).drop("_p", "rawPrediction", "prediction")
 
 
-def fit_head(train: DataFrame, c: float, label: str = "label", max_iter: int = MAX_ITER) -> Head:
-    """Multinomial logistic regression with inverse regularisation `c`.
+def fit_head(train: DataFrame, c: float, label: str = "label", max_iter: int = MAX_ITER, tol: float = TOLERANCE) -> Head:
+    """Multinomial logistic regression with inverse regularisation `c` over rows with `features`.
 
     The penalty of the reference is on the sum of losses and Spark's on the mean, hence
-    regParam = 1 / (c n). Features are not rescaled. Stops at `max_iter` or the tolerance. Labels are numbered densely for the fit.
+    regParam = 1 / (c n). Features are not rescaled. Stops at `max_iter` or the tolerance. Labels
+    are numbered densely for the fit. Tasks are those of the table of `as_vectors`, which Spark
+    sizes by its bytes.
     """
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()  # K rows
     labels, n = [r[label] for r in counts], sum(r["n"] for r in counts)
     dense = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label)) - 1
-    rows = train.select("features", dense.cast("double").alias("_y")).repartition(
-        max(1, ceil(n / ROWS_PER_TASK)))
+    rows = train.select("features", dense.cast("double").alias("_y"))
     fitter = LogisticRegression(
         featuresCol="features", labelCol="_y", family="multinomial", regParam=1.0 / (c * n),
-        elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOLERANCE)
+        elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
     return Head(fitter.fit(rows), tuple(labels), c)
 
 
@@ -78,6 +112,43 @@ def predict(head: Head, rows: DataFrame, n_classes: int) -> DataFrame:
     return head.probabilities(rows, n_classes).withColumn("pred", argmax("probs"))
 
 
+def score_texts(
+    head: Head, fitted: gr.Vocabulary, rows: DataFrame, key: str, n_classes: int, text: str = "text",
+) -> DataFrame:
+    """`key, probs, pred` of raw texts in one pass without a shuffle: a batch is cut into n-grams,
+    weighed and scored where it is. The head is a matrix over the fitted vocabulary, which its
+    training rows bound."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    key_type = rows.select(key).schema[0].dataType.simpleString()
+    low, high, sublinear = fitted.low, fitted.high, fitted.sublinear
+    matrix = np.ascontiguousarray(head.model.coefficientMatrix.toArray().T)
+    sent = spark.sparkContext.broadcast((*fitted.arrays(), matrix, head.model.interceptVector.toArray()))
+    labels = np.array(head.labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf, w, b = sent.value
+        for batch in batches:
+            z = np.tile(b, (batch.num_rows, 1))
+            for i, (grams, tfs) in enumerate(gr.cut_batch(batch.column(1).to_pylist(), low, high)):
+                at, v, _ = gr.weigh(grams, tfs, np.zeros(len(grams), np.int64), 1, terms, idf, sublinear)
+                z[i] += v @ w[at]
+            full = _simplex(z, labels, n_classes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(list(full), pa.list_(pa.float64())), pa.array(full.argmax(axis=1), pa.int64())],
+                names=[key, "probs", "pred"])
+
+    return rows.select(key, gr.spaced(text).alias("text")).mapInArrow(run, f"`{key}` {key_type}, probs array<double>, pred bigint")
+
+
+def _simplex(z: np.ndarray, labels: np.ndarray, n_classes: int) -> np.ndarray:
+    """Probabilities over all classes; those not trained on get 0."""
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    full = np.zeros((len(z), n_classes))
+    full[:, labels] = e / e.sum(axis=1, keepdims=True)
+    return full
+
+
 def smallest_good_c(scores: DataFrame, tolerance: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
     """`keys, c, val_macro_f1`: the most regularised setting within `tolerance` of the best."""
     best = F.max("macro_f1").over(Window.partitionBy(*keys))  # a handful of settings per cell
@@ -105,32 +176,207 @@ def select_head(
     return heads[min(c for c, v in scores.items() if v >= ceiling - tolerance)], scores
 
 
+# --- sweeps ------------------------------------------------------------------------------
+
+
+def _sparse_product(rows: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), dense.shape[1]))
+    for i, (at, v) in enumerate(rows):
+        out[i] = v @ dense[at]
+    return out
+
+
+def descend(z: np.ndarray, y: np.ndarray, c: float, w: np.ndarray, b: np.ndarray, max_iter: int, tol: float = 1e-7):
+    """Multinomial logistic regression on dense rows by limited-memory BFGS: weights and
+    intercepts that minimise c * (sum of losses) + half the squared weights, from `w, b` on."""
+    n, (r, k) = len(z), w.shape
+    hit = np.zeros((n, k))
+    hit[np.arange(n), y] = 1.0
+    scale = 1.0 / max(c * n, 1e-12)
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, b = x[: r * k].reshape(r, k), x[r * k :]
+        a = z @ w + b
+        top = a.max(axis=1, keepdims=True)
+        e = np.exp(a - top)
+        total = e.sum(axis=1, keepdims=True)
+        loss = (np.log(total) + top - (a * hit).sum(axis=1, keepdims=True)).sum() * c + 0.5 * (w * w).sum()
+        gap = (e / total - hit) * c
+        return loss * scale, np.concatenate(((z.T @ gap + w).ravel(), gap.sum(axis=0))) * scale
+
+    x = np.concatenate((w.ravel(), b))
+    f, g = value(x)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(max_iter):
+        if np.abs(g).max() < tol * max(1.0, abs(f)):
+            break
+        q, kept = -g, []
+        for s, d, rho in reversed(steps):
+            a = rho * (s @ q)
+            kept.append(a)
+            q = q - a * d
+        if steps:
+            s, d, _ = steps[-1]
+            q = q * ((s @ d) / (d @ d))
+        for (s, d, rho), a in zip(steps, reversed(kept)):
+            q = q + s * (a - rho * (d @ q))
+        slope = g @ q
+        if slope >= 0:
+            q, slope, steps = -g, -(g @ g), []
+        t = 1.0 if steps else min(1.0, 1.0 / max(np.abs(g).sum(), 1e-12))
+        low, high = 0.0, np.inf
+        for _ in range(40):  # weak Wolfe conditions by bisection
+            new = x + t * q
+            f_new, g_new = value(new)
+            if f_new > f + 1e-4 * t * slope:
+                high = t
+            elif g_new @ q < 0.9 * slope:
+                low = t
+            else:
+                break
+            t = (low + high) / 2 if np.isfinite(high) else 2 * low
+        s, d = new - x, g_new - g
+        if f_new >= f and np.abs(s).max() < 1e-14:
+            break
+        if s @ d > 1e-300:
+            steps = [*steps[-19:], (s, d, 1.0 / (s @ d))]
+        x, f, g = new, f_new, g_new
+    return x[: r * k].reshape(r, k), x[r * k :] - x[r * k :].mean()
+
+
+def fit_cell(
+    rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, grid: Sequence[float], max_iter: int = MAX_ITER,
+) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """`c, labels, terms, weights, intercepts` of every penalty, from strong to weak.
+
+    With a squared penalty the weights are a sum of the rows, so the fit is done in coordinates
+    of the rows: as many as rows instead of terms, and equal to the fit over terms.
+    """
+    labels, dense_y = np.unique(y, return_inverse=True)
+    terms = np.unique(np.concatenate([at for at, _ in rows])) if rows else np.zeros(0, np.int64)
+    local = [(np.searchsorted(terms, at), v) for at, v in rows]
+    n, products = len(rows), np.zeros((len(rows), len(rows)))
+    for first in range(0, len(terms), 4_096):  # a stripe of terms at a time
+        stripe = np.zeros((n, min(4_096, len(terms) - first)))
+        for i, (at, v) in enumerate(local):
+            a, b = np.searchsorted(at, (first, first + 4_096))
+            stripe[i, at[a:b] - first] = v[a:b]
+        products += stripe @ stripe.T
+    size, turn = np.linalg.eigh(products)
+    used = size > SMALLEST * max(size.max(initial=0.0), SMALLEST)
+    size, turn = np.sqrt(size[used]), turn[:, used]
+    z = turn * size
+    w, b = np.zeros((z.shape[1], len(labels))), np.zeros(len(labels))
+    for c in sorted(grid):
+        w, b = descend(z, dense_y, c, w, b, max_iter)
+        mix, weights = (turn / size) @ w, np.zeros((len(terms), len(labels)))
+        for i, (at, v) in enumerate(local):
+            weights[at] += v[:, None] * mix[i]
+        yield c, labels, terms, weights, b
+
+
+def _macro_f1(y: np.ndarray, pred: np.ndarray, n_classes: int) -> float:
+    cells = np.bincount(y * n_classes + pred, minlength=n_classes * n_classes).reshape(n_classes, n_classes)
+    return float(np.mean(2 * np.diag(cells) / np.maximum(cells.sum(0) + cells.sum(1), 1)))
+
+
+HEADS = "c double, n_classes_seen int, val_scores map<double, double>, labels array<int>, terms binary, weights binary, intercepts array<double>"
+
+
 def sweep(
-    grid: DataFrame, cells: Sequence[tuple[int, int]], val: DataFrame, test: DataFrame, n_classes: int,
-    write: Callable[[DataFrame, int, int], None], key: str = "row_id", label: str = "label",
-    c_grid: Sequence[float] = C_GRID, tolerance: float = 0.0, max_iter: int = MAX_ITER, threads: int = 4,
-) -> list[dict]:
-    """Fit every (training_size, seed) cell; test probabilities go to `write`, one record per
-    cell comes back.
-
-    `grid` has training_size, seed, label and features. Each fit is a distributed job; a few
-    run side by side so that small ones do not leave the cluster idle.
+    grid: DataFrame, val: DataFrame, n_classes: int, keys: Sequence[str] = ("training_size", "seed"), label: str = "label",
+    c_grid: Sequence[float] = C_GRID, tolerance: float = 0.0, max_iter: int = MAX_ITER,
+) -> DataFrame:
+    """One head for every cell of `grid`, all cells in one job: `keys` and the columns of `HEADS`.
+
+    `grid` has the keys, the label, `indices` and `values`; a cell holds a budget of rows, which
+    the budget bounds. `val` (label, `indices`, `values`) is the fixed validation set; it must be
+    within `VAL_BYTES`. The penalty kept is the strongest within `tolerance` of the best macro-F1.
     """
+    spark = grid.sparkSession
+    ship_package(spark)
+    size = val.agg(F.sum(12 * F.size("indices") + 40)).first()[0] or 0
+    if size > VAL_BYTES:
+        raise ValueError(f"a validation set of {size} bytes is too large to send to every cell")
+    held = val.select(F.col(label).cast("bigint").alias("y"), "indices", "values").toArrow()
+    sent = spark.sparkContext.broadcast((held["y"].to_numpy(), _pairs(held)))
+    kinds = ", ".join(f"`{k}` {t}" for k, t in grid.select(*keys).dtypes)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        y_val, val_rows = sent.value
+        scores, best = {}, None
+        for c, labels, terms, weights, b in fit_cell(_pairs(table), table["y"].to_numpy(), c_grid, max_iter):
+            z = _sparse_product(_known(val_rows, terms), weights) + b
+            scores[c] = _macro_f1(y_val, labels[z.argmax(axis=1)], n_classes) if len(y_val) else 0.0
+            if best is None or scores[c] > scores[best[0]] + tolerance:
+                best = c, labels, terms, weights, b
+        c, labels, terms, weights, b = best
+        return pa.table({
+            **{k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key)}, "c": [c], "n_classes_seen": pa.array([len(labels)], pa.int32()),
+            "val_scores": pa.array([list(scores.items())], pa.map_(pa.float64(), pa.float64())),
+            "labels": pa.array([labels.tolist()], pa.list_(pa.int32())), "terms": pa.array([terms.astype("<i4").tobytes()], pa.binary()),
+            "weights": pa.array([weights.astype("<f8").tobytes()], pa.binary()), "intercepts": pa.array([b.tolist()], pa.list_(pa.float64()))})
+
+    cells = grid.select(*keys, F.col(label).cast("bigint").alias("y"), "indices", "values")
+    return cells.groupBy(*keys).applyInArrow(run, f"{kinds}, {HEADS}")
+
+
+def _pairs(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and values of each row."""
+    out = []
+    for batch in table.to_batches():
+        at, v = (batch.column(batch.schema.get_field_index(c)) for c in ("indices", "values"))
+        out += [(at[i].values.to_numpy(), v[i].values.to_numpy()) for i in range(batch.num_rows)]
+    return out
+
+
+def _known(rows: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows by place among `terms`, without others."""
+    out = []
+    for at, v in rows:
+        place = np.searchsorted(terms, at)
+        place[place == len(terms)] = 0
+        own = terms[place] == at if len(terms) else np.zeros(len(at), bool)
+        out.append((place[own], v[own]))
+    return out
+
+
+def sweep_probabilities(
+    heads: DataFrame, rows: DataFrame, n_classes: int, key: str, keys: Sequence[str] = ("training_size", "seed"),
+    together: str = "training_size", label: str = "label", part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """`keys, key, y, probs`: every row scored by every head, over the full label simplex.
+
+    Rows are cut into blocks of bounded bytes; the heads of one `together` (one budget) meet a
+    block in one task, so a row is shuffled once a budget.
+    """
+    ship_package(heads.sparkSession)
+    total = rows.agg(F.sum(12 * F.size("indices") + 40)).first()[0] or 0
+    n = max(1, -(-total // part_bytes))
+    groups = heads.select(together).distinct()  # one row a budget
+    number = [F.lit(r[0]) for r in groups.orderBy(together).collect()]
+    key_type, kinds = dict(rows.dtypes)[key], dict(heads.dtypes)
+    fields = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{key}` {key_type}", "y bigint", "probs array<double>"])
+    if not number:
+        return heads.sparkSession.createDataFrame([], fields)
+    at = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = rows.select(key, F.col(label).cast("bigint").alias("y"), "indices", "values", at.alias("_block"),
+                       F.explode(F.array(*number)).alias("_of"))
+    right = heads.select(*keys, F.col(together).alias("_of"), "labels", "terms", "weights", "intercepts",
+                         F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block"))
+
+    def run(these: pa.Table, by: pa.Table) -> pa.Table:
+        pairs, out = _pairs(these), []
+        for head in by.to_pylist():
+            labels, terms = np.array(head["labels"], dtype=np.int64), np.frombuffer(head["terms"], "<i4")
+            weights = np.frombuffer(head["weights"], "<f8").reshape(len(terms), len(labels))
+            full = _simplex(_sparse_product(_known(pairs, terms), weights) + np.array(head["intercepts"]), labels, n_classes)
+            out.append(pa.table(
+                [*(pa.array([head[k]] * len(pairs), by.schema.field(k).type) for k in keys), these[key], these["y"],
+                 pa.array(list(full), pa.list_(pa.float64()))], names=[*keys, key, "y", "probs"]))
+        if not out:
+            return pa.schema([*(by.schema.field(k) for k in keys), these.schema.field(key), pa.field("y", pa.int64()),
+                              pa.field("probs", pa.list_(pa.float64()))]).empty_table()
+        return pa.concat_tables(out)
 
-    def one(cell: tuple[int, int]) -> dict:
-        size, seed = cell
-        train = grid.filter((F.col("training_size") == size) & (F.col("seed") == seed)).select("features", label)
-        train.persist(StorageLevel.MEMORY_AND_DISK)  # one budget of rows, read by every fit
-        try:
-            head, scores = select_head(train, val, n_classes, c_grid, tolerance, max_iter, label)
-        finally:
-            train.unpersist()
-        probs = head.probabilities(test, n_classes).select(key, F.col(label).alias("y"), "probs")
-        write(probs, size, seed)
-        return {
-            "training_size": size, "seed": seed, "c": head.c, "n_classes_seen": len(head.labels),
-            "val_scores": ",".join(f"{c}:{v:.5f}" for c, v in sorted(scores.items())),
-        }
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        return list(pool.map(one, cells))
+    return left.groupBy("_of", "_block").cogroup(right.groupBy("_of", "_block")).applyInArrow(run, fields)

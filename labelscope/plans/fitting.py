@@ -1,19 +1,24 @@
 """Heads that learn the language of `documents` from whole texts.
 
 The labelled side is the test set. Its texts are removed from the rest, a validation set is
-carved by text, and what remains is the pool the budgets are drawn from.
+carved by text, and what remains is the pool the budgets are drawn from. One head alone learns
+from `LABELLED` rows of the pool; the vectoriser sees those rows, or the rows of all budgets.
+
+Fitted heads have no SQL, except on one-hot features: there a weakly penalised head repeats the
+shares of its training rows, so what it predicts is what they have most of.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelscope.functions.scoring import argmax
 from labelscope.operators import ensemble as en
-from labelscope.operators import features as fe
+from labelscope.operators import grams as gr
 from labelscope.operators import heads as he
 from labelscope.operators import metrics as m
 from labelscope.operators import splits as sp
-from labelscope.plans.inputs import SIDES_SQL, split_documents
+from labelscope.plans.inputs import K, P_SQL, SIDES_SQL, f1_sql, predictions, split_documents, table
 from labelscope.plans.registry import query
 from labelscope.plans.scoring import CURVE_CTES, _single_runs
 from labelscope.session import scratch_dir
@@ -21,37 +26,57 @@ from labelscope.sources.store import stack_cells
 
 N_LANGS = 4
 VAL_ROWS = 60
-FEATURES = 1 << 14
+LABELLED = 1_000  # rows that a head of its own is fitted on
+BUDGETS, SEEDS = (24, 80, 250, 500), (0, 1, 2, 3, 4)
+LOW, HIGH = 2, 5
 
 
-def _prepared(spark, d):
-    """(pool, val, test) with features; the vectoriser sees the pool only. Splits and features
-    are written once as tables, since every fit and every prediction reads them."""
+def _table(df, name):
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _sides(spark, d):
+    """(pool, val, test) as written tables."""
     test, rest = split_documents(spark, d)
     test, rest = (t.select("doc_id", "label", "text") for t in (test, rest))
     val, pool = sp.carve_by_text(sp.drop_leaked(rest, test), VAL_ROWS, "label", "doc_id", 42)
-    path = scratch_dir(spark, "features")
     parts = {"pool": pool, "val": val, "test": test}
-    stack_cells([t.withColumn("split", F.lit(s)) for s, t in parts.items()]).write.parquet(f"{path}/rows")
-    rows = spark.read.parquet(f"{path}/rows")
-    fitted = fe.fit_tfidf(rows.filter("split = 'pool'"), "doc_id")
-    weights = fe.tfidf_weights(fitted, rows, "doc_id")
-    keyed = he.feature_vectors(rows.select("doc_id", "label", "split"), weights, "doc_id", FEATURES)
-    keyed.write.partitionBy("split").parquet(f"{path}/features")
-    return [spark.read.parquet(f"{path}/features").filter(F.col("split") == s).drop("split") for s in parts]
+    rows = _table(stack_cells([t.withColumn("split", F.lit(s)) for s, t in parts.items()]), "rows")
+    return [rows.filter(F.col("split") == s).drop("split") for s in parts]
+
+
+def _lists(rows):
+    return gr.gram_lists(gr.spread(rows.select("doc_id", "text"), "doc_id"), "doc_id", "text", LOW, HIGH)
+
+
+def _featured(rows, fitted):
+    return rows.drop("text").join(he.gram_features(_lists(rows), fitted, "doc_id"), "doc_id")
+
+
+def _prepared(spark, d):
+    """(train, val, test) with vectors, texts of all three, and the vocabulary; every text is cut
+    once and the vectoriser sees the training rows only."""
+    pool, val, test = _sides(spark, d)
+    train = _table(sp.round_robin(pool, "label", "doc_id", 0, limit=LABELLED, n_groups=N_LANGS), "train")
+    fitted = gr.fit(_table(_lists(train), "grams"), LOW, HIGH, sublinear=True)
+    rows = stack_cells([t.withColumn("split", F.lit(s)) for s, t in (("train", train), ("val", val), ("test", test))])
+    vectors = he.as_vectors(_featured(rows, fitted), fitted.size)
+    return [vectors.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")], pool.unionByName(val).unionByName(test), fitted
 
 
 @query("m1_logistic_head")
 def logistic_head(spark, d):
-    pool, _, test = _prepared(spark, d)
-    head = he.fit_head(pool, 10.0)
+    (train, _, test), _, _ = _prepared(spark, d)
+    head = he.fit_head(train, 10.0)
     return he.predict(head, test, N_LANGS).select("doc_id", "label", "pred")
 
 
 @query("m2_select_c")
 def select_c(spark, d):
-    pool, val, test = _prepared(spark, d)
-    head, _ = he.select_head(pool, val, N_LANGS)
+    (train, val, test), _, _ = _prepared(spark, d)
+    head, _ = he.select_head(train, val, N_LANGS)
     scored = m.scores(m.confusion(he.predict(head, test, N_LANGS), "label", "pred"), N_LANGS)
     return scored.withColumn("c", F.lit(head.c))
 
@@ -65,41 +90,46 @@ def selection_rule(spark, d):
     return he.smallest_good_c(runs, 0.002, ["training_size"])
 
 
-def _swept(spark, d):
-    pool, val, test = _prepared(spark, d)
-    grid = sp.subset_grid(pool, "label", "doc_id", (24, 80), (0, 1), n_classes=N_LANGS)
-    path = scratch_dir(spark, "sweep")
-    # Budgets larger than the pool are not in the grid, so the cells come from it.
-    cells = sorted((r["training_size"], r["seed"]) for r in grid.select("training_size", "seed").distinct().collect())
+def _swept(grid, val, test, n_classes, key, **options):
+    """The heads of a grid of cells and what they say about the test rows, both written."""
+    heads = _table(he.sweep(grid, val, n_classes, **options), "heads")
+    return heads, _table(he.sweep_probabilities(heads, test, n_classes, key), "probabilities")
 
-    def write(probs, n, s):
-        probs.write.mode("overwrite").parquet(f"{path}/training_size={n}/seed={s}")
 
-    records = he.sweep(grid, cells, val, test, N_LANGS, write, key="doc_id", c_grid=(1.0, 100.0))
-    probs = spark.read.parquet(path)
-    return records, probs
+def _reported(heads, probs, n_classes, key):
+    """Per cell: the chosen setting, classes seen, test macro-F1, and the score of its budget's ensemble."""
+    keys = ["training_size", "seed"]
+    single = m.macro_f1(m.confusion(probs.select(*keys, "y", argmax("probs").alias("pred")), "y", "pred", keys), n_classes, keys)
+    voted = en.soft_vote(probs, n_classes, keys=(key, "training_size"))
+    ensemble = m.macro_f1(m.confusion(voted, "y", "pred", ["training_size"]), n_classes, ["training_size"], out="ensemble")
+    tried = F.array_sort(F.map_entries("val_scores"))
+    listed = F.array_join(F.transform(tried, lambda e: F.format_string("%.1f:%.5f", e["key"], e["value"])), ",")
+    found = heads.select(*keys, "c", "n_classes_seen", listed.alias("val_scores")).join(single, keys).join(ensemble, "training_size")
+    return found.withColumns({c: F.round(c, 6) for c in ("macro_f1", "ensemble")})
 
 
 @query("m3_budget_sweep")
 def budget_sweep(spark, d):
-    """Per cell: the chosen setting, classes seen, and test macro-F1; then the ensemble's score."""
-    records, probs = _swept(spark, d)
-    keys = ["training_size", "seed"]
-    single = m.macro_f1(m.confusion(
-        probs.select(*keys, "y", he.argmax("probs").alias("pred")), "y", "pred", keys), N_LANGS, keys)
-    voted = en.soft_vote(probs, N_LANGS, keys=("doc_id", "training_size"))
-    ensemble = m.macro_f1(m.confusion(voted, "y", "pred", ["training_size"]), N_LANGS, ["training_size"], out="ensemble")
-    runs = spark.createDataFrame(records)
-    found = runs.join(single, keys).join(ensemble, "training_size")
-    return found.withColumns({c: F.round(c, 6) for c in ("macro_f1", "ensemble")})
+    """Every budget the pool fills, five seeds and four penalties."""
+    pool, val, test = _sides(spark, d)
+    grid = _table(sp.subset_grid(pool, "label", "doc_id", BUDGETS, SEEDS, n_classes=N_LANGS), "grid")
+    seen = sp.distinct_pool(grid, "doc_id").select("doc_id", "text")
+    fitted = gr.fit(_table(_lists(seen), "grams"), LOW, HIGH, sublinear=True)
+    parts = {"pool": pool.join(grid.select("doc_id").distinct(), "doc_id", "left_semi"), "val": val, "test": test}
+    rows = stack_cells([t.withColumn("split", F.lit(s)) for s, t in parts.items()])
+    features = _table(_featured(rows, fitted), "features")
+    part = lambda s: features.filter(F.col("split") == s).drop("split")
+    cells = grid.select("doc_id", "training_size", "seed").join(part("pool"), "doc_id")
+    heads, probs = _swept(cells, part("val"), part("test"), N_LANGS, "doc_id")
+    return _reported(heads, probs, N_LANGS, "doc_id")
 
 
 @query("m4_full_simplex", f"""WITH {SIDES_SQL} SELECT label, count(*) AS n_rows, 0.0::DOUBLE AS absent_class,
   1.0::DOUBLE AS min_total, 1.0::DOUBLE AS max_total FROM labelled GROUP BY 1""")
 def full_simplex(spark, d):
     """Trained without one class: its probability is 0 in every row and each row sums to 1."""
-    pool, _, test = _prepared(spark, d)
-    head = he.fit_head(pool.filter("label <> 2"), 1.0)
+    (train, _, test), _, _ = _prepared(spark, d)
+    head = he.fit_head(train.filter("label <> 2"), 1.0)
     total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
     return head.probabilities(test, N_LANGS).groupBy("label").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -109,8 +139,76 @@ def full_simplex(spark, d):
 
 @query("m6_batch_inference")
 def batch_inference(spark, d):
-    """A fitted head over every document; the bench turns its time into rows per second."""
-    pool, val, test = _prepared(spark, d)
-    head = he.fit_head(pool, 10.0)
-    rows = pool.unionByName(val).unionByName(test)
-    return he.predict(head, rows, N_LANGS).groupBy("pred").agg(F.count(F.lit(1)).alias("n_rows"))
+    """A fitted head over every document's raw text; the bench turns its time into rows per second."""
+    (train, _, _), rows, fitted = _prepared(spark, d)
+    head = he.fit_head(train, 10.0)
+    return he.score_texts(head, fitted, rows, "doc_id", N_LANGS).groupBy("pred").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# --- one-hot features --------------------------------------------------------------------
+
+WEAK, NEAR_TIE = 1e5, 2e-3
+GROUPS = 4
+HOT_BUDGETS = (50, 100, 250, 500)
+HOT_SQL = f"{P_SQL}, hot AS (SELECT p.row_id, p.y, e.user_id % {GROUPS} AS g FROM p JOIN events e ON p.row_id = e.event_id)"
+
+
+def _hot(spark, d):
+    """row_id, y, the group g and its one-hot feature, of every event."""
+    groups = table(spark, d, "events").select(F.col("event_id").alias("row_id"), (F.col("user_id") % GROUPS).alias("g"))
+    rows = predictions(spark, d).select("row_id", "y").join(groups, "row_id")
+    return rows.withColumns({"indices": F.array(F.col("g").cast("int")), "values": F.array(F.lit(1.0))})
+
+
+def _most(probs):
+    """The first class within a near tie of the best: equal shares are equal but for the penalty."""
+    return F.array_position(F.transform(probs, lambda x: x >= F.array_max(probs) - NEAR_TIE), True) - 1
+
+
+MOST_SQL = f"min(y) FILTER (WHERE n >= best - {NEAR_TIE} * total)"
+
+
+def _saturated(spark, d):
+    rows = he.as_vectors(_hot(spark, d), GROUPS)
+    return he.fit_head(rows, WEAK, "y", tol=1e-9).probabilities(rows, K).withColumn("pred", _most("probs"))
+
+
+HEAD_SQL = f"""WITH {HOT_SQL}, c AS (SELECT g, y, count(*) AS n FROM hot GROUP BY ALL),
+top AS (SELECT g, max(n) AS best, sum(n) AS total FROM c GROUP BY g),
+said AS (SELECT g, {MOST_SQL} AS pred, max(total)::BIGINT AS n_rows FROM c JOIN top USING (g) GROUP BY g)"""
+
+
+@query("m1_saturated_head", f"{HEAD_SQL} SELECT g, pred, n_rows FROM said")
+def saturated_head(spark, d):
+    return _saturated(spark, d).groupBy("g", "pred").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("m6_saturated_inference", f"{HEAD_SQL} SELECT pred, sum(n_rows)::BIGINT AS n_rows FROM said GROUP BY pred")
+def saturated_inference(spark, d):
+    return _saturated(spark, d).groupBy("pred").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("m3_saturated_sweep", f"""WITH {HOT_SQL}, s AS (SELECT hot.*, seed FROM hot, (SELECT unnest(range(5)) AS seed)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY seed, y ORDER BY md5(seed || ':' || row_id), row_id) AS r FROM s),
+turns AS (SELECT seed, y, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || y), y) AS o FROM (SELECT DISTINCT seed, y FROM s)),
+placed AS (SELECT ranked.*, row_number() OVER (PARTITION BY seed ORDER BY r, o) AS pos FROM ranked JOIN turns USING (seed, y)),
+c AS (SELECT training_size, seed, g, y, count(*) AS n FROM placed JOIN (VALUES {', '.join(f'({n})' for n in HOT_BUDGETS)}) b(training_size)
+  ON pos <= training_size GROUP BY ALL),
+top AS (SELECT training_size, seed, g, max(n) AS best, sum(n) AS total FROM c GROUP BY ALL),
+said AS (SELECT training_size, seed, g, {MOST_SQL} AS pred FROM c JOIN top USING (training_size, seed, g) GROUP BY ALL),
+long AS (SELECT training_size, seed, y, pred FROM hot JOIN said USING (g)),
+seen AS (SELECT training_size, seed, count(DISTINCT y) AS n_classes_seen FROM c GROUP BY ALL),
+{f1_sql('sat', 'long', group='training_size, seed')}
+SELECT training_size, seed, {WEAK}::DOUBLE AS c, n_classes_seen::INTEGER AS n_classes_seen, round(avg(f1), 6) AS macro_f1
+FROM f1_sat JOIN seen USING (training_size, seed) GROUP BY ALL""")
+def saturated_sweep(spark, d):
+    """Twenty cells, each fitted, validated and scored as in the sweep over texts."""
+    rows = _table(_hot(spark, d), "one-hot")
+    grid = sp.subset_grid(rows, "y", "row_id", HOT_BUDGETS, SEEDS, n_classes=K)
+    val = rows.orderBy(F.md5(F.col("row_id").cast("string")), "row_id").limit(VAL_ROWS)
+    keys = ["training_size", "seed"]
+    heads = _table(he.sweep(grid, val, K, label="y", c_grid=(WEAK,)), "heads")
+    probs = he.sweep_probabilities(heads, rows, K, "row_id", label="y")
+    cells = m.confusion(probs.select(*keys, "y", _most("probs").alias("pred")), "y", "pred", keys)
+    found = heads.select(*keys, "c", "n_classes_seen").join(m.macro_f1(cells, K, keys), keys)
+    return found.withColumn("macro_f1", F.round("macro_f1", 6))

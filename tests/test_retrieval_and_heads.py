@@ -83,16 +83,68 @@ def test_weights_have_unit_length(spark):
         assert r["s"] == pytest.approx(1.0)
 
 
-def test_head_learns_and_absent_class_is_zero(spark):
-    rows = [(i, f"{WORDS[i % 3]} please {i % 7}", i % 3 if i % 3 < 2 else 3) for i in range(90)]
+def featured(spark, rows, low=2, high=5):
     df = spark.createDataFrame(rows, "id bigint, text string, label bigint")
-    model = fe.fit_tfidf(df, "id")
-    data = he.feature_vectors(df, fe.tfidf_weights(model, df, "id"), "id", 1024).cache()
+    lists = gr.gram_lists(df, "id", low=low, high=high)
+    fitted = gr.fit(lists, low, high, sublinear=True)
+    return df, he.gram_features(lists, fitted, "id").join(df, "id"), fitted
+
+
+THREE = [(i, f"{WORDS[i % 3]} please {i % 7}", i % 3 if i % 3 < 2 else 3) for i in range(90)]
+
+
+def test_head_learns_and_absent_class_is_zero(spark):
+    df, features, fitted = featured(spark, THREE)
+    data = he.as_vectors(features, fitted.size)
     head, scores = he.select_head(data, data, 4, grid=(1.0, 10.0), max_iter=50)
     got = he.predict(head, data, 4).collect()
     assert all(r["pred"] == r["label"] for r in got)
     assert all(r["probs"][2] == 0.0 and sum(r["probs"]) == pytest.approx(1.0) for r in got)
     assert head.c == 1.0 and set(scores) == {1.0, 10.0}
+    raw = {r["id"]: r for r in he.score_texts(head, fitted, df, "id", 4).collect()}
+    for r in got:
+        assert raw[r["id"]]["probs"] == pytest.approx(r["probs"], abs=1e-9) and raw[r["id"]]["pred"] == r["pred"]
+
+
+def test_every_term_has_a_place_of_its_own(spark):
+    _, features, fitted = featured(spark, THREE)
+    terms, _ = fitted.arrays()
+    assert len(set(terms.tolist())) == len(terms) == fitted.size
+    used = {i for r in features.collect() for i in r["indices"]}
+    assert used == set(range(fitted.size))
+    vectors = {r["id"]: r["features"] for r in he.as_vectors(features, fitted.size).collect()}
+    for r in features.collect():
+        assert vectors[r["id"]].indices.tolist() == r["indices"] and vectors[r["id"]].values.tolist() == r["values"]
+
+
+def test_sweep_equals_fits_over_terms(spark):
+    """Heads of a sweep, fitted in coordinates of their rows, against Spark's fit over all terms."""
+    noisy = [(i, t + f" {WORDS[(i * 7) % 10]}", (y + (i % 11 == 0)) % 4) for i, t, y in THREE]
+    _, features, fitted = featured(spark, noisy)
+    grid = features.withColumn("seed", F.col("id") % 2).withColumn("training_size", F.lit(45))
+    vectors = he.as_vectors(features.withColumn("seed", F.col("id") % 2), fitted.size)
+    for c in (0.1, 10.0):
+        heads = he.sweep(grid, features, 4, c_grid=(c,))
+        probs = {(r["seed"], r["id"]): r["probs"] for r in he.sweep_probabilities(heads, features, 4, "id", part_bytes=10_000).collect()}
+        assert len(probs) == 180
+        for seed in (0, 1):
+            fit = he.fit_head(vectors.filter(F.col("seed") == seed), c, tol=1e-10)
+            for r in he.predict(fit, vectors, 4).collect():
+                assert probs[seed, r["id"]] == pytest.approx(r["probs"], abs=2e-4)
+    both = he.sweep(grid, features, 4, c_grid=(10.0, 0.1)).collect()
+    assert len(both) == 2
+    for h in both:
+        assert set(h["val_scores"]) == {0.1, 10.0} and h["n_classes_seen"] == 4
+        assert h["c"] == (10.0 if h["val_scores"][10.0] > h["val_scores"][0.1] else 0.1)
+
+
+def test_sweep_of_one_class_and_of_texts_without_terms(spark):
+    rows = [(1, 7, 0, 2, [], []), (2, 7, 0, 2, [0], [1.0]), (3, 7, 1, 0, [], []), (4, 7, 1, 1, [], [])]
+    grid = spark.createDataFrame(rows, "id bigint, training_size int, seed int, label bigint, indices array<int>, values array<double>")
+    heads = he.sweep(grid, grid, 3)
+    got = {(r["seed"], r["id"]): r["probs"] for r in he.sweep_probabilities(heads, grid, 3, "id").collect()}
+    assert got[0, 1] == [0.0, 0.0, 1.0] and got[1, 1] == pytest.approx([0.5, 0.5, 0.0])
+    assert he.sweep(grid.filter("1 = 0"), grid, 3).count() == 0
 
 
 def test_selection_prefers_the_more_regularised(spark):
@@ -103,7 +155,8 @@ def test_selection_prefers_the_more_regularised(spark):
 
 def test_text_without_known_terms_keeps_its_row(spark):
     pool = spark.createDataFrame(texts(10), "id bigint, text string")
+    fitted = gr.fit(gr.gram_lists(pool, "id", low=2), 2, 5)
     unseen = spark.createDataFrame([(100, "qqqq"), (101, "refund card")], "id bigint, text string")
-    weights = fe.tfidf_weights(fe.fit_tfidf(pool, "id"), unseen, "id")
-    got = {r["id"]: r["features"].numNonzeros() for r in he.feature_vectors(unseen, weights, "id", 64).collect()}
+    found = he.as_vectors(he.gram_features(gr.gram_lists(unseen, "id", low=2), fitted, "id"), fitted.size)
+    got = {r["id"]: r["features"].numNonzeros() for r in found.collect()}
     assert got[100] == 0 and got[101] > 0
