@@ -1,13 +1,15 @@
 """Licences named or quoted in texts, by a positional index of rare licence words.
 
 Every row keeps the positions of licence words other than everyday ones, with the words around
-them. How many documents hold each of these words gives its weight; of each file only the words
-of highest weight are looked up in the index of template positions. Postings that agree on where
-the template would begin are intersected by counting; a template is reported where enough of
-them agree and its mandatory key phrase stands there word for word.
+those that a phrase may be recognised by. How many documents hold each of these words gives its
+weight. Of each file the words of highest weight are looked up in the index of template positions,
+and postings are intersected by where the template would begin: those that agree within `SLIP`
+words, so that a notice with words put in or left out stays together. A template is reported where
+the words in place have `LEAST_SHARE` of its weight and its mandatory key phrase stands there word
+for word. A key phrase alone is so refused, and a notice that was changed a little is found.
 
 Only DataFrame functions are used. The index is made from the templates below, a few hundred
-postings, and is the only thing that is broadcast.
+postings; it and the key phrases are the only things that are broadcast.
 """
 
 from __future__ import annotations
@@ -20,34 +22,61 @@ from labelscope.llm.stages import kept
 #: Phrases that are always reported, wherever they stand: fixed values.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Template texts with their labels and mandatory key phrases, in words as they are indexed.
+#: Template notices with their labels and mandatory key phrases, in words as they are indexed:
+#: fixed values.
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-            "associated documentation files", "permission is hereby granted free of charge"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with "
+                   "the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by "
+                   "applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+                   "without warranties or conditions of any kind either express or implied", "apache license version 2 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+            "documentation files the software to deal in the software without restriction including without limitation the rights "
+            "to use copy modify merge publish distribute sublicense and or sell copies of the software",
+     "permission is hereby granted free of charge"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+            "documentation files", "permission is hereby granted free of charge"),
     ("mit", "released under the mit license", "mit license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
      "redistribution and use in source and binary forms"),
-    ("gpl-2", "gnu general public license version 2", "gnu general public license version 2"),
-    ("gpl-3", "gnu general public license version 3", "gnu general public license version 3"),
-    ("lgpl", "gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license", "gnu affero general public license"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license", "mozilla public license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+            "following conditions are met redistributions of source code must retain the above copyright notice this list of "
+            "conditions and the following disclaimer", "redistribution and use in source and binary forms"),
+    ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+              "license as published by the free software foundation either version 2 of the license or at your option any later "
+              "version", "either version 2 of the license"),
+    ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+              "license as published by the free software foundation either version 3 of the license or at your option any later "
+              "version", "either version 3 of the license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general "
+             "public license as published by the free software foundation", "gnu lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general "
+             "public license as published by the free software foundation", "gnu affero general public license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not "
+                "distributed with this file you can obtain one at http mozilla org mpl 2 0", "mozilla public license"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
-    ("creative-commons", "creative commons attribution license", "creative commons attribution"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee",
+    ("creative-commons", "this work is licensed under a creative commons attribution 4 0 international license",
+     "creative commons attribution"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+            "provided that the above copyright notice and this permission notice appear in all copies",
      "permission to use copy modify and or distribute"),
-    ("unlicense", "this is free and unencumbered software released into the public domain",
-     "free and unencumbered software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use "
+                  "compile sell or distribute this software either in source code form or as a compiled binary for any purpose "
+                  "commercial or non commercial and by any means", "free and unencumbered software"),
 ]
 #: Everyday words; they stand in key phrases but are not indexed.
-EVERYDAY = frozenset("a all and any are as by c for free in into is of or person source terms the this to use with "
-                     "without under 0 2 3 4".split())
+EVERYDAY = frozenset("a all an and any appear are as at be by can c either for form free freely from if in including into is it law "
+                     "later list met must not of on one or org person source terms that the this to under use v was were with "
+                     "without work www you your http file files code option 0 2 3 4".split())
 BEFORE, AFTER = 8, 16
 #: Words looked up for one file and template; those of highest weight that the file has.
-LOOKED_UP = 4
+LOOKED_UP = 12
+#: Share of a template's weight that must be in place, and how far apart words in place may shift.
+LEAST_SHARE, SLIP = 0.6, 6
 
 _POSTINGS = [
     (t, word, at)
@@ -55,11 +84,20 @@ _POSTINGS = [
     for at, word in enumerate(text.split())
     if word not in EVERYDAY
 ]
-#: The indexed word that stands for each base phrase, and its place in it.
-_ANCHORS = [(phrase, label, "cc", 0) if phrase == "cc by" else
-            (phrase, label, "public", 1) if phrase.startswith("general") else
-            (phrase, label, "reserved", 2) for phrase, label in BASE.items()]
-VOCABULARY = sorted({w for _, w, _ in _POSTINGS} | {a for _, _, a, _ in _ANCHORS})
+
+
+def _anchor(phrase: str) -> int:
+    """The place in a phrase of the word it is recognised by: the longest that is indexed."""
+    words = phrase.split()
+    return max((k for k, w in enumerate(words) if w not in EVERYDAY), key=lambda k: (len(words[k]), -k))
+
+
+#: `word, offset, words of the phrase, label of a base phrase or number of a template, its begin`.
+_PHRASES = [(p.split()[_anchor(p)], _anchor(p), p.split(), label, -1, 0) for p, label in BASE.items()] + [
+    (p.split()[_anchor(p)], _anchor(p), p.split(), None, t, len(body.partition(p)[0].split()))
+    for t, (_, body, p) in enumerate(TEMPLATES)]
+ANCHORS = sorted({row[0] for row in _PHRASES})
+VOCABULARY = sorted({w for _, w, _ in _POSTINGS} | set(ANCHORS))
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -75,21 +113,14 @@ def _scanned(text: Column) -> Column:
 
         def hit(i: Column) -> Column:
             first = F.greatest(i - BEFORE, lead)
-            return F.struct((i - lead).alias("pos"), words[i].alias("word"), (i - first).alias("at"),
-                            F.slice(words, first + 1, i - first + 1 + AFTER).alias("around"))
+            around = F.when(words[i].isin(ANCHORS), F.slice(words, first + 1, i - first + 1 + AFTER))
+            return F.struct((i - lead).alias("pos"), words[i].alias("word"), (i - first).alias("at"), around.alias("around"))
 
         return F.struct((size - lead - tail).cast("bigint").alias("n_words"), F.transform(found, hit).alias("hits"))
 
     return F.transform(F.array(F.split(lower, _SEPARATORS)), scan)[0]
 
 
-def _stands(phrase: str, offset: int) -> Column:
-    """Whether the words around a hit hold `phrase`, with the hit as its word number `offset`."""
-    n = len(phrase.split())
-    begin = F.col("at") - offset
-    return (begin >= 0) & (F.array_join(F.slice("around", F.greatest(begin, F.lit(0)) + 1, n), " ") == phrase)
-
-
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score` of every row.
 
@@ -114,40 +145,44 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         "license-weights",
     )
     hits = seen.select("row", F.inline("hits"))
-    bases = None
-    for phrase, label, word, offset in _ANCHORS:
-        here = hits.filter((F.col("word") == word) & _stands(phrase, offset)).select(
-            "row", F.lit(label).alias("label"), (F.col("pos") - offset).cast("bigint").alias("start"))
-        bases = here if bases is None else bases.unionByName(here)
-    bases = bases.groupBy("row").agg(
+    # All phrases in one pass: each is recognised by one word, and compared with the words around.
+    phrases = spark.createDataFrame(
+        _PHRASES, "word string, offset int, phrase array<string>, label string, template int, begins int")
+    begin = F.col("at") - F.col("offset")
+    standing = hits.join(F.broadcast(phrases), "word").filter(begin >= 0).filter(
+        F.slice("around", begin + 1, F.size("phrase")) == F.col("phrase"))
+    standing = standing.select("row", "label", "template", (F.col("pos") - F.col("offset")).cast("bigint").alias("start"), "begins")
+    standing = kept(standing, "license-phrases")
+    bases = standing.filter("template < 0").groupBy("row").agg(
         F.count(F.lit(1)).alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"),
         F.collect_set("label").alias("base"))
+    # Begins within `SLIP` of each other share one of two buckets.
+    buckets = lambda at: F.explode(F.array(F.floor(at / SLIP), F.floor(at / SLIP) + 1)).alias("bucket")
+    verified = standing.filter("template >= 0").select("row", "template", buckets(F.col("start") - F.col("begins"))).distinct()
 
     index = spark.createDataFrame(_POSTINGS, "template int, word string, place int")
-    index = F.broadcast(index.join(F.broadcast(weights), "word"))
+    index = F.broadcast(index.join(F.broadcast(weights), "word", "left").withColumn(
+        "idf", F.coalesce("idf", F.log(F.lit(n + 1.0)))))
+    # Only files and templates whose key phrase stands somewhere can be reported.
+    likely = verified.select("row", "template").distinct()
     words = seen.select("row", F.explode(F.array_distinct("hits.word")).alias("word"))
     best = F.slice(F.sort_array(F.collect_set(F.struct("idf", "word")), asc=False), 1, LOOKED_UP)
-    chosen = words.join(index, "word").groupBy("row", "template").agg(best.alias("best"))
+    chosen = words.join(index, "word").join(likely, ["row", "template"]).groupBy("row", "template").agg(best.alias("best"))
     chosen = chosen.select("row", "template", F.inline("best")).drop("idf")
+    # A word counts once, however many of its postings agree.
     votes = (
         hits.select("row", "word", "pos").join(chosen, ["row", "word"]).join(index, ["word", "template"])
-        .groupBy("row", "template", (F.col("pos") - F.col("place")).alias("begin"))
-        .agg(F.sum("idf").alias("weight"))
+        .select("row", "template", "word", "idf", buckets(F.col("pos") - F.col("place")))
+        .groupBy("row", "template", "bucket", "word").agg(F.max("idf").alias("idf"))
+        .groupBy("row", "template", "bucket").agg(F.sum("idf").alias("weight"))
     )
-    verified = None
-    for t, (_, body, phrase) in enumerate(TEMPLATES):
-        offset, word = next((k, w) for k, w in enumerate(phrase.split()) if w not in EVERYDAY)
-        begin = F.col("pos") - (offset + len(body.partition(phrase)[0].split()))
-        here = hits.filter((F.col("word") == word) & _stands(phrase, offset)).select(
-            "row", F.lit(t).alias("template"), begin.alias("begin"))
-        verified = here if verified is None else verified.unionByName(here)
     # A template's weight is that of its best words, as many as are looked up.
     mass = index.select("template", "word", "idf").distinct().groupBy("template").agg(
         F.slice(F.sort_array(F.collect_list("idf"), asc=False), 1, LOOKED_UP).alias("best")
     ).select("template", F.aggregate("best", F.lit(0.0), lambda x, y: x + y).alias("mass"))
     found = (
-        votes.join(verified, ["row", "template", "begin"]).join(F.broadcast(mass), "template")
-        .withColumn("share", F.least(F.col("weight") / F.col("mass"), F.lit(1.0)))
+        votes.join(verified, ["row", "template", "bucket"]).join(F.broadcast(mass), "template")
+        .withColumn("share", F.least(F.col("weight") / F.col("mass"), F.lit(1.0))).filter(F.col("share") >= LEAST_SHARE)
     )
     names = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
     found = found.groupBy("row").agg(F.collect_set(F.element_at(names, F.col("template") + 1)).alias("more"),

@@ -392,6 +392,63 @@ def test_licenses(spark, texts, odd, none):
     assert len(rows(licenses.scan_licenses(odd))) == len(ODD) and rows(licenses.scan_licenses(none)) == []
 
 
+def brute_licenses(texts):
+    """Every template laid over every text word by word."""
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    words = {d: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(fold)) for d, t in texts.items()}
+    df = Counter(x for w in words.values() for x in set(w) & set(licenses.VOCABULARY))
+    idf = {x: np.log((len(texts) + 1) / df[x]) if df[x] else np.log(len(texts) + 1.0) for x in licenses.VOCABULARY}
+    out = {}
+    for d, w in words.items():
+        found = {}
+        for label, body, phrase in licenses.TEMPLATES:
+            body, phrase = body.split(), phrase.split()
+            at = next(i for i in range(len(body)) if body[i : i + len(phrase)] == phrase)
+            stands = [i - at for i in range(len(w)) if w[i : i + len(phrase)] == phrase]
+            indexed = {x for x in body if x not in licenses.EVERYDAY}
+            mass = sum(sorted((idf[x] for x in indexed), reverse=True)[: licenses.LOOKED_UP])
+            own = sorted(((idf[x], x) for x in indexed & set(w)), reverse=True)[: licenses.LOOKED_UP]
+            for b in {k for s in stands for k in (s // licenses.SLIP, s // licenses.SLIP + 1)}:
+                share = sum(v for v, x in own if any(
+                    w[i] == x and body[j] == x and (i - j) // licenses.SLIP in (b, b - 1)
+                    for i in range(len(w)) for j in range(len(body)))) / mass
+                if share >= licenses.LEAST_SHARE - 1e-12:
+                    found[label] = max(found.get(label, 0), min(share, 1.0))
+        out[d] = found
+    return out
+
+
+def test_licenses_through_the_index(spark, texts):
+    by_label = {}
+    for label, body, _ in licenses.TEMPLATES:
+        by_label[label] = max(by_label.get(label, ""), body, key=len)
+    planted = {1_000: "This is not under the Mozilla Public License at all", 1_001: "about the GNU Affero General Public License, in short",
+               1_002: "permission to use, copy, modify, and/or distribute is what they want"}
+    changed = {}
+    for k, (label, body) in enumerate(sorted(by_label.items())):
+        w = body.split()
+        phrase = next(p for x, b, p in licenses.TEMPLATES if b == body)
+        first = len(body.partition(phrase)[0].split())
+        loose = [i for i in range(len(w)) if not first <= i < first + len(phrase.split())]
+        if len(w) > 20:  # words changed, left out and put in outside the key phrase
+            for i in loose[4::9]:
+                w[i] = "changed"
+            at = loose[-1]
+            w[at:at] = ["really"]
+            if first > 3:
+                del w[1]
+        changed[2_000 + k] = label, "intro words here. " + " ".join(w).capitalize() + ". and more."
+    docs = dict(list(texts.items())[:60]) | planted | {d: t for d, (_, t) in changed.items()}
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
+    for d, found in brute_licenses(docs).items():
+        base = set(got[d].base_labels.split(",")) - {""}
+        assert set(got[d].labels.split(",")) - {""} == base | set(found), d
+        assert got[d].score == pytest.approx(max([0.5 if base else 0.0, *found.values()]))
+    assert got[1_000].labels == "" and got[1_001].labels == "gpl" and got[1_002].labels == ""
+    for d, (label, _) in changed.items():
+        assert label in got[d].labels.split(","), label
+
+
 def test_byte_bpe_equals_library(spark, texts, odd, none):
     import tiktoken
 
