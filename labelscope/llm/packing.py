@@ -2,13 +2,15 @@
 
 A piece of a document is packed whole. Pieces are spread over islands of bounded size by a hash.
 On an island, individuals are lists of bins. Crossover injects whole well-filled bins of one
-parent into the other, drops the bins that then hold a document twice, and puts the documents
-displaced by that back by best fit, largest first. An island stops at its lower bound.
-
-An epoch ends with migration: well-filled bins of each island's best individual are final, the
-most frequent of their length patterns go to all islands of the next epoch, which seed their
-individuals with them, and the documents of all other bins move on to new islands. So space
-left over anywhere meets documents from elsewhere, and no task ever holds more than an island.
+parent into the other, drops the bins that then hold a document twice, opens some of the emptiest
+bins besides, and puts the documents displaced by that back by best fit, largest first. An island
+stops at its lower bound, or when many generations have brought nothing.
+
+An epoch ends with migration: the fullest bins of each island's best individual are final. Bins
+that are nearly as full migrate whole, each to an island where one individual starts with them;
+the most frequent length patterns go to all islands of the next epoch, which seed individuals
+with them, and the documents of all other bins move on to new islands. So space left over
+anywhere meets documents from elsewhere, and no task ever holds more than an island.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from labelscope.session import ship_package
 
 CAPACITY = 2048
 ISLAND = 4_000
-POPULATION, GENERATIONS = 4, 6
+POPULATION, GENERATIONS, PATIENCE = 12, 120, 20
+#: Bins filled to this share migrate whole.
+ELITE = 0.97
 #: Final before the last epoch: bins filled to this share. The last epoch takes all.
 FULL = (0.998, 0.99, 0.0)
 PATTERNS = 256
@@ -148,9 +152,25 @@ def _seeded(sizes: list[int], capacity: int, patterns: list[tuple[int, ...]]) ->
     return _fit([i for ids in by_size.values() for i in ids], sizes, capacity, bins)
 
 
+def _filled(bin_: list[int], sizes: list[int]) -> int:
+    return sum(sizes[i] for i in bin_)
+
+
+def cross(giver: list[list[int]], taker: list[list[int]], sizes: list[int], capacity: int, draw: random.Random) -> list[list[int]]:
+    """A child of two packings: whole well-filled bins of one go into the other."""
+    least = draw.choice((1.0, 0.999, 0.995, 0.98)) * capacity
+    share = draw.choice((0.5, 0.9))
+    gift = [b for b in giver if _filled(b, sizes) >= least and draw.random() < share]
+    given = {i for b in gift for i in b}
+    stay = sorted((b for b in taker if given.isdisjoint(b)), key=lambda b: -_filled(b, sizes))
+    stay = stay[: max(0, len(stay) - draw.randrange(1, max(2, len(stay) // 5)))]
+    held = given.union(*stay) if stay else given
+    return _fit([i for i in range(len(sizes)) if i not in held], sizes, capacity, [list(b) for b in gift + stay])
+
+
 def evolve(
     sizes: list[int], capacity: int = CAPACITY, patterns: list[tuple[int, ...]] = (), seed: int = 0,
-    population: int = POPULATION, generations: int = GENERATIONS,
+    population: int = POPULATION, generations: int = GENERATIONS, elite: list[list[int]] = (),
 ) -> list[list[int]]:
     """Pack items of the given sizes (each at most `capacity`); bins as lists of item numbers."""
     if not sizes:
@@ -159,45 +179,52 @@ def evolve(
     everyone = list(range(len(sizes)))
 
     def fitness(bins: list[list[int]]) -> tuple:
-        return len(bins), -sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+        return len(bins), -sum((_filled(b, sizes) / capacity) ** 2 for b in bins)
 
     people = [_fit(everyone, sizes, capacity, [])]
     if patterns:
         people.append(_seeded(sizes, capacity, patterns))
+    if elite:
+        held = {i for b in elite for i in b}
+        people.append(_fit([i for i in everyone if i not in held], sizes, capacity, [list(b) for b in elite]))
     best = min(people, key=fitness)
     if len(best) == least:
         return best
     while len(people) < population:
-        # Large items first, near-equal ones in another order: other fills, nearly as good.
-        noisy = sorted(everyone, key=lambda i: sizes[i] * draw.uniform(0.9, 1.1), reverse=True)
+        # Large items first, but in an order of their own: other fills, nearly as good.
+        noisy = sorted(everyone, key=lambda i: sizes[i] * draw.uniform(0.7, 1.3), reverse=True)
         space = _Space(capacity)
         for i in noisy:
             space.put(i, sizes[i])
         people.append(space.bins())
-    for _ in range(generations):
-        people.sort(key=fitness)
-        if len(people[0]) == least:
+    ranked, idle = sorted(((fitness(p), k, p) for k, p in enumerate(people))), 0
+    for born in range(generations):
+        if ranked[0][0][0] == least or idle >= PATIENCE:
             break
-        for k in range(1, len(people)):
-            giver, taker = draw.sample(people[: k + 1], 2)
-            filled = sorted(giver, key=lambda b: -sum(sizes[i] for i in b))
-            gift = [b for b in filled[: max(1, len(filled) // 2)] if draw.random() < 0.5]
-            given = {i for b in gift for i in b}
-            stay = [list(b) for b in taker if given.isdisjoint(b)]
-            held = given.union(*stay) if stay else given
-            child = _fit([i for i in everyone if i not in held], sizes, capacity, [list(b) for b in gift] + stay)
-            if fitness(child) < fitness(people[k]):
-                people[k] = child
-    return min(people, key=fitness)
-
-
-def _island(capacity: int, full: float, patterns: list[tuple[int, ...]]):
+        # The better half stays; each of the others makes way for a child of two of those.
+        parents, before = ranked[: max(2, len(ranked) // 2)], ranked[0][0]
+        children = []
+        for k in range(len(ranked) - len(parents)):
+            giver, taker = draw.sample(parents, 2)
+            child = cross(giver[2], taker[2], sizes, capacity, draw)
+            children.append((fitness(child), (born + 1) * population + k, child))
+        ranked = sorted(parents + children)
+        idle = 0 if ranked[0][0] < before else idle + 1
+    return ranked[0][2]
+
+
+def _island(capacity: int, full: float, patterns: list[tuple[int, ...]], epoch: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("uid", ignore_index=True)
-        sizes = group["length"].tolist()
+        sizes, together = group["length"].tolist(), {}
+        for i, bin_ in enumerate(group["elite"]):
+            if bin_ >= 0:
+                together.setdefault(bin_, []).append(i)
         number, offset = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
-        final, pattern = np.zeros(len(sizes), dtype=bool), [None] * len(sizes)
-        for k, members in enumerate(evolve(sizes, capacity, patterns, seed=len(sizes))):
+        final, pattern, elite = np.zeros(len(sizes), dtype=bool), [None] * len(sizes), np.full(len(sizes), -1, dtype=np.int64)
+        island = int(group["island"].iloc[0])
+        bins = evolve(sizes, capacity, patterns, seed=(epoch << 40) + island, elite=list(together.values()))
+        for k, members in enumerate(bins):
             at = 0
             for i in members:
                 number[i], offset[i] = k, at
@@ -206,8 +233,10 @@ def _island(capacity: int, full: float, patterns: list[tuple[int, ...]]):
                 final[members] = True
                 if at == capacity and len(members) > 1:
                     pattern[members[0]] = ",".join(map(str, sorted((sizes[i] for i in members), reverse=True)))
-        return pd.DataFrame({"uid": group["uid"], "length": group["length"], "island": group["island"],
-                             "bin": number, "offset": offset, "final": final, "pattern": pattern})
+            elif at >= ELITE * capacity:
+                elite[members] = (island << 20) + k
+        return pd.DataFrame({"uid": group["uid"], "length": group["length"], "island": group["island"], "bin": number,
+                             "offset": offset, "final": final, "pattern": pattern, "elite": elite})
 
     return run
 
@@ -226,18 +255,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAND) -> D
     whole = pieces.filter(F.col("length") >= capacity).select(
         "uid", F.shiftleft(F.lit(len(FULL)).cast("bigint"), 58).bitwiseOR(F.col("uid")).alias("sequence_id"),
         F.lit(0).cast("bigint").alias("offset"))
-    left, patterns, placed = pieces.filter(F.col("length") < capacity).select("uid", "length"), [], whole
+    left, patterns, placed = pieces.filter(F.col("length") < capacity).select(
+        "uid", "length", F.lit(-1).cast("bigint").alias("elite")), [], whole
     for epoch, full in enumerate(FULL):
         n = max(1, -(-left.count() // island))
-        spread = left.withColumn("island", F.pmod(F.xxhash64("uid", F.lit(epoch)), F.lit(n)).cast("bigint"))
+        home = F.when(F.col("elite") >= 0, F.xxhash64("elite", F.lit(-epoch))).otherwise(F.xxhash64("uid", F.lit(epoch)))
+        spread = left.withColumn("island", F.pmod(home, F.lit(n)).cast("bigint"))
         done = kept(
             spread.groupBy("island").applyInPandas(
-                _island(capacity, full, patterns),
-                "uid bigint, length bigint, island bigint, bin bigint, offset bigint, final boolean, pattern string"),
+                _island(capacity, full, patterns, epoch),
+                "uid bigint, length bigint, island bigint, bin bigint, offset bigint, final boolean, pattern string, elite bigint"),
             "island-bins")
         number = F.shiftleft(F.lit(epoch).cast("bigint"), 58).bitwiseOR(F.shiftleft("island", 20)).bitwiseOR(F.col("bin"))
         placed = placed.unionByName(done.filter("final").select("uid", number.alias("sequence_id"), "offset"))
-        left = done.filter("not final").select("uid", "length")
+        left = done.filter("not final").select("uid", "length", "elite")
         top = done.filter("pattern is not null").groupBy("pattern").count().orderBy(F.desc("count"), "pattern")
         patterns = [tuple(map(int, r[0].split(","))) for r in top.limit(PATTERNS).collect()]
     return pieces.join(placed, "uid").drop("uid")

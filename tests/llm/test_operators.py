@@ -215,6 +215,43 @@ def test_tokenizer_equals_library():
         assert hf.encode(t, add_special_tokens=False).ids == list(encode(t))
 
 
+def test_crossover_beats_best_fit_on_hard_sizes(spark):
+    """Sizes of which two or three fill a sequence: a fifth at least of what best fit wastes is saved."""
+    draw = random.Random(3)
+    sizes = [draw.randrange(500, 1_100) for _ in range(1_000)]
+    least, fit = -(-sum(sizes) // 2048), len(packing._fit(list(range(1_000)), sizes, 2048, []))
+    bins = packing.evolve(sizes, seed=1)
+    assert sorted(i for b in bins for i in b) == list(range(1_000)) and all(sum(sizes[i] for i in b) <= 2048 for b in bins)
+    assert fit - len(bins) >= 0.2 * (fit - least)
+    assert packing.evolve(sizes, seed=1) == bins
+    giver, taker = packing.evolve(sizes, seed=2, generations=2), packing._fit(list(range(1_000)), sizes, 2048, [])
+    child = packing.cross(giver, taker, sizes, 2048, random.Random(4))
+    assert sorted(i for b in child for i in b) == list(range(1_000)) and all(sum(sizes[i] for i in b) <= 2048 for b in child)
+    whole = {tuple(sorted(b)) for b in giver if sum(sizes[i] for i in b) == 2048}
+    assert whole & {tuple(sorted(b)) for b in child}
+    seeded = packing.evolve(sizes, seed=3, generations=0, elite=bins)
+    assert len(seeded) == len(bins)
+
+
+def test_islands_of_hard_sizes_lose_nothing(spark):
+    draw = random.Random(6)
+    sizes = [draw.randrange(500, 1_100) for _ in range(900)] + [2048, 3, 3]
+    table = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, length bigint").repartition(3)
+    got = rows(packing.pack(table, island=300))
+    assert sorted(r["doc_id"] for r in got) == list(range(len(sizes)))
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    fit = len(packing._fit(list(range(len(sizes))), sizes, 2048, []))
+    assert len(places) < fit
+
+
 def test_evolve_and_cut():
     draw = random.Random(2)
     sizes = [draw.randrange(1, 2048) for _ in range(600)]
