@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from labelscope.operators import calls as ca
 from labelscope.operators import replies as re_
+from labelscope.operators import retrieval as rt
 from labelscope.plans.inputs import (
     DOCS_SQL, EVENT_TYPES, P_SQL, RUNS_SQL, documents, predictions, repeated_runs, table,
 )
 from labelscope.plans.registry import query
+from labelscope.plans.retrieving import near_sql
 from labelscope.session import scratch_dir
 from labelscope.sources import datasets as ds
 from labelscope.streaming import ingest as ig
@@ -123,12 +125,90 @@ def request_bodies(spark, d):
         F.md5(get("$.messages[0].content")).alias("user_digest"))
 
 
-@query("o6_fingerprint", f"""WITH {CALLS_SQL}
-SELECT custom_id, substr(sha256('{{"key":"' || row_ids || '","rung":"zero_shot","k":0}}'), 1, 16) AS fingerprint FROM calls""")
+# --- the four kinds of prompt, over the items of `benchmark` and the languages as classes ---
+
+PROMPTS = {
+    "zero_shot": ca.Prompt("zero_shot"),
+    "glosses": ca.Prompt("glosses", extra="Answer with the name alone."),
+    "fixed_kshot": ca.Prompt("fixed_kshot", 2, effort="low"),
+    "retrieved_kshot": ca.Prompt("retrieved_kshot", 2),
+}
+
+
+def _assembled(spark, d, rung):
+    docs = documents(spark, d).select("doc_id", "label", "text", F.col("lang").alias("intent"))
+    names = ds.vocabulary_of(table(spark, d, "documents"), "lang")
+    n = docs.groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
+    glosses = n.select("intent", F.concat(F.lit("text in "), "intent", F.lit(", as in "), F.col("n").cast("string"), F.lit(" others")).alias("gloss"))
+    voc = names if rung == "zero_shot" else ds.require_glosses(names, glosses)
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    calls = items.select(F.concat(F.lit("call-"), F.col("item_id").cast("string")).alias("custom_id"), F.array("text").alias("texts"))
+    fixed = retrieved = None
+    if rung == "fixed_kshot":
+        fixed = ca.fixed_demonstrations(docs, voc.select("label", "intent"), 2, "label", "doc_id", 3).select("intent", "text")
+    if rung == "retrieved_kshot":
+        near = rt.retrieve(items.withColumnRenamed("item_id", "doc_id"), docs.select("doc_id", "text"), "doc_id", 2)
+        retrieved = rt.demonstrations(near, docs, "doc_id").select(
+            F.concat(F.lit("call-"), F.col("query").cast("string")).alias("custom_id"), "demos")
+    return ca.assemble(calls, PROMPTS[rung], voc, fixed, retrieved)
+
+
+def _assembled_sql(rung):
+    """The same calls in SQL: system text, user text, and what is hashed of the prompt."""
+    p = PROMPTS[rung]
+    text = lambda t: "'" + t.replace("\n", "' || chr(10) || '") + "'"
+    line = "'- ' || lang" + ("" if rung == "zero_shot" else " || ': text in ' || lang || ', as in ' || n || ' others'")
+    demo = """'query: "' || text || '"' || chr(10) || 'intent: ' || lang"""
+    ctes = [DOCS_SQL, "langs AS (SELECT lang, count(*) AS n FROM docs WHERE lang <> '' GROUP BY lang)"]
+    system = text(ca.TASK.format(domain=p.domain) + "\n\nIntents:\n") + f" || (SELECT string_agg({line}, chr(10) ORDER BY lang) FROM langs)"
+    user = """'Classify this query:' || chr(10) || '"' || text || '"'"""
+    source = "benchmark"
+    if rung == "fixed_kshot":
+        ctes.append("r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('3:' || doc_id), doc_id) AS r FROM docs)")
+        system += " || " + text("\n\nLabelled examples:\n") + f" || (SELECT string_agg({demo}, chr(10) ORDER BY lang, text) FROM r WHERE r <= 2)"
+    if rung == "retrieved_kshot":
+        ctes += [near_sql("docs", "benchmark", "item_id"),
+                 f"shown AS (SELECT query, string_agg({demo}, chr(10) ORDER BY rank DESC) AS demos FROM near JOIN docs ON doc_id = pool WHERE rank <= 2 GROUP BY query)"]
+        user = f"coalesce({text('Similar labelled examples:' + chr(10))} || demos || chr(10) || chr(10), '') || {user}"
+        source = "benchmark LEFT JOIN shown ON item_id = query"
+    if p.extra:
+        system += " || " + text("\n\n" + p.extra)
+    names = """'[' || (SELECT string_agg('"' || lang || '"', ',' ORDER BY lang) FROM langs) || ']'"""
+    schema = f"""'{{"type":"object","properties":{{"intent":{{"type":"string","enum":' || {names} || '}}}},"required":["intent"],"additionalProperties":false}}'"""
+    config = (f'{{"config":{{"domain":"{p.domain}","effort":"{p.effort or ""}","extra":"' + f"' || sha256('{p.extra}') || '"
+              + f'","k":{p.k},"model":"{p.model}","per_call":{p.per_call},"rung":"{p.rung}","thinking":"{p.thinking}"}},"labels":"')
+    return ctes, system, user, source, f"""'{config}' || sha256({names}) || '","schema":"' || sha256({schema}) || '","system":"' || sha256(system) || '"}}'"""
+
+
+def _rung_sql(rung):
+    ctes, system, user, source, content = _assembled_sql(rung)
+    return f"""WITH {", ".join(ctes)}, one AS (SELECT {system} AS system), who AS (SELECT system, substr(sha256({content}), 1, 16) AS fingerprint FROM one)
+SELECT 'call-' || item_id AS custom_id, md5(system) AS system_digest, md5({user}) AS user_digest, fingerprint FROM {source}, who"""
+
+
+def _rung(rung):
+    def plan(spark, d):
+        return _assembled(spark, d, rung).select(
+            "custom_id", F.md5("system").alias("system_digest"), F.md5("user").alias("user_digest"), "fingerprint")
+
+    return plan
+
+
+for _name_of_rung in ca.RUNGS:
+    query(f"o4_rung_{_name_of_rung}", _rung_sql(_name_of_rung))(_rung(_name_of_rung))
+
+
+@query("o6_fingerprint", " UNION ALL ".join(
+    "(WITH {}, one AS (SELECT {} AS system) SELECT '{}' AS rung, substr(sha256({}), 1, 16) AS fingerprint FROM one)".format(
+        ", ".join(ctes), system, rung, content)
+    for rung in ca.RUNGS if rung != "retrieved_kshot" for ctes, system, _, _, content in [_assembled_sql(rung)]))
 def prompt_fingerprint(spark, d):
-    key = F.array_join("row_ids", ",").alias("key")
-    return _doc_calls(spark, d).select(
-        "custom_id", ca.fingerprint(key, F.lit("zero_shot").alias("rung"), F.lit(0).alias("k")).alias("fingerprint"))
+    found = None
+    for rung in ca.RUNGS:
+        if rung != "retrieved_kshot":
+            one = _assembled(spark, d, rung).select(F.lit(rung).alias("rung"), "fingerprint").distinct()
+            found = one if found is None else found.unionByName(one)
+    return found
 
 
 # --- replies -----------------------------------------------------------------------------
