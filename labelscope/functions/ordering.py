@@ -36,6 +36,7 @@ def rank_in_group(
     limits: Callable[[DataFrame], DataFrame] | None = None,
     n_groups: int | None = None,
     digits: int = 4,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Number the rows of each group 1, 2, ... in `order_hash(seed, key)` order.
 
@@ -46,8 +47,8 @@ def rank_in_group(
 
     `limit` keeps ranks up to a bound; `limits` makes a table `group columns, _limit` from the
     group sizes (`group columns, c`), which come from the slice counts without another scan.
-    Slices that start beyond the limit drop out in the join, before any row is shuffled. Group
-    columns must not be null.
+    Slices that start beyond the limit drop out in the join, before any row is shuffled. `carry`
+    names further columns of that table to hand on. Group columns must not be null.
     """
     group = list(group)
     hashed = df.withColumn("_h", order_hash(seed, key)).withColumn(
@@ -58,7 +59,7 @@ def rank_in_group(
     starts = slices.withColumn("_start", F.sum("_n").over(by_group) - F.col("_n")).drop("_n")
     if limits is not None:
         sizes = slices.groupBy(*group).agg(F.sum("_n").alias("c"))
-        starts = starts.join(limits(sizes).select(*group, "_limit"), group)
+        starts = starts.join(limits(sizes).select(*group, "_limit", *carry), group)
     elif limit is not None:
         starts = starts.withColumn("_limit", F.lit(limit).cast("bigint"))
     if "_limit" in starts.columns:
@@ -73,7 +74,7 @@ def rank_in_group(
     )
     if "_limit" in starts.columns:
         ranked = ranked.filter(F.col(out) <= F.col("_limit")).drop("_limit")
-    return ranked.select(*df.columns, out)
+    return ranked.select(*df.columns, out, *carry)
 
 
 def dense_position(

@@ -279,13 +279,14 @@ def budget_gaps(curve_a: DataFrame, curve_b: DataFrame, keys: Sequence[str] = ("
     return a.join(b, list(keys)).withColumn("gap", F.round(F.col("f1_a") - F.col("f1_b"), 6))
 
 
-def run_variance(df: DataFrame, row: str, run: str, pred: str) -> DataFrame:
+def run_variance(df: DataFrame, row: str, run: str, pred: str, order: str) -> DataFrame:
     """Agreement of repeated runs over the rows every run predicted; rows left out are counted.
 
-    A run's first non-null prediction of a row is used. Two aggregates on the row key, each
-    combining map-side.
+    A run's first non-null prediction of a row by `order` is used, of several at one place the
+    smallest. Two aggregates on the row key, each combining map-side.
     """
-    per_run = df.groupBy(row, run).agg(F.min(pred).alias("_p"))
+    first = F.min(F.when(F.col(pred).isNotNull(), F.struct(F.col(order).alias("at"), F.col(pred).alias("p"))))
+    per_run = df.groupBy(row, run).agg(first["p"].alias("_p"))
     runs = df.agg(F.countDistinct(run).alias("n_runs")).withColumn(ONE, F.lit(1))
     per_row = per_run.groupBy(row).agg(
         F.count("_p").alias("answered"), (F.min("_p") == F.max("_p")).alias("agree")

@@ -60,11 +60,10 @@ def carve_splits(
 
 def _ranked_carve(df: DataFrame, label: str, key: str, seed: int, limits, upto: Sequence[str]) -> DataFrame:
     """Rows up to their class limit with `_rank` and the class's carve ends."""
-    ranked = rank_in_group(df.select(key, label), [label], key, seed, out="_rank", limits=limits)
-    if len(upto) == 1:  # the limit itself is the only end
-        return ranked.withColumn(upto[0], F.col("_rank"))
-    ends = limits(df.groupBy(label).agg(F.count(F.lit(1)).alias("c"))).select(label, *upto)
-    return ranked.join(ends, label)  # one row per class
+    # The classes are counted once; their ends come along with the ranks.
+    ends = [] if len(upto) == 1 else list(upto)
+    ranked = rank_in_group(df.select(key, label), [label], key, seed, out="_rank", limits=limits, carry=ends)
+    return ranked if ends else ranked.withColumn(upto[0], F.col("_rank"))
 
 
 def stratified_carve(df: DataFrame, m: int, label: str, key: str, seed: int) -> DataFrame:

@@ -121,6 +121,20 @@ def write_predictions(spark, d):
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("y") == 0).alias("n_first"))
 
 
+@query("s8_cell_log", f"""WITH {P_SQL}, {VOTES_SQL} SELECT training_size, seed, count(DISTINCT row_id) AS rows, 2 AS writes, true AS counted
+FROM votes WHERE training_size = 50 GROUP BY ALL UNION ALL
+SELECT training_size, seed, count(DISTINCT row_id), 1, true FROM votes WHERE training_size <> 50 GROUP BY ALL""")
+def cell_log(spark, d):
+    """The log after all cells and then those of one budget were written."""
+    path = scratch_dir(spark, "cells")
+    cells = votes(spark, d).select("row_id", "y", "training_size", "seed")
+    st.write_cells(cells, path)
+    st.write_cells(cells.filter("training_size = 50"), path)
+    writes = spark.read.parquet(f"{path}/{st.LOG}").groupBy(*st.CELL).agg(F.count(F.lit(1)).cast("int").alias("writes"))
+    return st.cell_log(spark, path).join(writes, list(st.CELL)).select(
+        *st.CELL, "rows", "writes", ((F.col("files") > 0) & (F.col("bytes") > 0)).alias("counted"))
+
+
 @query("s9_remaining_cells", """SELECT source, lang FROM documents GROUP BY ALL
 EXCEPT SELECT source, lang FROM documents JOIN labels USING (doc_id)""")
 def remaining_cells(spark, d):

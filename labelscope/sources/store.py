@@ -5,35 +5,54 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CELL = ("training_size", "seed")
 
 
-def write_cells(
-    df: DataFrame, path: str, keys: Sequence[str] = CELL, files_per_cell: int = 4
-) -> str:
-    """Write one folder per cell; cells already on disk and not in `df` are left alone.
+#: Folder of the commit log below a table of cells; readers of the table pass over it.
+LOG = "_log"
 
-    Rows are spread by cell and a hash of the row, so a large cell is written by several
-    tasks, and a task that runs again sends every row to the same place.
+
+def write_cells(df: DataFrame, path: str, keys: Sequence[str] = CELL) -> str:
+    """Write one folder per cell and log what was written. Cells already on disk and not in `df`
+    are left alone.
+
+    Rows are brought together by cell, and adaptive execution splits a cell into as many tasks
+    as its bytes ask for and lets one task write many small cells. The log gets one row a cell with
+    its rows, files and bytes. Which cells there are is observed while writing; their figures come
+    from the footers of the new files.
     """
-    rest = [c for c in df.columns if c not in keys]
-    (
-        df.repartition(*keys, F.pmod(F.xxhash64(*rest), F.lit(files_per_cell)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys)
-        .parquet(path)
-    )
+    spark, seen = df.sparkSession, Observation()
+    watched = df.hint("rebalance", *keys).observe(seen, F.collect_set(F.struct(*keys)).alias("cells"))
+    watched.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    cells = [tuple(c) for c in seen.get["cells"] or []]  # one small tuple a cell
+    if not cells:
+        return path
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    written = spark.createDataFrame(cells, kinds)
+    files = spark.read.parquet(path).select(*keys, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    same = [files[k].cast(df.schema[k].dataType).eqNullSafe(written[k]) for k in keys]
+    # The cells of this write alone: the join prunes the folders that are opened.
+    found = files.join(F.broadcast(written), same).groupBy(*[written[k] for k in keys], "file").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"))
+    log = found.groupBy(*keys).agg(
+        F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).withColumn(
+        "at", F.current_timestamp())
+    log.coalesce(1).write.mode("append").parquet(f"{path}/{LOG}")
     return path
 
 
+def cell_log(spark: SparkSession, path: str, keys: Sequence[str] = CELL) -> DataFrame:
+    """`keys, rows, files, bytes, at` of every cell as it was last written. No data file is read."""
+    log = spark.read.parquet(f"{path}/{LOG}")
+    return keep_last(log, keys, ["at"]).select(*keys, "rows", "files", "bytes", "at")
+
+
 def discover_grid(spark: SparkSession, path: str) -> DataFrame:
-    """`training_size, seeds` present on storage. Only partition values are read."""
-    cells = spark.read.parquet(path).select(*CELL).distinct()
-    return cells.groupBy("training_size").agg(F.sort_array(F.collect_set("seed")).alias("seeds"))
+    """`training_size, seeds` present on storage, from the log of what was written."""
+    return cell_log(spark, path).groupBy("training_size").agg(F.sort_array(F.collect_set("seed")).alias("seeds"))
 
 
 def stack_cells(tables: Sequence[DataFrame]) -> DataFrame:

@@ -68,12 +68,43 @@ def test_percentiles_of_many_rows_match_the_built_in(spark):
 
 def test_run_disagreement(spark):
     runs = spark.createDataFrame(
-        [("a", 0, "x"), ("b", 0, "y"), ("a", 1, "x"), ("b", 1, "z"), ("c", 0, "x"), ("c", 1, None)],
-        "row_id string, run_index int, pred string")
-    got = m.run_variance(runs, "row_id", "run_index", "pred").first()
+        [("a", 0, "x", 2), ("a", 0, "a", 3), ("a", 0, None, 1), ("b", 0, "y", 1), ("a", 1, "x", 1), ("b", 1, "z", 1), ("b", 1, "y", 2),
+         ("c", 0, "x", 1), ("c", 1, None, 1)],
+        "row_id string, run_index int, pred string, arrival int")
+    got = m.run_variance(runs, "row_id", "run_index", "pred", "arrival").first()
     assert (got["n_complete"], got["n_dropped"], got["disagreement"]) == (2, 1, 0.5)
 
 
+def test_cells_are_logged_and_found_without_their_data(spark, tmp_path):
+    import pathlib
+
+    path = str(tmp_path / "cells")
+    rows = spark.range(6_000).select("id", (F.col("id") % 3).alias("training_size"), (F.col("id") % 2).cast("int").alias("seed"))
+    st.write_cells(rows, path)
+    st.write_cells(rows.filter("training_size = 1 and seed = 0 and id < 600"), path)
+    log = {(r["training_size"], r["seed"]): r for r in st.cell_log(spark, path).collect()}
+    assert {k: r["rows"] for k, r in log.items()} == {(n, s): 100 if (n, s) == (1, 0) else 1_000 for n in range(3) for s in range(2)}
+    for (n, s), r in log.items():
+        files = list(pathlib.Path(path).glob(f"training_size={n}/seed={s}/*.parquet"))
+        assert len(files) == r["files"] and sum(f.stat().st_size for f in files) == r["bytes"]
+    assert spark.read.parquet(path).count() == 5_100
+    grid = st.discover_grid(spark, path)
+    assert grid.inputFiles() and all("/_log/" in f for f in grid.inputFiles())
+    assert {r["training_size"]: r["seeds"] for r in grid.collect()} == {n: [0, 1] for n in range(3)}
+    assert st.write_cells(rows.filter("1 = 0"), path) == path and st.cell_log(spark, path).count() == 6
+
+
+def test_large_cell_is_written_by_many_tasks(spark, tmp_path):
+    path, was = str(tmp_path / "cells"), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        one = spark.range(0, 60_000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("x"), F.lit(1).alias("training_size"), F.lit(0).alias("seed"))
+        st.write_cells(one, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", was)
+    assert st.cell_log(spark, path).first()["files"] > 4
+
+
 def test_short_batched_reply_keeps_its_gap(spark):
     calls = spark.createDataFrame([("call-0", ["r0", "r1", "r2"]), ("call-1", ["r3"])], "custom_id string, row_ids array<string>")
     reply = json.dumps({"predictions": [
