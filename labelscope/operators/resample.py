@@ -5,11 +5,13 @@ each cell (truth, prediction of each system), so rows are first collapsed to cel
 draws are made on the cell counts: a multinomial over cells is the same as resampling rows, a
 binomial(count, 1/2) per cell the same as swapping rows.
 
-Cells are cut by a hash of their contents into a fixed number of parts, one task each. A
-replicate first draws how many rows each part gets, from a generator seeded by the replicate
-alone, so every part draws the same totals; then the part draws its own cells. Only counts per
-class leave a part. A result so depends on the data, the seed and the replicate, not on the
-size of the table or how it is partitioned.
+Cells are ordered by a hash of their contents, and the hash's bits are a fixed binary tree over
+them. A replicate's rows go down that tree: at a node with cells on both sides a binomial says
+how many go left, drawn from a generator of the seed, the node and the block of replicates.
+However a tree is cut into tasks, each can so follow the path to its own leaf, and a result
+depends on the data, the seed and the replicate only: it is the same with one task or with a
+thousand. Tests with many cells are cut into more leaves, so no task holds many more than
+`LEAF_CELLS`. Only counts per class leave a task.
 
 The forms named `by_hash` draw per row from an md5 instead. They do more work, but their draws
 are the same on any engine.
@@ -21,7 +23,7 @@ from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 from hashlib import md5
-from math import exp
+from math import ceil, exp, log2
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,8 @@ from labelscope.functions.scoring import MISSING, f1, interval_verdict, or_missi
 from labelscope.operators.ensemble import multiset_counts, multiset_votes
 from labelscope.session import scratch_dir, ship_package
 
-CELL_PARTS = 8  # tasks that share the cells of one test
-DRAW_TASKS = 64  # few rows, much arithmetic: the number of tasks must not follow their bytes
+LEAF_CELLS = 2_048  # cells of a test that a task holds, about
+BLOCK_REPLICATES = 500  # replicates drawn together; part of what seeds a draw
 SWAPS_PER_HASH = 32  # one hex digit decides one swap
 WEIGHTS_PER_HASH = 4  # eight hex digits make one weight
 
@@ -69,9 +71,52 @@ def _replicates(cells: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     return cells.select(*keys).distinct().select(*keys, each.alias("rep"))
 
 
+def _left_of(start: list[int], depth: int, prefix: int, total: np.ndarray, left: int, right: int) -> np.ndarray:
+    """How many of each replicate's rows at a node go to its left side."""
+    if not left or not right:
+        return total if left else np.zeros_like(total)
+    return np.random.default_rng([*start, depth, prefix]).binomial(total, left / (left + right))
+
+
+def _down(start: list[int], leaves: np.ndarray, held: np.ndarray, depth: int, own: int, n: int) -> np.ndarray:
+    """Rows that reach a leaf in each of n replicates. Leaves are the nodes at `depth`."""
+    total = np.full(n, int(held.sum()), dtype=np.int64)
+    for level in range(depth):
+        shift = depth - level
+        prefix, below = own >> shift, leaves >> (shift - 1)
+        left, right = int(held[below == 2 * prefix].sum()), int(held[below == 2 * prefix + 1].sum())
+        to_left = _left_of(start, level, prefix, total, left, right)
+        total = total - to_left if (own >> (shift - 1)) & 1 else to_left
+    return total
+
+
+def _spread(start: list[int], h: np.ndarray, n: np.ndarray, depth: int, total: np.ndarray) -> np.ndarray:
+    """Replicates x cells: the rows of a leaf handed down to its cells, which are sorted by `h`."""
+    out = np.zeros((len(total), len(h)), dtype=np.int64)
+    before = np.concatenate(([0], np.cumsum(n)))
+    waiting = [(0, len(h), depth, total)]
+    while waiting:
+        first, last, level, rows = waiting.pop()
+        if last - first == 1:
+            out[:, first] = rows
+            continue
+        prefix = int(h[first]) >> (64 - level)
+        if level < 64:
+            middle = first + int(np.searchsorted(h[first:last], np.uint64((2 * prefix + 1) << (63 - level))))
+        else:  # equal hashes: the first against the rest
+            middle = first + 1
+        left, right = int(before[middle] - before[first]), int(before[last] - before[middle])
+        to_left = _left_of(start, level, prefix if level < 64 else (prefix << 20) + last - first, rows, left, right)
+        if middle > first:
+            waiting.append((first, middle, min(level + 1, 64), to_left))
+        if middle < last:
+            waiting.append((middle, last, min(level + 1, 64), rows - to_left))
+    return out
+
+
 def resample_cells(
     cells: DataFrame, systems: Sequence[str], n_classes: int, reps: DataFrame, seed: int,
-    mode: str = "bootstrap", observed: bool = False, keys: Sequence[str] = ("multiset",),
+    mode: str = "bootstrap", observed: bool = False, keys: Sequence[str] = ("multiset",), leaf_cells: int = LEAF_CELLS,
 ) -> DataFrame:
     """`keys, rep, <system>...`: macro-F1 of each system in each replicate, to 12 digits.
 
@@ -80,57 +125,60 @@ def resample_cells(
     """
     systems, keys = list(systems), list(keys)
     ship_package(cells.sparkSession)
-    own_part = F.pmod(F.xxhash64("y", *systems), F.lit(CELL_PARTS)).cast("int")
-    cells = cells.withColumn("part", own_part)
-    in_part = [F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)) for p in range(CELL_PARTS)]
-    totals = cells.groupBy(*keys).agg(F.array(*in_part).alias("totals"))
-    # One row per group and part, with as many numbers as there are replicates.
-    tasks = (
-        reps.groupBy(*keys).agg(F.array_sort(F.collect_list("rep")).alias("reps")).join(totals, keys)
-        .select(*[F.col(k).alias(k) for k in keys], "reps", "totals",
-                F.explode(F.sequence(F.lit(0), F.lit(CELL_PARTS - 1))).alias("part"))
-    )
+    cells = cells.withColumn("h", F.xxhash64("y", *systems))
+    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("most"), F.sum("c").alias("all")).first()
+    depth = max(0, ceil(log2(max(1, sizes["most"] or 0) / leaf_cells)))
+    leaf = (F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0)).cast("int")
+    cells = cells.withColumn("leaf", leaf)
+    # Rows of each leaf that holds any; as many numbers as leaves, which their cells bound.
+    weights = cells.groupBy(*keys, "leaf").agg(F.sum("n").alias("n")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("leaf", "n"))).alias("leaves"))
+    blocks = reps.groupBy(*keys).agg(F.array_sort(F.collect_list("rep")).alias("all")).select(
+        *keys, F.posexplode(F.transform(
+            F.sequence(F.lit(0), F.floor((F.size("all") - 1) / BLOCK_REPLICATES).cast("int")),
+            lambda i: F.slice("all", i * BLOCK_REPLICATES + 1, BLOCK_REPLICATES))).alias("block", "reps"))
+    tasks = blocks.join(weights, keys).select("*", F.explode("leaves.leaf").alias("leaf"))
     sums = ["true", *[f"{c}_{i}" for i in range(len(systems)) for c in ("p", "tp")]]
     kinds = [f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys]
     schema = ", ".join([*kinds, "rep bigint", "label bigint", *[f"`{c}` bigint" for c in sums]])
 
     def draw(key: tuple, cell: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
-        *group, part = key
+        *group, own, _ = key
         if cell.empty or task.empty:
             return pd.DataFrame(columns=[*keys, "rep", "label", *sums])
-        cell = cell.sort_values(["y", *systems])
-        y, n = cell["y"].to_numpy(), cell["n"].to_numpy()
+        cell = cell.assign(h=cell["h"].to_numpy().view(np.uint64)).sort_values(["h", "y", *systems])
+        y, n, h = cell["y"].to_numpy(), cell["n"].to_numpy(), cell["h"].to_numpy()
         preds = [cell[s].to_numpy() for s in systems]
+        ids = np.asarray(task["reps"].iloc[0])
+        start = [seed, int(ids[0])]
         if mode == "swap":  # each cell appears as it is and with the two predictions exchanged
             a, b = preds
+            moved = np.zeros((len(ids), len(y)), dtype=np.int64)
+            for i in np.flatnonzero(a != b):
+                moved[:, i] = np.random.default_rng([*start, int(h[i])]).binomial(n[i], 0.5, len(ids))
+            w = np.concatenate([n - moved, moved], axis=1)
             y, preds = np.concatenate([y, y]), [np.concatenate([a, b]), np.concatenate([b, a])]
-            differ = a != b
+        else:
+            leaves = np.array([x["leaf"] for x in task["leaves"].iloc[0]])
+            held = np.array([x["n"] for x in task["leaves"].iloc[0]])
+            taken = _down(start, leaves, held, depth, int(own), len(ids))
+            w = _spread(start, h, n, depth, taken)
         counts = [_class_sums(y, n_classes)]
         for p in preds:
             counts += [_class_sums(p, n_classes), _class_sums(np.where(y == p, y, MISSING), n_classes)]
-        ids, shares = np.asarray(task["reps"].iloc[0]), np.asarray(task["totals"].iloc[0])
-        step = max(1, 4_000_000 // len(y))  # bounds the weight matrix
-        out = []
-        for start in range(0, len(ids), step):
-            block = ids[start : start + step]
-            w = np.empty((len(block), len(y)), dtype=np.int64)
-            for i, r in enumerate(block.tolist()):
-                rng = np.random.default_rng([seed, r, part])
-                if mode == "swap":
-                    moved = np.where(differ, rng.binomial(n, 0.5), 0)
-                    w[i] = np.concatenate([n - moved, moved])
-                else:
-                    taken = np.random.default_rng([seed, r]).multinomial(int(shares.sum()), shares / shares.sum())
-                    w[i] = rng.multinomial(int(taken[part]), n / n.sum())
-            planes = np.stack([f(w) for f in counts], axis=2)
-            at, label = np.nonzero(planes.any(axis=2))
-            frame = pd.DataFrame(planes[at, label], columns=sums)
-            out.append(frame.assign(rep=block[at], label=label, **dict(zip(keys, group))))
-        return pd.concat(out)[[*keys, "rep", "label", *sums]]
-
-    on = [*keys, "part"]
-    cells, tasks = cells.repartition(DRAW_TASKS, *on), tasks.repartition(DRAW_TASKS, *on)
-    drawn = cells.groupBy(*on).cogroup(tasks.groupBy(*on)).applyInPandas(draw, schema)
+        planes = np.stack([f(w) for f in counts], axis=2)
+        at, label = np.nonzero(planes.any(axis=2))
+        frame = pd.DataFrame(planes[at, label], columns=sums)
+        return frame.assign(rep=ids[at], label=label, **dict(zip(keys, group)))[[*keys, "rep", "label", *sums]]
+
+    on = [*keys, "leaf", "block"]
+    # Few rows, much arithmetic: tasks by the draws to make, not by bytes.
+    n_tasks = max(cells.sparkSession.sparkContext.defaultParallelism * 4, ceil((sizes["all"] or 0) / leaf_cells))
+    spread = cells.join(blocks.select(*keys, "block"), keys).select(*[F.col(c).alias(c) for c in [*on, "y", *systems, "n", "h"]])
+    asked = tasks.select(*[F.col(c).alias(f"t_{c}") for c in on], "reps", "leaves")
+    other = [f"t_{c}" for c in on]
+    drawn = spread.repartition(n_tasks, *on).groupBy(*on).cogroup(
+        asked.repartition(n_tasks, *other).groupBy(*other)).applyInPandas(draw, schema)
     by_class = drawn.groupBy(*keys, "rep", "label").agg(*[F.sum(c).alias(c) for c in sums])
 
     def macro(i: int) -> Column:
@@ -308,6 +356,35 @@ def hierarchical_bootstrap(
     return difference_summary(reps, observed, system, "base").withColumn("resampled_seeds", F.lit(resample_seeds))
 
 
+def gap_intervals(reps: DataFrame, budgets: Sequence[int], observed: DataFrame) -> DataFrame:
+    """`training_size` and the summary of ensemble minus baseline for every budget. `observed` has
+    the baseline's score and each budget's, in one row, `reps` one row a replicate."""
+    columns = F.array(*[
+        F.struct(F.lit(b).cast("bigint").alias("training_size"), (F.col(f"n{b}") - F.col("base")).alias("gap")) for b in sorted(budgets)])
+    each = lambda df: df.select(F.inline(columns))
+    stats = each(reps).groupBy("training_size").agg(
+        F.avg("gap").alias("mean"), F.percentile("gap", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("n_replicates"))
+    return each(observed).join(stats, "training_size").select(
+        "training_size", F.round("gap", 6).alias("observed_diff"), F.round("mean", 6).alias("bootstrap_mean"),
+        F.round(F.col("q")[0], 6).alias("ci_lower"), F.round(F.col("q")[1], 6).alias("ci_upper"), "n_replicates")
+
+
+def observed_curve(probs: DataFrame, base: str, budgets: Sequence[int], seeds: Sequence[int], n_classes: int) -> DataFrame:
+    """One row: scores of the baseline and of every budget's ensemble over all rows."""
+    cells = multiset_cells(probs, base, budgets, seeds, n_classes, [(0, (1,) * len(seeds))])
+    return observed_scores(cells, ["base", *_budget_columns(budgets)], n_classes)
+
+
+def hierarchical_gaps(
+    probs: DataFrame, base: str, budgets: Sequence[int], seeds: Sequence[int], n_classes: int,
+    replicates: int = 2000, seed: int = 42, resample_seeds: bool = True,
+) -> DataFrame:
+    """`hierarchical_bootstrap` for all budgets in one job: a replicate's draw of seeds and rows
+    serves every budget."""
+    reps = seed_row_replicates(probs, base, budgets, seeds, n_classes, replicates, seed, resample_seeds)
+    return gap_intervals(reps, budgets, observed_curve(probs, base, budgets, seeds, n_classes))
+
+
 def crossovers(reps: DataFrame, budgets: Sequence[int]) -> DataFrame:
     """`rep, crossover_n`: the first budget that reaches the baseline, null if none does."""
     reached = [F.when(F.col(f"n{b}") >= F.col("base"), F.lit(b)) for b in sorted(budgets)]

@@ -55,6 +55,11 @@ def rows_only(spark, d):
     return rs.hierarchical_bootstrap(votes(spark, d), "b", 250, SEEDS, K, replicates=2000, resample_seeds=False)
 
 
+@query("i3_every_budget")
+def every_budget(spark, d):
+    return rs.hierarchical_gaps(votes(spark, d), "b", BUDGETS, SEEDS, K, replicates=2000)
+
+
 @query("i4_crossover_interval")
 def crossover_interval(spark, d):
     return rs.crossover_interval(votes(spark, d), "b", BUDGETS, SEEDS, K, replicates=2000)
@@ -177,3 +182,15 @@ def crossover_replicates(spark, d):
 def crossover_by_hash(spark, d):
     reps = rs.seed_row_replicates_by_hash(votes(spark, d), "b", BUDGETS, SEEDS, K, 12, 42)
     return rs.crossover_summary(rs.crossovers(reps, BUDGETS), BUDGETS)
+
+
+@query("i3_every_budget_by_hash", f"""WITH {CROSS_SQL}, {ENSEMBLE_SQL}, {f1_sql('ens', 'ensemble', group='training_size')},
+{f1_sql('base', 'ensemble', pred='b', group='training_size')},
+seen AS (SELECT training_size, sum(x.f1 - z.f1) / 5 AS d FROM f1_ens x JOIN f1_base z USING (training_size, label) GROUP BY 1)
+SELECT training_size, round(max(d), 6) AS observed_diff, round(avg(x.f1 - z.f1), 6) AS bootstrap_mean,
+  round(quantile_cont(x.f1 - z.f1, 0.025), 6) AS ci_lower, round(quantile_cont(x.f1 - z.f1, 0.975), 6) AS ci_upper, count(*) AS n_replicates
+FROM f_e x JOIN f_b z USING (rep, training_size) JOIN seen USING (training_size) GROUP BY training_size""")
+def every_budget_by_hash(spark, d):
+    v = votes(spark, d)
+    reps = rs.seed_row_replicates_by_hash(v, "b", BUDGETS, SEEDS, K, 12, 42)
+    return rs.gap_intervals(reps, BUDGETS, rs.observed_curve(v, "b", BUDGETS, SEEDS, K))

@@ -75,6 +75,28 @@ def test_run_disagreement(spark):
     assert (got["n_complete"], got["n_dropped"], got["disagreement"]) == (2, 1, 0.5)
 
 
+def test_resampling_is_the_same_in_any_number_of_leaves(spark):
+    import random
+
+    import numpy as np
+
+    draw = random.Random(4)
+    data = [(draw.randrange(9), draw.randrange(9), draw.randrange(9)) for _ in range(3_000)]
+    cells = rs.outcome_cells(spark.createDataFrame(data, "y int, a int, b int"), "y", ("a", "b")).withColumn("multiset", F.lit(0))
+    reps = spark.range(700).select(F.lit(0).alias("multiset"), F.col("id").alias("rep"))
+    for mode in ("bootstrap", "swap"):
+        got = [sorted(tuple(r) for r in rs.resample_cells(cells, ("a", "b"), 9, reps, 3, mode, leaf_cells=n).collect()) for n in (10_000, 100, 7)]
+        assert len(got[0]) == 700 and got[0] == got[1] == got[2]
+    n = np.array([5, 1, 30, 14, 50])
+    h = np.sort(np.array([1, 2**63 + 5, 2**63 + 6, 2**62, 2**64 - 1], dtype=np.uint64))
+    w = rs._spread([1, 0], h, n, 0, np.full(40_000, 100))
+    assert (w.sum(axis=1) == 100).all()
+    assert w.mean(axis=0) == pytest.approx(n, rel=0.05) and w.var(axis=0) == pytest.approx(n * (1 - n / 100), rel=0.05)
+    assert np.cov(w[:, 2], w[:, 4])[0, 1] == pytest.approx(-30 * 50 / 100, rel=0.1)
+    same = rs._spread([1, 0], np.array([7, 7, 7], dtype=np.uint64), np.array([10, 30, 60]), 0, np.full(20_000, 100))
+    assert same.mean(axis=0) == pytest.approx([10, 30, 60], rel=0.05)
+
+
 def test_cells_are_logged_and_found_without_their_data(spark, tmp_path):
     import pathlib
 
