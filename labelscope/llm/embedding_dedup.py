@@ -26,9 +26,10 @@ from labelscope.llm.graph import components
 from labelscope.llm.stages import kept
 from labelscope.session import ship_package
 
-CELLS, CELL_ROWS = 4_096, 400
-SAMPLE_ROWS = 65_536  # vectors the centroids are fitted on; all vectors are assigned
-BLOCK = 1_024
+CELLS, CELL_ROWS = 4_096, 3_200
+#: Vectors, and bytes of them, the centroids are fitted on; all vectors are assigned.
+SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 1 << 25
+BLOCK, STRIPE = 8_192, 512  # vectors of a block; rows of a product taken at a time
 SLACK = 1e-7  # far above the rounding of the products that decide on visits
 
 
@@ -52,8 +53,8 @@ def _cells(centres: np.ndarray, least: float):
     def run(frames):
         square = (centres * centres).sum(axis=1)
         for frame in frames:
-            for at in range(0, len(frame), BLOCK):
-                part = frame.iloc[at : at + BLOCK].copy()
+            for at in range(0, len(frame), 1_024):
+                part = frame.iloc[at : at + 1_024].copy()
                 sims = np.stack(part["unit"].to_numpy()) @ centres.T
                 home = sims.argmax(axis=1)
                 beyond = sims[np.arange(len(part)), home][:, None] - sims
@@ -79,15 +80,26 @@ def _block_links(least: float):
         empty = pd.DataFrame({"vec_id": [], "n": [], "label": []}).astype("int64")
         if not len(a) or not len(b):
             return empty
-        linked = np.stack(a["unit"].to_numpy()) @ np.stack(b["unit"].to_numpy()).T >= least
+        x, y = np.stack(a["unit"].to_numpy()), np.stack(b["unit"].to_numpy())
         ids_a, ids_b = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-        linked &= ids_a[:, None] != ids_b[None, :]
-        if not linked.any():
+        linked = np.empty((len(a), len(b)), dtype=bool)
+        stripes = [slice(i, i + STRIPE) for i in range(0, len(a), STRIPE)]
+        for rows in stripes:
+            linked[rows] = (x[rows] @ y.T >= least) & (ids_a[rows, None] != ids_b[None, :])
+        # Vectors without a link in these blocks need no label.
+        some_a, some_b = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+        if not len(some_a):
             return empty
+        linked = linked[np.ix_(some_a, some_b)]
+        a, b, ids_a, ids_b = a.iloc[some_a], b.iloc[some_b], ids_a[some_a], ids_b[some_b]
+        stripes = [slice(i, i + STRIPE) for i in range(0, len(a), STRIPE)]
         label_a, label_b, top = ids_a.copy(), ids_b.copy(), np.iinfo(np.int64).max
         while True:  # smallest id over linked rows, back and forth until nothing changes
-            new_b = np.minimum(label_b, np.where(linked, label_a[:, None], top).min(axis=0))
-            new_a = np.minimum(label_a, np.where(linked, new_b[None, :], top).min(axis=1))
+            new_a, new_b = label_a.copy(), label_b.copy()
+            for rows in stripes:
+                new_b = np.minimum(new_b, np.where(linked[rows], label_a[rows, None], top).min(axis=0))
+            for rows in stripes:
+                new_a[rows] = np.minimum(new_a[rows], np.where(linked[rows], new_b[None, :], top).min(axis=1))
             if (new_a == label_a).all() and (new_b == label_b).all():
                 break
             label_a, label_b = new_a, new_b
@@ -149,7 +161,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 def _linked(reps: DataFrame, dim: int, least: float) -> DataFrame:
     """`vec_id, n, label` of linked class representatives, one row per block pair they link in."""
     n = reps.count()
-    chosen = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("unit").toPandas()
+    chosen = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(
+        max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))).select("unit").toPandas()
     sample = np.stack(chosen["unit"].to_numpy())
     centres = spherical_kmeans(sample, int(min(CELLS, len(sample), max(1, n // CELL_ROWS))))
     schema = "vec_id bigint, copies bigint, unit array<double>, home int, visits array<int>"
