@@ -54,7 +54,8 @@ WITH RECURSIVE step(it, w, pos, id, npos, nid, rank) AS (
      FROM step s JOIN pair USING (w) WHERE s.pos <> q)
    SELECT v.it, v.w, v.pos, v.id, v.npos, v.nid, CASE WHEN changed THEN m.rank ELSE old END
    FROM moved v LEFT JOIN merges m ON m.pair = CASE WHEN changed THEN (v.id::BIGINT << 32) | v.nid END)
-), final AS (SELECT w, pos, id FROM step JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) USING (w, it))
+), final AS (SELECT w, pos, id FROM step JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) USING (w, it)
+  UNION ALL SELECT w, pos, id FROM known)
 SELECT w, array_to_string(list_transform(l, lambda x: x.i), ',') AS ids,
        array_to_string(list_transform(l, lambda x: x.h), '') AS decoded
 FROM (SELECT w, list({'i': id::VARCHAR, 'h': t.hex} ORDER BY pos) AS l FROM final JOIN tokens t USING (id) GROUP BY w)
@@ -71,7 +72,6 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.ids: dict[str, str] = {}  # of each word known: its ids, and what they decode to
         self.decoded: dict[str, bytes] = {}
-        self.tokens = {i: token for token, i in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pair, rank = [], []
         for token, i in self.ranks.items():
@@ -95,28 +95,28 @@ class Codec:
         if len(self.ids) > MEMO_WORDS:
             self.ids.clear()
             self.decoded.clear()
-        todo, raw = [], []
-        for word in words:
-            data = word.encode()
-            whole = self.ranks.get(data)
-            if whole is not None:  # a word of the vocabulary is one token, whatever its merges
-                self.ids[word], self.decoded[word] = str(whole), data
-            elif len(data) > LONG_BYTES:
-                ids = self.contract(data)
-                self.ids[word], self.decoded[word] = ",".join(map(str, ids)), b"".join(self.tokens[i] for i in ids)
-            else:
-                todo.append(word)
-                raw.append(data)
-        for at in range(0, len(todo), CHUNK_WORDS):
-            part, chunk = todo[at : at + CHUNK_WORDS], raw[at : at + CHUNK_WORDS]
-            size = np.array([len(x) for x in chunk])
-            data = np.frombuffer(b"".join(chunk), dtype=np.uint8)
+        new = list(words)
+        for at in range(0, len(new), CHUNK_WORDS):
+            part = new[at : at + CHUNK_WORDS]
+            raw, known = [x.encode() for x in part], []  # of known words: word, place and id
+            for w, data in enumerate(raw):
+                whole = self.ranks.get(data)
+                if whole is not None:  # a word of the vocabulary is one token, whatever its merges
+                    known.append((w, 0, whole))
+                elif len(data) > LONG_BYTES:
+                    known += [(w, k, i) for k, i in enumerate(self.contract(data))]
+            given = {w for w, _, _ in known}
+            open_ = np.array([w for w in range(len(part)) if w not in given], dtype=np.int32)
+            size = np.array([len(raw[w]) for w in open_], dtype=np.int64)
+            data = np.frombuffer(b"".join(raw[w] for w in open_), dtype=np.uint8)
             begin = np.cumsum(size) - size
             self._table("bytes_of", {
-                "w": pa.array(np.repeat(np.arange(len(chunk), dtype=np.int32), size)),
+                "w": pa.array(np.repeat(open_, size), pa.int32()),
                 "pos": pa.array((np.arange(len(data)) - np.repeat(begin, size)).astype(np.int32)),
                 "id": pa.array(self.byte_ids[data]),
             })
+            self._table("known", {n: pa.array([r[k] for r in known], pa.int32()) for k, n in enumerate(("w", "pos", "id"))})
+            # Every word, also those whose ids were known, is decoded by its ids.
             for w, ids, decoded in self.con.execute(_STEPS).fetchall():
                 self.ids[part[w]], self.decoded[part[w]] = ids, bytes.fromhex(decoded)
 
