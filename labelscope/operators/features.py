@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.text import words
+from labelscope.operators.grams import spread
 from labelscope.session import scratch_dir
 
 
+PART_BYTES = 1 << 22  # of text whose n-grams one task counts
+
+
 @dataclass(frozen=True)
 class Tfidf:
     """A fitted vocabulary: `idf` holds `term, df, idf, term_id`; the rest are the settings.
@@ -29,12 +33,11 @@ def term_counts(df: DataFrame, key: str, text: str, low: int, high: int) -> Data
     """`key, term, tf` over whole texts.
 
     The text is shuffled by key before it is cut up, at a small fraction of the size of its
-    n-grams; counting words and then n-grams needs no further shuffle. The number of
-    partitions is fixed because the rows grow a hundredfold after the shuffle, which sizing
-    partitions by their bytes would not foresee. Each distinct word of a text is cut up once.
+    n-grams; counting words and then n-grams needs no further shuffle. Partitions hold a bounded
+    amount of text, as the rows grow a hundredfold after the shuffle. Each distinct word of a text
+    is cut up once.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_key = df.select(key, text).repartition(parts, key)
+    by_key = spread(df.select(key, text), key, text, PART_BYTES)
     counted = by_key.select(key, F.explode(words(text)).alias("_w")).groupBy(key, "_w").agg(
         F.count(F.lit(1)).alias("_c"))
     padded = counted.select(
@@ -49,18 +52,26 @@ def term_counts(df: DataFrame, key: str, text: str, low: int, high: int) -> Data
     return grams.groupBy(key, "term").agg(F.sum("_c").alias("tf"))
 
 
+def stored_counts(df: DataFrame, key: str, text: str = "text", low: int = 2, high: int = 5) -> DataFrame:
+    """`term_counts` as a written table, for a fit and a transform of the same texts."""
+    path = scratch_dir(df.sparkSession, "term-counts")
+    term_counts(df, key, text, low, high).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def fit_tfidf(
     pool: DataFrame, key: str, text: str = "text", low: int = 2, high: int = 5, min_df: int = 2,
-    sublinear: bool = True, path: str | None = None,
+    sublinear: bool = True, path: str | None = None, counts: DataFrame | None = None,
 ) -> Tfidf:
     """Document frequencies of the pool only; idf = ln((1 + N) / (1 + df)) + 1.
 
     The vocabulary is written as a table (to `path`, or below the shared checkpoint folder).
     It is then computed once however often it is used, and its size on disk tells the planner
-    whether it may be broadcast.
+    whether it may be broadcast. `counts` are the pool's `stored_counts`, if there are any.
     """
     n = pool.count()
-    df = term_counts(pool, key, text, low, high).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counts = term_counts(pool, key, text, low, high) if counts is None else counts
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.filter(F.col("df") >= min_df).withColumn(
         "idf", F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
     path = path or scratch_dir(pool.sparkSession, "vocabulary")
@@ -69,7 +80,7 @@ def fit_tfidf(
 
 
 def tfidf_weights(
-    fitted: Tfidf, df: DataFrame, key: str, text: str = "text", name: str = "term"
+    fitted: Tfidf, df: DataFrame, key: str, text: str = "text", name: str = "term", counts: DataFrame | None = None,
 ) -> DataFrame:
     """`key, <name>, weight`, L2-normalised per text, where `name` is `term` or `term_id`. Terms outside the vocabulary drop out, and
     so does a text with no known term.
@@ -77,7 +88,7 @@ def tfidf_weights(
     The join may hash, sort or broadcast as its size allows; a term most texts contain meets
     one vocabulary row, which the adaptive skew join splits.
     """
-    tf = term_counts(df, key, text, fitted.low, fitted.high)
+    tf = term_counts(df, key, text, fitted.low, fitted.high) if counts is None else counts
     scale = 1 + F.log("tf") if fitted.sublinear else F.col("tf")
     known = tf.join(fitted.idf.select("term", "term_id", "idf"), "term")
     raw = known.select(key, name, (scale * F.col("idf")).alias("w"))

@@ -92,11 +92,11 @@ def spaced(text: str = "text"):
     return F.coalesce(F.array_join(words(text), " "), F.lit(""))
 
 
-def spread(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def spread(df: DataFrame, key: str, text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Rows dealt out by key to partitions of bounded text, however few files they come from."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(cores, -(-size // BLOCK_BYTES)), -(-size // PART_BYTES)), key)
+    return df.repartition(max(1, min(cores, -(-size // BLOCK_BYTES)), -(-size // part_bytes)), key)
 
 
 def gram_lists(df: DataFrame, key: str, text: str = "text", low: int = 3, high: int = 5) -> DataFrame:

@@ -64,7 +64,8 @@ def idf(spark, d):
 {weights_sql('w', 't', 'idf', 'doc_id', True)} SELECT doc_id, count(*) AS n_terms, round(sum(weight), 5) AS total, round(max(weight), 6) AS top FROM w GROUP BY 1""")
 def tfidf(spark, d):
     pool, _ = split_documents(spark, d)
-    return _by_doc(fe.tfidf_weights(fe.fit_tfidf(pool, "doc_id"), pool, "doc_id"))
+    counts = fe.stored_counts(pool, "doc_id")  # every text is cut once
+    return _by_doc(fe.tfidf_weights(fe.fit_tfidf(pool, "doc_id", counts=counts), pool, "doc_id", counts=counts))
 
 
 def _by_doc(weights):
