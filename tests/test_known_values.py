@@ -66,6 +66,20 @@ def test_percentiles_of_many_rows_match_the_built_in(spark):
     assert [got[n] for n in probs] == pytest.approx(want, rel=1e-12)
 
 
+def test_percentiles_by_narrowing_brackets(spark):
+    probs = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.95, "e": 0.999, "f": 1.0}
+    wide = F.when(F.col("id") == 0, -1.7e308).when(F.col("id") == 1, 1.7e308).when(F.col("id") % 3 == 0, 7.0)
+    df = spark.range(30_000).select(
+        (F.col("id") % 2).alias("k"), wide.otherwise(F.pow(F.pmod(F.col("id") * 7919, F.lit(99991)), F.lit(1.5)) - 4e6).alias("v"))
+    for keys in ([], ["k"]):
+        want = {r[0]: r[1] for r in df.groupBy(*(keys or [F.lit(0).alias("k")])).agg(F.percentile("v", F.array(*[F.lit(p) for p in probs.values()]))).collect()}
+        for most in (3, 500):
+            got = exact_percentiles(df, "v", probs, keys, most=most).collect()
+            assert len(got) == len(want)
+            for r in got:
+                assert [r[n] for n in probs] == pytest.approx(want[r["k"] if keys else 0], rel=1e-12)
+
+
 def test_run_disagreement(spark):
     runs = spark.createDataFrame(
         [("a", 0, "x", 2), ("a", 0, "a", 3), ("a", 0, None, 1), ("b", 0, "y", 1), ("a", 1, "x", 1), ("b", 1, "z", 1), ("b", 1, "y", 2),
