@@ -17,13 +17,16 @@ grow, and with them the blocks to compare.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm.graph import components
-from labelscope.llm.stages import kept
+from labelscope.llm.stages import in_arrow, kept
 from labelscope.session import ship_package
 
 CELLS, CELL_ROWS = 4_096, 3_200
@@ -45,6 +48,19 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of length 1; scaled by the largest component first, so that squares neither
+    overflow nor vanish."""
+    for batch in batches:
+        offsets = batch.column(1).offsets.to_numpy()
+        flat = batch.column(1).values.to_numpy(zero_copy_only=False).copy()
+        for a, b in zip(offsets, offsets[1:]):
+            flat[a:b] /= np.abs(flat[a:b]).max()
+            flat[a:b] /= np.sqrt((flat[a:b] * flat[a:b]).sum())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(batch.column(1).offsets, pa.array(flat))],
+                                         names=["vec_id", "unit"])
+
+
 def _cells(centres: np.ndarray, least: float):
     # Sine of the angle asked for; from 90 degrees on nothing can be left out.
     reach = np.sqrt(max(0.0, 1.0 - least * least)) if least > 0 else np.inf
@@ -126,13 +142,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     rows = vectors.select(
         F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    peak = F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
-    # Scaled by the largest component first, so that squares neither overflow nor vanish.
-    scaled = rows.filter("vec_id is not null and v is not null and size(v) > 0").filter(usable).withColumn("peak", peak)
-    scaled = scaled.filter("peak > 0").select("vec_id", F.transform("v", lambda x: x / F.col("peak")).alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    units = scaled.withColumn("length", length).select(
-        "vec_id", F.transform("v", lambda x: x / F.col("length")).alias("unit"))
+    whole = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & usable & F.exists("v", lambda x: x != 0)
+    units = in_arrow(rows.filter(whole), _units, "vec_id bigint, unit array<double>")
     units = kept(units.withColumns({"h": F.xxhash64("unit"), "g": F.xxhash64(F.lit(1), "unit")}), "units")
     classes = kept(units.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
     reps = units.join(classes.select(F.col("rep").alias("vec_id"), "h", "g", "copies"), ["vec_id", "h", "g"]).dropDuplicates(["vec_id", "h", "g"])
@@ -152,8 +163,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 F.coalesce("component", "rep").alias("component_id"))
     )
     known = units.select("vec_id", "h", "g").join(of_class, ["h", "g"]).select("vec_id", "n_links", "component_id")
-    good = F.coalesce(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & usable & (peak > 0), F.lit(False))
-    alone = rows.filter(~good).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = rows.filter(~F.coalesce(whole, F.lit(False))).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.unionByName(alone).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
