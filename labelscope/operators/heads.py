@@ -24,6 +24,7 @@ from pyspark.sql.types import StructField, StructType
 
 from labelscope.functions.scoring import argmax
 from labelscope.operators import grams as gr
+from labelscope.operators.features import l2_normalise
 from labelscope.operators.metrics import confusion, macro_f1
 from labelscope.session import scratch_dir, ship_package
 
@@ -59,6 +60,16 @@ def gram_features(lists: DataFrame, fitted: gr.Vocabulary, key: str) -> DataFram
     return lists.select(key, "grams", "tfs").mapInArrow(run, f"`{key}` {key_type}, indices array<int>, values array<double>")
 
 
+def dense_features(rows: DataFrame, vector: str) -> DataFrame:
+    """`rows` with `indices` and `values` of a dense vector, L2-normalised; a missing or empty one
+    has none. Frozen encoders so feed the same heads and sweeps as n-grams do."""
+    size = F.coalesce(F.size(vector), F.lit(0))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return rows.withColumns({
+        "indices": F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(none("int")),
+        "values": F.when(size > 0, l2_normalise(vector)).otherwise(none("double"))})
+
+
 def as_vectors(rows: DataFrame, size: int) -> DataFrame:
     """`rows` with `features` in place of `indices` and `values`. A vector is stored as a struct
     of these, so the table is written with that struct and read back as vectors; no row passes

@@ -25,7 +25,7 @@ from labelscope.session import scratch_dir
 from labelscope.sources.store import stack_cells
 
 N_LANGS = 4
-VAL_ROWS = 60
+VAL_ROWS, DENSE_TEST = 60, 200
 LABELLED = 1_000  # rows that a head of its own is fitted on
 BUDGETS, SEEDS = (24, 80, 250, 500), (0, 1, 2, 3, 4)
 LOW, HIGH = 2, 5
@@ -124,6 +124,19 @@ def budget_sweep(spark, d):
     return _reported(heads, probs, N_LANGS, "doc_id")
 
 
+@query("m3_dense_sweep")
+def dense_sweep(spark, d):
+    """The same sweep over frozen vectors: every budget the pool fills, five seeds, four penalties."""
+    rows = he.dense_features(table(spark, d, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"), "embedding"), "embedding")
+    carved = sp.carve_splits(rows.select("vec_id", "label"), {"test": DENSE_TEST, "val": VAL_ROWS}, "label", "vec_id", 42)
+    features = _table(rows.drop("embedding").join(carved.select("vec_id", "split"), "vec_id"), "vectors")
+    part = lambda s: features.filter(F.col("split") == s).drop("split")
+    n_classes = features.agg(F.max("label")).first()[0] + 1
+    grid = sp.subset_grid(part("pool"), "label", "vec_id", BUDGETS, SEEDS, n_classes=n_classes)
+    heads, probs = _swept(grid, part("val"), part("test"), n_classes, "vec_id")
+    return _reported(heads, probs, n_classes, "vec_id")
+
+
 @query("m4_full_simplex", f"""WITH {SIDES_SQL} SELECT label, count(*) AS n_rows, 0.0::DOUBLE AS absent_class,
   1.0::DOUBLE AS min_total, 1.0::DOUBLE AS max_total FROM labelled GROUP BY 1""")
 def full_simplex(spark, d):

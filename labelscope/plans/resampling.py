@@ -123,12 +123,9 @@ def bootstrap_verdict(spark, d):
     return rs.verdict(rs.paired_bootstrap(predictions(spark, d), "y", "a", "b", K, replicates=5000))
 
 
-_ARMS = (0, 1)
-
-
 @query("i7_test_matrix", f"""WITH {P_SQL}, {VOTES_SQL}, {SINGLE_SQL}, {ENSEMBLE_SQL},
 arms AS (SELECT row_id, y, seed AS arm, training_size, s.pred AS pa, e.pred AS pb FROM single s
-  JOIN ensemble e USING (row_id, y, training_size) WHERE seed IN (0, 1)),
+  JOIN ensemble e USING (row_id, y, training_size)),
 src AS (SELECT row_id, y, arm, training_size, pa AS a, pb AS b FROM arms),
 {swap_sql('src', 'arm, training_size', 'a', 'b', 32)}
 SELECT arm, training_size, round(max(d), 6) AS observed_diff, count(*) AS n_replicates,
@@ -137,8 +134,7 @@ FROM diffs JOIN seen USING (arm, training_size) GROUP BY ALL""")
 def test_matrix(spark, d):
     v = votes(spark, d)
     ens = en.soft_vote(v, K).select("row_id", "training_size", F.col("pred").alias("b"))
-    single = v.filter(F.col("seed").isin(list(_ARMS))).select(
-        "row_id", "y", F.col("seed").alias("arm"), "training_size", argmax("probs").alias("a"))
+    single = v.select("row_id", "y", F.col("seed").alias("arm"), "training_size", argmax("probs").alias("a"))
     both = single.join(ens, ["row_id", "training_size"])
     return rs.permutation_by_hash(both, "y", "a", "b", "row_id", K, 32, 42, keys=("arm", "training_size"))
 

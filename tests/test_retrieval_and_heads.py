@@ -138,6 +138,22 @@ def test_sweep_equals_fits_over_terms(spark):
         assert h["c"] == (10.0 if h["val_scores"][10.0] > h["val_scores"][0.1] else 0.1)
 
 
+def test_sweep_over_dense_vectors(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = [(i, i % 3, [float(i % 3 == k) + draw.gauss(0, 0.2) for k in range(5)]) for i in range(60)] + [(60, 1, None), (61, 2, [])]
+    df = he.dense_features(spark.createDataFrame(rows, "id bigint, label bigint, v array<float>"), "v")
+    by_id = {r["id"]: r for r in df.collect()}
+    assert by_id[60]["indices"] == [] and by_id[61]["values"] == []
+    assert sum(x * x for x in by_id[0]["values"]) == pytest.approx(1.0)
+    cells = df.withColumns({"training_size": F.lit(62), "seed": F.lit(0)})
+    probs = {r["id"]: r["probs"] for r in he.sweep_probabilities(he.sweep(cells, df, 3, c_grid=(1.0,)), df, 3, "id").collect()}
+    vectors = he.as_vectors(df.drop("v"), 5)
+    for r in he.predict(he.fit_head(vectors, 1.0, tol=1e-10), vectors, 3).collect():
+        assert probs[r["id"]] == pytest.approx(r["probs"], abs=2e-4)
+
+
 def test_sweep_of_one_class_and_of_texts_without_terms(spark):
     rows = [(1, 7, 0, 2, [], []), (2, 7, 0, 2, [0], [1.0]), (3, 7, 1, 0, [], []), (4, 7, 1, 1, [], [])]
     grid = spark.createDataFrame(rows, "id bigint, training_size int, seed int, label bigint, indices array<int>, values array<double>")
