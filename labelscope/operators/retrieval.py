@@ -7,7 +7,7 @@ A query block first scores the pool block with the highest bounds, which gives e
 similarity; then only pairs of blocks are brought together in which some query's bound reaches
 its own, best bounds first, and in a pair only those queries are scored.
 
-Blocks hold a bounded number of n-grams, a task a query block and a few pool blocks, and it
+Blocks hold a bounded number of n-grams, a task a few query blocks and a few pool blocks, and it
 returns k rows per query. Nothing per pair or per shared term is ever shuffled and no text or
 term is left out. Without any pruning it is one blocked sparse product of queries and pool.
 """
@@ -27,7 +27,7 @@ from labelscope.operators import grams as gr
 from labelscope.session import scratch_dir, ship_package
 
 BLOCK_TERMS = 400_000  # n-grams of a block, or of one text if it has more
-GROUP = 8  # pool blocks a task takes at most
+GROUP = 6  # pool blocks, and query blocks, that a task takes, about
 DENSE_CELLS = 8_000_000  # doubles in a block's matrix of common terms (64 MB)
 COMMON = 0.15  # share of a block's texts above which a term goes into that matrix
 DIGITS = 8  # similarities are ranked at this precision, so copies tie exactly
@@ -270,16 +270,25 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _searched(k: int, common: float):
+    """Query blocks against the pool blocks open to any of them: one pool block is held at a time,
+    those that promise most come first."""
+
     def run(queries: pa.Table, pool: pa.Table) -> pa.Table:
-        key_type, out = queries.schema.field("ids").type.value_type, []
-        pool = pool.sort_by([("total", "descending"), ("block", "ascending")])
+        key_type = queries.schema.field("ids").type.value_type
+        found, promise = [], {}
         for row in _rows(queries):
-            found = _Best(_Block(row), k, np.frombuffer(row.least, "<f8"))
-            for other in _rows(pool):
-                found.look(_Pool(other, common), np.frombuffer(other.bound, "<f8"))
-            out.append(found.rows(key_type))
+            bounds = {p["p"]: np.frombuffer(p["bound"], "<f8") for p in row.open}
+            found.append((_Best(_Block(row), k, np.frombuffer(row.least, "<f8")), bounds))
+            for p in row.open:
+                promise[p["p"]] = promise.get(p["p"], 0.0) + p["total"]
+        rows = {row.block: row for row in _rows(pool)}
+        for block in sorted(rows, key=lambda p: (-promise.get(p, 0.0), p)):
+            made = _Pool(rows.pop(block), common)
+            for best, bounds in found:
+                if block in bounds:
+                    best.look(made, bounds[block])
         empty = pa.schema([("query", key_type), ("pool", key_type), ("sim", pa.float64())]).empty_table()
-        return pa.concat_tables(out) if out else empty
+        return pa.concat_tables([best.rows(key_type) for best, _ in found]) if found else empty
 
     return run
 
@@ -318,14 +327,15 @@ def top_k(
         "seeds")
     reach = pairs.join(seeds.select("q", "best", "least"), "q").filter(F.col("p") != F.col("best"))
     left = _kept(reach.select("q", "p", "total", "bound", "least").mapInArrow(_open, "q bigint, p bigint, total double, bound binary"), "open-pairs")
-    left = left.withColumn("g", F.pmod(F.xxhash64("p"), F.lit(max(1, -(-pool.count() // GROUP)))).cast("int"))
-
+    groups = lambda df: F.lit(max(1, -(-df.count() // GROUP)))
+    left = left.withColumns({"g": F.pmod(F.xxhash64("p"), groups(pool)).cast("int"), "qg": F.pmod(F.xxhash64("q"), groups(queries)).cast("int")})
+    wanted = left.groupBy("q", "qg", "g").agg(F.collect_list(F.struct("p", "total", "bound")).alias("open"))  # one group's blocks
     asking = (
-        left.select("q", "g").distinct().join(queries.withColumnRenamed("block", "q"), "q").join(seeds.select("q", "least"), "q")
-        .select(F.col("q").alias("at"), F.col("g").alias("part"), *[c for c in queries.columns if c != "block"], "least"))
-    asked = left.join(there.withColumnRenamed("block", "p"), "p").select(
-        "q", "g", "total", "bound", F.col("p").alias("block"), *there.columns[1:])
-    near = asking.groupBy("at", "part").cogroup(asked.groupBy("q", "g")).applyInArrow(
+        wanted.join(queries.withColumnRenamed("block", "q"), "q").join(seeds.select("q", "least"), "q")
+        .select(F.col("qg").alias("at"), F.col("g").alias("part"), *[c for c in queries.columns if c != "block"], "least", "open"))
+    asked = left.select("qg", "g", "p").distinct().join(there.withColumnRenamed("block", "p"), "p").select(
+        "qg", "g", F.col("p").alias("block"), *there.columns[1:])
+    near = asking.groupBy("at", "part").cogroup(asked.groupBy("qg", "g")).applyInArrow(
         _searched(k, common), f"query {key_type}, pool {key_type}, sim double")
     known = seeds.select(F.inline(F.arrays_zip("query", "pool", "sim")))
     ranked = Window.partitionBy("query").orderBy(F.desc("sim"), "pool")  # at most k rows per pool group
