@@ -334,7 +334,8 @@ def streamed_replies(spark, d):
     """`conversations` read as a file stream; turns of the system are not expected and drop out."""
     c = table(spark, d, "conversations")
     cid = F.concat_ws("-", F.lit("turn"), F.col("conv_id"), F.col("turn")).alias("custom_id")
-    stream = ig.reply_stream(spark, d, c.schema, "parquet", "conversations.parquet").select(cid, "role", "text")
+    # A pattern takes the table as one file or as a folder of them.
+    stream = ig.reply_stream(spark, f"{d}/conversations.parque[t]", c.schema, "parquet").select(cid, "role", "text")
     calls = c.filter("role <> 'system'").select(cid)
     root = scratch_dir(spark, "replies")
     out = ig.ingest(stream, calls, f"{root}/sink", f"{root}/progress")

@@ -11,7 +11,8 @@ def reply_stream(
     spark: SparkSession, path: str, schema: StructType | str, fmt: str = "json",
     glob: str | None = None, files_per_batch: int = 1000,
 ) -> DataFrame:
-    """A stream of reply rows from a folder; only new files are read on the next run."""
+    """A stream of reply rows from a folder, or from the files and folders of a path with wildcards;
+    only new files are read on the next run."""
     reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -32,10 +33,12 @@ def ingest(
     """Append new replies to expected calls to `sink`, process what is there, and stop.
 
     Each micro-batch writes its own `batch=` folder in overwrite mode. A batch replayed after
-    a lost driver rewrites the same folder instead of adding rows twice.
+    a lost driver rewrites the same folder instead of adding rows twice. Where no reply has come
+    yet, the table is empty.
     """
     spark = replies.sparkSession
     expected = calls.select("custom_id").distinct()
+    spark.createDataFrame([], replies.schema).write.mode("overwrite").parquet(f"{sink}/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         known = batch.join(expected, "custom_id", "left_semi")
