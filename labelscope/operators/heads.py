@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from labelscope.functions.scoring import argmax
 from labelscope.operators import grams as gr
@@ -35,6 +35,7 @@ TOLERANCE = 1e-4
 SERVING_BATCH = 64
 PART_BYTES = 1 << 25  # of features scored in a task
 VAL_BYTES = 1 << 26  # of validation features that every cell is sent
+HEAD_BYTES = 1 << 28  # of heads that every task is sent
 SMALLEST = 1e-9
 
 
@@ -60,6 +61,36 @@ def gram_features(lists: DataFrame, fitted: gr.Vocabulary, key: str) -> DataFram
     return lists.select(key, "grams", "tfs").mapInArrow(run, f"`{key}` {key_type}, indices array<int>, values array<double>")
 
 
+def text_features(rows: DataFrame, fitted: gr.Vocabulary, text: str = "text", vectors: bool = False) -> DataFrame:
+    """`rows` without their text, with its `indices` and `values`, or with these as `features`.
+
+    Texts are cut and weighed where they are, a block of bounded text at a time. Nothing is
+    shuffled, and n-grams are never stored or handed on between tasks.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    sent, (low, high, sublinear, size) = spark.sparkContext.broadcast(fitted.arrays()), (fitted.low, fitted.high, fitted.sublinear, fitted.size)
+    others = [f for f in rows.schema if f.name != text]
+    features = [StructField("features", VectorUDT())] if vectors else [
+        StructField("indices", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType()))]
+    names = [f.name for f in [*others, *features]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = sent.value
+        for batch in batches:
+            for first, last, grams, tfs, owner in gr.cut_blocks(batch.column(0).to_pylist(), low, high):
+                n = last - first
+                at, w, known = gr.weigh(grams, tfs, owner, n, terms, idf, sublinear)
+                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner[known], minlength=n)))).astype(np.int32))
+                made = [pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(w))]
+                if vectors:
+                    kind, wide = pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32))
+                    made = [pa.StructArray.from_arrays([kind, wide, *made], names=["type", "size", "indices", "values"])]
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, n) for c in batch.columns[1:]), *made], names=names)
+
+    return rows.select(gr.spaced(text).alias("text"), *[f.name for f in others]).mapInArrow(run, StructType([*others, *features]))
+
+
 def dense_features(rows: DataFrame, vector: str) -> DataFrame:
     """`rows` with `indices` and `values` of a dense vector, L2-normalised; a missing or empty one
     has none. Frozen encoders so feed the same heads and sweeps as n-grams do."""
@@ -355,19 +386,82 @@ def _known(rows: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray) -> list
 def sweep_probabilities(
     heads: DataFrame, rows: DataFrame, n_classes: int, key: str, keys: Sequence[str] = ("training_size", "seed"),
     together: str = "training_size", label: str = "label", part_bytes: int = PART_BYTES,
+    fitted: gr.Vocabulary | None = None, text: str = "text", head_bytes: int = HEAD_BYTES,
 ) -> DataFrame:
     """`keys, key, y, probs`: every row scored by every head, over the full label simplex.
 
-    Rows are cut into blocks of bounded bytes; the heads of one `together` (one budget) meet a
-    block in one task, so a row is shuffled once a budget.
+    Rows have `indices` and `values`, or with `fitted` their text, which is cut as it is scored.
+    The rows that a head learnt from bound it; heads within `head_bytes` in all are sent to the
+    tasks and rows are scored where they are. Beyond that, rows are cut into blocks of bounded
+    bytes and the heads of one `together` (one budget) meet a block in one task, so a row is
+    shuffled once a budget.
     """
-    ship_package(heads.sparkSession)
+    spark = heads.sparkSession
+    ship_package(spark)
+    key_type, kinds = dict(rows.dtypes)[key], dict(heads.dtypes)
+    fields = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{key}` {key_type}", "y bigint", "probs array<double>"])
+    size = heads.agg(F.sum(F.octet_length("terms") + F.octet_length("weights"))).first()[0] or 0
+    if size > head_bytes:
+        held = rows if fitted is None else text_features(rows, fitted, text)
+        return _by_block(heads, held, n_classes, key, keys, together, label, part_bytes, fields)
+    by = heads.select(*keys, "labels", "terms", "weights", "intercepts").toArrow()
+    sent = spark.sparkContext.broadcast(by)
+    cut = None if fitted is None else spark.sparkContext.broadcast(fitted.arrays())
+    low, high, sublinear = (fitted.low, fitted.high, fitted.sublinear) if fitted else (0, 0, False)
+
+    def blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Rows of a batch and where each row's places and values end."""
+        if cut is None:
+            at, v = batch.column(2), batch.column(3)
+            n = np.nan_to_num(pc.list_value_length(at).to_numpy(zero_copy_only=False)).astype(np.int64)
+            yield 0, batch.num_rows, at.flatten().to_numpy(), v.flatten().to_numpy(), np.cumsum(n)
+            return
+        for first, last, grams, tfs, owner in gr.cut_blocks(batch.column(2).to_pylist(), low, high):
+            at, w, known = gr.weigh(grams, tfs, owner, last - first, *cut.value, sublinear)
+            yield first, last - first, at, w, np.cumsum(np.bincount(owner[known], minlength=last - first))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = [_Scorer(head) for head in sent.value.to_pylist()]
+        for batch in batches:
+            for first, n, at, v, ends in blocks(batch):
+                for scorer in made:
+                    full = _simplex(scorer.scores(at, v, ends), scorer.labels, n_classes)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_classes + 1, n_classes, dtype=np.int32)), pa.array(full.ravel()))
+                    own = [pa.array([scorer.head[k]] * n, by.schema.field(k).type) for k in keys]
+                    yield pa.RecordBatch.from_arrays(
+                        [*own, *(c.slice(first, n) for c in batch.columns[:2]), lists], names=[*keys, key, "y", "probs"])
+
+    features = ["indices", "values"] if cut is None else [gr.spaced(text).alias("text")]
+    return rows.select(key, F.col(label).cast("bigint").alias("y"), *features).mapInArrow(run, fields)
+
+
+class _Scorer:
+    """A head with the place of each term it knows."""
+
+    def __init__(self, head: dict):
+        self.head, self.labels, self.b = head, np.array(head["labels"], dtype=np.int64), np.array(head["intercepts"])
+        terms = np.frombuffer(head["terms"], "<i4")
+        self.weights = np.frombuffer(head["weights"], "<f8").reshape(len(terms), len(self.labels))
+        self.place = np.full(int(terms.max(initial=-1)) + 2, -1, dtype=np.int32)  # the last stands for all beyond
+        self.place[terms] = np.arange(len(terms))
+
+    def scores(self, at: np.ndarray, v: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of rows whose places and values lie one after the other."""
+        place = self.place[np.minimum(at, len(self.place) - 1)]
+        own = np.flatnonzero(place >= 0)
+        ends = np.searchsorted(own, ends)
+        begins = np.concatenate(([0], ends[:-1]))
+        z, some = np.tile(self.b, (len(ends), 1)), np.flatnonzero(ends > begins)
+        if len(some):
+            z[some] += np.add.reduceat(self.weights[place[own]] * v[own, None], begins[some], axis=0)
+        return z
+
+
+def _by_block(heads, rows, n_classes, key, keys, together, label, part_bytes, fields) -> DataFrame:
     total = rows.agg(F.sum(12 * F.size("indices") + 40)).first()[0] or 0
     n = max(1, -(-total // part_bytes))
     groups = heads.select(together).distinct()  # one row a budget
     number = [F.lit(r[0]) for r in groups.orderBy(together).collect()]
-    key_type, kinds = dict(rows.dtypes)[key], dict(heads.dtypes)
-    fields = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{key}` {key_type}", "y bigint", "probs array<double>"])
     if not number:
         return heads.sparkSession.createDataFrame([], fields)
     at = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")

@@ -55,15 +55,22 @@ def _featured(rows, fitted):
     return rows.drop("text").join(he.gram_features(_lists(rows), fitted, "doc_id"), "doc_id")
 
 
+def _met(rows):
+    """Rows and the texts of their ids: rows that share an id meet all its texts, one without drops out."""
+    return rows.drop("text").join(rows.select("doc_id", "text"), "doc_id")
+
+
 def _prepared(spark, d):
-    """(train, val, test) with vectors, texts of all three, and the vocabulary; every text is cut
-    once and the vectoriser sees the training rows only."""
+    """(train, val, test) with vectors, texts of all three, and the vocabulary; the vectoriser sees
+    the training rows only. Training and validation rows are bounded, and their vectors are
+    written for the fit to read many times; the test rows are cut as they are scored."""
     pool, val, test = _sides(spark, d)
     train = _table(sp.round_robin(pool, "label", "doc_id", 0, limit=LABELLED, n_groups=N_LANGS), "train")
     fitted = gr.fit(_table(_lists(train), "grams"), LOW, HIGH, sublinear=True)
-    rows = stack_cells([t.withColumn("split", F.lit(s)) for s, t in (("train", train), ("val", val), ("test", test))])
+    rows = stack_cells([t.withColumn("split", F.lit(s)) for s, t in (("train", train), ("val", val))])
     vectors = he.as_vectors(_featured(rows, fitted), fitted.size)
-    return [vectors.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")], pool.unionByName(val).unionByName(test), fitted
+    held = [vectors.filter(F.col("split") == s).drop("split") for s in ("train", "val")]
+    return [*held, he.text_features(_met(test), fitted, vectors=True)], pool.unionByName(val).unionByName(test), fitted
 
 
 @query("m1_logistic_head")
@@ -90,10 +97,10 @@ def selection_rule(spark, d):
     return he.smallest_good_c(runs, 0.002, ["training_size"])
 
 
-def _swept(grid, val, test, n_classes, key, **options):
+def _swept(grid, val, test, n_classes, key, fitted=None):
     """The heads of a grid of cells and what they say about the test rows, both written."""
-    heads = _table(he.sweep(grid, val, n_classes, **options), "heads")
-    return heads, _table(he.sweep_probabilities(heads, test, n_classes, key), "probabilities")
+    heads = _table(he.sweep(grid, val, n_classes), "heads")
+    return heads, _table(he.sweep_probabilities(heads, test, n_classes, key, fitted=fitted), "probabilities")
 
 
 def _reported(heads, probs, n_classes, key):
@@ -115,12 +122,13 @@ def budget_sweep(spark, d):
     grid = _table(sp.subset_grid(pool, "label", "doc_id", BUDGETS, SEEDS, n_classes=N_LANGS), "grid")
     seen = sp.distinct_pool(grid, "doc_id").select("doc_id", "text")
     fitted = gr.fit(_table(_lists(seen), "grams"), LOW, HIGH, sublinear=True)
-    parts = {"pool": pool.join(grid.select("doc_id").distinct(), "doc_id", "left_semi"), "val": val, "test": test}
+    parts = {"pool": pool.join(grid.select("doc_id").distinct(), "doc_id", "left_semi"), "val": val}
     rows = stack_cells([t.withColumn("split", F.lit(s)) for s, t in parts.items()])
     features = _table(_featured(rows, fitted), "features")
     part = lambda s: features.filter(F.col("split") == s).drop("split")
     cells = grid.select("doc_id", "training_size", "seed").join(part("pool"), "doc_id")
-    heads, probs = _swept(cells, part("val"), part("test"), N_LANGS, "doc_id")
+    # The rows of the budgets and the validation rows are bounded; test rows are cut as they are scored.
+    heads, probs = _swept(cells, part("val"), _met(test), N_LANGS, "doc_id", fitted)
     return _reported(heads, probs, N_LANGS, "doc_id")
 
 

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from labelscope.operators import grams as gr
+from labelscope.operators import heads as he
 from labelscope.plans import exchanging as ex
 from labelscope.sources import datasets as ds
 from labelscope.streaming import ingest as ig
@@ -33,3 +35,40 @@ def test_rows_of_a_split_are_not_brought_together_by_class(spark):
     voc = ds.vocabulary_table(spark, ("de", "en"))
     rows = ds.labelled_rows(table, voc, "s", ds.SplitSource("", "id", label="lang", named=True))
     assert rows.count() == 1_000 and "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def _texts(spark, n, start=0):
+    words = "refund card lost bank transfer pending top up cash limit".split()
+    rows = [(i, " ".join(words[(i * j + j * j) % len(words)] for j in range(1, 4 + i % 5)), i % 3) for i in range(start, start + n)]
+    return spark.createDataFrame([*rows, (start + n, "", 0), (start + n + 1, None, 1)], "id bigint, text string, label bigint")
+
+
+def test_features_in_one_pass_are_those_by_way_of_lists(spark):
+    train, rows = _texts(spark, 40), _texts(spark, 25, 100)
+    fitted = gr.fit(gr.gram_lists(train, "id", low=2, high=4), 2, 4, 2, True)
+    want = {r.id: (list(r.indices), list(r["values"])) for r in he.gram_features(gr.gram_lists(rows, "id", low=2, high=4), fitted, "id").collect()}
+    once = he.text_features(rows, fitted)
+    assert once.columns == ["id", "label", "indices", "values"] and "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: (list(r.indices), list(r["values"])) for r in once.collect()}
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1])
+    for r in he.text_features(rows, fitted, vectors=True).collect():
+        assert r.features.size == fitted.size and list(r.features.indices) == want[r.id][0]
+
+
+def test_heads_sent_to_the_rows_score_as_heads_met_by_block(spark):
+    train, rows = _texts(spark, 40), _texts(spark, 25, 100)
+    lists = gr.gram_lists(train, "id", low=2, high=4)
+    fitted = gr.fit(lists, 2, 4, 2, True)
+    cells = train.drop("text").join(he.gram_features(lists, fitted, "id"), "id").withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1))))
+    grid = cells.withColumn("training_size", F.lit(10)).filter("id % 2 = seed or id < 8")
+    heads = he.sweep(grid, cells.filter("seed = 0 and id < 9"), 3).cache()
+    scored = lambda **how: {(r.seed, r.id): (r.y, list(r.probs)) for r in he.sweep_probabilities(heads, rows, 3, "id", fitted=fitted, **how).collect()}
+    sent, met = scored(), scored(head_bytes=0)
+    assert sent.keys() == met.keys() and len(sent) == 54
+    for k in met:
+        assert sent[k][0] == met[k][0] and sent[k][1] == pytest.approx(met[k][1], abs=1e-9)
+    plain = he.sweep_probabilities(heads, he.text_features(rows, fitted), 3, "id")
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert {(r.seed, r.id): list(r.probs) for r in plain.collect()} == {k: p for k, (_, p) in sent.items()}
