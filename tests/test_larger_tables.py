@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from labelscope.operators import grams as gr
 from labelscope.operators import heads as he
+from labelscope.operators import retrieval as rt
 from labelscope.plans import exchanging as ex
+from labelscope.plans import resampling as plans
 from labelscope.sources import datasets as ds
 from labelscope.streaming import ingest as ig
 
@@ -72,3 +74,29 @@ def test_heads_sent_to_the_rows_score_as_heads_met_by_block(spark):
     plain = he.sweep_probabilities(heads, he.text_features(rows, fitted), 3, "id")
     assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
     assert {(r.seed, r.id): list(r.probs) for r in plain.collect()} == {k: p for k, (_, p) in sent.items()}
+
+
+def test_arms_meet_their_ensemble_without_the_driver(spark):
+    rows = spark.range(50).select(F.col("id").alias("row_id"), (F.col("id") % 5).alias("y"))
+    seeds = rows.withColumn("training_size", F.lit(50)).withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1))))
+    votes = seeds.withColumn("probs", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: ((F.col("row_id") * (k + 1) + F.col("seed")) % 7).cast("double")))
+    both = plans._arms(votes)
+    assert both.count() == 100
+    both.collect()
+    assert "BroadcastHashJoin" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("key_type", ["bigint", "string"])
+def test_few_queries_find_what_blocks_find(spark, key_type):
+    pool, queries = (_texts(spark, *n).drop("label").withColumn("id", F.col("id").cast(key_type)) for n in ((60,), (17, 100)))
+    queries = queries.unionByName(spark.createDataFrame([("300", "zzzz")], "id string, text string").withColumn("id", F.col("id").cast(key_type)))
+    rows = lambda **how: {(r["query"], r["pool"], r["rank"], r["sim"]) for r in rt.retrieve(queries, pool, "id", 4, **how).collect()}
+    few = rows()
+    assert few == rows(few_terms=0) and len(few) == 68
+
+
+def test_few_queries_store_no_grams(spark, monkeypatch):
+    stored, kept = [], rt._kept
+    monkeypatch.setattr(rt, "_kept", lambda df, name: stored.append((name, df.columns)) or kept(df, name))
+    rt.retrieve(_texts(spark, 5, 100), _texts(spark, 30), "id", 2).collect()
+    assert stored == [("pool-texts", ["id", "text"])]
