@@ -1,5 +1,7 @@
 """What larger tables need: folders of files, no task for a class, no stored features of every row."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,21 @@ def test_few_queries_store_no_grams(spark, monkeypatch):
     monkeypatch.setattr(rt, "_kept", lambda df, name: stored.append((name, df.columns)) or kept(df, name))
     rt.retrieve(_texts(spark, 5, 100), _texts(spark, 30), "id", 2).collect()
     assert stored == [("pool-texts", ["id", "text"])]
+
+
+def test_many_queries_take_little_more_disk_than_their_texts(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j * j + 7 * j) % 997}" for j in range(1, 200))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    pool, queries, stored, kept = df.filter("id < 50"), df.filter("id >= 50"), [], rt._kept
+
+    def recorded(made, name):
+        written = kept(made, name)
+        stored.append(sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in written.inputFiles()))
+        return written
+
+    monkeypatch.setattr(rt, "_kept", recorded)
+    near = rt.retrieve(queries, pool, "id", 2, few_terms=0, block_terms=20_000)
+    assert near.count() == 2 * queries.count()
+    assert sum(stored) < 4 * sum(len(t) for _, t in rows)
+    shown = near._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("Exchange") == 1 and "CartesianProduct" in shown  # rows of results only
