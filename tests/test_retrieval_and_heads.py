@@ -176,3 +176,28 @@ def test_text_without_known_terms_keeps_its_row(spark):
     found = he.as_vectors(he.gram_features(gr.gram_lists(unseen, "id", low=2), fitted, "id"), fitted.size)
     got = {r["id"]: r["features"].numNonzeros() for r in found.collect()}
     assert got[100] == 0 and got[101] > 0
+
+
+def test_terms_are_counted_exactly_by_key_without_a_shuffle_of_terms(spark, monkeypatch):
+    wide = "".join(chr(0x4E00 + i) for i in range(9_000))  # an alphabet whose 5-grams overflow 64 bits
+    rows = [*texts(30), (3, "refund  again\tA b"), (None, "no key"), (None, "no key twice"), (70, None), (71, " "), (72, wide + " 😀 " + wide[::-1])]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(5)
+    for low, high in ((2, 5), (3, 5), (4, 4)):
+        want = {}
+        for i, t in rows:
+            want.setdefault(i, Counter()).update(ngrams(t or "", low, high))
+        got = fe.term_counts(df, "id", "text", low, high)
+        assert {(r.id, r.term): r.tf for r in got.collect()} == {(i, g): n for i, c in want.items() for g, n in c.items()}
+    counts = fe.stored_counts(df, "id")
+    fitted = fe.fit_tfidf(df, "id", counts=counts)
+    as_set = lambda w, name: {(r["id"], r[name], round(r["weight"], 9)) for r in w.collect()}
+    for name in ("term", "term_id"):
+        plain, stored = fe.tfidf_weights(fitted, df, "id", name=name), fe.tfidf_weights(fitted, df, "id", name=name, counts=counts)
+        assert stored._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+        shown = plain._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in shown and "Window" not in shown
+        got = as_set(plain, name)
+        monkeypatch.setattr(fe, "BROADCAST_TERMS", 0)
+        assert got == as_set(stored, name) == as_set(fe.tfidf_weights(fitted, df, "id", name=name), name) == as_set(
+            fe.tfidf_weights(fitted, df, "id", name=name, counts=counts), name)
+        monkeypatch.setattr(fe, "BROADCAST_TERMS", 4_000_000)
