@@ -1,12 +1,15 @@
 """What larger tables need: folders of files, no task for a class, no stored features of every row."""
 
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from labelscope.operators import ensemble as en
 from labelscope.operators import grams as gr
 from labelscope.operators import heads as he
+from labelscope.operators import resample as rs
 from labelscope.operators import retrieval as rt
 from labelscope.plans import exchanging as ex
 from labelscope.plans import resampling as plans
@@ -120,3 +123,29 @@ def test_many_queries_take_little_more_disk_than_their_texts(spark, monkeypatch)
     assert sum(stored) < 4 * sum(len(t) for _, t in rows)
     shown = near._jdf.queryExecution().executedPlan().toString()
     assert shown.count("Exchange") == 1 and "CartesianProduct" in shown  # rows of results only
+
+
+def test_votes_are_put_together_before_they_are_shuffled_and_taken_once(spark, monkeypatch):
+    rows = [(i, i % 3, (i * 7) % 4 - 1, n, s, [float((i * (k + 2) * (s + 1) + n) % 5) for k in range(3)])
+            for i in range(40) for n in (10, 20) for s in (0, 1, 2)]
+    votes = spark.createDataFrame(rows, "row_id bigint, y bigint, b bigint, training_size bigint, seed bigint, probs array<double>").coalesce(1)
+    placed = votes.withColumn("_at", F.lit(0))
+    assert en._neighbours(placed, ["row_id"], ["y"], "probs").count() == 40
+    sets = [(m, times) for m, times, _ in en.seed_multisets((0, 1, 2))]
+    found = lambda df, by=("y", "b"): Counter({tuple(r)[:-1]: r.n for r in en.multiset_counts(df, sets, 3, (10, 20), (0, 1, 2), by=by).collect()})
+    want = Counter()
+    for m, times in sets:
+        for i in range(40):
+            own = [[sum(times[s] * r[5][k] for r in rows if r[0] == i and r[3] == n for s in [r[4]]) for k in range(3)] for n in (10, 20)]
+            want[(m, i % 3, (i * 7) % 4 - 1, *(x.index(max(x)) for x in own))] += 1
+    assert found(votes) == want == found(votes.repartition(4, "seed"))
+    monkeypatch.setattr(en, "HELD_CELLS", 1)
+    assert found(votes) == want
+    far = found(votes.withColumn("y", F.col("y") + 1_000))  # classes that no digit holds
+    assert far == Counter({(m, y + 1_000, *rest): n for (m, y, *rest), n in want.items()})
+    taken, counts = [], rs.multiset_counts
+    monkeypatch.setattr(rs, "multiset_counts", lambda *a, **k: taken.append(1) or counts(*a, **k))
+    gaps = rs.hierarchical_gaps(votes, "b", (10, 20), (0, 1, 2), 3, replicates=30).collect()
+    assert len(gaps) == 2 and len(taken) == 1
+    seen = rs.observed_curve(votes, "b", (10, 20), (0, 1, 2), 3).first()
+    assert {r.training_size: r.observed_diff for r in gaps} == {n: round(seen[f"n{n}"] - seen["base"], 6) for n in (10, 20)}
