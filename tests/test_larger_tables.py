@@ -3,6 +3,8 @@
 import os
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +151,62 @@ def test_votes_are_put_together_before_they_are_shuffled_and_taken_once(spark, m
     assert len(gaps) == 2 and len(taken) == 1
     seen = rs.observed_curve(votes, "b", (10, 20), (0, 1, 2), 3).first()
     assert {r.training_size: r.observed_diff for r in gaps} == {n: round(seen[f"n{n}"] - seen["base"], 6) for n in (10, 20)}
+
+
+def _written_blocks(spark, rows, limit):
+    lists = gr.gram_lists(spark.createDataFrame(rows, "id bigint, text string").coalesce(1), "id", "text", 3, 5)
+    weighed = gr.weighted(lists, gr.fit(lists, 3, 5, 1), "id").select("id", "grams", "weights")
+    found = rt._packed(weighed, "bigint", limit, rt._of_lists, False).orderBy("block").toArrow().to_batches()
+    return [rt._Stored(b, i, "", None, False) for b in found for i in range(b.num_rows)]
+
+
+def _in_two_languages(n, start=0):
+    syllables = ["ba do ki lu me".split(), "xyr qov wuz jix vyw".split()]
+    word = lambda own, a: own[a % 5] + own[a // 5 % 5] + own[a // 25 % 5]
+    return [(start + i, " ".join(word(syllables[i % 2], (start + i + 1) * j * j + 3 * j) for j in range(1, 40 + i % 7))) for i in range(n)]
+
+
+def test_unlike_texts_are_in_other_blocks_and_not_multiplied(spark, monkeypatch):
+    pool, queries = _written_blocks(spark, _in_two_languages(60), 3_000), _written_blocks(spark, _in_two_languages(40, 100), 3_000)
+    assert len(pool) > 2 and all(len({i % 2 for i in b.ids}) == 1 for b in [*pool, *queries])
+    terms = np.unique(np.concatenate([b.terms for b in queries]))
+    asked, cells, product = [rt._Asked(b, terms, 2, 0.03) for b in queries], [], rt._similarities
+    monkeypatch.setattr(rt, "_similarities", lambda *a: cells.append(0) or (lambda r: cells.append(r[0].size) or r)(product(*a)))
+    axes = rt._axes(asked, len(terms))
+    for own in asked:
+        own.along(axes)
+    for block in pool:
+        placed = rt._Placed(block, terms)
+        placed.along(axes)
+        for own in asked:
+            own.look(placed)
+    weights = lambda blocks: {i: {g: w for g, w, d in zip(np.repeat(b.terms, b.times), b.weight, b.doc) if d == n}
+                              for b in blocks for n, i in enumerate(b.ids)}
+    of_pool, of_queries = weights(pool), weights(queries)
+    for own in asked:
+        for q, best in zip(own.ids, own.found):
+            sims = [(-round(sum(w * of_pool[p].get(g, 0) for g, w in of_queries[q].items()), 8), p) for p in of_pool]
+            assert best == sorted(s for s in sims if s[0])[:2]
+    assert sum(cells) < 0.75 * 60 * 40
+
+
+def test_a_block_goes_to_a_task_once_not_with_every_pair(spark, monkeypatch):
+    def counted(k, common, key_type, sent, sublinear):
+        def run(batches):
+            rows = pa.Table.from_batches(list(batches))
+            sent = [len(rows) - rows.column(c).null_count for c in ("p_terms", "q_terms")]
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*sent, len(rows)), (pa.int64(), pa.int64(), pa.float64()))],
+                                                 names=["query", "pool", "sim"])
+
+        return run
+
+    stored, kept = [], rt._kept
+    monkeypatch.setattr(rt, "_kept", lambda df, name: stored.append(kept(df, name)) or stored[-1])
+    monkeypatch.setattr(rt, "_searched", counted)
+    pool, queries = (spark.createDataFrame(_in_two_languages(60, a), "id bigint, text string") for a in (0, 100))
+    found = rt.retrieve(queries, pool, "id", 1_000, few_terms=0, block_terms=1_000).collect()  # a row a task
+    p, q = (df.count() for df in stored)
+    tasks = len(found)
+    assert tasks * p < p * q and p > 5
+    assert sum(r["sim"] for r in found) == p * q and sum(r["query"] for r in found) == tasks * p and sum(r["pool"] for r in found) == q
