@@ -14,6 +14,7 @@ from labelscope.operators import heads as he
 from labelscope.operators import resample as rs
 from labelscope.operators import retrieval as rt
 from labelscope.plans import exchanging as ex
+from labelscope.plans import inputs
 from labelscope.plans import resampling as plans
 from labelscope.sources import datasets as ds
 from labelscope.streaming import ingest as ig
@@ -210,3 +211,20 @@ def test_a_block_goes_to_a_task_once_not_with_every_pair(spark, monkeypatch):
     tasks = len(found)
     assert tasks * p < p * q and p > 5
     assert sum(r["sim"] for r in found) == p * q and sum(r["query"] for r in found) == tasks * p and sum(r["pool"] for r in found) == q
+
+
+def test_texts_are_not_shuffled_to_their_labels(spark, tmp_path, monkeypatch):
+    rows = [(i if i < 40 else None, f"t{i}", "en", "s") for i in range(42)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i,) for i in (*range(0, 40, 3), 3)], "doc_id bigint").write.parquet(str(tmp_path / "labels.parquet"))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (inputs.BROADCAST_IDS, 3):  # ids are sent, or joined where they are too many
+            monkeypatch.setattr(inputs, "BROADCAST_IDS", most)
+            sides = inputs.split_documents(spark, str(tmp_path))
+            assert [len(df.collect()) for df in sides] == [14, 28]
+            plans = [df._jdf.queryExecution().executedPlan().toString() for df in sides]
+            assert all(("BroadcastHashJoin" in p and "hashpartitioning" not in p) == (most > 3) for p in plans)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
